@@ -44,3 +44,13 @@ def op3_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import licenses
 
     return licenses.scan(table(spark, sf_dir, "documents"))
+
+
+@query
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import toxicity
+    from .common import remainder
+
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.learn(docs, table(spark, sf_dir, "labels"))
+    return toxicity.score(docs, model).select("doc_id", (remainder("doc_id", 4) == 2).alias("held_out"), "score", "predicted")

@@ -67,7 +67,7 @@ class Words:
     def __init__(self, column: pa.Array, table: bytes = PLAIN):
         data, self.offsets = raw(column)
         self.n_docs = len(self.offsets) - 1
-        self.data = data.translate(table)
+        self.source, self.data = data, data.translate(table)
         self.buf = buf = np.frombuffer(self.data + b" " * 16, np.uint8)
         n = len(data)
         word = np.empty(n + 2, bool)
