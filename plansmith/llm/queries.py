@@ -75,3 +75,10 @@ def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import near_dedup
 
     return near_dedup.groups(table(spark, sf_dir, "documents"))
+
+
+@query
+def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import fingerprints
+
+    return fingerprints.compare(table(spark, sf_dir, "documents"))
