@@ -82,3 +82,10 @@ def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import fingerprints
 
     return fingerprints.compare(table(spark, sf_dir, "documents"))
+
+
+@query
+def op1_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import lm
+
+    return lm.held_out_scores(table(spark, sf_dir, "documents"))
