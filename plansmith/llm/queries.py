@@ -89,3 +89,10 @@ def op1_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import lm
 
     return lm.held_out_scores(table(spark, sf_dir, "documents"))
+
+
+@query
+def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import suffix_dedup
+
+    return suffix_dedup.report(table(spark, sf_dir, "documents"))
