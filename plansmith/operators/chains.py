@@ -249,8 +249,8 @@ class Escalation:
         return state
 
 
-def equal_population(spark: SparkSession, g: Graph, seeds: DataFrame, wanted: int, propose: Proposal, score: Score, ideal: float, steps: int, seed: int = 0, **options) -> DataFrame:
-    """(candidate_id, score, success, node, district): every candidate plan annealed, in parallel; the first `wanted` of those within one person of the ideal.
+def equal_population(spark: SparkSession, g: Graph, seeds: DataFrame, wanted: int, propose: Proposal, score: Score, ideal: float, steps: int, seed: int = 0, within: float = 1.0, **options) -> DataFrame:
+    """(candidate_id, score, success, node, district): every candidate plan annealed, in parallel; the first `wanted` of those whose districts are all less than `within` people off the ideal.
 
     seeds: (candidate_id, node, district)."""
     from pyspark.sql import functions as F
@@ -261,8 +261,8 @@ def equal_population(spark: SparkSession, g: Graph, seeds: DataFrame, wanted: in
         g = sent.value
         c = int(df["candidate_id"].iloc[0])
         label, names = codes(df.set_index("node")["district"].reindex(g.ids))
-        best, value = anneal(g, label, propose, [is_contiguous], score, steps, rng_of(seed, c), done=lambda s: max_deviation(g, s, ideal) < 1, **options)
-        return pd.DataFrame({"candidate_id": c, "score": value, "success": max_deviation(g, best, ideal) < 1, "node": g.ids, "district": np.array(names, object)[best]})
+        best, value = anneal(g, label, propose, [is_contiguous], score, steps, rng_of(seed, c), done=lambda s: max_deviation(g, s, ideal) < within, **options)
+        return pd.DataFrame({"candidate_id": c, "score": value, "success": max_deviation(g, best, ideal) < within, "node": g.ids, "district": np.array(names, object)[best]})
 
     out = seeds.groupBy("candidate_id").applyInPandas(run, "candidate_id bigint, score double, success boolean, node bigint, district string")
     first = out.where("success").select("candidate_id").distinct().orderBy("candidate_id").limit(wanted)

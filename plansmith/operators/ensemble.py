@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import is_empty, ratio
 
-BY_PLAN = Window.partitionBy("plan_id")
+def by_plan():
+    return Window.partitionBy("plan_id")
 
 
 # Populations and areas
@@ -23,7 +24,7 @@ def tally(assignment: DataFrame, units: DataFrame, column: str, name: str | None
 
 def deviation(pops: DataFrame, pop: str = "totpop", ideal: float | None = None) -> DataFrame:
     """Signed difference from the ideal population (the plan's mean, unless given) and its share of that."""
-    mean = F.lit(float(ideal)) if ideal is not None else F.avg(pop).over(BY_PLAN)
+    mean = F.lit(float(ideal)) if ideal is not None else F.avg(pop).over(by_plan())
     return pops.withColumn("ideal", mean).withColumn("pop_dev", F.col(pop) - F.col("ideal")).withColumn("rel_dev", ratio(F.abs("pop_dev"), "ideal"))
 
 
@@ -110,7 +111,7 @@ def by_majority(table: DataFrame) -> DataFrame:
     """Districts with the majority's and minority's index and the statewide index; the majority has the larger statewide vote share, D on a tie.
 
     One window over a plan carries the statewide row to its districts, so the table is shuffled once."""
-    state = lambda c: F.max(F.when(F.col("district") == "S", F.col(c))).over(BY_PLAN)
+    state = lambda c: F.max(F.when(F.col("district") == "S", F.col(c))).over(by_plan())
     d_leads = state("vote_share_d") >= state("vote_share_r")
     both = table.withColumn("majority", F.when(F.coalesce(d_leads, F.lit(True)), "D").otherwise("R")).withColumns({"s_index_d": state("index_d"), "s_index_r": state("index_r")})
     is_d = F.col("majority") == "D"
@@ -119,7 +120,7 @@ def by_majority(table: DataFrame) -> DataFrame:
 
 def partisan_summary(table: DataFrame) -> DataFrame:
     """All metrics of a plan in one aggregation: efficiency gap (majority less minority), both biases, mean less median, seats, and sample deviation."""
-    rows = by_majority(table).withColumn("mean_a", F.avg("a").over(BY_PLAN))
+    rows = by_majority(table).withColumn("mean_a", F.avg("a").over(by_plan()))
     wasted = lambda c: F.when(F.col(c) > 0.5, F.col(c) - 0.5).otherwise(F.col(c)) * F.col("statewide_prop")
     swung = F.col("a") + (0.5 - F.col("s_a"))
     won = F.when(swung > 0.5, 1.0).when(swung < 0.5, 0.0).otherwise(0.5)

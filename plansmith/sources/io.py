@@ -7,6 +7,7 @@ import warnings
 from collections.abc import Mapping, Sequence
 from pathlib import Path
 
+import pandas as pd
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -34,7 +35,6 @@ def geojson(spark: SparkSession, path: str) -> DataFrame:
     import struct
 
     import numpy as np
-    import pandas as pd
 
     from ..functions.geometry import wkb
 
@@ -136,8 +136,6 @@ def write_plan(assignment: DataFrame, units: DataFrame, path: str, sums: Sequenc
 
 
 def features(plans: DataFrame) -> DataFrame:
-    import pandas as pd
-
     from ..functions.geometry import polygons
 
     @F.pandas_udf("string")
