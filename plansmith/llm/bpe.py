@@ -63,7 +63,7 @@ def plain(text: str) -> str:
 class WordBpe:
     """A word-end BPE vocabulary of the tokenizers library's JSON, merged by our own code."""
 
-    def __init__(self, path: str, memo: int = 1 << 20):
+    def __init__(self, path: str, memo: int = 750_000):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model, pre = spec["model"], spec["pre_tokenizer"]["pretokenizers"]
@@ -168,8 +168,6 @@ class WordBpe:
 
     def learn(self, chunks: set[bytes]) -> None:
         """Put chunks in the memo: ids as little-endian uint32."""
-        if len(self.memo) + len(chunks) > self.most:
-            self.memo.clear()
         odd = [c for c in chunks if b"<|" in c]
         own = [c for c in chunks if b"<|" not in c]
         cut: list[list[bytes | int]] = [[]]
@@ -200,10 +198,11 @@ class WordBpe:
     def encode(self, texts: list[bytes]) -> Iterator[tuple[list[bytes], bytes]]:
         """The chunks of each text and its ids as little-endian uint32."""
         split = [t.split() for t in texts]
-        if new := set(chain.from_iterable(split)).difference(self.memo):
+        own = set(chain.from_iterable(split))
+        if len(self.memo) > self.most:  # keep what is in use
+            self.memo = {c: self.memo[c] for c in own if c in self.memo}
+        if new := own.difference(self.memo):
             self.learn(new)
-            if len(self.memo) == len(new):  # the memo was full and began anew
-                self.learn(set(chain.from_iterable(split)).difference(new))
         get = self.memo.__getitem__
         for chunks in split:
             yield chunks, b"".join(map(get, chunks))

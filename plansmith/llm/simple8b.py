@@ -15,8 +15,9 @@ from __future__ import annotations
 
 import io
 import os
+import re
 import uuid
-import zlib
+from array import array
 from collections.abc import Callable, Iterator
 from itertools import chain
 
@@ -130,7 +131,7 @@ def unpack(words: np.ndarray, offsets: np.ndarray, escapes: np.ndarray, n: int)
 
 
 def segment(doc_ids: list, ids: list[np.ndarray]) -> bytes:
-    flat = np.concatenate(ids) if ids else np.empty(0, U)
+    flat = np.concatenate([np.asarray(x).astype(U) for x in ids]) if ids else np.empty(0, U)
     words, offsets, escapes = pack(flat)
     head = np.array([len(doc_ids), len(flat), len(words), len(offsets), len(escapes)], "<u8")
     own = np.array([0 if x is None else x for x in doc_ids], "<i8")
@@ -149,10 +150,14 @@ def read_segments(f) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.nd
         yield doc_ids, null, size, unpack(words, offsets, escapes, n)
 
 
+#: A chunk of one word of plain letters, and perhaps a second of marks: the vocabulary always breaks between them.
+PLAIN_WORD = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+([.,;:!?]+)?")
+
+
 class Library:
     """Ids by the tokenizers library.  White space parts words for good, so each distinct chunk is encoded once and kept."""
 
-    def __init__(self, path: str, memo: int = 1 << 20):
+    def __init__(self, path: str, memo: int = 900_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -160,22 +165,38 @@ class Library:
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.memo: dict[bytes, bytes] = {}
+        size = self.tokenizer.get_vocab_size()
+        ends = np.array([(self.tokenizer.id_to_token(i) or "").endswith("</w>") for i in range(size)])
+        #: Which tokens end a word, where the vocabulary marks that.
+        self.ends = ends if ends.any() else None
 
     def learn(self, chunks: set[bytes]) -> None:
-        own = list(chunks)
-        if len(self.memo) + len(own) > self.most:
-            self.memo.clear()
+        """Chunks whose words are known beforehand go to the library many to a text, and their words' last tokens part them again."""
+        text = [c.decode("utf-8", "replace") for c in chunks]
+        whole = [(c, t, 1 + (m[1] is not None)) for c, t in zip(chunks, text, strict=True) if self.ends is not None and (m := PLAIN_WORD.fullmatch(t))]
+        for k in range(0, len(whole), 1 << 14):
+            rows = [whole[i : i + 64] for i in range(k, min(k + (1 << 14), len(whole)), 64)]
+            got = self.tokenizer.encode_batch_fast([" ".join([t for _, t, _ in r]) for r in rows], add_special_tokens=False)
+            for r, e in zip(rows, got, strict=True):
+                ids = np.array(e.ids, "<u4")
+                stop = (np.flatnonzero(self.ends[ids]) + 1)[np.cumsum([n for _, _, n in r]) - 1] * 4
+                flat, at = ids.tobytes(), 0
+                for (c, _, _), b in zip(r, stop.tolist(), strict=True):
+                    self.memo[c] = flat[at:b]
+                    at = b
+        own = [(c, t) for c, t in zip(chunks, text, strict=True) if c not in self.memo]
         for k in range(0, len(own), 4096):
             some = own[k : k + 4096]
-            got = self.tokenizer.encode_batch_fast([c.decode("utf-8", "replace") for c in some], add_special_tokens=False)
-            self.memo.update((c, np.array(e.ids, "<u4").tobytes()) for c, e in zip(some, got, strict=True))
+            got = self.tokenizer.encode_batch_fast([t for _, t in some], add_special_tokens=False)
+            self.memo.update((c, array("I", e.ids).tobytes()) for (c, _), e in zip(some, got, strict=True))
 
     def __call__(self, texts: list[bytes]) -> list[np.ndarray]:
         split = [t.split() for t in texts]
-        if new := set(chain.from_iterable(split)).difference(self.memo):
+        own = set(chain.from_iterable(split))
+        if len(self.memo) > self.most:  # keep what is in use
+            self.memo = {c: self.memo[c] for c in own if c in self.memo}
+        if new := own.difference(self.memo):
             self.learn(new)
-            if len(self.memo) == len(new):
-                self.learn(set(chain.from_iterable(split)).difference(new))
         get = self.memo.__getitem__
         return [np.frombuffer(b"".join(map(get, x)), "<u4") for x in split]
 
