@@ -224,7 +224,7 @@ def loaded(path: str) -> WordBpe:
 
 def encode_decode(docs: DataFrame, path: str, keep: list[str] | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Token ids (binary, little-endian uint32) and decoded text of every row, with the id and the columns of `keep`."""
-    keep = keep or []
+    keep = [c for c in keep or [] if c not in ("n_tokens", "ids", "decoded", id_col)]
     out = [docs.schema[id_col], *(docs.schema[c] for c in keep)]
     ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in out) + ", n_tokens bigint, ids binary, decoded binary"
 

@@ -5,7 +5,7 @@ text is then scored whole.  Labels, language, source and id are never features.
 
 Cases: a null or empty text has all-zero features and is scored like any other; null labels are left out, and a document
 with several labels takes the largest; without two classes to learn from, every score is the share of toxic labels (0
-without any); repeated rows give repeated scores; other columns are not passed on.
+without any); repeated rows give repeated scores; columns that are not kept are not passed on, nor those named like the results.
 """
 
 from __future__ import annotations
@@ -288,7 +288,7 @@ def learn(docs: DataFrame, labels: DataFrame, bound: int = BOUND, mod: int = 4,
 
 def score(docs: DataFrame, model: Model, threshold: float = 0.3, keep: list[str] | None = None) -> DataFrame:
     """The score and the decision of every row, with the columns of `keep`."""
-    keep = keep if keep is not None else ["doc_id"]
+    keep = [c for c in (["doc_id"] if keep is None else keep) if c not in ("score", "predicted")]
     schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
     columns = [*keep, *(["text"] if "text" not in keep else [])]
 
