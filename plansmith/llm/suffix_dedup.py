@@ -4,8 +4,7 @@ Sorting all byte positions by rank pairs moves 16 bytes and more a position and
 their own bytes: every LENGTH-byte string picks the GRAM bytes in it with the smallest hash as its anchor, so equal strings
 pick equal anchors.  Ranking by anchors is the first round; positions whose anchor is unique among documents drop out.  Spark
 deals the strings around the others by anchor, with equal surroundings joined before the shuffle, and in each bucket rank
-pairs at offsets 8, 16 and 18 (from 8 bytes to 16, 32 and LENGTH) are sorted and ranked anew, until equal ranks mean equal
-strings.  The smallest document of each rank decides what goes.
+pairs at growing offsets are sorted and ranked anew, until a rank is alone or means LENGTH equal bytes.  The smallest document of each rank decides what goes.
 
 Anchors that occur in several documents go to the workers as a sorted table while it fits TABLE bytes; beyond that every
 anchor is dealt, which gives the same result with more traffic.
@@ -32,10 +31,14 @@ LENGTH = 50
 GRAM = 16
 #: Bytes of the table of repeated anchors that may be broadcast.
 TABLE = 192 << 20
-#: Anchors in a block.
-BLOCK = 1 << 20
+#: Anchors in a block, and runs in one.
+BLOCK, RUNS = 1 << 19, 1 << 16
+#: Bytes of text that are sampled at once: some 60 bytes of arrays go to each.
+STEP = 1 << 20
+#: Windows that are ranked at once.
+RANKED = 1 << 17
 #: Longer texts are cut in pieces of so many windows.
-PIECE = 1 << 22
+PIECE = 1 << 20
 LAST = 2**63 - 1
 
 
@@ -119,7 +122,7 @@ def repeated(docs: DataFrame, n: int, length: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array([six[cut[k] : cut[k + 1]].tobytes() for k in some], pa.binary()), pa.array([np.packbits(several[cut[k] : cut[k + 1]]).tobytes() for k in some], pa.binary())], ["bucket", "anchors", "several"])
 
         for batch in batches:
-            for b in slices(batch, "text"):
+            for b in slices(batch, "text", STEP):
                 r = Runs(*raw(b.column(1)), length)
                 if len(r.anchor):
                     own = b.column(0).fill_null(LAST).to_numpy(zero_copy_only=False)
@@ -176,7 +179,7 @@ def surroundings(docs: DataFrame, n: int, length: int, sent) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(),) + (pa.binary(),) * 8, strict=True)], ["bucket", "text", "size", "place", "low", "kind", "own", "h", "first"])
 
         for batch in batches:
-            for b in slices(batch, "text"):
+            for b in slices(batch, "text", STEP):
                 data, offsets = raw(b.column(2))
                 r = Runs(data, offsets, length)
                 some = np.arange(len(r.anchor))
@@ -192,7 +195,7 @@ def surroundings(docs: DataFrame, n: int, length: int, sent) -> DataFrame:
                 own, h = b.column(0).fill_null(LAST).to_numpy(zero_copy_only=False), b.column(1).to_numpy(zero_copy_only=False)
                 held.append(([data[i:j] for i, j in zip(start.tolist(), stop.tolist(), strict=True)], own[doc], h[doc], r.anchor[some], r.offset[some], r.first[some]))
                 size += len(some)
-                if size >= BLOCK:
+                if size >= RUNS:
                     yield from flush()
                     held, size = [], 0
         if size:
@@ -209,7 +212,7 @@ def pairs(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 def smallest(texts: list[bytes], low: np.ndarray, place: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
     """For each window of each text, one after another, the smallest document of its string; and where each text's windows start.
 
-    Rank pairs double from 8 bytes to `length`; a window alone with its anchor needs no ranks."""
+    A text alone with its anchor needs no ranks."""
     size = np.array([len(t) for t in texts], np.int64)
     windows = size - length + 1
     start = np.cumsum(windows) - windows
@@ -217,27 +220,39 @@ def smallest(texts: list[bytes], low: np.ndarray, place: np.ndarray, length: int
     gram = np.array([hash(t[p : p + GRAM]) for t, p in zip(texts, place.tolist(), strict=True)], np.int64)
     _, back, count = np.unique(gram, return_inverse=True, return_counts=True)
     shared = np.flatnonzero(count[back] > 1)
-    if not len(shared):
-        return out, start
+    # A window's anchor and the anchor's place in it follow from its string, so only windows that agree in both can be equal:
+    # they are ranked some at a time, and memory follows RANKED windows, or one such group.
     flat = b"".join([texts[i] for i in shared.tolist()])
-    buf = np.frombuffer(flat + bytes(8), np.uint8)
-    n = len(flat)
-    lanes = np.lib.stride_tricks.as_strided(buf[:8].view(np.uint64), shape=(n,), strides=(1,))
-    rank, reach = np.unique(lanes, return_inverse=True)[1], 8
-    while reach < length:  # ranks that reach over a text's end are never read
-        step = min(reach, length - reach)
-        rank = pairs(rank[: len(rank) - step], rank[step:])
-        reach += step
-    at = np.cumsum(size[shared]) - size[shared]
-    w = windows[shared]
+    w, at = windows[shared], np.cumsum(size[shared]) - size[shared]
     inner = np.arange(int(w.sum())) - np.repeat(np.cumsum(w) - w, w)
-    own, to = rank[np.repeat(at, w) + inner], np.repeat(start[shared], w) + inner
-    best = np.full(int(own.max()) + 1, LAST)
-    np.minimum.at(best, own, out[to])
-    out[to] = best[own]
+    begin, to = np.repeat(at, w) + inner, np.repeat(start[shared], w) + inner
+    group = np.repeat(back[shared] * length + place[shared].astype(np.int64), w) - inner
+    order = np.argsort(group, kind="stable")
+    begin, to, group = begin[order], to[order], group[order]
+    at = 0
+    while at < len(group):
+        stop = int(np.searchsorted(group, group[min(at + RANKED, len(group)) - 1], "right"))
+        ranked(flat, begin[at:stop], to[at:stop], group[at:stop], out, length)
+        at = stop
     return out, start
 
 
+def ranked(flat: bytes, begin: np.ndarray, to: np.ndarray, group: np.ndarray, out: np.ndarray, length: int) -> None:
+    """Lower out[to] to the smallest document of each window's string: rank pairs at offsets 8, 16, ... until alone or `length` bytes long."""
+    buf = np.frombuffer(flat, np.uint8)
+    lanes = np.lib.stride_tricks.as_strided(buf[:8].view(np.uint64), shape=(len(flat) - 7,), strides=(1,))
+    rank = np.unique(group, return_inverse=True)[1]
+    for reach in [*range(8, length, 8), length]:
+        rank = pairs(rank, np.unique(lanes[begin + (reach - 8)], return_inverse=True)[1])
+        several = np.bincount(rank)[rank] > 1
+        begin, to, rank = begin[several], to[several], rank[several]
+        if not len(rank):
+            return
+    best = np.full(int(rank.max()) + 1, LAST)
+    np.minimum.at(best, rank, out[to])
+    out[to] = best[rank]
+
+
 def settled(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """A bucket's blocks to the spans that its runs lose: doc_id, hash, start and end, in one block a block."""
@@ -297,7 +312,7 @@ def joined(spans: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nd
 def spans(docs: DataFrame, length: int = LENGTH, table: int = TABLE, n_parts: int | None = None) -> DataFrame:
     """doc_id, h (xxhash64 of the text), starts and ends of what each row loses; rows that lose nothing are not there."""
     spark = docs.sparkSession
-    n = n_parts or parts(spark)
+    n = n_parts or 2 * parts(spark)
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).withColumn("h", F.xxhash64("text"))
     anchors = repeated(docs, n, length)
     size = anchors.agg(F.coalesce(F.sum(F.octet_length("anchors")), F.lit(0)).alias("n")).first()["n"]
