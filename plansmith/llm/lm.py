@@ -31,12 +31,12 @@ from .text import GOLD, U, WHITE, Words, mix, slices
 #: Levels a doubling of the count.
 STEPS = 2
 #: Bits of the filter for each of its entries, and the bits an entry sets.
-BITS = 12
+BITS = 10
 PROBES = 4
 #: Bytes of filter and counts that are broadcast at once.
 TABLE = 256 << 20
 #: Tokens that a block sums up.
-BLOCK = 1 << 21
+BLOCK = 1 << 20
 END = U(0x6A09E667F3BCC909)
 WORD = U(0xBB67AE8584CAA73B)
 STEP = U(0x3C6EF372FE94F82B)
@@ -155,25 +155,31 @@ def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 class Shard:
-    """The counts and the filter of some buckets, as flat arrays."""
+    """The counts and the filter of some buckets, as flat arrays that are filled bucket by bucket.
 
-    def __init__(self, rows: Iterator, n_buckets: int, own: set[int]):
+    sizes: (bucket, kind, n, width, bytes) of each row to come."""
+
+    def __init__(self, rows: Iterator, n_buckets: int, sizes: list[tuple[int, int, int, int, int]]):
         self.n, self.own = n_buckets, np.zeros(n_buckets, bool)
-        self.own[list(own)] = True
-        keys, counts, words = {}, {}, {}
+        self.size, kinds = np.zeros(n_buckets, np.int64), np.zeros(n_buckets, np.int64)
+        wide = any(width == 8 for _, kind, _, width, _ in sizes if kind == 0)
+        for b, kind, n, _, size in sizes:
+            self.own[b] = True
+            if kind == 2:
+                self.size[b] = size // 8
+            else:
+                kinds[b] = n
+        self.start, first = np.cumsum(self.size) - self.size, np.cumsum(kinds) - kinds
+        self.words, self.keys = np.zeros(int(self.size.sum()), np.uint64), np.zeros(int(kinds.sum()), np.uint64)
+        self.counts = np.zeros(len(self.keys), np.uint64 if wide else np.uint32)
         for r in rows:
-            x = np.frombuffer(bytes(r["payload"]), np.uint64) if r["kind"] == 2 else bytes(r["payload"])
+            b, x = r["bucket"], bytes(r["payload"])
             if r["kind"] == 2:
-                words[r["bucket"]] = x
+                self.words[self.start[b] : self.start[b] + self.size[b]] = np.frombuffer(x, np.uint64)
             else:
-                keys[r["bucket"]] = np.frombuffer(x, np.uint64, r["n"])
-                counts[r["bucket"]] = np.frombuffer(x, np.uint64 if r["width"] == 8 else np.uint32, r["n"], 8 * r["n"])
-        flat = lambda by, kind: np.concatenate([by[k] for k in sorted(by)]) if by else np.empty(0, kind)
-        self.keys, self.counts, self.words = flat(keys, np.uint64), flat(counts, np.uint32), flat(words, np.uint64)
-        self.size = np.zeros(n_buckets, np.int64)
-        for k, x in words.items():
-            self.size[k] = len(x)
-        self.start = np.cumsum(self.size) - self.size
+                at = slice(first[b], first[b] + kinds[b])
+                self.keys[at] = np.frombuffer(x, np.uint64, r["n"])
+                self.counts[at] = np.frombuffer(x, np.uint64 if r["width"] == 8 else np.uint32, r["n"], 8 * r["n"])
 
     def exact(self, h: np.ndarray) -> np.ndarray:
         if not len(self.keys):
@@ -260,22 +266,24 @@ def stage(sent, carries: bool, finish, width: int):
 def train(docs: DataFrame, n_buckets: int | None = None, table: int = TABLE) -> Model:
     """Count all training documents, build the filter, and choose the weights."""
     spark = docs.sparkSession
-    n = n_buckets or parts(spark)
+    n = n_buckets or 2 * parts(spark)
     built = settle(counted(docs, n).repartitionById(n, F.col("bucket").cast("int")).mapInArrow(summed, "kind bigint, bucket bigint, n bigint, total bigint, width bigint, payload binary"), "lm")
-    sizes = built.groupBy("bucket").agg(F.sum(F.octet_length("payload")).alias("bytes"), F.sum(F.when(F.col("kind") == 0, F.col("n"))).alias("kinds"), F.sum("total").alias("total")).orderBy("bucket").collect()  # a row a bucket
-    shards: list[set[int]] = [set()]
+    sizes = built.select("bucket", "kind", "n", "total", "width", F.octet_length("payload").alias("bytes")).orderBy("bucket", "kind").collect()  # two rows a bucket
+    shards: list[list] = [[]]
     size = 0
-    for r in sizes:
-        if size and size + r["bytes"] > table:
-            shards.append(set())
+    for b in sorted({r["bucket"] for r in sizes}):
+        own = [r for r in sizes if r["bucket"] == b]
+        more = sum(r["bytes"] for r in own)
+        if size and size + more > table:
+            shards.append([])
             size = 0
-        shards[-1].add(r["bucket"])
-        size += r["bytes"]
+        shards[-1] += own
+        size += more
     sent = []
     for own in shards:
-        part = built if len(shards) == 1 else built.where(F.col("bucket").isin(list(own)))
-        sent.append(spark.sparkContext.broadcast(Shard(part.toLocalIterator(), n, own)))  # at most `table` bytes
-    model = Model(sum(r["total"] for r in sizes), sum(r["kinds"] or 0 for r in sizes), sent)
+        part = built if len(shards) == 1 else built.where(F.col("bucket").isin([r["bucket"] for r in own]))
+        sent.append(spark.sparkContext.broadcast(Shard(part.toLocalIterator(), n, [(r["bucket"], r["kind"], r["n"], r["width"], r["bytes"]) for r in own])))  # at most `table` bytes
+    model = Model(sum(r["total"] for r in sizes), sum(r["n"] for r in sizes if r["kind"] == 0), sent)
     model.weights = weights(docs, model)
     return model
 
