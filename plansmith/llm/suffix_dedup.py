@@ -220,28 +220,36 @@ def smallest(texts: list[bytes], low: np.ndarray, place: np.ndarray, length: int
     gram = np.array([hash(t[p : p + GRAM]) for t, p in zip(texts, place.tolist(), strict=True)], np.int64)
     _, back, count = np.unique(gram, return_inverse=True, return_counts=True)
     shared = np.flatnonzero(count[back] > 1)
-    # A window's anchor and the anchor's place in it follow from its string, so only windows that agree in both can be equal:
-    # they are ranked some at a time, and memory follows RANKED windows, or one such group.
-    flat = b"".join([texts[i] for i in shared.tolist()])
-    w, at = windows[shared], np.cumsum(size[shared]) - size[shared]
-    inner = np.arange(int(w.sum())) - np.repeat(np.cumsum(w) - w, w)
-    begin, to = np.repeat(at, w) + inner, np.repeat(start[shared], w) + inner
-    group = np.repeat(back[shared] * length + place[shared].astype(np.int64), w) - inner
-    order = np.argsort(group, kind="stable")
-    begin, to, group = begin[order], to[order], group[order]
+    shared = shared[np.argsort(back[shared], kind="stable")]
+    group, many = back[shared], np.cumsum(windows[shared])
     at = 0
-    while at < len(group):
-        stop = int(np.searchsorted(group, group[min(at + RANKED, len(group)) - 1], "right"))
-        ranked(flat, begin[at:stop], to[at:stop], group[at:stop], out, length)
+    while at < len(shared):  # whole anchors, some at a time
+        stop = int(np.searchsorted(many, (many[at - 1] if at else 0) + RANKED, "right"))
+        stop = int(np.searchsorted(group, group[max(stop - 1, at)], "right"))
+        own = shared[at:stop]
+        flat = b"".join([texts[i] for i in own.tolist()])
+        first, w, p = np.cumsum(size[own]) - size[own], windows[own], place[own].astype(np.int64)
         at = stop
+        # A window's anchor and the anchor's place in it follow from its string, so only windows that agree in both can be
+        # equal: they are ranked place by place, and memory follows the texts of these anchors.
+        for d in range(int(p.max()) + 1):
+            inner = p - d
+            some = np.flatnonzero((inner >= 0) & (inner < w))
+            if len(some) > 1:
+                ranked(flat, first[some] + inner[some], start[own[some]] + inner[some], group_of(back[own[some]]), out, length)
     return out, start
 
 
+def group_of(x: np.ndarray) -> np.ndarray:
+    """Sorted numbers to 0, 1, ..."""
+    return np.cumsum(np.concatenate([[0], x[1:] != x[:-1]]))
+
+
 def ranked(flat: bytes, begin: np.ndarray, to: np.ndarray, group: np.ndarray, out: np.ndarray, length: int) -> None:
     """Lower out[to] to the smallest document of each window's string: rank pairs at offsets 8, 16, ... until alone or `length` bytes long."""
     buf = np.frombuffer(flat, np.uint8)
     lanes = np.lib.stride_tricks.as_strided(buf[:8].view(np.uint64), shape=(len(flat) - 7,), strides=(1,))
-    rank = np.unique(group, return_inverse=True)[1]
+    rank = group
     for reach in [*range(8, length, 8), length]:
         rank = pairs(rank, np.unique(lanes[begin + (reach - 8)], return_inverse=True)[1])
         several = np.bincount(rank)[rank] > 1
@@ -273,11 +281,14 @@ def settled(length: int):
             np.minimum.at(low, every, np.concatenate(lows))
             place = np.zeros(len(seen), np.uint8)
             place[every] = np.concatenate(places)
+            rows[:] = [r[4:] for r in rows]  # the blocks' strings have been taken over
             texts = list(seen)
+            del seen
             best, start = smallest(texts, low, place, length)
+            del texts
             windows = np.diff(np.append(start, len(best)))
             for r, to in zip(rows, local, strict=True):
-                kind, own, h, first = to[np.frombuffer(r[4], "<u4")], np.frombuffer(r[5], np.int64), np.frombuffer(r[6], np.int64), np.frombuffer(r[7], np.int64)
+                kind, own, h, first = to[np.frombuffer(r[0], "<u4")], np.frombuffer(r[1], np.int64), np.frombuffer(r[2], np.int64), np.frombuffer(r[3], np.int64)
                 w = windows[kind]
                 inner = np.arange(int(w.sum())) - np.repeat(np.cumsum(w) - w, w)
                 gone = best[np.repeat(start[kind], w) + inner] < np.repeat(own, w)
