@@ -323,7 +323,7 @@ def joined(spans: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nd
 def spans(docs: DataFrame, length: int = LENGTH, table: int = TABLE, n_parts: int | None = None) -> DataFrame:
     """doc_id, h (xxhash64 of the text), starts and ends of what each row loses; rows that lose nothing are not there."""
     spark = docs.sparkSession
-    n = n_parts or 2 * parts(spark)
+    n = n_parts or 8 * parts(spark)  # small buckets: a frequent anchor comes on top
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).withColumn("h", F.xxhash64("text"))
     anchors = repeated(docs, n, length)
     size = anchors.agg(F.coalesce(F.sum(F.octet_length("anchors")), F.lit(0)).alias("n")).first()["n"]
