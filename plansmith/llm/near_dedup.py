@@ -4,8 +4,9 @@ Texts of equal words are one class from the start, found by a key that is groupe
 signatures; classes that share a band meet in a bucket.  Buckets never emit pairs of their members: each round, the two members
 that come first and last in a hash order stand for their bucket, every other member is held against them, links that reach
 THRESHOLD join components, and buckets of over three whose members are still in several components go on with another order,
-until a round finds no link.  Signatures far from the threshold decide by themselves; those near it, where they would join two components, are
-checked exactly on the shingles of both texts.
+until a round finds no link.  What is then left is compared whole: such a bucket is dealt in chunks, and every two chunks meet in a
+task that holds all their members of different components against each other and returns links, never pairs.  Signatures far from
+the threshold decide by themselves; those near it, where they would join two components, are checked exactly on the shingles of both texts.
 
 Cases: null and empty texts and texts without words are alike only where they are equal; a text of fewer than five words
 is one shingle; a document's class id is the smallest doc_id of its group; a null doc_id is never that, unless the group
@@ -19,7 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, GroupedData
 from pyspark.sql import functions as F
 
 from . import dart
@@ -33,7 +34,10 @@ THRESHOLD = 0.8
 MARGIN = 0.1
 #: Bits of the filter that picks texts for the exact check; its size is fixed, so at worst it picks more.
 FILTER = 1 << 26
+#: Rounds of picks at most; they only save work for the comparison of whole buckets that follows.
 ROUNDS = 12
+#: Members, and bytes of their shingles, of one chunk of a bucket that is compared whole.
+CHUNK, CHUNK_BYTES = 512, 4 << 20
 
 
 def prints(docs: DataFrame, width: int = WIDTH) -> DataFrame:
@@ -66,10 +70,9 @@ def alike(pairs: DataFrame) -> DataFrame:
     return pairs.mapInArrow(run, schema)
 
 
-def exact(pairs: DataFrame, classes: DataFrame, docs: DataFrame, width: int, threshold: float) -> DataFrame:
-    """Of pairs (a, b) of keys, those whose weighted Jaccard similarity of shingles reaches the threshold."""
-    need = pairs.select(F.col("a").alias("key")).union(pairs.select(F.col("b").alias("key"))).distinct().join(classes.select("key", "rep"), "key")
-    need = settle(need, "need")
+def shingle_sets(keys: DataFrame, classes: DataFrame, docs: DataFrame, width: int) -> DataFrame:
+    """key and items, the sorted shingles as bytes, of the classes named by keys."""
+    need = settle(keys.distinct().join(classes.select("key", "rep"), "key"), "need")
     place = F.pmod(F.xxhash64("rep"), F.lit(FILTER))
     bitmap = need.groupBy(F.bitmap_bucket_number(place + 1).alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place + 1)).alias("bits"))
     rows = bitmap.collect()  # FILTER bits at most
@@ -92,7 +95,12 @@ def exact(pairs: DataFrame, classes: DataFrame, docs: DataFrame, width: int, thr
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array(dart.keys(w, b.column(1).cast(pa.binary()).to_pylist()), pa.binary()), pa.array([e[i:j].tobytes() for i, j in zip(cut[:-1], cut[1:], strict=True)], pa.binary())], ["rep", "key", "items"])
 
     found = docs.where(F.col("doc_id").isNotNull()).select("doc_id", "text", F.pmod(F.xxhash64("doc_id"), F.lit(FILTER)).alias("at")).mapInArrow(sets, "rep bigint, key binary, items binary")
-    found = settle(found.join(need, ["rep", "key"], "left_semi").dropDuplicates(["key"]).select("key", "items"), "sets")
+    return settle(found.join(need, ["rep", "key"], "left_semi").dropDuplicates(["key"]).select("key", "items"), "sets")
+
+
+def exact(pairs: DataFrame, classes: DataFrame, docs: DataFrame, width: int, threshold: float) -> DataFrame:
+    """Of pairs (a, b) of keys, those whose weighted Jaccard similarity of shingles reaches the threshold."""
+    found = shingle_sets(pairs.select(F.col("a").alias("key")).union(pairs.select(F.col("b").alias("key"))), classes, docs, width)
     both = pairs.join(found.select(F.col("key").alias("a"), F.col("items").alias("x")), "a").join(found.select(F.col("key").alias("b"), F.col("items").alias("y")), "b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -107,6 +115,104 @@ def exact(pairs: DataFrame, classes: DataFrame, docs: DataFrame, width: int, thr
     return both.select("a", "b", "x", "y").mapInArrow(run, "a binary, b binary")
 
 
+def dealt(rows: DataFrame, size: Column, most: int) -> GroupedData:
+    """Rows of buckets by pairs of chunks (low, high): each row once for every chunk of its bucket; `own` is its chunk."""
+    chunks = rows.groupBy("band").agg(F.ceil(F.sum(size) / most).cast("bigint").alias("chunks"))
+    own = rows.join(chunks, "band").withColumn("own", F.pmod(F.xxhash64("key", F.lit("chunk")), F.col("chunks")))
+    own = own.withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("chunks") - 1)))
+    return own.withColumns({"low": F.least("own", "other"), "high": F.greatest("own", "other")}).drop("chunks", "other").groupBy("band", "low", "high")
+
+
+class Chunks:
+    """Two chunks of a bucket, or one with itself; of: the component of each member, as far as links are known here."""
+
+    def __init__(self, t: pa.Table):
+        self.keys = t["key"].to_pylist()
+        self.sig = np.frombuffer(b"".join(t["sig"].to_pylist()), np.uint16).reshape(t.num_rows, -1)
+        self.bands = np.array(t["bands"].to_pylist(), np.int64).reshape(t.num_rows, -1)
+        ids: dict[bytes, int] = {}
+        self.of = np.array([ids.setdefault(x, len(ids)) for x in t["label"].to_pylist()], np.int64)
+        self.before = int(np.flatnonzero(self.bands[0] == t["band"][0].as_py())[0])
+        own = t["own"].to_numpy()
+        low, high = t["low"][0].as_py(), t["high"][0].as_py()
+        self.whole = low == high
+        self.first, self.second = np.flatnonzero(own == low), np.flatnonzero(own == high)
+
+    def near(self, least: float) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """Each member with those of other components that it may be like, and the estimates; a pair that shares several buckets is left to the first."""
+        for n, i in enumerate(self.first):
+            to = self.second[n + 1 :] if self.whole else self.second
+            to = to[self.of[to] != self.of[i]]
+            est = (self.sig[to] == self.sig[i]).mean(axis=1)
+            to, est = to[est >= least], est[est >= least]
+            new = ~(self.bands[to, : self.before] == self.bands[i, : self.before]).any(axis=1)
+            yield int(i), to[new], est[new]
+
+    def join(self, i: int, to: np.ndarray) -> list[tuple[bytes, bytes]]:
+        """Links of i to members `to` that join components."""
+        out = []
+        for j in to.tolist():
+            if self.of[i] != self.of[j]:
+                out.append((self.keys[i], self.keys[j]))
+                self.of[self.of == self.of[j]] = self.of[i]
+        return out
+
+
+def rest(rows: DataFrame, label: DataFrame, classes: DataFrame, docs: DataFrame, width: int, threshold: float, found: Counter) -> list[DataFrame]:
+    """Links among all members of different components of each bucket (band, key)."""
+
+    def still(rows: DataFrame, label: DataFrame) -> DataFrame:
+        own = rows.join(label, rows.key == label.node, "left").select("band", "key", F.coalesce("root", "key").alias("label"))
+        several = own.groupBy("band").agg(F.min("label").alias("l"), F.max("label").alias("h")).where("l <> h").select("band")
+        return own.join(several, "band", "left_semi").join(classes.select("key", "sig", "bands"), "key")
+
+    def by_signature(t: pa.Table) -> pa.Table:
+        c = Chunks(t)
+        sure, live = [], np.zeros(t.num_rows, bool)
+        for i, to, est in c.near(threshold - MARGIN):
+            sure += c.join(i, to[est >= threshold + MARGIN])
+            to = to[c.of[to] != c.of[i]]
+            live[to] = True
+            live[i] |= len(to) > 0
+        some = [c.keys[k] for k in np.flatnonzero(live)]
+        return pa.table({"band": pa.array([t["band"][0].as_py()] * (len(sure) + len(some)), pa.int64()), "a": pa.array([a for a, _ in sure] + some, pa.binary()), "b": pa.array([b for _, b in sure] + [None] * len(some), pa.binary())})
+
+    def by_shingles(t: pa.Table) -> pa.Table:
+        c, out = Chunks(t), []
+        sets = [np.frombuffer(x, np.uint64) for x in t["items"].to_pylist()]
+        size = np.array([len(x) for x in sets])
+        _, item = np.unique(np.concatenate(sets), return_inverse=True)
+        cut = np.concatenate([[0], np.cumsum(np.bincount(item))])
+        has = np.repeat(np.arange(len(sets)), size)[np.argsort(item, kind="stable")]  # the members that have an item, item by item
+        at = np.concatenate([[0], np.cumsum(size)])
+        for i, to, est in c.near(threshold - MARGIN):
+            to = to[(est < threshold + MARGIN) & (c.of[to] != c.of[i])]
+            if len(to):
+                own = item[at[i] : at[i + 1]]
+                n = cut[own + 1] - cut[own]
+                same = np.bincount(has[np.repeat(cut[own] - np.cumsum(n) + n, n) + np.arange(n.sum())], minlength=len(sets))[to]
+                out += c.join(i, to[same >= threshold * (size[i] + size[to] - same) - 1e-9])
+        return pa.table({"a": pa.array([a for a, _ in out], pa.binary()), "b": pa.array([b for _, b in out], pa.binary())})
+
+    got = settle(dealt(still(rows, label), F.lit(1), CHUNK).applyInArrow(by_signature, "band bigint, a binary, b binary"), "rest")
+    sure = got.where("b IS NOT NULL").select("a", "b")
+    live = got.where("b IS NULL").select("band", F.col("a").alias("key")).distinct()
+    n_sure, n_live = sure.count(), live.count()
+    found.update({"rest_sure": n_sure, "rest_live": n_live})
+    if not n_live:
+        return [sure]
+    if n_sure:
+        at = label.select(F.col("node").alias("a"), F.col("root").alias("ra")), label.select(F.col("node").alias("b"), F.col("root").alias("rb"))
+        roots = components(sure.join(at[0], "a", "left").join(at[1], "b", "left").select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b"))).select("node", F.col("root").alias("top"))
+        all_ = classes.select(F.col("key").alias("node")).join(label, "node", "left").select("node", F.coalesce("root", "node").alias("root"))
+        label = settle(all_.join(roots.withColumnRenamed("node", "root"), "root", "left").select("node", F.coalesce("top", "root").alias("root")), "labels")
+    own = settle(still(live, label), "live")
+    own = own.join(shingle_sets(own.select("key"), classes, docs, width), "key")
+    more = settle(dealt(own, F.greatest(F.octet_length("items"), F.lit(CHUNK_BYTES // CHUNK)), CHUNK_BYTES).applyInArrow(by_shingles, "a binary, b binary"), "rest")
+    found.update({"rest_more": more.count()})
+    return [sure, more]
+
+
 def groups(docs: DataFrame, threshold: float = THRESHOLD, width: int = WIDTH, found: Counter | None = None) -> DataFrame:
     """doc_id, class_id (the smallest doc_id of the group) and class_size of every row."""
     found = found if found is not None else Counter()
@@ -149,6 +255,10 @@ def groups(docs: DataFrame, threshold: float = THRESHOLD, width: int = WIDTH, fo
         found.update({"rounds": 1, "sure": n_sure, "near": n_near})
         if not n_sure + n_more:
             break
+    for more in rest(rows.where("n > 3").select("band", "key"), label, classes, docs, width, threshold, found):
+        links = links.union(more)
+    if found["rest_sure"] + found["rest_more"]:
+        label = settle(components(links), "labels")
     root = classes.join(label, classes.key == label.node, "left").select("key", "rep", "n", F.coalesce("root", "key").alias("root"))
     group = root.groupBy("root").agg(F.min("rep").alias("class_id"), F.sum("n").alias("class_size"))
     named = root.join(group, "root").select("key", "class_id", "class_size")

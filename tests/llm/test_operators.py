@@ -367,6 +367,27 @@ def test_near_dedup_of_many_variants(spark):
     same([tuple(r) for r in near_dedup.groups(df).collect()], brute_classes(own))
 
 
+def test_near_dedup_compares_large_buckets_whole(spark, monkeypatch):
+    rng = random.Random(4)
+    base = [f"w{k}" for k in range(400)]
+
+    def edited(text, n):
+        text = list(text)
+        for k in rng.sample(range(1, 79), n):
+            text[5 * k] = f"z{rng.randrange(10**9)}"
+        return text
+
+    own = []
+    for k in range(250):  # texts on one template, under the threshold to each other, each with an edited copy
+        one = edited(base, 6)
+        own += [(2 * k, " ".join(one)), (2 * k + 1, " ".join(edited(one, 7)))]
+    df = spark.createDataFrame(own, "doc_id bigint, text string")
+    monkeypatch.setattr(near_dedup, "ROUNDS", 1)  # the picks alone miss links
+    monkeypatch.setattr(near_dedup, "CHUNK", 100)
+    monkeypatch.setattr(near_dedup, "CHUNK_BYTES", 100_000)
+    same([tuple(r) for r in near_dedup.groups(df).collect()], brute_classes(own))
+
+
 def test_near_dedup_on_nothing(empty):
     assert near_dedup.groups(empty).count() == 0
 
