@@ -40,8 +40,13 @@ ROUNDS = 12
 CHUNK, CHUNK_BYTES = 512, 4 << 20
 
 
+def pick() -> Column:
+    """A number that the rows of a text can be found by: its doc_id, or a hash of the text where that is null."""
+    return F.coalesce(F.col("doc_id").cast("bigint"), F.xxhash64("text"))
+
+
 def prints(docs: DataFrame, width: int = WIDTH) -> DataFrame:
-    """doc_id, key, signature (16 bits a coordinate) and bands of every document."""
+    """doc_id, pick, key, signature (16 bits a coordinate) and bands of every document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -51,9 +56,9 @@ def prints(docs: DataFrame, width: int = WIDTH) -> DataFrame:
                 band = dart.bands(sig).view(np.int64)
                 some = w.counts > 0
                 texts = b.column(1).cast(pa.binary()).to_pylist()
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(dart.keys(w, texts), pa.binary()), pa.array([x.tobytes() for x in (sig >> np.uint64(48)).astype(np.uint16)], pa.binary()), pa.array([x if s else [] for x, s in zip(band.tolist(), some.tolist(), strict=True)], pa.list_(pa.int64()))], ["doc_id", "key", "sig", "bands"])
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(dart.keys(w, texts), pa.binary()), pa.array([x.tobytes() for x in (sig >> np.uint64(48)).astype(np.uint16)], pa.binary()), pa.array([x if s else [] for x, s in zip(band.tolist(), some.tolist(), strict=True)], pa.list_(pa.int64()))], ["doc_id", "pick", "key", "sig", "bands"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, key binary, sig binary, bands array<bigint>")
+    return docs.select("doc_id", "text", pick().alias("pick")).mapInArrow(run, "doc_id bigint, pick bigint, key binary, sig binary, bands array<bigint>")
 
 
 def alike(pairs: DataFrame) -> DataFrame:
@@ -72,8 +77,8 @@ def alike(pairs: DataFrame) -> DataFrame:
 
 def shingle_sets(keys: DataFrame, classes: DataFrame, docs: DataFrame, width: int) -> DataFrame:
     """key and items, the sorted shingles as bytes, of the classes named by keys."""
-    need = settle(keys.distinct().join(classes.select("key", "rep"), "key"), "need")
-    place = F.pmod(F.xxhash64("rep"), F.lit(FILTER))
+    need = settle(keys.distinct().join(classes.select("key", "pick"), "key"), "need")
+    place = F.pmod(F.xxhash64("pick"), F.lit(FILTER))
     bitmap = need.groupBy(F.bitmap_bucket_number(place + 1).alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place + 1)).alias("bits"))
     rows = bitmap.collect()  # FILTER bits at most
     size = len(rows[0]["bits"]) if rows else 0
@@ -92,10 +97,10 @@ def shingle_sets(keys: DataFrame, classes: DataFrame, docs: DataFrame, width: in
                 e, doc = dart.regions(w, width)
                 order = np.lexsort((e, doc))
                 e, cut = e[order], np.searchsorted(doc[order], np.arange(w.n_docs + 1))
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(dart.keys(w, b.column(1).cast(pa.binary()).to_pylist()), pa.binary()), pa.array([e[i:j].tobytes() for i, j in zip(cut[:-1], cut[1:], strict=True)], pa.binary())], ["rep", "key", "items"])
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(dart.keys(w, b.column(1).cast(pa.binary()).to_pylist()), pa.binary()), pa.array([e[i:j].tobytes() for i, j in zip(cut[:-1], cut[1:], strict=True)], pa.binary())], ["pick", "key", "items"])
 
-    found = docs.where(F.col("doc_id").isNotNull()).select("doc_id", "text", F.pmod(F.xxhash64("doc_id"), F.lit(FILTER)).alias("at")).mapInArrow(sets, "rep bigint, key binary, items binary")
-    return settle(found.join(need, ["rep", "key"], "left_semi").dropDuplicates(["key"]).select("key", "items"), "sets")
+    found = docs.select(pick().alias("pick"), "text").withColumn("at", F.pmod(F.xxhash64("pick"), F.lit(FILTER))).mapInArrow(sets, "pick bigint, key binary, items binary")
+    return settle(found.join(need, ["pick", "key"], "left_semi").dropDuplicates(["key"]).select("key", "items"), "sets")
 
 
 def exact(pairs: DataFrame, classes: DataFrame, docs: DataFrame, width: int, threshold: float) -> DataFrame:
@@ -218,7 +223,7 @@ def groups(docs: DataFrame, threshold: float = THRESHOLD, width: int = WIDTH, fo
     found = found if found is not None else Counter()
     own = settle(prints(docs, width), "prints")
     members = own.select("doc_id", "key")
-    classes = settle(own.groupBy("key").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n"), F.first("sig").alias("sig"), F.first("bands").alias("bands")), "classes")
+    classes = settle(own.groupBy("key").agg(F.min("doc_id").alias("rep"), F.min("pick").alias("pick"), F.count("*").alias("n"), F.first("sig").alias("sig"), F.first("bands").alias("bands")), "classes")
     rows = classes.select("key", F.explode("bands").alias("band"))
     shared = rows.groupBy("band").agg(F.count("*").alias("n")).where("n > 1")
     rows = settle(rows.join(shared, "band"), "bands")  # of classes that meet another

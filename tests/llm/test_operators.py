@@ -388,6 +388,14 @@ def test_near_dedup_compares_large_buckets_whole(spark, monkeypatch):
     same([tuple(r) for r in near_dedup.groups(df).collect()], brute_classes(own))
 
 
+def test_near_dedup_checks_texts_without_an_id(spark):
+    base = [f"w{k}" for k in range(400)]
+    near = [f"z{k}" if k % 60 == 30 else x for k, x in enumerate(base)]  # 0.84 alike
+    own = [(None, " ".join(near)), (7, " ".join(base)), (None, None), (None, "other words")]
+    df = spark.createDataFrame(own, "doc_id bigint, text string")
+    same([tuple(r) for r in near_dedup.groups(df).collect()], brute_classes(own))
+
+
 def test_near_dedup_on_nothing(empty):
     assert near_dedup.groups(empty).count() == 0
 
