@@ -30,8 +30,8 @@ from .text import Words, slices
 
 WIDTH = 5
 THRESHOLD = 0.8
-#: How far from the threshold a signature decides alone: over three of its standard deviations there.
-MARGIN = 0.1
+#: How far from the threshold a signature decides alone: over 4.7 of its standard deviations there, some 2 in a million pairs at the threshold.
+MARGIN = 0.15
 #: Bits of the filter that picks texts for the exact check; its size is fixed, so at worst it picks more.
 FILTER = 1 << 26
 #: Rounds of picks at most; they only save work for the comparison of whole buckets that follows.
@@ -174,7 +174,7 @@ def rest(rows: DataFrame, label: DataFrame, classes: DataFrame, docs: DataFrame,
     def by_signature(t: pa.Table) -> pa.Table:
         c = Chunks(t)
         sure, live = [], np.zeros(t.num_rows, bool)
-        for i, to, est in c.near(threshold - MARGIN):
+        for i, to, est in c.near(threshold - MARGIN - 1e-9):
             sure += c.join(i, to[est >= threshold + MARGIN])
             to = to[c.of[to] != c.of[i]]
             live[to] = True
@@ -190,7 +190,7 @@ def rest(rows: DataFrame, label: DataFrame, classes: DataFrame, docs: DataFrame,
         cut = np.concatenate([[0], np.cumsum(np.bincount(item))])
         has = np.repeat(np.arange(len(sets)), size)[np.argsort(item, kind="stable")]  # the members that have an item, item by item
         at = np.concatenate([[0], np.cumsum(size)])
-        for i, to, est in c.near(threshold - MARGIN):
+        for i, to, est in c.near(threshold - MARGIN - 1e-9):
             to = to[(est < threshold + MARGIN) & (c.of[to] != c.of[i])]
             if len(to):
                 own = item[at[i] : at[i + 1]]
@@ -240,7 +240,7 @@ def groups(docs: DataFrame, threshold: float = THRESHOLD, width: int = WIDTH, fo
         pairs = own_rows.join(open_, "band").where("label <> of").select(F.least("key", "b").alias("a"), F.greatest("key", "b").alias("b"), "label", "of").distinct()
         sig = classes.select("key", "sig")
         pairs = pairs.join(sig.select(F.col("key").alias("a"), F.col("sig").alias("sig_a")), "a").join(sig.select(F.col("key").alias("b"), F.col("sig").alias("sig_b")), "b").select("a", "b", "sig_a", "sig_b")
-        near = settle(alike(pairs).where(F.col("est") >= threshold - MARGIN), "pairs")
+        near = settle(alike(pairs).where(F.col("est") >= threshold - MARGIN - 1e-9), "pairs")
         sure = near.where(F.col("est") >= threshold + MARGIN).select("a", "b")
         links = sure if links is None else links.union(sure)
         n_sure, n_near = sure.count(), near.where(F.col("est") < threshold + MARGIN).count()

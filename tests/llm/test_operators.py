@@ -396,6 +396,19 @@ def test_near_dedup_checks_texts_without_an_id(spark):
     same([tuple(r) for r in near_dedup.groups(df).collect()], brute_classes(own))
 
 
+def test_near_dedup_checks_unlucky_signatures(spark):
+    def texts(seed, n):
+        one = [f"s{seed}w{k}" for k in range(n)]
+        return [" ".join(one), " ".join("x" if k == 40 else "y" if k == 44 else t for k, t in enumerate(one))]
+
+    # 0.8 alike but estimated at 0.6875; 0.798 alike but estimated at 0.9
+    own = list(enumerate(texts(159, 85) + texts(1824, 85) + texts(596, 84) + texts(2125, 84)))
+    df = spark.createDataFrame(own, "doc_id bigint, text string")
+    want = brute_classes(own)
+    assert [n for _, _, n in want] == [2] * 4 + [1] * 4
+    same([tuple(r) for r in near_dedup.groups(df).collect()], want)
+
+
 def test_near_dedup_on_nothing(empty):
     assert near_dedup.groups(empty).count() == 0
 
