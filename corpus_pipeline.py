@@ -26,12 +26,12 @@ def clean_of_toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each near-duplicate group the row with the smallest doc_id stays; rows without an id come after all others."""
+    """Of each near-duplicate group the row with the smallest doc_id stays, of several the one whose text has the smallest hash; rows without an id come after all others."""
     named = docs.withColumns({"id_": F.coalesce("doc_id", F.lit(2**62) + F.pmod(F.xxhash64("text"), F.lit(2**62))), "h_": F.xxhash64("text")})
-    group = near_dedup.groups(named.select(F.col("id_").alias("doc_id"), "text"))
-    # Every row only asks whether its id is one that stays, so no group is gathered.
-    stay = group.where(F.col("doc_id") == F.col("class_id")).select(F.col("doc_id").alias("id_")).distinct()
-    return named.join(stay, "id_", "left_semi").dropDuplicates(["id_", "h_"]).select(*docs.columns)
+    group = near_dedup.groups(named.select(F.col("id_").alias("doc_id"), "text", "h_"), keep=["h_"])
+    # A minimum is taken before the shuffle, and every row only asks whether it is one that stays, so no group is gathered.
+    stay = group.where(F.col("doc_id") == F.col("class_id")).groupBy("root").agg(F.min(F.struct(F.col("doc_id").alias("id_"), "h_")).alias("s")).select("s.*")
+    return named.join(stay, ["id_", "h_"], "left_semi").dropDuplicates(["id_", "h_"]).select(*docs.columns)
 
 
 def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -16,7 +16,7 @@ has no other; repeated rows stay rows, in one class; texts of any length are rea
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -45,8 +45,10 @@ def pick() -> Column:
     return F.coalesce(F.col("doc_id").cast("bigint"), F.xxhash64("text"))
 
 
-def prints(docs: DataFrame, width: int = WIDTH) -> DataFrame:
-    """doc_id, pick, key, signature (16 bits a coordinate) and bands of every document."""
+def prints(docs: DataFrame, width: int = WIDTH, keep: Sequence[str] = ()) -> DataFrame:
+    """doc_id, pick, key, signature (16 bits a coordinate), bands and the columns `keep` of every document."""
+    own = docs.select("doc_id", "text", pick().alias("pick"), *keep)
+    kinds = "".join(f", {c} {own.schema[c].dataType.simpleString()}" for c in keep)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -56,9 +58,9 @@ def prints(docs: DataFrame, width: int = WIDTH) -> DataFrame:
                 band = dart.bands(sig).view(np.int64)
                 some = w.counts > 0
                 texts = b.column(1).cast(pa.binary()).to_pylist()
-                yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(dart.keys(w, texts), pa.binary()), pa.array([x.tobytes() for x in (sig >> np.uint64(48)).astype(np.uint16)], pa.binary()), pa.array([x if s else [] for x, s in zip(band.tolist(), some.tolist(), strict=True)], pa.list_(pa.int64()))], ["doc_id", "pick", "key", "sig", "bands"])
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(dart.keys(w, texts), pa.binary()), pa.array([x.tobytes() for x in (sig >> np.uint64(48)).astype(np.uint16)], pa.binary()), pa.array([x if s else [] for x, s in zip(band.tolist(), some.tolist(), strict=True)], pa.list_(pa.int64())), *b.columns[3:]], ["doc_id", "pick", "key", "sig", "bands", *keep])
 
-    return docs.select("doc_id", "text", pick().alias("pick")).mapInArrow(run, "doc_id bigint, pick bigint, key binary, sig binary, bands array<bigint>")
+    return own.mapInArrow(run, "doc_id bigint, pick bigint, key binary, sig binary, bands array<bigint>" + kinds)
 
 
 def alike(pairs: DataFrame) -> DataFrame:
@@ -218,11 +220,11 @@ def rest(rows: DataFrame, label: DataFrame, classes: DataFrame, docs: DataFrame,
     return [sure, more]
 
 
-def groups(docs: DataFrame, threshold: float = THRESHOLD, width: int = WIDTH, found: Counter | None = None) -> DataFrame:
-    """doc_id, class_id (the smallest doc_id of the group) and class_size of every row."""
+def groups(docs: DataFrame, threshold: float = THRESHOLD, width: int = WIDTH, found: Counter | None = None, keep: Sequence[str] = ()) -> DataFrame:
+    """doc_id, class_id (the smallest doc_id of the group) and class_size of every row; with columns to keep, those and root, which names the group even where ids repeat."""
     found = found if found is not None else Counter()
-    own = settle(prints(docs, width), "prints")
-    members = own.select("doc_id", "key")
+    own = settle(prints(docs, width, keep), "prints")
+    members = own.select("doc_id", "key", *keep)
     classes = settle(own.groupBy("key").agg(F.min("doc_id").alias("rep"), F.min("pick").alias("pick"), F.count("*").alias("n"), F.first("sig").alias("sig"), F.first("bands").alias("bands")), "classes")
     rows = classes.select("key", F.explode("bands").alias("band"))
     shared = rows.groupBy("band").agg(F.count("*").alias("n")).where("n > 1")
@@ -266,5 +268,5 @@ def groups(docs: DataFrame, threshold: float = THRESHOLD, width: int = WIDTH, fo
         label = settle(components(links), "labels")
     root = classes.join(label, classes.key == label.node, "left").select("key", "rep", "n", F.coalesce("root", "key").alias("root"))
     group = root.groupBy("root").agg(F.min("rep").alias("class_id"), F.sum("n").alias("class_size"))
-    named = root.join(group, "root").select("key", "class_id", "class_size")
-    return members.join(named, "key").select("doc_id", "class_id", "class_size")
+    named = root.join(group, "root").select("key", "root", "class_id", "class_size")
+    return members.join(named, "key").select("doc_id", "class_id", "class_size", *(["root", *keep] if keep else []))

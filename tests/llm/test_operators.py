@@ -528,3 +528,15 @@ def test_pipeline_stages(spark, docs):
     groups = {r.class_id for r in near_dedup.groups(docs).collect() if r.class_id is not None}
     assert sorted(r.doc_id for r in one if r.doc_id is not None) == sorted(groups)
     assert c.run(spark, SF).count() > 0
+
+
+def test_pipeline_keeps_one_row_a_group_where_ids_repeat(spark):
+    import corpus_pipeline as c
+
+    base = [[f"{x}{k}" for k in range(400)] for x in "abc"]
+    near = [[f"z{k}" if k == 200 else t for k, t in enumerate(one)] for one in base]
+    a, b, d = (" ".join(x) for x in base)
+    own = [(3, " ".join(near[0])), (5, a), (5, b), (6, d), (6, " ".join(near[2])), (6, d)]
+    df = spark.createDataFrame([(i, t, "en", "s", None) for i, t in own], SCHEMA)
+    got = [(r.doc_id, r.text) for r in c.one_of_each_group(spark, df, SF).collect()]
+    assert sorted(i for i, _ in got) == [3, 5, 6] and {(3, own[0][1]), (5, b)} < set(got)
