@@ -5,11 +5,12 @@ finds identifier tags; the expression after a tag is parsed by shunting-yard and
 
 Cases: a null or empty text has no words, no labels and score 0; a phrase counts wherever its words stand one after
 another, whatever stands between them, overlaps included; a malformed expression gives the identifiers that it names
-and is scored as if all applied; texts of any length are scanned whole; repeated rows give repeated results.
+and is scored as if all applied; an expression ends at its line's end or before the first word that cannot continue it; texts of any length are scanned whole; repeated rows give repeated results.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import ahocorasick
@@ -43,8 +44,11 @@ OTHER = 0.2
 #: What an exception adds to the licence it is attached to.
 EXCEPTION = 0.1
 OPERATORS = {"or": 1, "and": 2, "with": 3}
-#: The longest expression, in bytes, that is read after a tag: SPDX expressions stand on one line.
-LINE = 4096
+#: What may stand around an expression or end it.
+AROUND = " \t\r*/#-<>!\"';,."
+LEAD = re.compile(f"[{re.escape(AROUND)}]*")
+#: SPDX expressions stand on one line.
+TOKEN = re.compile(r"[^\S\n]*([()]|[^\s()]+)")
 
 
 def family(identifier: str) -> str:
@@ -97,15 +101,46 @@ def evaluate(expression: str) -> tuple[set[str], float]:
                 stack.append(({family(t)}, FREE.get(family(t), OTHER)))
                 continue
             (right, b), (left, a) = stack.pop(), stack.pop()
+            if t != "with" and len(left) < len(right):
+                left, right = right, left
             if t == "with":
                 stack.append((left, min(1.0, a + EXCEPTION)))
             else:
-                stack.append((left | right, max(a, b) if t == "or" else min(a, b)))
+                left |= right  # the smaller into the larger, so that long expressions take no copies
+                stack.append((left, max(a, b) if t == "or" else min(a, b)))
         return stack[0]
     labels = {family(t) for t in names}
     return labels, min(FREE.get(x, OTHER) for x in labels)
 
 
+def expression(text: str, at: int) -> str:
+    """The tokens from `at` on for as long as they form an expression on one line, however long that is."""
+    at = LEAD.match(text, at).end()
+    out, depth, operand = [], 0, False
+    while m := TOKEN.match(text, at):
+        t, at = m[1], m.end()
+        if t == ")":
+            if not (operand and depth):
+                break
+            depth -= 1
+        elif t == "(":
+            if operand:
+                break
+            depth += 1
+        elif (t in OPERATORS) != operand:
+            break
+        else:
+            bare = t.rstrip(AROUND)
+            if bare:
+                out.append(bare)
+            if bare != t:
+                break
+            operand = not operand
+            continue
+        out.append(t)
+    return " ".join(out)
+
+
 class Scanner:
     def __init__(self, phrases: dict[str, str] | None = None):
         self.base = dict(BASE if phrases is None else phrases)
@@ -136,9 +171,7 @@ class Scanner:
         free = [FREE.get(x, OTHER) for x in labels]
         low = text.decode("latin-1").lower() if b":" in text else ""
         for end, _ in self.tags.iter(low):
-            stop = low.find("\n", end)
-            rest = low[end + 1 : min(len(low) if stop < 0 else stop, end + LINE)].strip(" \t\r*/#-<>!\"';,.")
-            own, score = evaluate(rest)
+            own, score = evaluate(expression(low, end + 1))
             labels |= own
             free += [score] * bool(own)
         # Every notice binds, so a text is as free as the least free of them.

@@ -200,6 +200,13 @@ def test_license_tags():
     assert (n, base, labels, score) == (0, "", "apache,mit", 1.0)
 
 
+@pytest.mark.parametrize("tail", ["", " and then other words", "\nmpl-2.0", ". More", " */ code"])
+def test_license_expressions_of_any_length(tail):
+    many = [f"own-{k}" for k in range(5000)]
+    *_, labels, score = licenses.Scanner()(f"SPDX-License-Identifier: ({' OR '.join(many)}) AND GPL-2.0 OR MIT{tail}".encode())
+    assert set(labels.split(",")) - {"then"} == {*many, "gpl", "mit"} and score == (0.2 if "then" in labels else 1.0)
+
+
 # 4
 
 def brute_windows(rows, items, size):
