@@ -6,6 +6,7 @@ The long form is (step, metric, key, value); wide frames come last, with their c
 from __future__ import annotations
 
 from collections.abc import Sequence
+from itertools import count
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -29,20 +30,24 @@ def read_jsonl(spark: SparkSession, path: str, columns: Sequence[str]) -> DataFr
     return parsed.select("line", F.explode(F.map_filter("own", lambda k, _: k.isin(list(columns)))).alias("metric", "json"))
 
 
-def flatten(df: DataFrame, key: str, json: str, depth: int = 6) -> DataFrame:
-    """Rows (.., key, value): maps and lists are opened level by level and their keys joined by underscores, down to `depth`; empty ones vanish."""
+def flatten(df: DataFrame, key: str, json: str, depth: int | None = None) -> DataFrame:
+    """Rows (.., key, value): maps and lists are opened level by level and their keys joined by underscores, down to the scalars or to `depth`; empty ones vanish.
+
+    The driver asks at each level whether a map or list is left."""
     kept = [c for c in df.columns if c not in (key, json)]
     level = df.select(*kept, F.col(key).alias("key"), F.col(json).alias("json"))
     out = None
-    for d in range(depth + 1):
+    for d in count():
         text = F.ltrim(F.col("json"))
         is_map, is_list = text.startswith("{"), text.startswith("[")
-        leaf = level.where(F.col("json").isNull() | ~(is_map | is_list) | (F.lit(d) == depth)).select(*kept, "key", F.col("json").alias("value"))
+        last = d == depth
+        leaf = level.where(F.col("json").isNull() | ~(is_map | is_list) | F.lit(last)).select(*kept, "key", F.col("json").alias("value"))
         out = leaf if out is None else out.unionByName(leaf)
-        if d < depth:
-            entries = F.when(is_map, F.transform(F.map_entries(F.from_json("json", "map<string,string>")), lambda e: F.struct(e["key"].alias("k"), e["value"].alias("v")))).when(is_list, F.transform(F.from_json("json", "array<string>"), lambda x, i: F.struct(i.cast("string").alias("k"), x.alias("v"))))
-            level = level.where(is_map | is_list).select(*kept, "key", F.explode(entries).alias("e")).select(*kept, F.concat_ws("_", "key", "e.k").alias("key"), F.col("e.v").alias("json"))
-    return out
+        nested = level.where(is_map | is_list)
+        if last or depth is None and not nested.head(1):
+            return out
+        entries = F.when(is_map, F.transform(F.map_entries(F.from_json("json", "map<string,string>")), lambda e: F.struct(e["key"].alias("k"), e["value"].alias("v")))).when(is_list, F.transform(F.from_json("json", "array<string>"), lambda x, i: F.struct(i.cast("string").alias("k"), x.alias("v"))))
+        level = nested.select(*kept, "key", F.explode(entries).alias("e")).select(*kept, F.concat_ws("_", "key", "e.k").alias("key"), F.col("e.v").alias("json"))
 
 
 def suffix_order(key: str | Column) -> tuple[Column, Column]:

@@ -92,6 +92,13 @@ def test_flatten_and_rank_by_hand(spark, tmp_path):
             results.read_jsonl(spark, str(tmp_path / "a.jsonl"), bad)
 
 
+def test_flatten_opens_every_level(spark):
+    deep = '{"a":' * 9 + "[1,2]" + "}" * 9
+    df = spark.createDataFrame([(0, "m", deep), (1, "n", "7")], "line bigint, metric string, json string")
+    name = "m" + "_a" * 9
+    assert sorted((r.key, r.value) for r in results.flatten(df, "metric", "json").collect()) == [(f"{name}_0", "1"), (f"{name}_1", "2"), ("n", "7")]
+
+
 def test_spacing_and_columns(spark):
     assert [fc.coupon_spacing(k) for k in (4, 29, 75)] == [9, 115, 368] and [fc.coupon_spacing(k, half=True) for k in (4, 29, 75)] == [5, 58, 184]
     assert fc.election_columns(["G20USP", "G24USS", "G20USS", "TOTPOP", "Gxx"], [2020], ["USP"]) == ["G20USP"] and len(fc.election_columns(["G20USP", "G24USS", "G20USS", "TOTPOP"])) == 3
