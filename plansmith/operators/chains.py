@@ -85,8 +85,11 @@ def codes(districts: pd.Series) -> tuple[np.ndarray, list[str]]:
     return np.array([at[str(d)] if d is not None and d == d else -1 for d in districts], np.int64), names
 
 
-def run_chains(spark: SparkSession, g: Graph, initial: DataFrame, chains: Sequence[int], propose: Proposal, constraints: Sequence[Constraint] = (is_contiguous,), scheme: Scheme | None = None, steps: int = 10, seed: int = 0, spacing: int = 1) -> DataFrame:
-    """(chain_id, step, node, district) of every spacing-th state of each chain, from one initial plan (node, district)."""
+def run_chains(spark: SparkSession, g: Graph, initial: DataFrame, chains: Sequence[int], propose: Proposal, constraints: Sequence[Constraint] = (is_contiguous,), scheme: Scheme | None = None, steps: int = 10, seed: int = 0, spacing: int = 1, polish: tuple[Sequence[Metric], Sequence[Callable], Sequence[dict]] | None = None) -> DataFrame:
+    """(chain_id, step, node, district) of every spacing-th state of each chain, from one initial plan (node, district).
+
+    polish: metrics, proposals and configurations of lexicographic(), which then optimises every state that is returned; the
+    chain goes on from the state before, with random numbers of its own."""
     scheme = scheme or Scheme()
     sent = spark.sparkContext.broadcast(g)
     start = initial.select("node", "district").toPandas().set_index("node")["district"].reindex(g.ids)  # one plan over a broadcast graph's units
@@ -97,6 +100,8 @@ def run_chains(spark: SparkSession, g: Graph, initial: DataFrame, chains: Sequen
         g, (label, names) = sent.value, held.value
         chain = int(df["chain_id"].iloc[0])
         out = [(k, s) for k, s in enumerate(walk(g, label, propose, constraints, scheme, steps, rng_of(seed, chain))) if k % spacing == 0]
+        if polish:
+            out = [(k, lexicographic(g, s, *polish, constraints, np.random.default_rng([seed & 0x7FFFFFFF, chain & 0x7FFFFFFF, k]))[0]) for k, s in out]
         named = np.array(names, object)
         return pd.concat([pd.DataFrame({"chain_id": chain, "step": k, "node": g.ids, "district": named[s]}) for k, s in out]) if out else pd.DataFrame(columns=["chain_id", "step", "node", "district"])
 

@@ -179,6 +179,24 @@ def test_chains_do_not_depend_on_partitions(spark):
     assert len(both) == 2 * 3 * 64 and all(both[k] == d for k, d in one.items())
 
 
+def test_chains_polish_what_they_return(spark):
+    graph, label = grid(), (np.arange(64) % 8) // 2
+    first = spark.createDataFrame([(int(k), str(d)) for k, d in enumerate(label)], "node bigint, district string")
+    cut = chains.Metric(lambda g_, s: float((s[g_.u] != s[g_.v]).sum()))
+
+    def run(**more):
+        found = {}
+        for r in chains.run_chains(spark, graph, first, [0], kernels.Recom(16, 0.1), steps=3, seed=5, **more).collect():
+            found.setdefault(r.step, {})[r.node] = int(r.district)
+        return [np.array([found[k][n] for n in range(64)]) for k in sorted(found)]
+
+    plain, fine = run(), run(polish=([cut], [kernels.Recom(16, 0.1)], [{"steps": 10}]))
+    assert len(fine) == 3
+    for k, (s, t) in enumerate(zip(plain, fine)):
+        want, _ = chains.lexicographic(graph, s, [cut], [kernels.Recom(16, 0.1)], [{"steps": 10}], [kernels.is_contiguous], np.random.default_rng([5, 0, k]))
+        assert (t == want).all() and cut.score(graph, t) <= cut.score(graph, s)
+
+
 def test_config(spark, tmp_path, h1):
     c = Config().set_pop_column("totpop").constrain_region_splits("muni", "muni", 2, 1).constrain_region_splits("county", "county", 3).surcharge_region("county", 0.5).surcharge_region("x", 0).set_edge_penalty_scale(-1)
     c.constrain_not_equal().add_aggregator("agg", ["2020PRE"]).add_election_metrics("agg", ["efficiency_gap", "majority_seats", "mean_median", "majority_shares"]).add_pop_dev().add_shape_metrics(["polsby_popper", "reock_score"])
