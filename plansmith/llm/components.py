@@ -21,9 +21,10 @@ SMALL = 1 << 20
 
 def forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Links (a, b) to (node, smallest node that these links join it to); a root has no row."""
-    parent: dict[bytes, bytes] = {}
+    parent: dict = {}
+    kind = pa.int64()
 
-    def find(x: bytes) -> bytes:
+    def find(x):
         root = x
         while (up := parent.get(root, root)) != root:
             root = up
@@ -32,21 +33,23 @@ def forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return root
 
     for b in batches:
+        kind = b.column(0).type
         for x, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
             x, y = find(x), find(y)
             if x != y:
                 parent[max(x, y)] = min(x, y)
     own = list(parent)
     for k in range(0, len(own), 10_000):
-        yield pa.RecordBatch.from_arrays([pa.array(own[k : k + 10_000], pa.binary()), pa.array([find(x) for x in own[k : k + 10_000]], pa.binary())], ["a", "b"])
+        yield pa.RecordBatch.from_arrays([pa.array(own[k : k + 10_000], kind), pa.array([find(x) for x in own[k : k + 10_000]], kind)], ["a", "b"])
 
 
 def components(links: DataFrame, small: int = SMALL) -> DataFrame:
-    """links (a, b) of binary keys to (node, root): root is the smallest node of the component; nodes without links have no row."""
-    trees = settle(links.select("a", "b").mapInArrow(forest, "a binary, b binary"), "forest")
+    """links (a, b) of keys of one type, to (node, root): root is the smallest node of the component; nodes without links have no row."""
+    kind = links.schema["a"].dataType.simpleString()
+    trees = settle(links.select("a", "b").mapInArrow(forest, f"a {kind}, b {kind}"), "forest")
     if trees.count() > small:
         return stars(trees)
-    done = trees.coalesce(1).mapInArrow(forest, "a binary, b binary")
+    done = trees.coalesce(1).mapInArrow(forest, f"a {kind}, b {kind}")
     return done.select(F.explode(F.array(F.struct(F.col("a").alias("node"), F.col("b").alias("root")), F.struct(F.col("b").alias("node"), F.col("b").alias("root")))).alias("x")).select("x.*").distinct()
 
 

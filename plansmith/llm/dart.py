@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import hashlib
 import math
+from collections.abc import Mapping, Sequence
 
 import numpy as np
 
@@ -79,7 +80,7 @@ def bands(sig: np.ndarray, rows: int = ROWS) -> np.ndarray:
     return out
 
 
-def keys(w: Words, column: list[bytes | None]) -> list[bytes]:
+def keys(w: Words, column: Mapping[int, bytes | None] | Sequence[bytes | None]) -> list[bytes]:
     """16 bytes a row that equal word sequences share; rows without words go by their bytes."""
     h = w.hashes()
     place = np.arange(len(h), dtype=np.uint64) - np.repeat(w.first[:-1], w.counts).astype(np.uint64)

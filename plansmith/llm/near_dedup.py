@@ -1,16 +1,19 @@
 """Operator 8: MinHash near-dedup with DartMinHash signatures and a banded join.
 
 Texts of equal words are one class from the start, found by a key that is grouped before it is shuffled.  Classes have
-signatures; classes that share a band meet in a bucket.  Buckets never emit pairs of their members: each round, the two members
-that come first and last in a hash order stand for their bucket, every other member is held against them, links that reach
-THRESHOLD join components, and buckets of over three whose members are still in several components go on with another order,
-until a round finds no link.  What is then left is compared whole: such a bucket is dealt in chunks, and every two chunks meet in a
-task that holds all their members of different components against each other and returns links, never pairs.  Signatures far from
-the threshold decide by themselves; those near it, where they would join two components, are checked exactly on the shingles of both texts.
+signatures and a number; classes that share a band meet in a bucket.  Buckets never emit pairs of their members.  First, each
+bucket has a leader, the member that meets most others, and everyone is held against it; links join components.  Then, in
+buckets of three and more whose members are still in several components, the members outside the largest component are held
+against all others.  Both comparisons deal a bucket by bytes: its members in chunks against chunks of those they are held
+against, so a task holds two chunks at most, and returns links that join components, never pairs.
+
+A signature only rules pairs out, far below the threshold; all others are decided on the shingles of both texts.  So no pair
+that shares a band and may reach the threshold goes unchecked, unless its texts are joined already.
 
 Cases: null and empty texts and texts without words are alike only where they are equal; a text of fewer than five words
 is one shingle; a document's class id is the smallest doc_id of its group; a null doc_id is never that, unless the group
-has no other; repeated rows stay rows, in one class; texts of any length are read whole.
+has no other; repeated rows stay rows, in one class; texts of any length are read whole; an empty table gives no rows; only
+doc_id, text and the columns of `keep` are read, so others may have any name.
 """
 
 from __future__ import annotations
@@ -20,24 +23,26 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, GroupedData
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import dart
-from .common import settle
+from .common import forget, settle
 from .components import components
 from .text import Words, slices
 
 WIDTH = 5
 THRESHOLD = 0.8
-#: How far from the threshold a signature decides alone: over 4.7 of its standard deviations there, some 2 in a million pairs at the threshold.
+#: How far under the threshold a signature rules a pair out: over 4.7 of its standard deviations there, one in a million pairs at the threshold.
 MARGIN = 0.15
-#: Bits of the filter that picks texts for the exact check; its size is fixed, so at worst it picks more.
+#: Bits of the filter that picks texts whose shingles are wanted; its size is fixed, so at worst it picks more.
 FILTER = 1 << 26
-#: Rounds of picks at most; they only save work for the comparison of whole buckets that follows.
-ROUNDS = 12
-#: Members, and bytes of their shingles, of one chunk of a bucket that is compared whole.
-CHUNK, CHUNK_BYTES = 512, 4 << 20
+#: Rounds in which buckets have a leader; they only save work for the comparison that follows.
+ROUNDS = 1
+#: Members, and bytes of their signatures and shingles, of one chunk.
+CHUNK, CHUNK_BYTES = 4096, 4 << 20
+#: Bytes of text that are read at once.
+STEP = 1 << 20
 
 
 def pick() -> Column:
@@ -45,41 +50,59 @@ def pick() -> Column:
     return F.coalesce(F.col("doc_id").cast("bigint"), F.xxhash64("text"))
 
 
+def worded(w: Words, column: pa.Array) -> pa.Array:
+    """The key of each row; only texts without words are looked at as Python objects."""
+    none = np.flatnonzero(w.counts == 0)
+    texts = dict(zip(none.tolist(), column.take(pa.array(none)).cast(pa.binary()).to_pylist(), strict=True))
+    return pa.array(dart.keys(w, texts), pa.binary())
+
+
+def blobs(data: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """Parts of an array as binary values, without an object for each."""
+    return pa.Array.from_buffers(pa.large_binary(), len(ends) - 1, [None, pa.py_buffer((ends * data.itemsize).astype(np.int64)), pa.py_buffer(np.ascontiguousarray(data))]).cast(pa.binary())
+
+
 def prints(docs: DataFrame, width: int = WIDTH, keep: Sequence[str] = ()) -> DataFrame:
-    """doc_id, pick, key, signature (16 bits a coordinate), bands and the columns `keep` of every document."""
+    """doc_id, pick, key, signature (16 bits a coordinate; null without words) and the columns `keep` of every document."""
     own = docs.select("doc_id", "text", pick().alias("pick"), *keep)
     kinds = "".join(f", {c} {own.schema[c].dataType.simpleString()}" for c in keep)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for b in slices(batch, "text"):
+            for b in slices(batch, "text", STEP):
                 w = Words(b.column(1))
-                sig = dart.signatures(w, width)
-                band = dart.bands(sig).view(np.int64)
-                some = w.counts > 0
-                texts = b.column(1).cast(pa.binary()).to_pylist()
-                yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(dart.keys(w, texts), pa.binary()), pa.array([x.tobytes() for x in (sig >> np.uint64(48)).astype(np.uint16)], pa.binary()), pa.array([x if s else [] for x, s in zip(band.tolist(), some.tolist(), strict=True)], pa.list_(pa.int64())), *b.columns[3:]], ["doc_id", "pick", "key", "sig", "bands", *keep])
+                short = (dart.signatures(w, width) >> np.uint64(48)).astype("<u2")
+                sig = np.flatnonzero(w.counts)
+                place = np.full(b.num_rows, -1)
+                place[sig] = np.arange(len(sig))
+                sigs = blobs(short[sig].ravel(), np.arange(len(sig) + 1) * short.shape[1]).take(pa.array(place, mask=place < 0))
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), worded(w, b.column(1)), sigs, *b.columns[3:]], ["doc_id", "pick", "key", "sig", *keep])
 
-    return own.mapInArrow(run, "doc_id bigint, pick bigint, key binary, sig binary, bands array<bigint>" + kinds)
+    return own.mapInArrow(run, "doc_id bigint, pick bigint, key binary, sig binary" + kinds)
 
 
-def alike(pairs: DataFrame) -> DataFrame:
-    """pairs with sig_a, sig_b to the share of equal coordinates."""
-    names = [c for c in pairs.columns if c not in ("sig_a", "sig_b")]
-    schema = ", ".join(f"{c} {pairs.schema[c].dataType.simpleString()}" for c in names) + ", est double"
+def signatures_of(column: pa.Array) -> np.ndarray:
+    """Rows of signatures without a copy of each."""
+    data = column.cast(pa.large_binary())
+    ends = np.frombuffer(data.buffers()[1], np.int64)[data.offset : data.offset + len(data) + 1]
+    return np.frombuffer(data.buffers()[2], np.uint8)[ends[0] : ends[-1]].view("<u2").reshape(len(data), -1)
+
+
+def banded(classes: DataFrame) -> DataFrame:
+    """band and cid: a row for each band of each class."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            at = {f.name: b.column(k) for k, f in enumerate(b.schema)}
-            x, y = (np.frombuffer(b"".join(at[c].to_pylist()), np.uint16).reshape(b.num_rows, -1) for c in ("sig_a", "sig_b"))
-            yield pa.RecordBatch.from_arrays([*(at[c] for c in names), pa.array((x == y).mean(axis=1) if b.num_rows else np.empty(0))], [*names, "est"])
+            for at in range(0, b.num_rows, 4096):
+                part = b.slice(at, 4096)
+                band = dart.bands(signatures_of(part.column(1)).astype(np.uint64)).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(band.ravel()), pa.array(np.repeat(part.column(0).to_numpy(), band.shape[1]))], ["band", "cid"])
 
-    return pairs.mapInArrow(run, schema)
+    return classes.where("sig IS NOT NULL").select("cid", "sig").mapInArrow(run, "band bigint, cid bigint")
 
 
-def shingle_sets(keys: DataFrame, classes: DataFrame, docs: DataFrame, width: int) -> DataFrame:
-    """key and items, the sorted shingles as bytes, of the classes named by keys."""
-    need = settle(keys.distinct().join(classes.select("key", "pick"), "key"), "need")
+def shingled(need: DataFrame, docs: DataFrame, width: int) -> DataFrame:
+    """cid, size, sig and items (the sorted shingles as bytes) of the classes (cid, key, pick, sig) in need."""
     place = F.pmod(F.xxhash64("pick"), F.lit(FILTER))
     bitmap = need.groupBy(F.bitmap_bucket_number(place + 1).alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place + 1)).alias("bits"))
     rows = bitmap.collect()  # FILTER bits at most
@@ -87,186 +110,140 @@ def shingle_sets(keys: DataFrame, classes: DataFrame, docs: DataFrame, width: in
     bits = np.zeros(-(-FILTER // (8 * size)) * size if size else 0, np.uint8)
     for r in rows:
         bits[(r["k"] - 1) * size : r["k"] * size] = np.frombuffer(bytes(r["bits"]), np.uint8)
-    sent = docs.sparkSession.sparkContext.broadcast(np.packbits(np.unpackbits(bits, bitorder="little")[:FILTER]) if size else bits)
+    sent = docs.sparkSession.sparkContext.broadcast(bits)
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = sent.value
         for batch in batches:
             at = batch.column(2).to_numpy(zero_copy_only=False)
-            batch = batch.filter(pa.array((seen[at >> 3] >> (7 - (at & 7)) & 1).astype(bool)))
-            for b in slices(batch, "text"):
+            batch = batch.filter(pa.array((seen[at >> 3] >> (at & 7) & 1).astype(bool)) if len(seen) else pa.array(np.zeros(len(at), bool)))
+            for b in slices(batch, "text", STEP):
                 w = Words(b.column(1))
                 e, doc = dart.regions(w, width)
                 order = np.lexsort((e, doc))
-                e, cut = e[order], np.searchsorted(doc[order], np.arange(w.n_docs + 1))
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(dart.keys(w, b.column(1).cast(pa.binary()).to_pylist()), pa.binary()), pa.array([e[i:j].tobytes() for i, j in zip(cut[:-1], cut[1:], strict=True)], pa.binary())], ["pick", "key", "items"])
+                yield pa.RecordBatch.from_arrays([b.column(0), worded(w, b.column(1)), blobs(e[order], np.searchsorted(doc[order], np.arange(w.n_docs + 1)))], ["pick", "key", "items"])
 
     found = docs.select(pick().alias("pick"), "text").withColumn("at", F.pmod(F.xxhash64("pick"), F.lit(FILTER))).mapInArrow(sets, "pick bigint, key binary, items binary")
-    return settle(found.join(need, ["pick", "key"], "left_semi").dropDuplicates(["key"]).select("key", "items"), "sets")
+    # Rows that repeat a text under one number give it once: cid is the class's own, so one of them is enough.
+    found = found.join(need, ["pick", "key"]).select("cid", "sig", "items").dropDuplicates(["cid"])
+    return settle(found.withColumn("size", (F.octet_length("sig") + F.octet_length("items")).cast("bigint")), "texts")
 
 
-def exact(pairs: DataFrame, classes: DataFrame, docs: DataFrame, width: int, threshold: float) -> DataFrame:
-    """Of pairs (a, b) of keys, those whose weighted Jaccard similarity of shingles reaches the threshold."""
-    found = shingle_sets(pairs.select(F.col("a").alias("key")).union(pairs.select(F.col("b").alias("key"))), classes, docs, width)
-    both = pairs.join(found.select(F.col("key").alias("a"), F.col("items").alias("x")), "a").join(found.select(F.col("key").alias("b"), F.col("items").alias("y")), "b")
+class Meeting:
+    """A chunk of a bucket's members and a chunk of those that they are held against."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            keep = []
-            for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                same = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(same >= threshold * (len(x) + len(y) - same) - 1e-9)
-            yield b.filter(pa.array(keep, pa.bool_())).select(["a", "b"])
+    def __init__(self, t: pa.Table):
+        t = t.combine_chunks()
+        self.cid = t["cid"].to_numpy()
+        self.sig = signatures_of(t["sig"].chunk(0) if t["sig"].num_chunks else pa.array([], pa.binary()))
+        self.of = np.unique(t["label"].to_numpy(), return_inverse=True)[1]
+        alone = t["alone"].to_numpy(zero_copy_only=False).astype(bool)
+        self.members, self.others = np.flatnonzero(~alone), np.flatnonzero(alone)
+        self.sets = [np.frombuffer(x, np.uint64) for x in t["items"].to_pylist()]
+        self.bucket = t["bucket"][0].as_py()
+
+    def same(self, i: int, to: np.ndarray) -> np.ndarray:
+        """How many shingles i shares with each of `to`."""
+        own, size = self.sets[i], np.array([len(self.sets[j]) for j in to.tolist()])
+        items = np.concatenate([self.sets[j] for j in to.tolist()])
+        hit = own[np.minimum(np.searchsorted(own, items), len(own) - 1)] == items
+        return np.add.reduceat(hit, np.cumsum(size) - size, dtype=np.int64)
+
+    def links(self, threshold: float, bands: bool) -> list[tuple[int, int]]:
+        """Links that join components; bands: leave pairs that share an earlier bucket to that one."""
+        out = []
+        before = None
+        if bands:
+            band = dart.bands(self.sig.astype(np.uint64)).view(np.int64)
+            before = band[:, : int(np.flatnonzero((band == self.bucket).all(axis=0))[0])]
+        held = set(self.cid[self.others].tolist())
+        twice = np.array([c in held for c in self.cid[self.members].tolist()], bool)  # pairs of two of the others come up twice
+        n = np.array([len(x) for x in self.sets])
+        for i in self.others.tolist():
+            to = self.members[(self.of[self.members] != self.of[i]) & ~(twice & (self.cid[self.members] < self.cid[i]))]
+            to = to[(self.sig[to] == self.sig[i]).mean(axis=1) >= threshold - MARGIN - 1e-9] if len(to) else to
+            if before is not None and len(to):
+                to = to[~(before[to] == before[i]).any(axis=1)]
+            if not len(to):
+                continue
+            same = self.same(i, to)
+            for j in to[same >= threshold * (n[i] + n[to] - same) - 1e-9].tolist():
+                if self.of[i] != self.of[j]:
+                    out.append((int(self.cid[i]), int(self.cid[j])))
+                    self.of[self.of == self.of[j]] = self.of[i]
+        return out
 
-    return both.select("a", "b", "x", "y").mapInArrow(run, "a binary, b binary")
 
+def held(rows: DataFrame, texts: DataFrame, threshold: float, bands: bool) -> DataFrame:
+    """Links (a, b) among rows (bucket, cid, label, alone): the rows that are alone are held against all rows of their bucket under other labels."""
+    rows = rows.join(texts.select("cid", "size"), "cid")
 
-def dealt(rows: DataFrame, size: Column, most: int) -> GroupedData:
-    """Rows of buckets by pairs of chunks (low, high): each row once for every chunk of its bucket; `own` is its chunk."""
-    chunks = rows.groupBy("band").agg(F.ceil(F.sum(size) / most).cast("bigint").alias("chunks"))
-    own = rows.join(chunks, "band").withColumn("own", F.pmod(F.xxhash64("key", F.lit("chunk")), F.col("chunks")))
-    own = own.withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("chunks") - 1)))
-    return own.withColumns({"low": F.least("own", "other"), "high": F.greatest("own", "other")}).drop("chunks", "other").groupBy("band", "low", "high")
+    def chunks(size: Column, n: Column) -> Column:
+        return F.greatest(F.ceil(size / CHUNK_BYTES), F.ceil(n / CHUNK), F.lit(1)).cast("bigint")
 
+    alone = F.col("alone").cast("bigint")
+    many = rows.groupBy("bucket").agg(chunks(F.sum("size"), F.count("*")).alias("m"), chunks(F.sum(F.col("size") * alone), F.sum(alone)).alias("o"))
+    place = lambda what, n: F.pmod(F.xxhash64("cid", F.lit(what)), F.col(n))
+    to = F.transform(F.sequence(F.lit(0).cast("bigint"), F.col("o") - 1), lambda x: F.struct(place("m", "m").alias("m"), x.alias("o"), F.lit(False).alias("alone")))
+    by = F.transform(F.sequence(F.lit(0).cast("bigint"), F.col("m") - 1), lambda x: F.struct(x.alias("m"), place("o", "o").alias("o"), F.lit(True).alias("alone")))
+    dealt = rows.join(many, "bucket").select("bucket", "cid", "label", F.explode(F.when(F.col("alone"), F.concat(to, by)).otherwise(to)).alias("x")).select("bucket", "cid", "label", "x.*")
+    dealt = dealt.join(texts.select("cid", "sig", "items"), "cid")
 
-class Chunks:
-    """Two chunks of a bucket, or one with itself; of: the component of each member, as far as links are known here."""
+    def run(t: pa.Table) -> pa.Table:
+        found = Meeting(t).links(threshold, bands)
+        return pa.table({"a": pa.array([a for a, _ in found], pa.int64()), "b": pa.array([b for _, b in found], pa.int64())})
 
-    def __init__(self, t: pa.Table):
-        self.keys = t["key"].to_pylist()
-        self.sig = np.frombuffer(b"".join(t["sig"].to_pylist()), np.uint16).reshape(t.num_rows, -1)
-        self.bands = np.array(t["bands"].to_pylist(), np.int64).reshape(t.num_rows, -1)
-        ids: dict[bytes, int] = {}
-        self.of = np.array([ids.setdefault(x, len(ids)) for x in t["label"].to_pylist()], np.int64)
-        self.before = int(np.flatnonzero(self.bands[0] == t["band"][0].as_py())[0])
-        own = t["own"].to_numpy()
-        low, high = t["low"][0].as_py(), t["high"][0].as_py()
-        self.whole = low == high
-        self.first, self.second = np.flatnonzero(own == low), np.flatnonzero(own == high)
-
-    def near(self, least: float) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-        """Each member with those of other components that it may be like, and the estimates; a pair that shares several buckets is left to the first."""
-        for n, i in enumerate(self.first):
-            to = self.second[n + 1 :] if self.whole else self.second
-            to = to[self.of[to] != self.of[i]]
-            est = (self.sig[to] == self.sig[i]).mean(axis=1)
-            to, est = to[est >= least], est[est >= least]
-            new = ~(self.bands[to, : self.before] == self.bands[i, : self.before]).any(axis=1)
-            yield int(i), to[new], est[new]
-
-    def join(self, i: int, to: np.ndarray) -> list[tuple[bytes, bytes]]:
-        """Links of i to members `to` that join components."""
-        out = []
-        for j in to.tolist():
-            if self.of[i] != self.of[j]:
-                out.append((self.keys[i], self.keys[j]))
-                self.of[self.of == self.of[j]] = self.of[i]
-        return out
+    return settle(dealt.groupBy("bucket", "m", "o").applyInArrow(run, "a bigint, b bigint"), "links")
 
 
-def rest(rows: DataFrame, label: DataFrame, classes: DataFrame, docs: DataFrame, width: int, threshold: float, found: Counter) -> list[DataFrame]:
-    """Links among all members of different components of each bucket (band, key)."""
-
-    def still(rows: DataFrame, label: DataFrame) -> DataFrame:
-        own = rows.join(label, rows.key == label.node, "left").select("band", "key", F.coalesce("root", "key").alias("label"))
-        several = own.groupBy("band").agg(F.min("label").alias("l"), F.max("label").alias("h")).where("l <> h").select("band")
-        return own.join(several, "band", "left_semi").join(classes.select("key", "sig", "bands"), "key")
-
-    def by_signature(t: pa.Table) -> pa.Table:
-        c = Chunks(t)
-        sure, live = [], np.zeros(t.num_rows, bool)
-        for i, to, est in c.near(threshold - MARGIN - 1e-9):
-            sure += c.join(i, to[est >= threshold + MARGIN])
-            to = to[c.of[to] != c.of[i]]
-            live[to] = True
-            live[i] |= len(to) > 0
-        some = [c.keys[k] for k in np.flatnonzero(live)]
-        return pa.table({"band": pa.array([t["band"][0].as_py()] * (len(sure) + len(some)), pa.int64()), "a": pa.array([a for a, _ in sure] + some, pa.binary()), "b": pa.array([b for _, b in sure] + [None] * len(some), pa.binary())})
-
-    def by_shingles(t: pa.Table) -> pa.Table:
-        c, out = Chunks(t), []
-        sets = [np.frombuffer(x, np.uint64) for x in t["items"].to_pylist()]
-        size = np.array([len(x) for x in sets])
-        _, item = np.unique(np.concatenate(sets), return_inverse=True)
-        cut = np.concatenate([[0], np.cumsum(np.bincount(item))])
-        has = np.repeat(np.arange(len(sets)), size)[np.argsort(item, kind="stable")]  # the members that have an item, item by item
-        at = np.concatenate([[0], np.cumsum(size)])
-        for i, to, est in c.near(threshold - MARGIN - 1e-9):
-            to = to[(est < threshold + MARGIN) & (c.of[to] != c.of[i])]
-            if len(to):
-                own = item[at[i] : at[i + 1]]
-                n = cut[own + 1] - cut[own]
-                same = np.bincount(has[np.repeat(cut[own] - np.cumsum(n) + n, n) + np.arange(n.sum())], minlength=len(sets))[to]
-                out += c.join(i, to[same >= threshold * (size[i] + size[to] - same) - 1e-9])
-        return pa.table({"a": pa.array([a for a, _ in out], pa.binary()), "b": pa.array([b for _, b in out], pa.binary())})
-
-    got = settle(dealt(still(rows, label), F.lit(1), CHUNK).applyInArrow(by_signature, "band bigint, a binary, b binary"), "rest")
-    sure = got.where("b IS NOT NULL").select("a", "b")
-    live = got.where("b IS NULL").select("band", F.col("a").alias("key")).distinct()
-    n_sure, n_live = sure.count(), live.count()
-    found.update({"rest_sure": n_sure, "rest_live": n_live})
-    if not n_live:
-        return [sure]
-    if n_sure:
-        at = label.select(F.col("node").alias("a"), F.col("root").alias("ra")), label.select(F.col("node").alias("b"), F.col("root").alias("rb"))
-        roots = components(sure.join(at[0], "a", "left").join(at[1], "b", "left").select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b"))).select("node", F.col("root").alias("top"))
-        all_ = classes.select(F.col("key").alias("node")).join(label, "node", "left").select("node", F.coalesce("root", "node").alias("root"))
-        label = settle(all_.join(roots.withColumnRenamed("node", "root"), "root", "left").select("node", F.coalesce("top", "root").alias("root")), "labels")
-    own = settle(still(live, label), "live")
-    own = own.join(shingle_sets(own.select("key"), classes, docs, width), "key")
-    more = settle(dealt(own, F.greatest(F.octet_length("items"), F.lit(CHUNK_BYTES // CHUNK)), CHUNK_BYTES).applyInArrow(by_shingles, "a binary, b binary"), "rest")
-    found.update({"rest_more": more.count()})
-    return [sure, more]
+def named(rows: DataFrame, label: DataFrame | None) -> DataFrame:
+    """rows (cid, ...) with the component that each is in so far."""
+    if label is None:
+        return rows.withColumn("label", F.col("cid"))
+    return rows.join(label, rows.cid == label.node, "left").withColumn("label", F.coalesce("root", "cid")).drop("node", "root")
 
 
 def groups(docs: DataFrame, threshold: float = THRESHOLD, width: int = WIDTH, found: Counter | None = None, keep: Sequence[str] = ()) -> DataFrame:
     """doc_id, class_id (the smallest doc_id of the group) and class_size of every row; with columns to keep, those and root, which names the group even where ids repeat."""
+    spark = docs.sparkSession
     found = found if found is not None else Counter()
     own = settle(prints(docs, width, keep), "prints")
-    members = own.select("doc_id", "key", *keep)
-    classes = settle(own.groupBy("key").agg(F.min("doc_id").alias("rep"), F.min("pick").alias("pick"), F.count("*").alias("n"), F.first("sig").alias("sig"), F.first("bands").alias("bands")), "classes")
-    rows = classes.select("key", F.explode("bands").alias("band"))
+    classes = own.groupBy("key").agg(F.min("doc_id").alias("rep"), F.min("pick").alias("pick"), F.count("*").alias("n"), F.first("sig").alias("sig"))
+    classes = settle(classes.withColumn("cid", F.monotonically_increasing_id()), "classes")
+    members = settle(own.select("doc_id", "key", *keep), "members")
+    forget(spark, own)
+
+    rows = banded(classes)
     shared = rows.groupBy("band").agg(F.count("*").alias("n")).where("n > 1")
     rows = settle(rows.join(shared, "band"), "bands")  # of classes that meet another
-    rows = rows.join(rows.groupBy("key").agg(F.sum("n").alias("hub")), "key")
+    texts = shingled(classes.join(rows.select("cid").distinct(), "cid", "left_semi").select("cid", "key", "pick", "sig"), docs, width)
+
+    hub = rows.groupBy("cid").agg(F.sum("n").alias("hub"))
     label, links = None, None
     for k in range(ROUNDS):
-        # The first round holds every pair of a bucket of three; only larger ones go on.
-        own_rows = rows.select("key", "band", "hub", F.col("key").alias("label")) if label is None else rows.where("n > 3").join(label, rows.key == label.node, "left").select("key", "band", "hub", F.coalesce("root", "key").alias("label"))
-        # One order for all buckets: those of a group mostly pick the same members.  The last of the first round is the member
-        # that meets most others, as the text does that the others were made from.
-        order = F.xxhash64("key", F.lit(k)) if k else F.col("hub")
-        pick = F.struct(order.alias("o"), F.col("key").alias("b"), F.col("label").alias("of"))
-        open_ = own_rows.groupBy("band").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.min(pick).alias("p"), F.max(pick).alias("q")).where("low <> high").select("band", F.explode(F.array("p", "q")).alias("p")).select("band", "p.b", "p.of")
-        pairs = own_rows.join(open_, "band").where("label <> of").select(F.least("key", "b").alias("a"), F.greatest("key", "b").alias("b"), "label", "of").distinct()
-        sig = classes.select("key", "sig")
-        pairs = pairs.join(sig.select(F.col("key").alias("a"), F.col("sig").alias("sig_a")), "a").join(sig.select(F.col("key").alias("b"), F.col("sig").alias("sig_b")), "b").select("a", "b", "sig_a", "sig_b")
-        near = settle(alike(pairs).where(F.col("est") >= threshold - MARGIN - 1e-9), "pairs")
-        sure = near.where(F.col("est") >= threshold + MARGIN).select("a", "b")
-        links = sure if links is None else links.union(sure)
-        n_sure, n_near = sure.count(), near.where(F.col("est") < threshold + MARGIN).count()
-        label = settle(components(links), "labels") if n_sure or label is None else label
-        n_more = 0
-        if n_near:
-            open_pairs = near.where(F.col("est") < threshold + MARGIN).select("a", "b")
-            at = label.select(F.col("node").alias("a"), F.col("root").alias("ra")), label.select(F.col("node").alias("b"), F.col("root").alias("rb"))
-            open_pairs = settle(open_pairs.join(at[0], "a", "left").join(at[1], "b", "left").where(F.coalesce("ra", "a") != F.coalesce("rb", "b")).select("a", "b"), "open")
-            n_open = open_pairs.count()
-            more = settle(exact(open_pairs, classes, docs, width, threshold), "more") if n_open else None
-            n_more = more.count() if more is not None else 0
-            found.update({"open": n_open, "more": n_more})
-            if n_more:
-                links = links.union(more)
-                label = settle(components(links), "labels")
-        found.update({"rounds": 1, "sure": n_sure, "near": n_near})
-        if not n_sure + n_more:
+        # In the first round the leader is the member that meets most others, as the text does that the others were made from.
+        order = F.xxhash64("cid", F.lit(k)) if k else F.col("hub")
+        lead = rows.join(hub, "cid").groupBy("band").agg(F.max(F.struct(order.alias("o"), "cid")).alias("x")).select("band", F.col("x.cid").alias("bucket"))
+        meet = rows.join(lead, "band").select("bucket", "cid").distinct()
+        meet = settle(named(meet, label).withColumn("alone", F.col("cid") == F.col("bucket")), "meet")
+        new = held(meet, texts, threshold, False)
+        n = new.count()
+        found.update({"rounds": 1, "led": n})
+        if not n and label is not None:
             break
-    for more in rest(rows.where("n > 3").select("band", "key"), label, classes, docs, width, threshold, found):
-        links = links.union(more)
-    if found["rest_sure"] + found["rest_more"]:
+        links = new if links is None else links.union(new)
         label = settle(components(links), "labels")
-    root = classes.join(label, classes.key == label.node, "left").select("key", "rep", "n", F.coalesce("root", "key").alias("root"))
+
+    own = named(rows.where("n > 2").select(F.col("band").alias("bucket"), "cid"), label)
+    share = own.groupBy("bucket", "label").agg(F.count("*").alias("c"))
+    most = share.groupBy("bucket").agg(F.max(F.struct("c", "label")).alias("x"), F.count("*").alias("kinds")).where("kinds > 1").select("bucket", F.col("x.label").alias("most"))
+    own = settle(own.join(most, "bucket").select("bucket", "cid", "label", (F.col("label") != F.col("most")).alias("alone")), "open")
+    more = held(own, texts, threshold, True)
+    found.update({"rest": more.count()})
+    if found["rest"]:
+        label = settle(components(links.union(more)), "labels")
+    root = classes.select("cid", "key", "rep", "n").join(label, classes.cid == label.node, "left").select("key", "rep", "n", F.coalesce("root", "cid").alias("root"))
     group = root.groupBy("root").agg(F.min("rep").alias("class_id"), F.sum("n").alias("class_size"))
-    named = root.join(group, "root").select("key", "root", "class_id", "class_size")
-    return members.join(named, "key").select("doc_id", "class_id", "class_size", *(["root", *keep] if keep else []))
+    names = settle(root.join(group, "root").select("key", "root", "class_id", "class_size"), "names")
+    forget(spark, classes, rows, texts, own)
+    return members.join(names, "key").select("doc_id", "class_id", "class_size", *(["root", *keep] if keep else []))

@@ -341,7 +341,8 @@ def test_toxicity_end_to_end(spark, docs, rows, empty):
 # 8
 
 def brute_classes(rows, threshold=0.8):
-    grams = [Counter(tuple(words(t)[k : k + 5]) for k in range(max(1, len(words(t)) - 4) if words(t) else 0)) for _, t in rows]
+    split = [words(t) for _, t in rows]
+    grams = [Counter(tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4) if w else 0)) for w in split]
     root = list(range(len(rows)))
 
     def find(x):
