@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import dart
-from .common import forget, settle
+from .common import forget, settle, tidied
 from .components import components
 from .text import Words, slices
 
@@ -78,7 +78,7 @@ def prints(docs: DataFrame, width: int = WIDTH, keep: Sequence[str] = ()) -> Dat
                 sigs = blobs(short[sig].ravel(), np.arange(len(sig) + 1) * short.shape[1]).take(pa.array(place, mask=place < 0))
                 yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), worded(w, b.column(1)), sigs, *b.columns[3:]], ["doc_id", "pick", "key", "sig", *keep])
 
-    return own.mapInArrow(run, "doc_id bigint, pick bigint, key binary, sig binary" + kinds)
+    return own.mapInArrow(tidied(run), "doc_id bigint, pick bigint, key binary, sig binary" + kinds)
 
 
 def signatures_of(column: pa.Array) -> np.ndarray:
@@ -98,7 +98,7 @@ def banded(classes: DataFrame) -> DataFrame:
                 band = dart.bands(signatures_of(part.column(1)).astype(np.uint64)).view(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(band.ravel()), pa.array(np.repeat(part.column(0).to_numpy(), band.shape[1]))], ["band", "cid"])
 
-    return classes.where("sig IS NOT NULL").select("cid", "sig").mapInArrow(run, "band bigint, cid bigint")
+    return classes.where("sig IS NOT NULL").select("cid", "sig").mapInArrow(tidied(run), "band bigint, cid bigint")
 
 
 def shingled(need: DataFrame, docs: DataFrame, width: int) -> DataFrame:
@@ -123,7 +123,7 @@ def shingled(need: DataFrame, docs: DataFrame, width: int) -> DataFrame:
                 order = np.lexsort((e, doc))
                 yield pa.RecordBatch.from_arrays([b.column(0), worded(w, b.column(1)), blobs(e[order], np.searchsorted(doc[order], np.arange(w.n_docs + 1)))], ["pick", "key", "items"])
 
-    found = docs.select(pick().alias("pick"), "text").withColumn("at", F.pmod(F.xxhash64("pick"), F.lit(FILTER))).mapInArrow(sets, "pick bigint, key binary, items binary")
+    found = docs.select(pick().alias("pick"), "text").withColumn("at", F.pmod(F.xxhash64("pick"), F.lit(FILTER))).mapInArrow(tidied(sets), "pick bigint, key binary, items binary")
     # Rows that repeat a text under one number give it once: cid is the class's own, so one of them is enough.
     found = found.join(need, ["pick", "key"]).select("cid", "sig", "items").dropDuplicates(["cid"])
     return settle(found.withColumn("size", (F.octet_length("sig") + F.octet_length("items")).cast("bigint")), "texts")

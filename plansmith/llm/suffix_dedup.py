@@ -6,8 +6,8 @@ pick equal anchors.  Ranking by anchors is the first round; positions whose anch
 deals the strings around the others by anchor, with equal surroundings joined before the shuffle, and in each bucket rank
 pairs at growing offsets are sorted and ranked anew, until a rank is alone or means LENGTH equal bytes.  The smallest document of each rank decides what goes.
 
-Anchors that occur in several documents go to the workers as a sorted table while it fits TABLE bytes; beyond that every
-anchor is dealt, which gives the same result with more traffic.
+Anchors that occur in several documents go to the workers as a bitmap of BITS bits an anchor and TABLE bytes at most.  It only
+saves traffic: where it fills up, more anchors that are alone are dealt, and drop out in their buckets.
 
 Cases: a null or empty text, or one of fewer than LENGTH bytes, loses nothing; a null doc_id is larger than all others and
 not smaller than another null; rows of equal doc_id take nothing from each other; a text repeated in a later document goes
@@ -17,6 +17,7 @@ whole; texts of any length are read whole, in pieces that overlap.
 from __future__ import annotations
 
 import hashlib
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,13 +25,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import parts, settle
+from .common import forget, parts, settle, tidied
 from .text import GOLD, MIX2, U, mix, raw, slices
 
 LENGTH = 50
 GRAM = 16
-#: Bytes of the table of repeated anchors that may be broadcast.
-TABLE = 192 << 20
+#: Bytes of the filter of repeated anchors, at most, and its bits for each of them.
+TABLE, BITS = 128 << 20, 32
 #: Anchors in a block, and runs in one.
 BLOCK, RUNS = 1 << 19, 1 << 16
 #: Bytes of text that are sampled at once: some 60 bytes of arrays go to each.
@@ -77,7 +78,7 @@ class Runs:
             out.append((doc + base[0], first - row[doc] + base[1], last - row[doc] + base[1], h[at[first]], at[first] - first))
         got = [np.concatenate(x) for x in zip(*out, strict=True)] if out else [np.empty(0, np.int64)] * 5
         self.doc, self.first, self.last, self.offset = got[0], got[1], got[2], got[4]
-        self.anchor = got[3].astype(np.uint64)
+        self.anchor = mix(got[3].astype(np.uint64))  # the smallest hash of many is small: mixed again, so that buckets are even
 
     @staticmethod
     def pieces(offsets: np.ndarray, length: int) -> Iterator[tuple[int, int, np.ndarray, tuple[int, int]]]:
@@ -150,8 +151,30 @@ def repeated(docs: DataFrame, n: int, length: int) -> DataFrame:
             keep = (np.diff(np.append(first, len(h))) > 1) | np.logical_or.reduceat(several, first)
             yield pa.RecordBatch.from_arrays([pa.array([k], pa.int64()), pa.array([h[first][keep].astype("<u8").tobytes()], pa.binary())], ["bucket", "anchors"])
 
-    dealt = docs.select("doc_id", "text").mapInArrow(run, "bucket bigint, anchors binary, several binary").repartitionById(n, F.col("bucket").cast("int"))
-    return settle(dealt.mapInArrow(gathered, "bucket bigint, anchors binary"), "anchors")
+    dealt = docs.select("doc_id", "text").mapInArrow(tidied(run), "bucket bigint, anchors binary, several binary").repartitionById(n, F.col("bucket").cast("int"))
+    return settle(dealt.mapInArrow(tidied(gathered), "bucket bigint, anchors binary"), "anchors")
+
+
+def bitmap_of(anchors: DataFrame, most: int = TABLE) -> np.ndarray:
+    """Bits of the repeated anchors by the top bits of their hashes: a power of two of at most `most` bytes."""
+    n = anchors.agg(F.coalesce(F.sum(F.octet_length("anchors")), F.lit(0)).alias("n")).first()["n"] // 8
+    power = max(3, min((max(most, 1) * 8).bit_length() - 1, (max(n, 1) * BITS - 1).bit_length()))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for x in b.column(0).to_pylist():
+                at = (np.frombuffer(x, "<u8") >> U(48 - power)).astype(np.int64)
+                if len(at):
+                    low = int(at[0]) >> 3
+                    bits = np.zeros(((int(at[-1]) >> 3) - low + 1) * 8, bool)
+                    bits[at - low * 8] = True
+                    yield pa.RecordBatch.from_arrays([pa.array([low], pa.int64()), pa.array([zlib.compress(np.packbits(bits).tobytes(), 1)], pa.binary())], ["low", "bits"])
+
+    out = np.zeros(1 << (power - 3), np.uint8)
+    for r in anchors.select("anchors").mapInArrow(run, "low bigint, bits binary").toLocalIterator():
+        bits = np.frombuffer(zlib.decompress(bytes(r["bits"])), np.uint8)
+        out[r["low"] : r["low"] + len(bits)] |= bits
+    return out
 
 
 def surroundings(docs: DataFrame, n: int, length: int, sent) -> DataFrame:
@@ -159,6 +182,7 @@ def surroundings(docs: DataFrame, n: int, length: int, sent) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = sent.value
+        shift = U(64 - (8 * len(table)).bit_length() + 1)
         held, size = [], 0
 
         def flush() -> Iterator[pa.RecordBatch]:
@@ -167,6 +191,8 @@ def surroundings(docs: DataFrame, n: int, length: int, sent) -> DataFrame:
             order = np.lexsort((own, b))
             cut = np.searchsorted(b[order], np.arange(n + 1))
             rows = []
+            # One name for the whole block: what its documents lose in different buckets meets again under it.
+            block = int(np.frombuffer(hashlib.blake2b(own.tobytes() + h.tobytes() + first.tobytes(), digest_size=8).digest(), np.int64)[0])
             for k in np.flatnonzero(np.diff(cut)):
                 mine = order[cut[k] : cut[k + 1]]
                 seen: dict[bytes, int] = {}
@@ -175,19 +201,15 @@ def surroundings(docs: DataFrame, n: int, length: int, sent) -> DataFrame:
                 np.minimum.at(low, kind, own[mine])
                 place = np.zeros(len(seen), np.uint8)
                 place[kind] = offset[mine]
-                rows.append((int(k), b"".join(seen), np.array([len(x) for x in seen], "<u2").tobytes(), place.tobytes(), low.tobytes(), kind.astype("<u4").tobytes(), own[mine].tobytes(), h[mine].tobytes(), first[mine].tobytes()))
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(),) + (pa.binary(),) * 8, strict=True)], ["bucket", "text", "size", "place", "low", "kind", "own", "h", "first"])
+                rows.append((int(k), block, b"".join(seen), np.array([len(x) for x in seen], "<u2").tobytes(), place.tobytes(), low.tobytes(), kind.astype("<u4").tobytes(), own[mine].tobytes(), h[mine].tobytes(), first[mine].astype("<u4").tobytes()))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(),) * 2 + (pa.binary(),) * 8, strict=True)], ["bucket", "block", "text", "size", "place", "low", "kind", "own", "h", "first"])
 
         for batch in batches:
             for b in slices(batch, "text", STEP):
                 data, offsets = raw(b.column(2))
                 r = Runs(data, offsets, length)
-                some = np.arange(len(r.anchor))
-                if table is not None:
-                    if not len(table):
-                        continue
-                    x = r.anchor >> U(16)
-                    some = np.flatnonzero(table[np.minimum(np.searchsorted(table, x), len(table) - 1)] == x)
+                x = (r.anchor >> shift).astype(np.int64)
+                some = np.flatnonzero(table[x >> 3] >> (7 - (x & 7)).astype(np.uint8) & 1)
                 if not len(some):
                     continue
                 doc = r.doc[some]
@@ -201,7 +223,7 @@ def surroundings(docs: DataFrame, n: int, length: int, sent) -> DataFrame:
         if size:
             yield from flush()
 
-    return docs.select("doc_id", "h", "text").mapInArrow(run, "bucket bigint, " + ", ".join(f"{c} binary" for c in ("text", "size", "place", "low", "kind", "own", "h", "first")))
+    return docs.select("doc_id", "h", "text").mapInArrow(tidied(run), "bucket bigint, block bigint, " + ", ".join(f"{c} binary" for c in ("text", "size", "place", "low", "kind", "own", "h", "first")))
 
 
 def pairs(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -246,19 +268,38 @@ def group_of(x: np.ndarray) -> np.ndarray:
 
 
 def ranked(flat: bytes, begin: np.ndarray, to: np.ndarray, group: np.ndarray, out: np.ndarray, length: int) -> None:
-    """Lower out[to] to the smallest document of each window's string: rank pairs at offsets 8, 16, ... until alone or `length` bytes long."""
+    """Lower out[to] to the smallest document of each window's string, by prefix doubling.
+
+    The eight bytes at a place are its first rank.  Ranks of 2k bytes come from the rank pairs at places k apart, sorted; the
+    last pair, of the largest k, overlaps so far that it ends with the window.  A window whose first rank is its own drops out."""
     buf = np.frombuffer(flat, np.uint8)
     lanes = np.lib.stride_tricks.as_strided(buf[:8].view(np.uint64), shape=(len(flat) - 7,), strides=(1,))
-    rank = group
-    for reach in [*range(8, length, 8), length]:
-        rank = pairs(rank, np.unique(lanes[begin + (reach - 8)], return_inverse=True)[1])
-        several = np.bincount(rank)[rank] > 1
-        begin, to, rank = begin[several], to[several], rank[several]
-        if not len(rank):
+    reach = 8
+    while 2 * reach < length:
+        reach *= 2
+    at = {reach: [0, length - reach]}  # where in a window ranks of so many bytes are needed
+    while reach > 8:
+        reach //= 2
+        at[reach] = sorted({x + y for x in at[2 * reach] for y in (0, reach)})
+    rank = np.stack([lanes[begin + x] for x in at[8]], 1)  # a row a window
+    alive = np.bincount(group)[group] > 1
+    while True:
+        begin, to, group, rank = begin[alive], to[alive], group[alive], rank[alive]
+        if not len(begin):
             return
-    best = np.full(int(rank.max()) + 1, LAST)
-    np.minimum.at(best, rank, out[to])
-    out[to] = best[rank]
+        places = {x: k for k, x in enumerate(at[reach])}
+        if 2 * reach >= length:
+            break
+        names = np.unique(rank, return_inverse=True)[1].reshape(rank.shape)
+        rank = pairs(*(np.stack([names[:, places[x + y]] for x in at[2 * reach]], 1).ravel() for y in (0, reach))).reshape(len(begin), -1)
+        reach *= 2
+        first = pairs(group, rank[:, at[reach].index(0)])
+        alive = np.bincount(first)[first] > 1
+    names = np.unique(rank, return_inverse=True)[1].reshape(rank.shape)
+    last = pairs(group, pairs(names[:, 0], names[:, -1]))
+    best = np.full(int(last.max()) + 1, LAST)
+    np.minimum.at(best, last, out[to])
+    out[to] = best[last]
 
 
 def settled(length: int):
@@ -271,7 +312,7 @@ def settled(length: int):
         for rows in held.values():
             seen: dict[bytes, int] = {}
             local, lows, places = [], [], []
-            for text, size, place, low, *_ in rows:
+            for _, text, size, place, low, *_ in rows:
                 ends = np.cumsum(np.frombuffer(size, "<u2").astype(np.int64)).tolist()
                 local.append(np.array([seen.setdefault(text[i:j], len(seen)) for i, j in zip([0, *ends[:-1]], ends, strict=True)], np.int64))
                 lows.append(np.frombuffer(low, np.int64))
@@ -281,14 +322,14 @@ def settled(length: int):
             np.minimum.at(low, every, np.concatenate(lows))
             place = np.zeros(len(seen), np.uint8)
             place[every] = np.concatenate(places)
-            rows[:] = [r[4:] for r in rows]  # the blocks' strings have been taken over
+            rows[:] = [(*r[5:], r[0]) for r in rows]  # the blocks' strings have been taken over
             texts = list(seen)
             del seen
             best, start = smallest(texts, low, place, length)
             del texts
             windows = np.diff(np.append(start, len(best)))
             for r, to in zip(rows, local, strict=True):
-                kind, own, h, first = to[np.frombuffer(r[0], "<u4")], np.frombuffer(r[1], np.int64), np.frombuffer(r[2], np.int64), np.frombuffer(r[3], np.int64)
+                kind, own, h, first = to[np.frombuffer(r[0], "<u4")], np.frombuffer(r[1], np.int64), np.frombuffer(r[2], np.int64), np.frombuffer(r[3], "<u4").astype(np.int64)
                 w = windows[kind]
                 inner = np.arange(int(w.sum())) - np.repeat(np.cumsum(w) - w, w)
                 gone = best[np.repeat(start[kind], w) + inner] < np.repeat(own, w)
@@ -299,8 +340,7 @@ def settled(length: int):
                 some = high >= 0
                 if some.any():
                     x = np.stack([own[some], h[some], first[some] + low_[some], first[some] + high[some] + length], 1)
-                    block = int(np.frombuffer(hashlib.blake2b(own.tobytes() + h.tobytes(), digest_size=8).digest(), np.int64)[0])
-                    yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([x.tobytes()], pa.binary())], ["block", "spans"])
+                    yield pa.RecordBatch.from_arrays([pa.array([r[4]], pa.int64()), pa.array([x.tobytes()], pa.binary())], ["block", "spans"])
 
     return run
 
@@ -326,20 +366,16 @@ def spans(docs: DataFrame, length: int = LENGTH, table: int = TABLE, n_parts: in
     n = n_parts or 8 * parts(spark)  # small buckets: a frequent anchor comes on top
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).withColumn("h", F.xxhash64("text"))
     anchors = repeated(docs, n, length)
-    size = anchors.agg(F.coalesce(F.sum(F.octet_length("anchors")), F.lit(0)).alias("n")).first()["n"]
-    own = None
-    if size <= table:
-        rows = [(r["bucket"], np.frombuffer(bytes(r["anchors"]), "<u8")) for r in anchors.toLocalIterator()]
-        own = np.sort(np.concatenate([x for _, x in rows])) if rows else np.empty(0, np.uint64)
-    sent = spark.sparkContext.broadcast(own)
+    sent = spark.sparkContext.broadcast(bitmap_of(anchors, table))
+    forget(spark, anchors)
     dealt = surroundings(docs, n, length, sent).repartitionById(n, F.col("bucket").cast("int"))
-    lost = dealt.mapInArrow(settled(length), "block bigint, spans binary").repartition(n, "block")
+    lost = settle(dealt.mapInArrow(tidied(settled(length)), "block bigint, spans binary"), "lost").repartition(n, "block")
 
     def rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, list[bytes]] = {}
         for b in batches:
             for k, x in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                held.setdefault(0, []).append(x)
+                held.setdefault(k, []).append(x)
         for x in held.values():
             doc, h, start, end = joined(np.frombuffer(b"".join(x), np.int64).reshape(-1, 4))
             first = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (h[1:] != h[:-1])]))
@@ -347,14 +383,25 @@ def spans(docs: DataFrame, length: int = LENGTH, table: int = TABLE, n_parts: in
             lists = lambda y: pa.ListArray.from_arrays(pa.array(cut, pa.int32()), pa.array(y, pa.int64()))
             yield pa.RecordBatch.from_arrays([pa.array(doc[first], pa.int64(), mask=doc[first] == LAST), pa.array(h[first], pa.int64()), lists(start), lists(end)], ["doc_id", "h", "starts", "ends"])
 
-    return lost.mapInArrow(rows_of, "doc_id bigint, h bigint, starts array<bigint>, ends array<bigint>")
+    return lost.mapInArrow(tidied(rows_of), "doc_id bigint, h bigint, starts array<bigint>, ends array<bigint>")
+
 
+def free(names: list[str], *wanted: str) -> list[str]:
+    """The wanted names, with underscores until they clash with none of `names`."""
+    out = []
+    for w in wanted:
+        while w in names:
+            w += "_"
+        out.append(w)
+    return out
 
-def with_spans(docs: DataFrame, length: int = LENGTH, table: int = TABLE) -> DataFrame:
-    """All columns of docs and the spans (starts_, ends_; null for none) that each row loses."""
-    cut = spans(docs, length, table).select(F.col("doc_id").alias("id_"), F.col("h").alias("h_"), F.col("starts").alias("starts_"), F.col("ends").alias("ends_")).groupBy("id_", "h_").agg(F.flatten(F.collect_list("starts_")).alias("starts_"), F.flatten(F.collect_list("ends_")).alias("ends_"))
+
+def with_spans(docs: DataFrame, length: int = LENGTH, table: int = TABLE) -> tuple[DataFrame, str, str]:
+    """All columns of docs and the spans (null for none) that each row loses; then the names of the columns of starts and ends, which clash with none of docs."""
+    id_, h_, starts, ends = free([c.lower() for c in docs.columns], "id_", "h_", "starts_", "ends_")
+    cut = spans(docs, length, table).groupBy(F.col("doc_id").alias(id_), F.col("h").alias(h_)).agg(F.flatten(F.collect_list("starts")).alias(starts), F.flatten(F.collect_list("ends")).alias(ends))
     cut = settle(cut, "spans")
-    return docs.drop("starts_", "ends_").join(cut, docs.doc_id.eqNullSafe(F.col("id_")) & (F.xxhash64(F.coalesce(docs.text, F.lit(""))) == F.col("h_")), "left").drop("id_", "h_")
+    return docs.join(cut, F.col("doc_id").eqNullSafe(F.col(id_)) & (F.xxhash64(F.coalesce(F.col("text"), F.lit(""))) == F.col(h_)), "left").drop(id_, h_), starts, ends
 
 
 def kept(text: bytes, starts: list[int] | None, ends: list[int] | None) -> tuple[bytes, int, int]:
@@ -380,11 +427,11 @@ def report(docs: DataFrame, length: int = LENGTH, table: int = TABLE) -> DataFra
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for b in slices(batch, "text"):
+            for b in slices(batch, "text", STEP):
                 at = {c: b.column(k) for k, c in enumerate(b.schema.names)}
                 texts = [t or b"" for t in at["text"].cast(pa.binary()).to_pylist()]
-                got = [kept(t, s, e) for t, s, e in zip(texts, at["starts_"].to_pylist(), at["ends_"].to_pylist(), strict=True)]
+                got = [kept(t, s, e) for t, s, e in zip(texts, at[starts].to_pylist(), at[ends].to_pylist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([at["doc_id"], *(pa.array(x, pa.int64()) for x in ([len(t) for t in texts], [g for _, g, _ in got], [r for _, _, r in got])), pa.array([hashlib.sha256(x).hexdigest() for x, _, _ in got], pa.string())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
-    found = with_spans(docs.select("doc_id", "text"), length, table)
-    return found.select("doc_id", "text", "starts_", "ends_").mapInArrow(run, "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string")
+    found, starts, ends = with_spans(docs.select("doc_id", "text"), length, table)
+    return found.select("doc_id", "text", starts, ends).mapInArrow(tidied(run), "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string")

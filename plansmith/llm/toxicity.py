@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import remainder, settle
+from .common import remainder, settle, tidied
 from .text import PLAIN, Words, slices
 
 #: Rows that the classifier learns from, at most.
@@ -224,6 +224,10 @@ class Model:
         return np.clip(0.99 * level + 0.01 / (1 + np.exp(-m)), 0, 1)  # a little of the margin parts equal levels
 
 
+#: Bytes of text whose features are taken at once.
+STEP = 1 << 20
+
+
 def train(x: np.ndarray, y: np.ndarray, lexicon: Lexicon, folds: int = 4) -> Model:
     share = float(y.mean()) if len(y) else 0.0
     if not len(y) or y.min() == y.max() or len(y) < 2 * folds:
@@ -254,7 +258,7 @@ def learn_lexicon(sample: DataFrame, least: int = 4, significance: float = 24.0,
             keys = list(n)
             yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in keys], pa.int64()), pa.array([w for _, w in keys], pa.binary()), pa.array([n[k] for k in keys], pa.int64()), pa.array([t[k] for k in keys], pa.int64())], ["kind", "word", "n", "t"])
 
-    counts = sample.select("text", "toxic").mapInArrow(run, "kind bigint, word binary, n bigint, t bigint").groupBy("kind", "word").agg(F.sum("n").alias("n"), F.sum("t").alias("t")).where(F.col("t") >= least)
+    counts = sample.select("text", "toxic").mapInArrow(tidied(run), "kind bigint, word binary, n bigint, t bigint").groupBy("kind", "word").agg(F.sum("n").alias("n"), F.sum("t").alias("t")).where(F.col("t") >= least)
     share = total["t"] / total["n"]
     clean = F.col("n") - F.col("t")
     term = lambda seen, expected: F.when(seen > 0, seen * F.log(seen / expected)).otherwise(0.0)
@@ -277,11 +281,11 @@ def learn(docs: DataFrame, labels: DataFrame, bound: int = BOUND, mod: int = 4,
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         features = Features(lexicon)
         for batch in batches:
-            for b in slices(batch, "text"):
+            for b in slices(batch, "text", STEP):
                 x = features(b.column(1))
                 yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(list(x), pa.list_(pa.float64()))], ["doc_id", "toxic", "x"])
 
-    got = sample.select("doc_id", "text", "toxic").mapInArrow(run, "doc_id bigint, toxic bigint, x array<double>").orderBy(F.xxhash64("doc_id"), "doc_id").limit(2 * bound).collect()
+    got = sample.select("doc_id", "text", "toxic").mapInArrow(tidied(run), "doc_id bigint, toxic bigint, x array<double>").orderBy(F.xxhash64("doc_id"), "doc_id").limit(2 * bound).collect()
     x = np.array([r["x"] for r in got]).reshape(len(got), len(NAMES))
     return train(x, np.array([r["toxic"] for r in got], float), lexicon)
 
@@ -295,9 +299,9 @@ def score(docs: DataFrame, model: Model, threshold: float = 0.3, keep: list[str]
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         features = Features(model.lexicon)
         for batch in batches:
-            for b in slices(batch, "text"):
+            for b in slices(batch, "text", STEP):
                 s = model.score(features(b.column(columns.index("text"))))
                 own = [b.column(k) for k in range(len(keep))]
                 yield pa.RecordBatch.from_arrays([*own, pa.array(s), pa.array((s >= threshold).astype(np.int32))], [*keep, "score", "predicted"])
 
-    return docs.select(*columns).mapInArrow(run, f"{schema}, score double, predicted int")
+    return docs.select(*columns).mapInArrow(tidied(run), f"{schema}, score double, predicted int")
