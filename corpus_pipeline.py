@@ -12,47 +12,58 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plansmith.llm import bpe, decontaminate, near_dedup, suffix_dedup, toxicity
-from plansmith.llm.common import scratch, table
+from plansmith.llm.common import scratch, table, tidied
 from plansmith.llm.queries import vocabulary
 from plansmith.llm.text import slices
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
+def apart(docs: DataFrame, *taken: str) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """docs with columns that are named as one of `taken` renamed, and what takes a result back to the columns of docs."""
+    columns = docs.columns
+    new = {c: suffix_dedup.free([*columns, *taken], c)[0] for c in columns if c.lower() in taken}
+    return docs.withColumnsRenamed(new), lambda out: out.select(*(F.col(new.get(c, c)).alias(c) for c in columns))
+
+
 def clean_of_toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows that the classifier rejects go."""
     model = toxicity.learn(docs, table(spark, sf_dir, "labels"))
-    return toxicity.score(docs, model, keep=docs.columns).where("predicted = 0").select(*docs.columns)
+    own, back = apart(docs, "score", "predicted")
+    return back(toxicity.score(own, model, keep=own.columns).where("predicted = 0"))
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each near-duplicate group the row with the smallest doc_id stays, of several the one whose text has the smallest hash; rows without an id come after all others."""
+    docs, back = apart(docs, "id_", "h_")
     named = docs.withColumns({"id_": F.coalesce("doc_id", F.lit(2**62) + F.pmod(F.xxhash64("text"), F.lit(2**62))), "h_": F.xxhash64("text")})
     group = near_dedup.groups(named.select(F.col("id_").alias("doc_id"), "text", "h_"), keep=["h_"])
     # A minimum is taken before the shuffle, and every row only asks whether it is one that stays, so no group is gathered.
     stay = group.where(F.col("doc_id") == F.col("class_id")).groupBy("root").agg(F.min(F.struct(F.col("doc_id").alias("id_"), "h_")).alias("s")).select("s.*")
-    return named.join(stay, ["id_", "h_"], "left_semi").dropDuplicates(["id_", "h_"]).select(*docs.columns)
+    return back(named.join(stay, ["id_", "h_"], "left_semi").dropDuplicates(["id_", "h_"]))
 
 
 def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Bytes that earlier documents hold go from each text; a letter that loses some of its bytes goes whole."""
     columns = docs.columns
-    found = suffix_dedup.with_spans(docs)
+    found, starts, ends = suffix_dedup.with_spans(docs)
     names = found.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for b in slices(batch, "text"):
+            for b in slices(batch, "text", suffix_dedup.STEP):
                 at = {c: b.column(k) for k, c in enumerate(names)}
-                text = [None if t is None else suffix_dedup.kept(t, s, e)[0].decode("utf-8", "ignore") for t, s, e in zip(at["text"].cast(pa.binary()).to_pylist(), at["starts_"].to_pylist(), at["ends_"].to_pylist(), strict=True)]
+                text = [None if t is None else suffix_dedup.kept(t, s, e)[0].decode("utf-8", "ignore") for t, s, e in zip(at["text"].cast(pa.binary()).to_pylist(), at[starts].to_pylist(), at[ends].to_pylist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array(text, pa.string()) if c == "text" else at[c] for c in columns], columns)
 
-    return found.mapInArrow(run, docs.schema).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*columns)
+    out = found.mapInArrow(tidied(run), docs.schema)
+    return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*columns) if "n_chars" in columns else out
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows in which a window of a benchmark item occurs go."""
-    return decontaminate.hits(docs, table(spark, sf_dir, "benchmark")).where(F.size("starts") == 0).select(*docs.columns)
+    own, back = apart(docs, "n_words", "starts", "ends", "items")
+    return back(decontaminate.hits(own, table(spark, sf_dir, "benchmark")).where(F.size("starts") == 0))
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
