@@ -19,9 +19,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir; one of our own only where that is unset."""
+    """The folder named in spark.checkpoint.dir; one of our own only where that is unset and there is no cluster."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
         found = getattr(shared_dir, "own", None) or "file://" + tempfile.mkdtemp(prefix="plansmith-")
         shared_dir.own = found
     return found.rstrip("/")

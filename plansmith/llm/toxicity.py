@@ -240,7 +240,7 @@ def train(x: np.ndarray, y: np.ndarray, lexicon: Lexicon, folds: int = 4) -> Mod
     return Model(lexicon, share, Trees().fit(x, y), ends, means)
 
 
-def learn_lexicon(sample: DataFrame, least: int = 4, significance: float = 24.0, most: int = 500) -> Lexicon:
+def learn_lexicon(sample: DataFrame, least: int = 4, significance: float = 24.0) -> Lexicon:
     """Words and stems whose documents are toxic far more often than chance (G-test), with their log-odds as weights."""
     total = sample.agg(F.sum("toxic").alias("t"), F.count("*").alias("n")).first()
     if not total["n"] or not total["t"] or total["t"] == total["n"]:
@@ -251,7 +251,7 @@ def learn_lexicon(sample: DataFrame, least: int = 4, significance: float = 24.0,
             n, t = Counter(), Counter()
             for text, toxic in zip(b.column(0).cast(pa.binary()).to_pylist(), b.column(1).to_pylist(), strict=True):
                 words = set((text or b"").translate(PLAIN).split())
-                own = [(0, w) for w in words if len(w) < 64] + [(1, s) for s in {w[:STEM] for w in words if len(w) > STEM}]
+                own = [(0, w) for w in words] + [(1, s) for s in {w[:STEM] for w in words if len(w) > STEM}]
                 n.update(own)
                 if toxic:
                     t.update(own)
@@ -264,7 +264,7 @@ def learn_lexicon(sample: DataFrame, least: int = 4, significance: float = 24.0,
     term = lambda seen, expected: F.when(seen > 0, seen * F.log(seen / expected)).otherwise(0.0)
     g = 2 * (term(F.col("t"), F.col("n") * share) + term(clean, F.col("n") * (1 - share)))
     odds = F.log((F.col("t") + 0.5) / (total["t"] + 1.0)) - F.log((clean + 0.5) / (total["n"] - total["t"] + 1.0))
-    rows = counts.select("kind", "word", g.alias("g"), odds.alias("odds")).where((F.col("g") >= significance) & (F.col("odds") > 0)).orderBy(F.desc("g"), "kind", "word").limit(most).collect()
+    rows = counts.select("kind", "word", g.alias("g"), odds.alias("odds")).where((F.col("g") >= significance) & (F.col("odds") > 0)).orderBy(F.desc("g"), "kind", "word").collect()  # `least` rows each: the bounded sample bounds them
     text = lambda r: bytes(r["word"]).decode("utf-8", "ignore")
     return Lexicon({text(r): r["odds"] for r in rows if r["kind"] == 0}, {text(r): r["odds"] for r in rows if r["kind"] == 1})
 
@@ -275,7 +275,9 @@ def learn(docs: DataFrame, labels: DataFrame, bound: int = BOUND, mod: int = 4,
     rows = own.orderBy(F.xxhash64("doc_id"), "doc_id").limit(bound).collect()  # bounded, and so is its broadcast
     spark = docs.sparkSession
     small = spark.createDataFrame([(r[0], r[1]) for r in rows], own.schema)
-    sample = settle(docs.select("doc_id", "text").join(F.broadcast(small), "doc_id"), "toxic")
+    # One row a doc_id, so that repeated ids keep to the bound: the one whose text has the smallest hash.
+    found = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(small), "doc_id")
+    sample = settle(found.groupBy("doc_id").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text")).alias("x"), F.first("toxic").alias("toxic")).select("doc_id", "x.text", "toxic"), "toxic")
     lexicon = learn_lexicon(sample)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -285,7 +287,7 @@ def learn(docs: DataFrame, labels: DataFrame, bound: int = BOUND, mod: int = 4,
                 x = features(b.column(1))
                 yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(list(x), pa.list_(pa.float64()))], ["doc_id", "toxic", "x"])
 
-    got = sample.select("doc_id", "text", "toxic").mapInArrow(tidied(run), "doc_id bigint, toxic bigint, x array<double>").orderBy(F.xxhash64("doc_id"), "doc_id").limit(2 * bound).collect()
+    got = sample.select("doc_id", "text", "toxic").mapInArrow(tidied(run), "doc_id bigint, toxic bigint, x array<double>").orderBy(F.xxhash64("doc_id"), "doc_id").collect()  # `bound` rows at most
     x = np.array([r["x"] for r in got]).reshape(len(got), len(NAMES))
     return train(x, np.array([r["toxic"] for r in got], float), lexicon)
 
