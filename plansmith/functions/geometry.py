@@ -5,6 +5,7 @@ Rings are closed; a polygon's first ring is its outside, the others are holes.
 
 from __future__ import annotations
 
+import math
 import struct
 from collections.abc import Iterator
 
@@ -86,15 +87,32 @@ def clip(subject: np.ndarray, convex: np.ndarray) -> np.ndarray:
     return np.vstack([out, out[:1]]) if len(out) else np.empty((0, 2))
 
 
+def fan(ring: np.ndarray) -> Iterator[tuple[np.ndarray, float]]:
+    """Triangles that, counted with their signs, cover a simple ring once; a convex ring is one piece."""
+    if ring_area(ring) < 0:
+        ring = ring[::-1]
+    step = np.diff(ring, axis=0)
+    turn = step[:, 0] * np.roll(step[:, 1], -1) - step[:, 1] * np.roll(step[:, 0], -1)
+    if (turn >= 0).all():
+        yield ring, 1.0
+        return
+    for a, b in zip(ring[1:-2], ring[2:-1], strict=True):
+        piece = np.array([ring[0], a, b, ring[0]])
+        if (size := ring_area(piece)) != 0:
+            yield piece, math.copysign(1.0, size)
+
+
 def overlap(unit: bytes, plan: bytes) -> float:
-    """The area that a convex unit shares with a polygon; holes of the polygon are taken out."""
+    """The area that two polygons share, whatever their shape; holes of either are taken out."""
     total = 0.0
     for u in polygons(unit):
+        pieces = [(piece, sign * (-1 if k else 1)) for k, r in enumerate(u) for piece, sign in fan(r)]
         for p in polygons(plan):
             for k, r in enumerate(p):
-                cut = clip(r, u[0])
-                if len(cut) > 3:
-                    total += abs(ring_area(cut)) * (1 if k == 0 else -1)
+                for piece, sign in pieces:
+                    cut = clip(r, piece)
+                    if len(cut) > 3:
+                        total += sign * abs(ring_area(cut)) * (-1 if k else 1)
     return total
 
 

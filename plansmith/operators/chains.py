@@ -85,7 +85,7 @@ def codes(districts: pd.Series) -> tuple[np.ndarray, list[str]]:
     return np.array([at[str(d)] if d is not None and d == d else -1 for d in districts], np.int64), names
 
 
-def run_chains(spark: SparkSession, g: Graph, initial: DataFrame, chains: Sequence[int], propose: Proposal, constraints: Sequence[Constraint] = (is_contiguous,), scheme: Scheme | None = None, steps: int = 10, seed: int = 0, spacing: int = 1, polish: tuple[Sequence[Metric], Sequence[Callable], Sequence[dict]] | None = None) -> DataFrame:
+def run_chains(spark: SparkSession, g: Graph, initial: DataFrame, chains: Sequence[int], propose: Proposal, constraints: Sequence[Constraint] = (is_contiguous,), scheme: Scheme | None = None, steps: int = 10, seed: int = 0, spacing: int = 1, polish: tuple[Sequence[Goal], Sequence[Callable], Sequence[dict]] | None = None) -> DataFrame:
     """(chain_id, step, node, district) of every spacing-th state of each chain, from one initial plan (node, district).
 
     polish: metrics, proposals and configurations of lexicographic(), which then optimises every state that is returned; the
@@ -148,58 +148,59 @@ def pieces(plans: DataFrame, g: Graph, locality: str | None = None) -> DataFrame
 # Optimisers
 
 @dataclass
-class Metric:
-    """A score to optimise: its direction, where to stop early, what is acceptable, and what counts as equal."""
+class Goal:
+    """What a phase of an optimisation works towards.
+
+    up: more is better; slack: differences that do not count; floor: the least that will do; enough: where a phase may end;
+    closed: whether a bound is met by what only differs from it by slack."""
 
     score: Score
-    maximize: bool = False
-    early_stopping_bound: float | None = None
-    acceptance_threshold: float | None = None
-    is_inclusive: bool = False
-    tolerance: float | None = None
-
-    def equivalent(self, a: float, b: float) -> bool:
-        return abs(a - b) <= (self.tolerance or 0.0)
-
-    def preferred(self, a: float, b: float) -> bool:
-        return a > b if self.maximize else a < b
-
-    def beyond(self, s: float, bound: float) -> bool:
-        return self.preferred(s, bound) or (self.is_inclusive and self.equivalent(s, bound))
-
-    def acceptable(self, s: float) -> bool:
-        return self.acceptance_threshold is None or self.beyond(s, self.acceptance_threshold)
-
-    def stops(self, s: float) -> bool:
-        return self.early_stopping_bound is not None and self.beyond(s, self.early_stopping_bound)
-
-
-def at_least(metrics: Sequence[Metric], a: Sequence[float], b: Sequence[float], depth: int | None = None) -> bool:
-    """Whether scores a are as good as b, metric by metric in order: the first that differ decide."""
-    for m, x, y in list(zip(metrics, a, b, strict=True))[:depth]:
-        if not m.equivalent(x, y):
-            return m.preferred(x, y)
-    return True
-
-
-def lexicographic(g, state, metrics: Sequence[Metric], proposals: Sequence[Callable], configs: Sequence[dict], constraints: Sequence[Constraint], rng):
-    """Optimise one metric after another, each kept from worsening those before it; the latest of equals is kept."""
-    if len(configs) != len(metrics):
-        raise ValueError("there has to be a configuration for each metric")
-    scores = lambda s: [m.score(g, s) for m in metrics]
-    best, best_score = state, scores(state)
-    for k, (m, propose, config) in enumerate(zip(metrics, proposals, configs, strict=True)):
-        base = list(best_score)
-        kept = lambda g_, new, before, k=k, base=base: k == 0 or at_least(metrics, scores(new), base, k)
-        config = dict(config)
-        scheme = Scheme(config.pop("method", "short_bursts"), m.score, m.maximize, burst=config.pop("burst", 10))
-        for s in walk(g, best, propose, [*constraints, kept], scheme, config.pop("steps", 50), rng):
-            own = scores(s)
-            if at_least(metrics, own, best_score, k + 1):
-                best, best_score = s, own
-                if m.stops(own[k]):
+    up: bool = False
+    slack: float = 0.0
+    floor: float | None = None
+    enough: float | None = None
+    closed: bool = False
+
+    def gain(self, new: float, old: float) -> float:
+        """How much better the new score is; negative if it is worse."""
+        return new - old if self.up else old - new
+
+    def meets(self, score: float, bound: float | None) -> bool:
+        """Whether a score is on the good side of a bound; without one it never is."""
+        return bound is not None and self.gain(score, bound) > (0.0 if not self.closed else -self.slack - 1e-12)
+
+    def will_do(self, score: float) -> bool:
+        return self.floor is None or self.meets(score, self.floor)
+
+
+def verdict(goals: Sequence[Goal], new: Sequence[float], old: Sequence[float]) -> int:
+    """1, 0 or -1: whether the new scores are better, as good, or worse; the first goal that tells them apart decides."""
+    for goal, x, y in zip(goals, new, old, strict=False):
+        if abs(gain := goal.gain(x, y)) > goal.slack:
+            return 1 if gain > 0 else -1
+    return 0
+
+
+def lexicographic(g, state, goals: Sequence[Goal], proposals: Sequence[Callable], configs: Sequence[dict], constraints: Sequence[Constraint], rng):
+    """A phase for each goal, in order; a phase may not lose what the goals before it have reached.  Of equally good states the latest is kept."""
+    if not len(goals) == len(configs) == len(proposals):
+        raise ValueError("each goal needs a proposal and a configuration")
+
+    def scored(s) -> tuple:
+        return s, [goal.score(g, s) for goal in goals]
+
+    held = scored(state)
+    for done, goal in enumerate(goals):
+        options = {"method": "short_bursts", "burst": 10, "steps": 50} | dict(configs[done])
+        won = goals[:done]  # with what they have reached when the phase begins
+        guard = lambda g_, new, before, won=won, at=held[1]: not won or verdict(won, scored(new)[1], at) >= 0
+        scheme = Scheme(options["method"], goal.score, goal.up, burst=options["burst"])
+        for found in map(scored, walk(g, held[0], proposals[done], [*constraints, guard], scheme, options["steps"], rng)):
+            if verdict(goals[: done + 1], found[1], held[1]) >= 0:
+                held = found
+                if goal.meets(found[1][done], goal.enough):
                     break
-    return best, best_score
+    return held
 
 
 def anneal(g, state, propose: Callable, constraints: Sequence[Constraint], score: Score, steps: int, rng, hot: int = 0, beta: float = 1.0, scale: float = 100.0, done: Callable[[object], bool] | None = None):

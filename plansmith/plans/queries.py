@@ -269,9 +269,12 @@ def ranked_entries(s, d):
     return rounded(r.rank_entries(p.long_steps(s, d), "share").select("step", "metric", F.col("rank").cast("bigint").alias("rank"), "value"), "value")
 
 
-@query("SELECT step, round(max(value) FILTER (rank = 0 AND metric = 'share'), 8) AS share_0, round(max(value) FILTER (rank = 1 AND metric = 'share'), 8) AS share_1, round(max(value) FILTER (rank = 0 AND metric = 'population'), 8) AS population_0, round(max(value) FILTER (rank = 1 AND metric = 'population'), 8) AS population_1 FROM ranked GROUP BY step", STEPS)
+WIDE = ", ".join(f"round(max(value) FILTER (rank = {k} AND metric = '{m}'), 8) AS {m}_{k}" for m in ("share", "population") for k in range(p.DISTRICTS))
+
+
+@query(f"SELECT step, {WIDE} FROM ranked GROUP BY step", STEPS)
 def ranked_wide(s, d):
-    w = r.widen(r.rank_entries(p.long_steps(s, d), "share").where("rank < 2"), ["share", "population"], 2)
+    w = r.widen(r.rank_entries(p.long_steps(s, d), "share"), ["share", "population"], p.DISTRICTS)
     return rounded(w, *(c for c in w.columns if c != "step"))
 
 
@@ -356,9 +359,9 @@ def flatten_json(s, d):
     return r.flatten(ev, "k", "j").select("event_id", "key", "value")
 
 
-@query("SELECT step, value FROM steps WHERE metric = 'population' AND key = '1'", STEPS)
+@query("SELECT step, key, value FROM steps WHERE metric = 'population'", STEPS)
 def time_series(s, d):
-    return r.series(p.long_steps(s, d), "population", ["population", "share"]).where("key = '1'").select("step", "value")
+    return r.series(p.long_steps(s, d), "population", ["population", "share"]).select("step", "key", "value")
 
 
 @query("SELECT plan_id, node, round(index_d, 8) AS value FROM assignment LEFT JOIN agg USING (plan_id, district)", ALL)
@@ -389,7 +392,14 @@ def contiguity(s, d):
     return pieces(p.stripes(s, d), graph_of(p.units(s, d), p.edges(s, d)))
 
 
-@query()
+PIECES = """RECURSIVE {tables},
+inner_ AS (SELECT a.plan_id, e.u, e.v FROM edges e JOIN assignment a ON a.node = e.u JOIN assignment b ON b.node = e.v AND b.plan_id = a.plan_id AND b.district = a.district{region}),
+links AS (SELECT * FROM inner_ UNION ALL SELECT plan_id, v, u FROM inner_),
+reach AS (SELECT plan_id, node, node AS other FROM assignment UNION SELECT r.plan_id, r.node, l.v FROM reach r JOIN links l ON l.plan_id = r.plan_id AND l.u = r.other),
+low AS (SELECT plan_id, node, min(other) AS low FROM reach GROUP BY ALL)"""
+
+
+@query("SELECT plan_id, count(*)::BIGINT AS num_pieces FROM low WHERE low = node GROUP BY plan_id", PIECES.format(tables=p.SQL, region=" JOIN units x ON x.node = e.u JOIN units y ON y.node = e.v AND y.county = x.county"))
 def locality_pieces(s, d):
     from ..operators.chains import pieces
     from ..operators.kernels import graph_of
@@ -398,6 +408,14 @@ def locality_pieces(s, d):
     return x.groupBy("plan_id").agg(F.sum("n_components").alias("num_pieces"))
 
 
+@query("SELECT a.plan_id, a.district, count(*)::BIGINT AS n_components FROM low JOIN assignment a USING (plan_id, node) WHERE low = node GROUP BY ALL", PIECES.format(tables=p.SQL, region=""))
+def torn_districts(s, d):
+    from ..operators.chains import pieces
+    from ..operators.kernels import graph_of
+
+    return pieces(p.assignment(s, d), graph_of(p.units(s, d), p.edges(s, d))).select("plan_id", "district", "n_components")
+
+
 @query()
 def contiguity_repair(s, d):
     from ..operators.chains import repaired
@@ -422,6 +440,147 @@ def recombination_chain(s, d):
     return run_chains(s, g, first, range(4), Recom(ideal, 0.1, {"county": 0.5}), steps=5, seed=7)
 
 
+def states(chain, s, d, slack: float):
+    """Of every state of a chain: its districts, people, pieces, and districts further from the ideal than the chain may go."""
+    from ..operators.chains import pieces
+    from ..operators.kernels import graph_of
+
+    units = p.units(s, d)
+    plans = chain.select((F.col("chain_id") * 1000 + F.col("step")).alias("plan_id"), "node", "district")
+    people = e.tally(plans, units, "totpop")
+    ideal = units.agg((F.sum("totpop") / p.DISTRICTS).alias("ideal"))
+    off = F.sum((F.abs(F.col("totpop") - F.col("ideal")) > slack * F.col("ideal")).cast("bigint"))
+    own = people.join(F.broadcast(ideal)).groupBy("plan_id").agg(F.count("*").alias("n_districts"), F.sum("totpop").alias("people"), off.alias("n_off"))
+    torn = pieces(plans, graph_of(units, p.edges(s, d))).groupBy("plan_id").agg(F.sum("n_components").alias("n_pieces"))
+    return own.join(torn, "plan_id")
+
+
+def valid(chains: int, steps: int) -> str:
+    return f"SELECT (c * 1000 + k)::BIGINT AS plan_id, {p.DISTRICTS}::BIGINT AS n_districts, (SELECT sum(totpop)::BIGINT FROM units) AS people, 0::BIGINT AS n_off, {p.DISTRICTS}::BIGINT AS n_pieces FROM (SELECT unnest(range({chains})) AS c), (SELECT unnest(range({steps})) AS k)"
+
+
+@query(valid(4, 5))
+def recombination_states(s, d):
+    return states(recombination_chain(s, d), s, d, 0.1)
+
+
+@query(valid(2, 3))
+def coupon_states(s, d):
+    return states(coupon_chain(s, d), s, d, 0.1)
+
+
+# Sources: what is written is read back
+
+def place(s, what: str) -> str:
+    """A new path in the shared folder; one of this machine only without a cluster."""
+    import tempfile
+    import uuid
+
+    base = s.conf.get("spark.checkpoint.dir", None) or s.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not base:
+        if not s.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir has to name a shared folder")
+        base = "file://" + tempfile.mkdtemp(prefix="plansmith-")
+    return f"{base.rstrip('/')}/plansmith/{what}-{uuid.uuid4().hex}"
+
+
+@query("SELECT step, metric || '_' || key AS key, round(value, 8) AS value FROM steps WHERE value IS NOT NULL", STEPS)
+def step_log(s, d):
+    from ..sources import io
+
+    path = place(s, "steps")
+    io.write_steps(p.long_steps(s, d).where("value IS NOT NULL"), path)
+    lines = r.read_jsonl(s, path, ["step", "population", "share"])
+    step = lines.where("metric = 'step'").select("line", F.col("json").cast("bigint").alias("step"))
+    own = r.flatten(lines.where("metric <> 'step'"), "metric", "json").join(step, "line")
+    return own.select("step", "key", F.round(F.col("value").cast("double"), 8).alias("value"))
+
+
+@query("SELECT plan_id AS chain_id, node, district, (SELECT max(plan_id) + 1 FROM assignment)::BIGINT AS next_step FROM assignment")
+def assignment_log(s, d):
+    from ..sources import io
+
+    path = place(s, "assignment")
+    io.write_assignment(p.assignment(s, d).select(F.col("plan_id").alias("chain_id"), F.col("plan_id").alias("step"), "node", "district"), path)
+    return s.read.parquet(path).select(F.col("chain_id").cast("bigint").alias("chain_id"), "node", "district", F.lit(io.next_step(s, path)).cast("bigint").alias("next_step"))
+
+
+@query("SELECT plan_id, district, sum(totpop)::BIGINT AS totpop FROM assignment JOIN units USING (node) GROUP BY ALL")
+def cached_metrics(s, d):
+    from ..sources import io
+
+    path = place(s, "cache")
+    made = io.cached(s, path, lambda: e.tally(*plans(s, d), "totpop"))
+    return made if made.schema == io.cached(s, path, lambda: 1 / 0).schema else None  # the second read makes nothing
+
+
+@query("SELECT u, v, CASE WHEN a.county = b.county THEN 2.0 ELSE 0.5 END::DOUBLE AS w, 0.25::DOUBLE AS flat FROM edges JOIN units a ON a.node = u JOIN units b ON b.node = v")
+def edge_weight_file(s, d):
+    from ..sources import io
+
+    county = p.units(s, d).select("node", "county")
+    a, b = (county.select(F.col("node").alias(x), F.col("county").alias("c" + x)) for x in ("u", "v"))
+    path = place(s, "weights")
+    w = p.edges(s, d).join(a, "u").join(b, "v").select(F.col("v").alias("u"), F.col("u").alias("v"), F.when(F.col("cu") == F.col("cv"), 2.0).otherwise(0.5).alias("w"))
+    w.write.option("header", True).csv(path)
+    return io.edge_weights(s, path).join(io.constant_edge_weights(s, path, 0.25).withColumnRenamed("w", "flat"), ["u", "v"])
+
+
+@query("SELECT step, sum(value) FILTER (metric = 'population') AS total, 0::BIGINT AS missing FROM steps GROUP BY step", STEPS)
+def summary_file(s, d):
+    from ..sources import io
+
+    path = place(s, "summary")
+    io.write_summary(p.long_steps(s, d).where("metric = 'population'").groupBy("step").agg(F.sum("value").alias("total")), path, ["step", "missing"])
+    return s.read.option("header", True).csv(path).select(F.col("step").cast("bigint").alias("step"), F.col("total").cast("double").alias("total"), F.col("missing").cast("bigint").alias("missing"))
+
+
+@query("SELECT plan_id, district, count(*)::DOUBLE AS area, sum(totpop)::BIGINT AS totpop FROM assignment JOIN units USING (node) GROUP BY ALL")
+def plan_file(s, d):
+    from ..sources import io
+
+    path = place(s, "plan") + ".parquet"
+    io.write_plan(p.assignment(s, d), p.geometry(s, d), path, ["totpop"])
+    return io.load_boundaries(s, path).select("plan_id", "district", F.round("area", 6).alias("area"), F.col("totpop").cast("bigint").alias("totpop"))
+
+
+@query("SELECT county AS locality, count(*)::DOUBLE AS area FROM units GROUP BY county")
+def locality_boundaries(s, d):
+    from ..operators.spatial import with_area
+    from ..sources import io
+
+    return with_area(io.boundaries_by_dissolve(p.geometry(s, d), "county", "county")).select("locality", F.round("area", 6).alias("area"))
+
+
+@query("SELECT node, totpop, 1.0::DOUBLE AS area, 'base' AS tag FROM units")
+def dataset_registry(s, d):
+    from ..sources import io
+
+    path = place(s, "units") + ".parquet"
+    p.geometry(s, d).select("node", "totpop", "geom").write.parquet(path)
+    sets = io.Datasets(s, {"base": path, "other": {"data": p.units(s, d)}})
+    own = [c for c in fc.shared_columns({k: sets[k] for k in sets.keys()}) if c in ("node", "totpop", "area")]
+    return sets["base"].select(*own, F.lit(sets.keys()[0]).alias("tag"))
+
+
+# Units that are not convex: an L and what it leaves of its box, held against two strips
+
+@query("SELECT n::BIGINT AS node, CASE WHEN n % 2 = 0 THEN 'left' ELSE 'right' END AS district, 0::BIGINT AS plan_id FROM (SELECT unnest(range(80)) AS n)", "")
+def assign_odd_shapes(s, d):
+    import numpy as np
+
+    from ..functions.geometry import box, wkb
+    from ..operators import spatial
+
+    def shape(n: int) -> bytes:
+        ring = [(0, 0), (2, 0), (2, 2.5), (1.5, 2.5), (1.5, 0.5), (0, 0.5), (0, 0)] if n % 2 else [(0, 0.5), (1.5, 0.5), (1.5, 2.5), (0, 2.5), (0, 0.5)]
+        return wkb([np.array(ring, float) + (0, 3.0 * (n // 2))])
+
+    units = s.createDataFrame([(n, shape(n)) for n in range(80)], "node bigint, geom binary")
+    strips = s.createDataFrame([(0, "left", box(0, 0, 1.5, 120)), (0, "right", box(1.5, 0, 2, 120))], "plan_id bigint, district string, geom binary")
+    return spatial.assign(units, strips).select("plan_id", "node", "district")
+
+
 @query()
 def coupon_chain(s, d):
     from ..operators.chains import Scheme, run_chains

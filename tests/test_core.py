@@ -73,6 +73,8 @@ def test_clipping_and_holes():
     ring = g.wkb([np.array([(0, 0), (4, 0), (4, 4), (0, 4), (0, 0)], float), np.array([(1, 1), (3, 1), (3, 3), (1, 3), (1, 1)], float)])
     assert g.area(ring) == 12 and g.overlap(g.box(0, 0, 2, 2), ring) == pytest.approx(3)
     assert g.polygons(ring)[0][1].shape == (5, 2) and g.overlap(g.box(9, 9, 10, 10), ring) == 0
+    ell = g.wkb([np.array([(0, 0), (3, 0), (3, 1), (1, 1), (1, 3), (0, 3), (0, 0)], float)])
+    assert g.overlap(ell, g.box(0, 0, 3, 3)) == pytest.approx(5) and g.overlap(ell, g.box(1, 1, 3, 3)) == pytest.approx(0) and g.overlap(ell, ell) == pytest.approx(5) and g.overlap(ring, ell) == pytest.approx(g.overlap(ell, ring))
 
 
 def test_flatten_and_rank_by_hand(spark, tmp_path):
@@ -101,13 +103,13 @@ def test_flatten_opens_every_level(spark):
 
 def test_spacing_and_columns(spark):
     assert [fc.coupon_spacing(k) for k in (4, 29, 75)] == [9, 115, 368] and [fc.coupon_spacing(k, half=True) for k in (4, 29, 75)] == [5, 58, 184]
-    assert fc.election_columns(["G20USP", "G24USS", "G20USS", "TOTPOP", "Gxx"], [2020], ["USP"]) == ["G20USP"] and len(fc.election_columns(["G20USP", "G24USS", "G20USS", "TOTPOP"])) == 3
-    cols = ["G20PREDWOO", "G20PREROUP", "G24GOVDPET", "G24GOVRHEN", "G24GOVNCLA", "TOTPOP", "G20USP"]
-    got = fc.election_labels(cols, overrides={"2024GOV": {"R2": "G24GOVNCLA"}, "2028PRE": {"D1": "x"}})
-    assert got == {"2020PRE": {"D1": "G20PREDWOO", "R1": "G20PREROUP"}, "2024GOV": {"D1": "G24GOVDPET", "-1": "G24GOVNCLA", "R1": "G24GOVRHEN", "R2": "G24GOVNCLA"}, "2028PRE": {"D1": "x"}}
-    assert "-1" not in fc.election_labels(cols, parties=["D", "R"])["2024GOV"]
-    df = spark.createDataFrame([(0, "", 10, 5), (1, None, 20, 15), (2, "101", 30, None), (3, "101", 40, 1)], "node bigint, muni string, v1 int, v2 int")
-    assert [r.muni for r in fc.fill_empty_ids(df, ["muni", "none"]).orderBy("node").collect()] == ["102", "103", "101", "101"]
+    assert fc.election_columns(["G18USH", "G22USS", "G18USS", "TOTPOP", "Gxx"], [2018], ["USH"]) == ["G18USH"] and len(fc.election_columns(["G18USH", "G22USS", "G18USS", "TOTPOP"])) == 3
+    cols = ["G18ATGDLIN", "G18ATGRKOV", "G22SENDMAY", "G22SENRSOL", "G22SENNTRU", "TOTPOP", "G18USH"]
+    got = fc.election_labels(cols, overrides={"2022SEN": {"R2": "G22SENNTRU"}, "2026ATG": {"D1": "x"}})
+    assert got == {"2018ATG": {"D1": "G18ATGDLIN", "R1": "G18ATGRKOV"}, "2022SEN": {"D1": "G22SENDMAY", "-1": "G22SENNTRU", "R1": "G22SENRSOL", "R2": "G22SENNTRU"}, "2026ATG": {"D1": "x"}}
+    assert "-1" not in fc.election_labels(cols, parties=["D", "R"])["2022SEN"]
+    df = spark.createDataFrame([(0, "", 10, 5), (1, None, 20, 15), (2, "707", 30, None), (3, "707", 40, 1)], "node bigint, muni string, v1 int, v2 int")
+    assert [r.muni for r in fc.fill_empty_ids(df, ["muni", "none"]).orderBy("node").collect()] == ["708", "709", "707", "707"]
     assert [r.t for r in fc.add_total(df, "t", ["v1", "v2"]).orderBy("node").collect()] == [15, 35, 30, 41] and fc.add_total(df, "v1", ["v2"]) is df
     a, b = spark.createDataFrame([(1, 2)], "TOTPOP int, A int"), spark.createDataFrame([(1, 2)], "TOTPOP int, B int")
     assert fc.shared_columns({"a": a, "b": b}) == ["TOTPOP"] and fc.columns_unique_to({"a": a, "b": b}, "a") == ["A"]
@@ -158,15 +160,15 @@ def test_optimisers():
     label[:5] = 3
     best, value = chains.anneal(graph, kernels.repair(graph, label, 4), kernels.BoundaryFlip(), [kernels.is_contiguous], lambda g_, s: kernels.log_sse(g_, s, 16), 250, rng)
     assert kernels.contiguous(graph, best) and value <= kernels.log_sse(graph, kernels.repair(graph, label, 4), 16)
-    m = [chains.Metric(lambda g_, s: float((s[g_.u] != s[g_.v]).sum())), chains.Metric(lambda g_, s: float(kernels.split_counts(g_, s, "c")[0]))]
+    m = [chains.Goal(lambda g_, s: float((s[g_.u] != s[g_.v]).sum())), chains.Goal(lambda g_, s: float(kernels.split_counts(g_, s, "c")[0]))]
     start = (np.arange(64) % 8) // 2
     _, score = chains.lexicographic(graph, start, m, [kernels.Recom(16, 0.1)] * 2, [{"steps": 15}] * 2, [kernels.is_contiguous], rng)
     assert score[0] <= m[0].score(graph, start)
     with pytest.raises(ValueError):
         chains.lexicographic(graph, start, m, [], [{}], [], rng)
-    t = chains.Metric(None, maximize=True, early_stopping_bound=5, acceptance_threshold=3, is_inclusive=True, tolerance=0.5)
-    assert t.equivalent(1, 1.5) and t.preferred(2, 1) and t.acceptable(2.5) and not t.acceptable(2.4) and t.stops(4.5) and not chains.Metric(None).stops(0)
-    assert chains.at_least([t, t], (1, 2), (1.4, 1)) and not chains.at_least([t, t], (1, 2), (3, 1))
+    t = chains.Goal(None, up=True, enough=5, floor=3, closed=True, slack=0.5)
+    assert chains.verdict([t], (1,), (1.5,)) == 0 and t.gain(2, 1) > 0 and t.will_do(2.5) and not t.will_do(2.4) and t.meets(4.5, t.enough) and not chains.Goal(None).meets(0, None)
+    assert chains.verdict([t, t], (1, 2), (1.4, 1)) >= 0 and not chains.verdict([t, t], (1, 2), (3, 1)) >= 0
     goal = kernels.PreconditionObjective(16, 0.01, {"c": 4})
     assert goal(graph, start) == 0 and goal(graph, chains.precondition(graph, start, kernels.Recom(16, 0.1), goal, [kernels.is_contiguous], rng, 5)) == 0
 
@@ -182,7 +184,7 @@ def test_chains_do_not_depend_on_partitions(spark):
 def test_chains_polish_what_they_return(spark):
     graph, label = grid(), (np.arange(64) % 8) // 2
     first = spark.createDataFrame([(int(k), str(d)) for k, d in enumerate(label)], "node bigint, district string")
-    cut = chains.Metric(lambda g_, s: float((s[g_.u] != s[g_.v]).sum()))
+    cut = chains.Goal(lambda g_, s: float((s[g_.u] != s[g_.v]).sum()))
 
     def run(**more):
         found = {}
@@ -197,6 +199,21 @@ def test_chains_polish_what_they_return(spark):
         assert (t == want).all() and cut.score(graph, t) <= cut.score(graph, s)
 
 
+def test_proposal_holds_scaled_weights(spark):
+    near = [(i, j) for i in range(16) for j in (i + 1, i + 4) if j < 16 and (j == i + 4 or j % 4)]
+    grid = kernels.Graph(np.arange(16), np.full(16, 1.0), *(np.array(x) for x in zip(*near)))
+    heavy = spark.createDataFrame([(u, v, 2.0) for u, v in near if v == u + 4], "u bigint, v bigint, w double")
+    c = Config().set_edge_penalty_scale(50)
+    recom = c.proposal(16, 2, 0.01, heavy)
+    assert sorted(set(recom.weighed(grid).penalty.tolist())) == [0.0, 100.0] and recom.weighed(grid) is recom.weighed(grid)
+    half = (np.arange(16) % 4 > 1).astype(np.int64)
+    # Heavy edges between rows are cut first, so only halves of whole rows come out; unweighted, others do.
+    rows = {tuple(recom(grid, half, np.random.default_rng(k)).reshape(4, 4).std(1).tolist()) for k in range(8)}
+    assert rows == {(0.0,) * 4}
+    plain = Config().proposal(16, 2, 0.01)
+    assert any(plain(grid, half, np.random.default_rng(k)).reshape(4, 4).std(1).any() for k in range(8))
+
+
 def test_config(spark, tmp_path, h1):
     c = Config().set_pop_column("totpop").constrain_region_splits("muni", "muni", 2, 1).constrain_region_splits("county", "county", 3).surcharge_region("county", 0.5).surcharge_region("x", 0).set_edge_penalty_scale(-1)
     c.constrain_not_equal().add_aggregator("agg", ["2020PRE"]).add_election_metrics("agg", ["efficiency_gap", "majority_seats", "mean_median", "majority_shares"]).add_pop_dev().add_shape_metrics(["polsby_popper", "reock_score"])
