@@ -17,7 +17,7 @@ import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .text import PLAIN, slices
+from .text import LOWER, PLAIN, slices
 
 #: The contract's phrases and labels.
 BASE = {"gnu general public license": "gpl", "apache license": "apache", "cc by": "cc-by", "mit license": "mit"}
@@ -48,6 +48,8 @@ OPERATORS = {"or": 1, "and": 2, "with": 3}
 AROUND = " \t\r*/#-<>!\"';,."
 LEAD = re.compile(f"[{re.escape(AROUND)}]*")
 #: SPDX expressions stand on one line.
+#: What an identifier is made of.
+NAME = re.compile(r"[0-9a-z][0-9a-z.+:-]*")
 TOKEN = re.compile(r"[^\S\n]*([()]|[^\s()]+)")
 
 
@@ -130,7 +132,7 @@ def expression(text: str, at: int) -> str:
         elif (t in OPERATORS) != operand:
             break
         else:
-            bare = t.rstrip(AROUND)
+            bare = own[0].rstrip(AROUND) if (own := NAME.match(t)) else ""
             if bare:
                 out.append(bare)
             if bare != t:
@@ -169,7 +171,7 @@ class Scanner:
                 else:
                     starts.append(line.count(" ", 0, place))
         free = [FREE.get(x, OTHER) for x in labels]
-        low = text.decode("latin-1").lower() if b":" in text else ""
+        low = text.translate(LOWER).decode("latin-1") if b":" in text else ""
         for end, _ in self.tags.iter(low):
             own, score = evaluate(expression(low, end + 1))
             labels |= own
