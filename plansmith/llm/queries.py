@@ -111,3 +111,24 @@ items AS (SELECT doc_id, count(*) AS n_items, string_agg(item_id, ',' ORDER BY i
 SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN places USING (doc_id) LEFT JOIN items USING (doc_id)
 """
+ORACLE["op8_near_dedup"] = f"""
+WITH RECURSIVE d AS MATERIALIZED (SELECT row_number() OVER () AS rn, doc_id, coalesce(text, '') AS t, {WORDS} AS w FROM documents),
+grams AS (SELECT rn, array_to_string(w[k : k + 4], ' ') AS g, count(*) AS n FROM d, LATERAL (SELECT unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS k) WHERE len(w) > 0 GROUP BY ALL),
+sizes AS (SELECT rn, sum(n) AS m FROM grams GROUP BY rn),
+pairs AS (SELECT a.rn AS x, b.rn AS y, sum(least(a.n, b.n)) AS same FROM grams a JOIN grams b ON a.g = b.g AND a.rn < b.rn GROUP BY ALL),
+links AS MATERIALIZED (SELECT x, y FROM pairs JOIN sizes a ON a.rn = x JOIN sizes b ON b.rn = y WHERE same >= 0.8 * (a.m + b.m - same) - 1e-9
+  UNION SELECT a.rn, b.rn FROM d a JOIN d b ON a.t = b.t AND a.rn < b.rn WHERE len(a.w) = 0 AND len(b.w) = 0),
+ways AS (SELECT x, y FROM links UNION SELECT y, x FROM links),
+reach AS (SELECT rn, rn AS other FROM d UNION SELECT r.rn, b.y FROM reach r JOIN ways b ON b.x = r.other),
+own AS (SELECT rn, min(other) AS root FROM reach GROUP BY rn)
+SELECT doc_id, min(doc_id) OVER w AS class_id, count(*) OVER w AS class_size FROM d JOIN own USING (rn) WINDOW w AS (PARTITION BY root)
+"""
+ORACLE["op10_suffix_dedup"] = """
+WITH d AS MATERIALIZED (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),
+win AS (SELECT doc_id, k, substr(x, 2 * k + 1, 100) AS s FROM d, LATERAL (SELECT unnest(range(0, len(x) // 2 - 49)) AS k)),
+earliest AS (SELECT s, min(doc_id) AS f FROM win GROUP BY s),
+gone AS (SELECT doc_id, k, lag(k) OVER (PARTITION BY doc_id ORDER BY k) AS before FROM win JOIN earliest USING (s) WHERE f < doc_id),
+runs AS (SELECT doc_id, min(k) AS a, max(k) + 50 AS b FROM (SELECT doc_id, k, sum(CASE WHEN before IS NULL OR k > before + 50 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY k) AS run FROM gone) GROUP BY doc_id, run),
+lost AS (SELECT doc_id, sum(b - a) AS n_removed, count(*) AS n_spans, string_agg(substr(x, 2 * p + 1, 2 * (a - p)), '' ORDER BY a) || substr(any_value(x), 2 * max(b) + 1) AS kept FROM (SELECT *, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS p FROM runs) JOIN d USING (doc_id) GROUP BY doc_id)
+SELECT doc_id, (len(x) // 2)::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans, sha256(unhex(coalesce(kept, x))) AS kept_sha256 FROM d LEFT JOIN lost USING (doc_id)
+"""

@@ -12,6 +12,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from plansmith.llm import bpe, components, dart, decontaminate, fingerprints, licenses, lm, near_dedup, simple8b, suffix_dedup, token_counts, toxicity
 from plansmith.llm.queries import vocabulary
@@ -530,14 +531,74 @@ def test_pipeline_stages(spark, docs):
     for name, stage in c.STAGES[:-1]:
         out = stage(spark, frame, SF)
         assert out.columns == docs.columns, name
+        out = spark.createDataFrame(out.collect(), docs.schema)
         n, before = out.count(), frame.count()
         assert n <= before and (n > 0), name
+        frame = out
     one = c.one_of_each_group(spark, docs, SF).collect()
     groups = {r.class_id for r in near_dedup.groups(docs).collect() if r.class_id is not None}
     assert sorted(r.doc_id for r in one if r.doc_id is not None) == sorted(groups)
     assert c.run(spark, SF).count() > 0
 
 
+def test_pipeline_decides_as_brute_force_does(spark, docs, rows):
+    import corpus_pipeline as c
+
+    # A letter that loses some of its bytes goes whole, so the texts are plain here.
+    plain = [(i, re.sub("é", "e", t or "")) for i, t in rows]
+    df = spark.createDataFrame([(i, t, "en", "s", None) for i, t in plain], SCHEMA)
+    same([(r.doc_id, hashlib.sha256(r.text.encode()).hexdigest()) for r in c.without_repeats(spark, df, SF).collect()], [(r[0], r[4]) for r in brute_removed(plain, 50)])
+    items = [r.text for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
+    own = [(1, "so " + items[0] + " it was"), (2, "nothing of the kind"), (3, None), (4, items[3].upper())]
+    df = spark.createDataFrame([(i, t, "en", "s", None) for i, t in own], SCHEMA)
+    assert sorted(r.doc_id for r in c.without_benchmark(spark, df, SF).collect()) == [2, 3]
+
+
+def test_pipeline_leaves_columns_of_the_caller_alone(spark):
+    import corpus_pipeline as c
+
+    names = ["score", "predicted", "id_", "h_", "root", "starts_", "ends_", "starts", "ends", "items", "n_words", "sig"]
+    own = [(k, f"text number {k} " * 20, *(f"{n}{k}" for n in names)) for k in range(6)]
+    df = spark.createDataFrame(own, ["doc_id", "text", *names])
+    for name, stage in c.STAGES[:-1]:
+        got = stage(spark, df, SF)
+        assert got.columns == df.columns, name
+        assert all(r[n] == f"{n}{r.doc_id}" for r in got.collect() for n in names), name
+    assert c.STAGES[-1][1](spark, df.withColumns({"lang": F.lit("en"), "source": F.lit("s")}), SF).count() == 6
+
+
+@pytest.mark.parametrize("stage", range(5))
+def test_pipeline_stages_on_nothing(spark, empty, stage):
+    import corpus_pipeline as c
+
+    assert c.STAGES[stage][1](spark, empty, SF).count() == 0
+
+
+def test_empty_tables_and_extra_columns(spark, empty):
+    piece, word = vocabulary("piece_bpe_32k.model"), vocabulary("word_bpe_49k.json")
+    extra = spark.createDataFrame([(1, "mit license here", 7, 8, 9)], "doc_id bigint, text string, n_words int, ids int, n_tokens int")
+    for run in (licenses.scan, lambda d: token_counts.count_tokens(d, piece), lambda d: bpe.digests(d, word), lm.held_out_scores, lambda d: simple8b.digests(d, word), fingerprints.compare, suffix_dedup.report, near_dedup.groups):
+        assert run(empty).count() == 0
+        assert [r.doc_id for r in run(extra).collect()] == [1]
+
+
+def test_licence_identifiers_keep_to_their_letters():
+    labels = lambda t: licenses.Scanner()(t.encode())[5]
+    assert labels("SPDX-License-Identifier: MIT this file may be used freely") == "mit"
+    assert labels("spdx-license-identifier: mit, see license") == "mit"
+    assert labels("SPDX-License-Identifier: ÀÉ-1.0 or x") == ""
+
+
+def test_toxicity_lexicon_takes_words_of_any_length_and_ids_once(spark):
+    long = "z" * 90
+    own = [(k, f"{'plain ' * 9}{long if k % 4 == 0 else 'other'} {k}") for k in range(160)]
+    df = spark.createDataFrame(own + own[:8], "doc_id bigint, text string")
+    lab = spark.createDataFrame([(k, 0, int(k % 4 == 0)) for k in range(160)], "doc_id bigint, quality int, toxic int")
+    assert long in toxicity.learn(df, lab).lexicon.words
+    once, twice = toxicity.learn(spark.createDataFrame(own, df.schema), lab), toxicity.learn(df, lab)
+    assert once.lexicon.words == twice.lexicon.words and once.share == twice.share
+
+
 def test_pipeline_keeps_one_row_a_group_where_ids_repeat(spark):
     import corpus_pipeline as c
 
