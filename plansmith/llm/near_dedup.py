@@ -186,6 +186,7 @@ def held(rows: DataFrame, texts: DataFrame, threshold: float, bands: bool) -> Da
     place = lambda what, n: F.pmod(F.xxhash64("cid", F.lit(what)), F.col(n))
     to = F.transform(F.sequence(F.lit(0).cast("bigint"), F.col("o") - 1), lambda x: F.struct(place("m", "m").alias("m"), x.alias("o"), F.lit(False).alias("alone")))
     by = F.transform(F.sequence(F.lit(0).cast("bigint"), F.col("m") - 1), lambda x: F.struct(x.alias("m"), place("o", "o").alias("o"), F.lit(True).alias("alone")))
+    many = settle(many, "chunks")  # a table of its own, so that the join may split a hot bucket
     dealt = rows.join(many, "bucket").select("bucket", "cid", "label", F.explode(F.when(F.col("alone"), F.concat(to, by)).otherwise(to)).alias("x")).select("bucket", "cid", "label", "x.*")
     dealt = dealt.join(texts.select("cid", "sig", "items"), "cid")
 
