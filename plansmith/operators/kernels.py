@@ -300,12 +300,16 @@ def log_sse(g: Graph, label: np.ndarray, ideal: float) -> float:
 
 @dataclass
 class PreconditionObjective:
-    """Squared excess of the relative deviation over the tolerance and of each split count over its ceiling."""
+    """Squared excess of the relative deviation over the tolerance, of each split count over its ceiling and of each count of multiple splits over its own; and 1 for the plan that the result has to differ from."""
 
     ideal: float
     tolerance: float
     ceilings: dict[str, int] = field(default_factory=dict)
+    multi: dict[str, int] = field(default_factory=dict)
+    apart_from: np.ndarray | None = None
 
     def __call__(self, g: Graph, label: np.ndarray) -> float:
         over = lambda value, ceiling: max(0.0, value - ceiling) ** 2
-        return over(max_deviation(g, label, self.ideal) / self.ideal / self.tolerance, 1) + sum(over(split_counts(g, label, r)[0], c) for r, c in self.ceilings.items())
+        counts = sum(over(split_counts(g, label, r)[k], c) for k, own in enumerate((self.ceilings, self.multi)) for r, c in own.items())
+        same = self.apart_from is not None and not not_equal(g, label, self.apart_from)
+        return over(max_deviation(g, label, self.ideal) / self.ideal / self.tolerance, 1) + counts + float(same)

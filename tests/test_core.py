@@ -169,6 +169,9 @@ def test_optimisers():
     t = chains.Goal(None, up=True, enough=5, floor=3, closed=True, slack=0.5)
     assert chains.verdict([t], (1,), (1.5,)) == 0 and t.gain(2, 1) > 0 and t.will_do(2.5) and not t.will_do(2.4) and t.meets(4.5, t.enough) and not chains.Goal(None).meets(0, None)
     assert chains.verdict([t, t], (1, 2), (1.4, 1)) >= 0 and not chains.verdict([t, t], (1, 2), (3, 1)) >= 0
+    split, multi = kernels.split_counts(graph, start, "c")
+    strict = kernels.PreconditionObjective(16, 0.01, {"c": split}, {"c": multi - 2}, start)
+    assert strict(graph, start) == 4 + 1 and kernels.PreconditionObjective(16, 0.01, apart_from=start[::-1].copy())(graph, start) in (0, 1)
     goal = kernels.PreconditionObjective(16, 0.01, {"c": 4})
     assert goal(graph, start) == 0 and goal(graph, chains.precondition(graph, start, kernels.Recom(16, 0.1), goal, [kernels.is_contiguous], rng, 5)) == 0
 
