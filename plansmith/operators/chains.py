@@ -41,12 +41,14 @@ class Scheme:
 
 
 def proposed(g, state, propose: Callable, constraints: Sequence[Constraint], rng, tries: int = 1000):
-    """The next proposal that meets all constraints; the state itself after too many that do not."""
+    """The next proposal that meets all constraints; after too many that do not, the state itself, or ValueError where that breaks one too."""
     for _ in range(tries):
         new = propose(g, state, rng)
         if all(c(g, new, state) for c in constraints):
             return new
-    return state
+    if all(c(g, state, state) for c in constraints):
+        return state
+    raise ValueError(f"none of {tries} proposals meets the constraints, nor does the state they come from")
 
 
 def walk(g, state, propose: Callable, constraints: Sequence[Constraint], scheme: Scheme, steps: int, rng) -> Iterator:
@@ -96,17 +98,21 @@ def run_chains(spark: SparkSession, g: Graph, initial: DataFrame, chains: Sequen
     label, names = codes(start)
     held = spark.sparkContext.broadcast((label, names))
 
-    def run(df: pd.DataFrame) -> pd.DataFrame:
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         g, (label, names) = sent.value, held.value
-        chain = int(df["chain_id"].iloc[0])
-        out = [(k, s) for k, s in enumerate(walk(g, label, propose, constraints, scheme, steps, rng_of(seed, chain))) if k % spacing == 0]
-        if polish:
-            out = [(k, lexicographic(g, s, *polish, constraints, np.random.default_rng([seed & 0x7FFFFFFF, chain & 0x7FFFFFFF, k]))[0]) for k, s in out]
         named = np.array(names, object)
-        return pd.concat([pd.DataFrame({"chain_id": chain, "step": k, "node": g.ids, "district": named[s]}) for k, s in out]) if out else pd.DataFrame(columns=["chain_id", "step", "node", "district"])
+        for chain in (int(c) for df in frames for c in df["chain_id"]):
+            for k, s in enumerate(walk(g, label, propose, constraints, scheme, steps, rng_of(seed, chain))):
+                if k % spacing:
+                    continue
+                if polish:
+                    s = lexicographic(g, s, *polish, constraints, np.random.default_rng([seed & 0x7FFFFFFF, chain & 0x7FFFFFFF, k]))[0]
+                yield pd.DataFrame({"chain_id": chain, "step": k, "node": g.ids, "district": named[s]})
 
-    ids = spark.createDataFrame([(int(c),) for c in chains], "chain_id bigint").repartition(max(1, len(chains)), "chain_id")
-    return ids.groupBy("chain_id").applyInPandas(run, "chain_id bigint, step bigint, node bigint, district string")
+    own = list(dict.fromkeys(int(c) for c in chains))
+    ids = spark.createDataFrame(list(enumerate(own)), "at int, chain_id bigint")
+    # A task each; a worker holds one state, however many steps there are.
+    return ids.repartitionById(max(1, len(own)), "at").select("chain_id").mapInPandas(run, "chain_id bigint, step bigint, node bigint, district string")
 
 
 def repaired(plans: DataFrame, g: Graph, k: int | None = None) -> DataFrame:
@@ -255,10 +261,10 @@ class Escalation:
         return state
 
 
-def equal_population(spark: SparkSession, g: Graph, seeds: DataFrame, wanted: int, propose: Proposal, score: Score, ideal: float, steps: int, seed: int = 0, within: float = 1.0, **options) -> DataFrame:
+def equal_population(spark: SparkSession, g: Graph, seeds: DataFrame, wanted: int, propose: Proposal, score: Score, ideal: float, steps: int, seed: int = 0, within: float = 1.0, runs: int = 5, **options) -> DataFrame:
     """(candidate_id, score, success, node, district): every candidate plan annealed, in parallel; the first `wanted` of those whose districts are all less than `within` people off the ideal.
 
-    seeds: (candidate_id, node, district)."""
+    seeds: (candidate_id, node, district).  A run that fails is replaced by another with random numbers of its own, up to `runs`."""
     from pyspark.sql import functions as F
 
     sent = spark.sparkContext.broadcast(g)
@@ -267,7 +273,11 @@ def equal_population(spark: SparkSession, g: Graph, seeds: DataFrame, wanted: in
         g = sent.value
         c = int(df["candidate_id"].iloc[0])
         label, names = codes(df.set_index("node")["district"].reindex(g.ids))
-        best, value = anneal(g, label, propose, [is_contiguous], score, steps, rng_of(seed, c), done=lambda s: max_deviation(g, s, ideal) < within, **options)
+        for k in range(runs):
+            rng = rng_of(seed, c) if not k else np.random.default_rng([seed & 0x7FFFFFFF, c & 0x7FFFFFFF, k])
+            best, value = anneal(g, label, propose, [is_contiguous], score, steps, rng, done=lambda s: max_deviation(g, s, ideal) < within, **options)
+            if max_deviation(g, best, ideal) < within:
+                break
         return pd.DataFrame({"candidate_id": c, "score": value, "success": max_deviation(g, best, ideal) < within, "node": g.ids, "district": np.array(names, object)[best]})
 
     out = seeds.groupBy("candidate_id").applyInPandas(run, "candidate_id bigint, score double, success boolean, node bigint, district string")

@@ -71,6 +71,16 @@ def widen(ranked: DataFrame, metrics: Sequence[str], ranks: int, step: str = "st
     return ranked.groupBy(step).pivot("name", names).agg(F.max("value")) if "name" in ranked.columns else ranked.withColumn("name", F.concat_ws("_", "metric", "rank")).groupBy(step).pivot("name", names).agg(F.max("value"))
 
 
+#: Rows that a side may have to be sent to all workers.
+SMALL = 1 << 16
+
+
+def sent(df: DataFrame) -> DataFrame:
+    """df, evaluated once and marked for broadcast if it has at most SMALL rows; a larger one stays as it is and is joined by shuffle."""
+    rows = df.limit(SMALL + 1).collect()
+    return F.broadcast(df.sparkSession.createDataFrame(rows, df.schema)) if len(rows) <= SMALL else df
+
+
 def ranked_means(ranked: DataFrame) -> DataFrame:
     return ranked.groupBy("metric", "rank").agg(F.avg("value").alias("mean"))
 
@@ -79,7 +89,7 @@ def ranked_deviation(ranked: DataFrame, metric: str, step: str = "step") -> Data
     """Of each step, the root of the mean squared distance from the ranks' means."""
     own = ranked.where(F.col("metric") == metric)
     mean = ranked_means(own).select("rank", "mean")
-    return own.join(mean, "rank").groupBy(step).agg(F.sqrt(F.avg(F.pow(F.col("value") - F.col("mean"), 2))).alias("rmd"))
+    return own.join(sent(mean), "rank").groupBy(step).agg(F.sqrt(F.avg(F.pow(F.col("value") - F.col("mean"), 2))).alias("rmd"))
 
 
 def intervals(long: DataFrame, by: Sequence[str], quantiles: Sequence[float] = (0.025, 0.975), value: str = "value") -> DataFrame:
@@ -90,7 +100,11 @@ def intervals(long: DataFrame, by: Sequence[str], quantiles: Sequence[float] = (
 
 
 def from_median(long: DataFrame, by: Sequence[str], value: str = "value") -> DataFrame:
-    return long.withColumn("from_median", F.col(value) - F.median(value).over(Window.partitionBy(*by)))
+    """value less the median of its group; the medians are few and go to the rows, so no group is gathered with all its columns."""
+    names = [f"by{i}_" for i in range(len(by))]
+    medians = sent(long.groupBy(*(F.col(c).alias(n) for c, n in zip(by, names, strict=True))).agg(F.median(value).alias("median_")))
+    same = [F.col(c).eqNullSafe(F.col(n)) for c, n in zip(by, names, strict=True)]
+    return long.join(medians, same, "left").withColumn("from_median", F.col(value) - F.col("median_")).drop(*names, "median_")
 
 
 def histogram(long: DataFrame, by: Sequence[str], bins: int = 30, value: str = "value") -> DataFrame:
@@ -123,9 +137,9 @@ def reference_points(reference: DataFrame) -> DataFrame:
 def outlier_position(ranked: DataFrame, points: DataFrame, metric: str) -> DataFrame:
     """The share of the ensemble at or under each reference point of the same rank.
 
-    The few reference points are sent to the ensemble; each side of the count is summed before the shuffle."""
+    The reference points are sent to the ensemble while they are few; each side of the count is summed before the shuffle."""
     own = ranked.where(F.col("metric") == metric).select("rank", F.col("value").alias("x"))
-    return own.join(points, "rank").groupBy("map_name", "rank", F.col("value")).agg(ratio(F.count_if(F.col("x") <= F.col("value")), F.count("*")).alias("position"))
+    return own.join(sent(points), "rank").groupBy("map_name", "rank", F.col("value")).agg(ratio(F.count_if(F.col("x") <= F.col("value")), F.count("*")).alias("position"))
 
 
 def running_best(scores: DataFrame, chain: str = "chain_id", step: str = "step", score: str = "score", latest: bool = False) -> DataFrame:

@@ -202,6 +202,34 @@ def test_chains_polish_what_they_return(spark):
         assert (t == want).all() and cut.score(graph, t) <= cut.score(graph, s)
 
 
+def test_chains_tell_of_dead_ends_and_replace_failed_runs(spark):
+    graph, label = grid(), (np.arange(64) % 8) // 2
+    rng = np.random.default_rng(1)
+    still = lambda g_, s, r: s.copy()
+    assert (chains.proposed(graph, label, still, [lambda g_, new, old: (new == label).all()], rng, 3) == label).all()
+    with pytest.raises(ValueError, match="none of 3 proposals"):
+        chains.proposed(graph, label, still, [lambda *_: False], rng, 3)
+    uneven = np.array([0, 0, 0, 1, 2, 2, 3, 3])[np.arange(64) % 8]  # in one piece each, but two are off the ideal
+    seeds = spark.createDataFrame([(c, int(k), str(d)) for c in (0, 1) for k, d in enumerate(uneven)], "candidate_id bigint, node bigint, district string")
+
+    def lucky(g_, s, r):  # right in about one of twelve steps, so some run of three steps fails
+        return label if r.random() < 0.08 else s
+
+    def run(runs):
+        return chains.equal_population(spark, graph, seeds, 2, lucky, lambda g_, s: float(kernels.max_deviation(g_, s, 16)), 16, 3, seed=1, runs=runs).select("candidate_id", "success").distinct().collect()
+
+    assert len(run(1)) < 2 and [r.success for r in run(60)] == [True, True]
+
+
+def test_few_rows_are_sent_and_many_are_joined(spark, monkeypatch):
+    long = spark.createDataFrame([("a", 1, 1.0), ("a", 2, 5.0), (None, 1, 2.0), (None, 2, 6.0), ("b", 1, None)], "metric string, step int, value double")
+    want = {("a", 1): -2.0, ("a", 2): 2.0, (None, 1): -2.0, (None, 2): 2.0, ("b", 1): None}
+    for most in (1 << 16, 1):
+        monkeypatch.setattr(results, "SMALL", most)
+        out = results.from_median(long, ["metric"])
+        assert out.columns == [*long.columns, "from_median"] and {(r.metric, r.step): r.from_median for r in out.collect()} == want
+
+
 def test_proposal_holds_scaled_weights(spark):
     near = [(i, j) for i in range(16) for j in (i + 1, i + 4) if j < 16 and (j == i + 4 or j % 4)]
     grid = kernels.Graph(np.arange(16), np.full(16, 1.0), *(np.array(x) for x in zip(*near)))
