@@ -125,7 +125,7 @@ def edited(text: str, after: str) -> str:
 def compare(docs: DataFrame, width: int = WIDTH, bins: int = BINS, bits: int = BITS) -> DataFrame:
     """Fingerprints of every text, its edited text, and its likeness to that and to the next document."""
     n = parts(docs.sparkSession)
-    dealt = follow(docs, n).repartition(n, "part").sortWithinPartitions("part", "halo", F.col("doc_id").desc_nulls_last(), "text")
+    dealt = follow(docs, n).repartitionById(n, "part").sortWithinPartitions("part", "halo", F.col("doc_id").desc_nulls_last(), "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []  # rows of one part; the last waits for its next
