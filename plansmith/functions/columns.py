@@ -61,6 +61,39 @@ def election_labels(columns: Iterable[str], years: Sequence[int] = (), offices:
     return out
 
 
+#: The years and offices that short column names may have.
+YEARS = (2016, 2018, 2020, 2024)
+OFFICES = ("PRE", "GOV", "ATG", "AUD", "TRE", "USS")
+SHORT = re.compile(r"(\d\d)(.{3})([DRO])", re.ASCII)
+
+
+def short_columns(columns: Iterable[str], years: Sequence[int] = (), offices: Sequence[str] = OFFICES) -> list[str]:
+    """Columns that are a year, an office and a party letter alone (20PRED), sorted; no years: all."""
+    own = [(c, m) for c in columns if (m := SHORT.fullmatch(c))]
+    return sorted(c for c, m in own if m[2] in offices and (not years or 2000 + int(m[1]) in years))
+
+
+def contested(df: DataFrame, years: Sequence[int] = YEARS, offices: Sequence[str] = OFFICES) -> DataFrame:
+    """(election, d, r): elections whose two short columns are there and both hold votes, summed in one pass."""
+    have = set(df.columns)
+    named = [(f"{y}_{o}", *own) for y in years for o in offices if have.issuperset(own := [f"{y % 100:02d}{o}{x}" for x in "DR"])]
+    if not named:
+        return df.sparkSession.createDataFrame([], "election string, d double, r double")
+    rows = F.array(*(F.struct(F.lit(e).alias("election"), F.sum(number(d)).alias("d"), F.sum(number(r)).alias("r")) for e, d, r in named))
+    return df.agg(rows.alias("rows")).select(F.inline("rows")).where("d > 0 AND r > 0")
+
+
+def election_in(election: str | Column, years: Sequence[int] = (), offices: Sequence[str] = ()) -> Column:
+    """Whether a YEAR_OFFICE is of the years and offices asked for (none: all); a name of another form passes only where nothing is asked."""
+    e = F.col(election) if isinstance(election, str) else election
+    if not years and not offices:
+        return F.lit(True)
+    ok = e.rlike("^[0-9]+_[^_]*$")
+    if years:
+        ok = ok & F.coalesce(F.split_part(e, F.lit("_"), F.lit(1)).try_cast("int").isin([int(y) for y in years]), F.lit(False))
+    return ok & F.split_part(e, F.lit("_"), F.lit(2)).isin(list(offices)) if offices else ok
+
+
 def melt_votes(units: DataFrame, elections: Mapping[str, Mapping[str, str]], node: str = "node") -> DataFrame:
     """Wide vote columns to (node, election, label, party, votes), once, by an explode that needs no shuffle."""
     rows = [F.struct(F.lit(e).alias("election"), F.lit(k).alias("label"), F.lit(k[:1]).alias("party"), number(c).alias("votes")) for e, own in elections.items() for k, c in own.items() if c in units.columns]

@@ -7,6 +7,7 @@ here: the assignments that come out are evaluated set-at-a-time by `ensemble`.
 from __future__ import annotations
 
 import math
+import warnings
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass, field
 
@@ -131,6 +132,25 @@ def repaired(plans: DataFrame, g: Graph, k: int | None = None) -> DataFrame:
     return plans.groupBy("plan_id").applyInPandas(run, f"plan_id {kind}, node bigint, district string")
 
 
+def partition(units: DataFrame, plan: DataFrame, repair: bool = True, edges: DataFrame | None = None) -> DataFrame:
+    """(plan_id, node, district) of plans given as polygons: units go to the district that covers most of them, torn districts are mended if asked, and what stays torn is warned of.
+
+    Without `edges`, units that share a segment are neighbours."""
+    from .kernels import graph_of
+    from .spatial import adjacency, assign
+
+    g = graph_of(units, adjacency(units) if edges is None else edges)
+    own = assign(units, plan).select("plan_id", "node", "district").cache()
+    torn = lambda df: pieces(df, g).where("n_components > 1").select("plan_id").distinct().count()
+    if not repair or not torn(own):
+        return own
+    mended = repaired(own, g).cache()
+    own.unpersist()
+    if n := torn(mended):
+        warnings.warn(f"{n} plans have torn districts after repair: see the plan and the units for gaps", stacklevel=2)
+    return mended
+
+
 def pieces(plans: DataFrame, g: Graph, locality: str | None = None) -> DataFrame:
     """(plan_id, district, locality, n_components): connected pieces of each district, or of each locality's part in it."""
     from .kernels import components

@@ -6,6 +6,8 @@ edges(u, v, shared_perim).  Districts are strings.  Every result is keyed by pla
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -52,6 +54,15 @@ def splits(assignment: DataFrame, units: DataFrame, locality: str) -> DataFrame:
     return out.withColumn("multi_splits", F.col("num_parts") - F.col("split") - F.col("num_localities"))
 
 
+def split_counts(assignment: DataFrame, units: DataFrame, localities: Sequence[str]) -> DataFrame:
+    """split_<locality> of every plan, all from one pass; 0 for a locality that the units do not have."""
+    there = [c for c in localities if c in units.columns]
+    kinds = F.explode_outer(F.array(*(F.struct(F.lit(c).alias("kind"), F.col(c).cast("string").alias("locality")) for c in there)))
+    own = assignment.join(units.select("node", *there), "node").select("plan_id", "district", kinds.alias("l")).select("plan_id", "district", "l.*") if there else assignment.select("plan_id", "district", F.lit("").alias("kind"), F.lit("").alias("locality"))
+    many = own.distinct().groupBy("plan_id", "kind", "locality").agg(F.count("*").alias("n"))
+    return many.groupBy("plan_id").agg(*(F.count_if((F.col("kind") == c) & (F.col("n") > 1)).alias(f"split_{c}") for c in localities))
+
+
 def locality_names(units: DataFrame, locality: str, name: str) -> DataFrame:
     """The first name of each locality that is not empty, in node order; else its id."""
     named = units.where(~is_empty(locality)).groupBy(F.col(locality).cast("string").alias("locality")).agg(F.min_by(F.when(~is_empty(name), F.col(name)), F.when(~is_empty(name), F.col("node"))).alias("name"))
@@ -76,6 +87,11 @@ def party_votes(assignment: DataFrame, votes: DataFrame) -> DataFrame:
     return view.agg(F.sum("votes").alias("votes"), F.grouping("district").alias("g")).select("plan_id", F.when(F.col("g") == 1, "S").otherwise(F.col("district")).alias("district"), "election", "party", "votes")
 
 
+def label_votes(assignment: DataFrame, votes: DataFrame) -> DataFrame:
+    """Votes of each district, election and label: candidates of one party stay apart."""
+    return assignment.join(votes, "node").groupBy("plan_id", "district", "election", "label").agg(F.sum("votes").alias("votes"))
+
+
 def wide_votes(long: DataFrame, total: str = "reference") -> DataFrame:
     """Parties side by side: d, r and total_votes, which is the third party's column, as the reference metrics have it, or with "all_votes" the sum of all."""
     wide = long.groupBy("plan_id", "district", "election").pivot("party", ["D", "R", "-"]).agg(F.avg("votes")).na.fill(0)

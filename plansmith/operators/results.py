@@ -19,13 +19,16 @@ LEAF = "struct<k:string,v:string>"
 def read_jsonl(spark: SparkSession, path: str, columns: Sequence[str]) -> DataFrame:
     """(line, metric, json) of the asked top-level keys of each JSON object; blank lines are skipped.
 
-    ValueError for no columns, and for the first line that is no JSON object, with its text."""
+    ValueError for no columns, and for the first line that is no JSON object, with its file, its number (from 1, blank lines included) and its text."""
     if columns is None or isinstance(columns, str) or not list(columns):
         raise ValueError("columns has to be a list of one name or more")
-    lines = spark.read.text(path).where("trim(value) <> ''").select(F.monotonically_increasing_id().alias("line"), "value", F.try_parse_json("value").alias("v"))
-    bad = lines.where("v IS NULL OR schema_of_variant(v) NOT LIKE 'OBJECT%'").select("value").head(1)
+    every = spark.read.text(path).select(F.monotonically_increasing_id().alias("line"), "value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"))
+    lines = every.where("trim(value) <> ''").withColumn("v", F.try_parse_json("value"))
+    bad = lines.where("v IS NULL OR schema_of_variant(v) NOT LIKE 'OBJECT%'").orderBy("file", "block", "line").select("file", "block", "line", "value").head(1)
     if bad:
-        raise ValueError(f"no JSON object: {bad[0][0][:80]}")
+        b = bad[0]
+        before = every.where((F.col("file") == b["file"]) & ((F.col("block") < b["block"]) | ((F.col("block") == b["block"]) & (F.col("line") < b["line"])))).count()
+        raise ValueError(f"{b['file']}, line {before + 1}: no JSON object: {b['value'][:80]}")
     parsed = lines.withColumn("own", F.from_json("value", "map<string,string>"))
     return parsed.select("line", F.explode(F.map_filter("own", lambda k, _: k.isin(list(columns)))).alias("metric", "json"))
 
@@ -107,16 +110,33 @@ def from_median(long: DataFrame, by: Sequence[str], value: str = "value") -> Dat
     return long.join(medians, same, "left").withColumn("from_median", F.col(value) - F.col("median_")).drop(*names, "median_")
 
 
-def histogram(long: DataFrame, by: Sequence[str], bins: int = 30, value: str = "value") -> DataFrame:
-    """Equal bins from the smallest to the largest value, the last one closed: bin, lo, hi, n and density."""
-    span = long.groupBy(*by).agg(F.min(value).alias("lo_"), F.max(value).alias("hi_"), F.count(value).alias("n_"))
-    width = (F.col("hi_") - F.col("lo_")) / bins
+def auto_bins(n: Column, lo: Column, hi: Column, q1: Column, q3: Column) -> Column:
+    """How many bins suit n values: the narrower of the rules of Sturges and of Freedman and Diaconis, of the latter no more than twice the root of n; one bin where all values are equal."""
+    sturges = (hi - lo) / (F.log2(n) + 1)
+    spread = 2 * (q3 - q1) * F.pow(n, F.lit(-1 / 3))
+    return F.when(hi > lo, F.ceil((hi - lo) / F.least(sturges, F.greatest(spread, (hi - lo) / F.sqrt(n) / 2)))).otherwise(1)
+
+
+def histogram(long: DataFrame, by: Sequence[str], bins: int | str = 30, value: str = "value") -> DataFrame:
+    """Equal bins from the smallest to the largest value, the last one closed: bin, lo, hi, n and density.  With "auto", each group has the number that suits it."""
+    quartiles = [F.percentile(value, F.lit(q)).alias(c) for q, c in ((0.25, "q1_"), (0.75, "q3_"))] if bins == "auto" else []
+    span = long.groupBy(*by).agg(F.min(value).alias("lo_"), F.max(value).alias("hi_"), F.count(value).alias("n_"), *quartiles)
+    k = auto_bins(*map(F.col, ("n_", "lo_", "hi_", "q1_", "q3_"))) if bins == "auto" else F.lit(bins)
+    span = span.withColumn("k_", k).withColumn("width_", (F.col("hi_") - F.col("lo_")) / F.col("k_")).drop("hi_", "q1_", "q3_")
+    width = F.col("width_")
     rows = long.where(F.col(value).isNotNull()).join(span, list(by))
-    k = F.when(width == 0, F.lit(0)).otherwise(F.least(F.floor(F.try_divide(F.col(value) - F.col("lo_"), width)), F.lit(bins - 1))).cast("int")
-    out = rows.groupBy(*by, k.alias("bin"), "lo_", "hi_", "n_").agg(F.count("*").alias("n"))
+    at = F.when(width == 0, F.lit(0)).otherwise(F.least(F.floor(F.try_divide(F.col(value) - F.col("lo_"), width)), F.col("k_") - 1)).cast("int")
+    out = rows.groupBy(*by, at.alias("bin"), "lo_", "width_", "n_").agg(F.count("*").alias("n"))
     return out.select(*by, "bin", (F.col("lo_") + F.col("bin") * width).alias("lo"), (F.col("lo_") + (F.col("bin") + 1) * width).alias("hi"), "n", F.try_divide(F.col("n").cast("double"), F.col("n_") * width).alias("density"))
 
 
+def averages(summary: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """(metric, mean) of those of the columns that are there, from one pass; missing values do not count."""
+    there = [c for c in columns if c in summary.columns]
+    rows = F.array(*(F.struct(F.lit(c).alias("metric"), F.avg(c).alias("mean")) for c in there))
+    return summary.agg(rows.alias("rows")).select(F.inline("rows")) if there else summary.sparkSession.createDataFrame([], "metric string, mean double")
+
+
 def integer_histogram(long: DataFrame, by: Sequence[str], value: str = "value") -> DataFrame:
     """One bin a whole number."""
     return long.where(F.col(value).isNotNull()).groupBy(*by, F.bround(value).cast("bigint").alias("bin")).agg(F.count("*").alias("n"))

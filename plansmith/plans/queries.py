@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import columns as fc
@@ -563,6 +563,138 @@ def dataset_registry(s, d):
     return sets["base"].select(*own, F.lit(sets.keys()[0]).alias("tag"))
 
 
+def short_votes(s, d):
+    """Units with short election columns, a year a pair: the votes of 1992 and later under offices by turns; one pair has no votes for R."""
+    v = p.votes(s, d).where("party <> '-'").withColumn("name", F.concat(F.substring("election", 3, 2), F.when(F.col("election") % 2 == 0, "PRE").otherwise("GOV"), "party"))
+    names = [f"{y % 100:02d}{'GOV' if y % 2 else 'PRE'}{x}" for y in range(1992, 1999) for x in "DR"]
+    wide = v.groupBy("node").pivot("name", names).agg(F.sum("votes"))
+    return wide.withColumns({"92USSD": F.col("92PRED"), "92USSR": F.lit(None).cast("bigint"), "96PREO": F.lit(1)})
+
+
+@query("SELECT election || CASE WHEN election::INT % 2 = 0 THEN '_PRE' ELSE '_GOV' END AS election, (sum(votes) FILTER (party = 'D'))::DOUBLE AS d, (sum(votes) FILTER (party = 'R'))::DOUBLE AS r FROM votes WHERE election BETWEEN '1992' AND '1998' GROUP BY ALL HAVING sum(votes) FILTER (party = 'D') > 0 AND sum(votes) FILTER (party = 'R') > 0")
+def contested_elections(s, d):
+    return fc.contested(short_votes(s, d), range(1992, 1999))
+
+
+@query("SELECT election || '_GOV' AS election, 4::BIGINT AS n_columns FROM votes WHERE election IN ('1993', '1995') GROUP BY election HAVING sum(votes) FILTER (party = 'D') > 0 AND sum(votes) FILTER (party = 'R') > 0")
+def chosen_elections(s, d):
+    wide = short_votes(s, d)
+    own = fc.contested(wide, range(1992, 1999)).where(fc.election_in("election", [1992, 1993, 1995], ["GOV"]))
+    return own.select("election", F.lit(sum(c[:2] in ("93", "95") for c in fc.short_columns(wide.columns, offices=["GOV"]))).cast("bigint").alias("n_columns"))
+
+
+@query("SELECT plan_id, district, election, party || (1 + node % 2) AS label, sum(votes)::BIGINT AS votes FROM assignment JOIN votes USING (node) GROUP BY ALL")
+def label_tallies(s, d):
+    v = p.votes(s, d).withColumn("label", F.concat("party", (1 + F.col("node") % 2).cast("string")))
+    return e.label_votes(p.assignment(s, d), v)
+
+
+SPLIT = "SELECT plan_id, count(*) FILTER (n > 1) AS n FROM (SELECT plan_id, {0}, count(DISTINCT district) AS n FROM assignment JOIN units USING (node) GROUP BY ALL) GROUP BY plan_id"
+
+
+@query(f"SELECT plan_id, a.n::BIGINT AS split_county, b.n::BIGINT AS split_muni, 0::BIGINT AS split_parish FROM ({SPLIT.format('county')}) a JOIN ({SPLIT.format('muni')}) b USING (plan_id)")
+def split_counts(s, d):
+    return e.split_counts(p.assignment(s, d), p.units(s, d), ["county", "muni", "parish"])
+
+
+@query(f"SELECT 'split_county' AS metric, round(avg(n), 8) AS mean FROM ({SPLIT.format('county')}) UNION ALL SELECT 'split_muni', round(avg(n), 8) FROM ({SPLIT.format('muni')})")
+def summary_averages(s, d):
+    counts = e.split_counts(p.assignment(s, d), p.units(s, d), ["county", "muni"])
+    return rounded(r.averages(counts, ["split_county", "split_muni", "split_parish"]), "mean")
+
+
+@query("""SELECT chain, bin, round(lo + bin * w, 6) AS lo, round(lo + (bin + 1) * w, 6) AS hi, count(*)::BIGINT AS n, round(count(*) / (any_value(m) * w), 6) AS density
+FROM (SELECT chain, value, lo, m, (hi - lo) / k AS w, least(floor((value - lo) / ((hi - lo) / k)), k - 1)::INT AS bin FROM (SELECT *, ceil((hi - lo) / least((hi - lo) / (log2(m) + 1), greatest(2 * (q3 - q1) * pow(m, -1.0 / 3), (hi - lo) / sqrt(m) / 2))) AS k
+  FROM ev JOIN (SELECT chain, count(*)::DOUBLE AS m, min(value) AS lo, max(value) AS hi, quantile_cont(value, 0.25) AS q1, quantile_cont(value, 0.75) AS q3 FROM ev GROUP BY chain) USING (chain))) GROUP BY chain, bin, lo, w""", "ev AS (SELECT event_type AS chain, value FROM events)")
+def auto_histogram(s, d):
+    ev = p.read(s, d, "events").select(F.col("event_type").alias("chain"), "value")
+    return rounded(r.histogram(ev, ["chain"], "auto"), "lo", "hi", "density", to=6)
+
+
+@query("SELECT plan_id, labelled FROM (SELECT plan_id, list_sort(list(district || ':' || node)) AS h FROM assignment GROUP BY plan_id), (SELECT round(count(DISTINCT h) / count(*), 8) AS labelled FROM (SELECT plan_id, list_sort(list(district || ':' || node)) AS h FROM assignment GROUP BY plan_id))")
+def labelled_plans(s, d):
+    h = e.plan_hash(p.assignment(s, d), labelled=True)
+    return rounded(h.select("plan_id").join(e.distinct_fraction(h).withColumnRenamed("distinct_fraction", "labelled")), "labelled")
+
+
+@query("SELECT plan_id AS step, sum(totpop)::DOUBLE AS total, count(DISTINCT district)::DOUBLE AS districts, round(sum(totpop)::DOUBLE / count(DISTINCT district), 8) AS mean FROM assignment JOIN units USING (node) GROUP BY plan_id")
+def objective_values(s, d):
+    people = e.tally(*plans(s, d), "totpop").groupBy(F.col("plan_id").alias("step")).agg(F.map_from_entries(F.collect_list(F.struct("district", F.col("totpop").cast("double").alias("n")))).alias("m"))
+    return rounded(people.select("step", r.objective(F.col("m"), "map").alias("total"), r.objective(F.map_keys("m"), "list").alias("districts"), r.average_margin(F.map_values("m")).alias("mean")), "mean")
+
+
+@query("SELECT 'people' AS panel, step, key, value FROM steps WHERE metric = 'population' UNION ALL SELECT 'index', step, key, round(value, 8) FROM steps WHERE metric = 'share'", STEPS)
+def stacked_panels(s, d):
+    long = p.long_steps(s, d)
+    names = ["population", "share"]
+    return rounded(r.panels({"people": r.series(long, "population", names), "index": r.series(long, "share", names)}), "value")
+
+
+@query("SELECT chain_id, step, best, max(step) FILTER (score = best) OVER w AS best_step FROM (SELECT *, min(score) OVER w AS best FROM ev WINDOW w AS (PARTITION BY chain_id ORDER BY step ROWS UNBOUNDED PRECEDING)) WINDOW w AS (PARTITION BY chain_id ORDER BY step ROWS UNBOUNDED PRECEDING)", EVENTS)
+def running_best_latest(s, d):
+    return r.running_best(chain_steps(s, d), latest=True).select("chain_id", "step", "best", "best_step")
+
+
+@query("SELECT CAST(x // 10 AS VARCHAR) AS district, count(*)::DOUBLE AS area, (SELECT count(DISTINCT x // 10) FROM units)::BIGINT AS n_districts FROM units GROUP BY 1")
+def plan_districts(s, d):
+    from ..operators.spatial import dissolve, with_area
+    from ..sources import io
+
+    path = place(s, "plan") + ".parquet"
+    dissolve(p.stripes(s, d), p.geometry(s, d)).drop("plan_id").write.parquet(path)
+    return with_area(io.load_plan(s, path)).select("district", F.round("area", 6).alias("area"), F.lit(io.district_count(s, path)).cast("bigint").alias("n_districts"))
+
+
+@query("SELECT 0::BIGINT AS plan_id, node, CAST(x // 10 AS VARCHAR) AS district FROM units")
+def partition_of_plan(s, d):
+    from ..operators.chains import partition
+    from ..operators.spatial import dissolve
+
+    return partition(p.geometry(s, d), dissolve(p.stripes(s, d), p.geometry(s, d))).select("plan_id", "node", "district")
+
+
+@query("SELECT plan_id, metric, key, round(value, 8) AS value FROM (SELECT 'map ' || plan_id AS plan_id, 'split_county' AS metric, CAST(NULL AS VARCHAR) AS key, n::DOUBLE AS value FROM (" + SPLIT.format("county") + ") UNION ALL SELECT 'map ' || plan_id, 'population', district, sum(totpop)::DOUBLE FROM assignment JOIN units USING (node) GROUP BY ALL) WHERE metric = 'split_county' OR metric = 'population'")
+def reference_maps(s, d):
+    from ..operators.config import Config, Context
+
+    c = Config()
+    c.set_pop_column("totpop")
+    c.add_locality_splits(name="county", column_id="county")
+    maps = p.assignment(s, d).withColumn("plan_id", F.concat(F.lit("map "), F.col("plan_id").cast("string")))
+    got = c.on_maps(Context(maps, p.units(s, d)), place(s, "maps"))
+    return rounded(got.where("metric IN ('split_county', 'population')"), "value")
+
+
+def chain_of(kind, s, d):
+    from ..operators.chains import Scheme, run_chains
+    from ..operators.kernels import Recom, log_sse
+
+    g, first, ideal = start(s, d)
+    scheme = Scheme(kind, score=lambda g_, x: log_sse(g_, x, ideal), p=0.2, burst=2)
+    return states(run_chains(s, g, first, range(2), Recom(ideal, 0.1), scheme=scheme, steps=4, seed=5), s, d, 0.1)
+
+
+@query(valid(2, 4))
+def tilted_states(s, d):
+    return chain_of("tilted", s, d)
+
+
+@query(valid(2, 4))
+def burst_states(s, d):
+    return chain_of("short_bursts", s, d)
+
+
+@query(f"SELECT c::BIGINT AS candidate_id, true AS success, {p.DISTRICTS}::BIGINT AS n_districts, (SELECT sum(totpop)::BIGINT FROM units) AS people, 0::BIGINT AS n_off FROM (SELECT unnest(range(2)) AS c)")
+def annealed_states(s, d):
+    own = annealed_plans(s, d)
+    units = p.units(s, d)
+    ideal = units.agg((F.sum("totpop") / p.DISTRICTS).alias("ideal"))
+    people = own.join(units.select("node", "totpop"), "node").groupBy("candidate_id", "success", "district").agg(F.sum("totpop").alias("n"))
+    off = F.sum((F.abs(F.col("n") - F.col("ideal")) >= 0.05 * F.col("ideal")).cast("bigint"))
+    out = people.join(F.broadcast(ideal)).groupBy("success", "candidate_id").agg(F.count("*").alias("n_districts"), F.sum("n").alias("people"), off.alias("n_off"))
+    return out.withColumn("candidate_id", F.row_number().over(Window.orderBy("candidate_id")).cast("bigint") - 1)
+
+
 # Units that are not convex: an L and what it leaves of its box, held against two strips
 
 @query("SELECT n::BIGINT AS node, CASE WHEN n % 2 = 0 THEN 'left' ELSE 'right' END AS district, 0::BIGINT AS plan_id FROM (SELECT unnest(range(80)) AS n)", "")

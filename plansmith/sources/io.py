@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 import json
+import re
 import warnings
 from collections.abc import Mapping, Sequence
+from datetime import date
 from pathlib import Path
 
 import pandas as pd
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators.spatial import dissolve, with_area
@@ -175,20 +177,52 @@ def cached(spark: SparkSession, path: str, make) -> DataFrame:
     return spark.read.parquet(path)
 
 
+def summary_columns(columns: Sequence[str], first: Sequence[str], last: str = r".*_\d+") -> list[str]:
+    """The columns of `first`, the others by name, and at the end those of single districts (that match `last`) by length and name."""
+    rest = sorted(c for c in columns if c not in first)
+    own = [c for c in rest if re.fullmatch(last, c)]
+    return [*first, *(c for c in rest if c not in own), *sorted(own, key=lambda c: (c.rstrip("0123456789"), len(c), c))]
+
+
 def write_summary(summary: DataFrame, path: str, first: Sequence[str]) -> None:
-    """CSV with a header: the columns of `first` (0 where missing), then the others by name."""
-    have = [F.col(c) if c in summary.columns else F.lit(0).alias(c) for c in first]
-    summary.select(*have, *sorted(c for c in summary.columns if c not in first)).write.mode("overwrite").option("header", True).csv(path)
+    """CSV with a header in the order of summary_columns; a column of `first` that is missing is 0."""
+    summary.select(*(F.col(c) if c in summary.columns else F.lit(0).alias(c) for c in summary_columns(summary.columns, first))).write.mode("overwrite").option("header", True).csv(path)
 
 
 CHAMBERS = {"us_house": {"tolerance": 0.001, "districts": 4}, "state_senate": {"tolerance": 0.01, "districts": 29}, "state_house": {"tolerance": 0.01, "districts": 75}}
 
 
-def chamber(name: str) -> dict:
-    """Population tolerance and districts of a chamber; ValueError for an unknown one."""
+def chamber(name: str, maps: str | None = None) -> dict:
+    """Population tolerance and districts of a chamber, and the comparison maps of the folder `maps` by name; ValueError for an unknown one."""
     if name not in CHAMBERS:
         raise ValueError(f"unknown chamber {name!r}; there are {sorted(CHAMBERS)}")
-    return dict(CHAMBERS[name])
+    own = sorted(p for p in Path(maps).iterdir() if p.suffix in (".parquet", ".geojson")) if maps else []
+    return CHAMBERS[name] | {"comparison_maps": {p.stem: str(p) for p in own}}
+
+
+def load_plan(spark: SparkSession, path: str, plan: object = 0, column: str = "district") -> DataFrame:
+    """(plan_id, district, geom) of a plan's file; without the column the districts are numbered from 1, row by row, as only the rows tell them apart."""
+    units = load_units(spark, path)
+    if column not in units.columns:  # a plan has few rows
+        units = units.withColumn(column, F.row_number().over(Window.orderBy(F.monotonically_increasing_id())))
+    return units.select(F.lit(plan).alias("plan_id"), F.col(column).cast("string").alias("district"), "geom")
+
+
+def district_count(spark: SparkSession, path: str) -> int:
+    """How many rows a plan's file has."""
+    return (spark.read.text(path).where("value LIKE '%\"Feature\"%'") if path.endswith(".geojson") else spark.read.parquet(path)).count()
+
+
+def step_images(spark: SparkSession, folder: str) -> DataFrame:
+    """(step, name) of the images step_<n>.png of a folder by name; the images themselves are not read."""
+    name = F.element_at(F.split("path", "/"), -1)
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "step_*.[pP][nN][gG]").load(folder).select(name.alias("name"))
+    return files.select(F.regexp_extract("name", r"_([0-9]+)\.[^_]*$", 1).try_cast("bigint").alias("step"), "name").orderBy("name")
+
+
+def run_tag(prefix: str, when: date) -> str:
+    """The name of a run: prefix and day."""
+    return f"{prefix}-{when:%Y%m%d}"
 
 
 def newest_config(folder: str) -> Path:

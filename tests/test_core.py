@@ -345,3 +345,71 @@ def test_every_query_has_its_columns_twice():
     import __spark_entry__ as e
 
     assert set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_short_election_columns(spark):
+    df = spark.createDataFrame([(5, 1, 0, 0, 7, "x"), (None, 2, 3, 0, 1, "nan")], "20PRED int, 20PRER int, 16GOVD int, 16GOVR int, 20USSO int, `24ATGD` string")
+    assert fc.short_columns([*df.columns, "2oPRED", "20XXXD", "20PREDX"]) == ["16GOVD", "16GOVR", "20PRED", "20PRER", "20USSO", "24ATGD"]
+    assert fc.short_columns(df.columns, [2020], ["PRE"]) == ["20PRED", "20PRER"]
+    assert [tuple(r) for r in fc.contested(df).collect()] == [("2020_PRE", 5.0, 3.0)]
+    assert fc.contested(df.select("20PRED")).count() == 0
+    names = spark.createDataFrame([("2020_PRE",), ("2016_GOV",), ("other",), ("x_GOV",)], "e string")
+    kept = lambda *a: [r.e for r in names.where(fc.election_in("e", *a)).collect()]
+    assert kept() == ["2020_PRE", "2016_GOV", "other", "x_GOV"]
+    assert kept([2020, 2016], ["GOV"]) == ["2016_GOV"] and kept(["2020"]) == ["2020_PRE"] and kept([], ["PRE", "GOV"]) == ["2020_PRE", "2016_GOV"]
+
+
+def test_bad_json_names_its_line(spark, tmp_path):
+    path = tmp_path / "steps.jsonl"
+    path.write_text('{"step": 0}\n\n  \n{"step": 1, "a": 2}\n[1]\nnonsense\n')
+    with pytest.raises(ValueError, match="steps.jsonl, line 5: no JSON object: \\[1\\]"):
+        results.read_jsonl(spark, str(path), ["step"])
+    path.write_text('{"step": 0}\n\n{"a": 2}\n')
+    assert [(r.metric, r.json) for r in results.read_jsonl(spark, str(path), ["step", "b"]).collect()] == [("step", "0")]
+
+
+def test_summary_order_images_and_tags(spark, tmp_path):
+    from datetime import date
+
+    assert io.summary_columns(["share_10", "b", "share_2", "step", "a"], ["step", "splits"]) == ["step", "splits", "a", "b", "share_2", "share_10"]
+    for n in ("step_10.png", "step_2.PNG", "step_x.png", "other.png", "step_3.txt"):
+        (tmp_path / n).write_bytes(b"x")
+    assert [tuple(r) for r in io.step_images(spark, str(tmp_path)).collect()] == [(10, "step_10.png"), (2, "step_2.PNG"), (None, "step_x.png")]
+    assert io.run_tag("house", date(2021, 3, 4)) == "house-20210304"
+    (tmp_path / "one.geojson").write_text("")
+    assert io.chamber("us_house", str(tmp_path))["comparison_maps"] == {"one": str(tmp_path / "one.geojson")}
+
+
+def test_partition_of_a_torn_plan(spark):
+    cells = [(k, 1, g.box(k, 0, k + 1, 1)) for k in range(6)]
+    units = spark.createDataFrame(cells, "node bigint, totpop bigint, geom binary")
+    names = ["a", "a", "b", "b", "a", "b"]
+    plan = spatial.dissolve(spark.createDataFrame([(0, k, x) for k, x in enumerate(names)], "plan_id bigint, node bigint, district string"), units)
+    as_given = {r.node: r.district for r in chains.partition(units, plan, repair=False).collect()}
+    assert as_given == dict(enumerate(names))
+    own = chains.partition(units, plan)
+    graph = kernels.graph_of(units, spatial.adjacency(units))
+    assert own.count() == 6 and chains.pieces(own, graph).agg(F.max("n_components")).first()[0] == 1
+
+
+def test_long_form_of_metrics(spark):
+    from plansmith.operators.config import long_form
+
+    one = spark.createDataFrame([("m", 3)], "plan_id string, split bigint")
+    two = spark.createDataFrame([("m", "1", 2.0, 1, "x")], "plan_id string, district string, a double, b int, c string")
+    many = spark.createDataFrame([("m", {"1": 0.5})], "plan_id string, shares map<string,double>")
+    got = sorted(map(tuple, long_form({"split": one, "t": two, "s": many}).collect()), key=str)
+    assert got == sorted([("m", "split", None, 3.0), ("m", "t_a", "1", 2.0), ("m", "t_b", "1", 1.0), ("m", "s", "1", 0.5)], key=str)
+    with pytest.raises(ValueError):
+        long_form({})
+
+
+def test_averages_and_auto_bins(spark):
+    df = spark.createDataFrame([(1, None), (2, 4.0)], "a int, b double")
+    assert {r.metric: r["mean"] for r in results.averages(df, ["a", "b", "c"]).collect()} == {"a": 1.5, "b": 4.0}
+    assert results.averages(df, ["c"]).count() == 0
+    rng = np.random.default_rng(3)
+    for x in (rng.normal(size=500), np.array([1.0] * 90 + [2.0, 3.0, 9.0]), np.full(4, 2.0)):
+        got = {r.bin: r.n for r in results.histogram(spark.createDataFrame([("g", float(v)) for v in x], "k string, value double"), ["k"], "auto").collect()}
+        want, _ = np.histogram(x, "auto")
+        assert got == {i: n for i, n in enumerate(want.tolist()) if n}
