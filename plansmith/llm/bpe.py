@@ -6,8 +6,9 @@ the rank of each adjacent pair side by side.  It looks for the smallest rank, de
 neighbouring ranks, for all words at once.  Words over LONG bytes use a heap, as the row scan is quadratic.
 
 Cases: a null or empty text has no tokens; the strings of special tokens inside a text become those tokens, as in the
-tokenizers library; texts of any length are encoded whole; repeated rows give repeated results; input columns other than
-the id and the text are not passed on.
+tokenizers library; texts of any length are encoded whole; repeated rows give repeated results; of pairs of equal rank
+the leftmost merges first; an empty table gives no rows; input columns other than doc_id, text and those of `keep` are
+neither read nor passed on, so they may have any name.
 """
 
 from __future__ import annotations

@@ -10,7 +10,7 @@ one plan applies in turn, so nothing is left out.
 
 Cases: a null text or one without words has no hits; an item without words has no window; an item of fewer than WINDOW words
 is one window; equal windows of several items count for each of them; a null item_id counts as the empty text; texts of
-any length are read whole; repeated rows give repeated results.
+any length are read whole; repeated rows give repeated results; an empty table gives no rows; columns named like the results give way.
 """
 
 from __future__ import annotations
@@ -24,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import forget, settle
 from .text import PLAIN, Words, shingles, slices
 
 WINDOW = 10
@@ -175,7 +176,12 @@ def hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, width: int
         own = windows([(r[0], r[1]) for r in some.collect()], window, width)
         join = Join(own, rarity(docs, own, text_col)) if own.words else None
         sent = docs.sparkSession.sparkContext.broadcast(join)
-        out = out.mapInArrow(worker(sent, text_col), schema)
+        before, out = out, out.mapInArrow(worker(sent, text_col), schema)
+        if k < n_slices - 1:  # one slice at a time in the workers' memory
+            out = settle(out, "hits")
+            sent.unpersist()
+            if k:
+                forget(docs.sparkSession, before)
     return out
 
 

@@ -6,7 +6,8 @@ bin, so it ends.  BITS low bits of each bin are stored, and likeness takes out t
 
 Cases: a null or empty text, or one without words, has the fingerprint of nothing, which is like itself (1) and unlike all
 else (0); a text of fewer than five words is one shingle; a null doc_id comes after all others in descending order; rows of
-equal ids follow in text order; a single row is its own next document; texts of any length are read whole.
+equal ids follow in text order; a single row is its own next document; texts of any length are read whole; an empty table
+gives no rows; only doc_id and text are read, so other columns may have any name.
 """
 
 from __future__ import annotations

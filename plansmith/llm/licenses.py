@@ -5,7 +5,8 @@ finds identifier tags; the expression after a tag is parsed by shunting-yard and
 
 Cases: a null or empty text has no words, no labels and score 0; a phrase counts wherever its words stand one after
 another, whatever stands between them, overlaps included; a malformed expression gives the identifiers that it names
-and is scored as if all applied; an expression ends at its line's end or before the first word that cannot continue it; texts of any length are scanned whole; repeated rows give repeated results.
+and is scored as if all applied; an expression ends at its line's end or before the first word that cannot continue it; texts of any length are scanned whole; repeated rows give repeated results; labels that several phrases give
+count once; an empty table gives no rows; only doc_id and text are read, so other columns may have any name.
 """
 
 from __future__ import annotations

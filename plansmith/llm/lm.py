@@ -7,12 +7,12 @@ chosen by leaving each training token out once.  Beside it, exact word counts gi
 
 Counting: each worker sorts and sums the n-gram hashes of its batches, and sends every bucket of hashes one block, so a
 frequent n-gram costs a block one entry.  A bucket makes its own part of the filter and of the count table.  Both go to the
-workers by broadcast while they fit TABLE bytes; larger ones are cut into shards of whole buckets, which one plan applies
-in turn to every document, carrying what it has found for each token.
+workers by broadcast while they fit TABLE bytes; larger ones are cut into shards of whole buckets, each applied to every
+document in a pass of its own, carrying what has been found for each token.
 
 Cases: a null or empty text is its end token alone; a null doc_id hashes as the empty text; without training documents all
 counts are 0 and every token has the base's floor; repeated rows train and score as often as they stand; texts of any length
-are read whole.
+are read whole; an empty table gives no rows; only doc_id and text are read, so other columns may have any name.
 """
 
 from __future__ import annotations
@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import parts, remainder, settle
+from .common import forget, parts, remainder, settle
 from .text import GOLD, U, WHITE, Words, mix, slices
 
 #: Levels a doubling of the count.
@@ -234,12 +234,20 @@ def sums(t: Tokens, x: np.ndarray) -> np.ndarray:
 
 
 def applied(docs: DataFrame, shards: list, keep: list[str], finish, schema: str) -> DataFrame:
-    """Every shard in turn over (keep, text); finish(batch, tokens, counts, levels, pair levels) makes the last one's rows."""
+    """Every shard in turn over (keep, text); finish(batch, tokens, counts, levels, pair levels) makes the last one's rows.
+
+    What shards before the last one find is written in between, so a worker holds one shard at a time."""
     columns = [*keep, "text"]
     out = docs.select(*columns)
     kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in columns)
     for k, sent in enumerate(shards):
-        out = out.mapInArrow(stage(sent, k > 0, finish if k == len(shards) - 1 else None, len(columns)), schema if k == len(shards) - 1 else f"{kinds}, carried_ binary")
+        last = k == len(shards) - 1
+        before, out = out, out.mapInArrow(stage(sent, k > 0, finish if last else None, len(columns)), schema if last else f"{kinds}, carried_ binary")
+        if not last:
+            out = settle(out, "carried")
+            sent.unpersist()
+            if k:
+                forget(docs.sparkSession, before)
     return out
 
 

@@ -8,7 +8,8 @@ A file is MAGIC and segments, each of whole rows: a head of five uint64 (rows, i
 ids (int64) and null flags (uint8), their lengths (uint64), the blocks' word offsets (uint64), the escapes' word indexes
 (uint64) and the words (uint64), all little-endian.
 
-Cases: a null or empty text is its end id alone; a null doc_id comes last; rows with equal ids stay apart, in text order.
+Cases: a null or empty text is its end id alone; a null doc_id comes last; rows with equal ids stay apart, in text order; texts of any
+length are encoded whole; an empty table gives no rows; only doc_id and text are read, so other columns may have any name.
 """
 
 from __future__ import annotations

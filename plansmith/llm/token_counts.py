@@ -6,7 +6,7 @@ letters beside it in a row, so no merge ever crosses it, whatever stands around.
 the chunks do not both break there, it is widened, at last to the rest of the text.  Working memory follows a chunk.
 
 Cases: a null or empty text has no bytes and no tokens; texts of any length are counted whole; repeated rows give repeated
-counts; other columns are not passed on.
+counts, also where ids tie; an empty table gives no rows; other columns, whatever their names, are neither read nor passed on.
 """
 
 from __future__ import annotations

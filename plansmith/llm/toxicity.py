@@ -5,7 +5,7 @@ text is then scored whole.  Labels, language, source and id are never features.
 
 Cases: a null or empty text has all-zero features and is scored like any other; null labels are left out, and a document
 with several labels takes the largest; without two classes to learn from, every score is the share of toxic labels (0
-without any); repeated rows give repeated scores; columns that are not kept are not passed on, nor those named like the results.
+without any); repeated rows give repeated scores; an empty table gives no rows; texts of any length are read whole; columns that are not kept are not passed on, nor those named like the results.
 """
 
 from __future__ import annotations

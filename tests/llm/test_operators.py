@@ -93,6 +93,36 @@ def test_lm_counts_are_exact_and_shards_change_nothing(docs, rows):
     same([(r.doc_id, round(r.score, 9)) for r in a.values()], {(r.doc_id, round(r.score, 9)): 0 for r in b})
 
 
+def test_lm_scores_follow_the_model(docs, rows):
+    training = docs.where(lm.remainder("doc_id", 10) != 0)
+    model = lm.train(training, table=2000)
+    assert len(model.shards) > 3
+    tokens = lambda t: (t or "").encode().translate(LOWER).split() + [None]
+    held = lambda i: zlib.crc32(("" if i is None else str(i)).encode()) % 10 == 0
+    one, two = Counter(), Counter()
+    for i, t in rows:
+        if not held(i):
+            w = tokens(t)
+            one.update(w)
+            two.update(zip([None, *w], w, strict=False))
+    lv = lambda n: int(lm.level(np.array([float(n)]))[0]) if n else 0
+    V, off = lm.VALUE, 0.0
+    got = sorted((r.doc_id if r.doc_id is not None else -1, r.n_tokens, r.score) for r in lm.scores(docs.select("doc_id", "text"), model, lm.end_level(training), ["doc_id"]).collect())
+    want = []
+    for i, t in rows:
+        total, old = 0.0, None
+        for x in tokens(t):
+            a, b, c = lv(one[old]), lv(one[x]), lv(two[old, x])
+            w = model.weights[a]
+            total += math.log10(w * min(V[c] / max(V[a], 1), 1.0) + (1 - w) * (V[b] + 0.1) / model.floor)
+            old = x
+        want.append((-1 if i is None else i, len(tokens(t)), total))
+    for g, e in zip(got, sorted(want), strict=True):
+        assert g[:2] == e[:2] and g[2] == pytest.approx(e[2], rel=0.05, abs=0.5)  # the filter may take a count for a higher one
+        off += abs(g[2] - e[2])
+    assert off < 0.01 * sum(e[1] for e in want)  # a hundredth of a decimal place a token
+
+
 def test_lm_levels_never_miss_a_count():
     rng = np.random.default_rng(0)
     words_ = rng.integers(0, 2**63, 4000).astype(np.uint64)
