@@ -98,6 +98,27 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.report(table(spark, sf_dir, "documents"))
 
 
+@query
+def op11_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import ngram_join
+
+    return ngram_join.linked(table(spark, sf_dir, "documents"))
+
+
+@query
+def op12_kmeans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import kmeans
+
+    return kmeans.cluster(table(spark, sf_dir, "embeddings"))
+
+
+@query
+def op13_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import search
+
+    return search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 #: Words as the contract has them, for DuckDB.
 WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\x{80}-\x{10FFFF}]+')"
 ORACLE["op4_decontaminate"] = f"""
@@ -132,3 +153,32 @@ runs AS (SELECT doc_id, min(k) AS a, max(k) + 50 AS b FROM (SELECT doc_id, k, su
 lost AS (SELECT doc_id, sum(b - a) AS n_removed, count(*) AS n_spans, string_agg(substr(x, 2 * p + 1, 2 * (a - p)), '' ORDER BY a) || substr(any_value(x), 2 * max(b) + 1) AS kept FROM (SELECT *, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS p FROM runs) JOIN d USING (doc_id) GROUP BY doc_id)
 SELECT doc_id, (len(x) // 2)::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans, sha256(unhex(coalesce(kept, x))) AS kept_sha256 FROM d LEFT JOIN lost USING (doc_id)
 """
+ORACLE["op11_ngram_join"] = r"""
+WITH RECURSIVE d AS MATERIALIZED (SELECT row_number() OVER () AS rn, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+grams AS MATERIALIZED (SELECT DISTINCT rn, array_to_string(w[k : k + 3], ' ') AS g FROM d, LATERAL (SELECT unnest(range(1, greatest(len(w) - 3, 1) + 1)) AS k) WHERE len(w) > 0),
+sizes AS (SELECT rn, count(*) AS n FROM grams GROUP BY rn),
+pairs AS (SELECT a.rn AS x, b.rn AS y, count(*) AS same FROM grams a JOIN grams b ON a.g = b.g AND a.rn < b.rn GROUP BY ALL),
+links AS MATERIALIZED (SELECT x, y FROM pairs JOIN sizes a ON a.rn = x JOIN sizes b ON b.rn = y WHERE 100 * same >= 85 * (a.n + b.n - same)),
+ways AS (SELECT x, y FROM links UNION SELECT y, x FROM links),
+reach AS (SELECT rn, rn AS other FROM d UNION SELECT r.rn, b.y FROM reach r JOIN ways b ON b.x = r.other),
+own AS (SELECT rn, min(other) AS root FROM reach GROUP BY rn)
+SELECT doc_id, coalesce(n, 0)::BIGINT AS n_shingles, min(doc_id) OVER (PARTITION BY root) AS component_id FROM d JOIN own USING (rn) LEFT JOIN sizes USING (rn)
+"""
+ORACLE["op12_kmeans"] = """
+WITH RECURSIVE v AS MATERIALIZED (SELECT row_number() OVER () AS rn, vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)::BIGINT) AS e FROM embeddings WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+cent AS (SELECT 0 AS r, k, e AS c FROM (SELECT row_number() OVER (ORDER BY sha256('3:' || coalesce(CAST(vec_id AS VARCHAR), '')), e) - 1 AS k, e FROM v) WHERE k < 8
+  UNION ALL
+  SELECT o.r + 1, o.k, coalesce(s.c, o.c) FROM cent o LEFT JOIN (SELECT k, list(m ORDER BY p) AS c FROM (SELECT k, p, floor(sum(x)::DOUBLE / count(*))::BIGINT AS m FROM (SELECT k, unnest(e) AS x, unnest(range(64)) AS p FROM (SELECT v.rn, v.e, arg_min(c.k, list_sum(list_transform(list_zip(v.e, c.c), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) * 8 + c.k) AS k FROM v, cent c GROUP BY v.rn, v.e)) GROUP BY k, p) GROUP BY k) s ON s.k = o.k WHERE o.r < 10),
+last AS (SELECT k, c FROM cent WHERE r = 10),
+near AS (SELECT rn, vec_id, arg_min(k, d * 8 + k) AS k, min(d) AS d FROM (SELECT v.rn, v.vec_id, l.k, list_sum(list_transform(list_zip(v.e, l.c), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS d FROM v, last l) GROUP BY rn, vec_id)
+SELECT vec_id, k::INTEGER AS cluster, d::BIGINT AS distance, (sum(d) OVER (PARTITION BY k))::BIGINT AS cluster_inertia, (sum(d) OVER ())::BIGINT AS inertia, sha256(array_to_string(c, ',')) AS centroid_sha256 FROM near JOIN last USING (k)
+"""
+ORACLE["op13_search"] = f"""
+WITH d AS (SELECT row_number() OVER () AS rn, doc_id, {WORDS} AS w FROM documents),
+sums AS (SELECT count(*) FILTER (len(w) > 0) AS n, sum(len(w))::BIGINT AS l FROM d),
+post AS (SELECT rn, term, count(*) AS tf FROM (SELECT rn, unnest(w) AS term FROM d) GROUP BY ALL),
+weight AS (SELECT term, floor(1000 * ln((2 * any_value(n) + 2) / (2 * count(*) + 1)::DOUBLE))::BIGINT AS w FROM post, sums GROUP BY term),
+asked AS (SELECT DISTINCT item, item_id, term FROM (SELECT row_number() OVER () AS item, item_id, unnest({WORDS}) AS term FROM benchmark)),
+scored AS (SELECT item, item_id, rn, doc_id, sum(weight.w * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * len(d.w) * n) // l))))::BIGINT AS score FROM asked JOIN weight USING (term) JOIN post USING (term) JOIN d USING (rn), sums GROUP BY ALL)
+SELECT item_id, rank::INTEGER AS rank, doc_id, score FROM (SELECT *, row_number() OVER (PARTITION BY item ORDER BY score DESC, doc_id NULLS LAST) AS rank FROM scored WHERE score > 0) WHERE rank <= 50
+"""
