@@ -45,6 +45,22 @@ def wkb(rings: Rings) -> bytes:
     return b"".join(out)
 
 
+def multipolygon(parts: list[Rings]) -> bytes:
+    return struct.pack("<BII", 1, 6, len(parts)) + b"".join(wkb(p) for p in parts)
+
+
+def ring_inside(r: np.ndarray, outer: np.ndarray) -> bool:
+    """Whether a ring lies inside another: tells it from a place just beside the middle of its first edge."""
+    (ax, ay), (bx, by) = r[0], r[1]
+    x, y = (ax + bx) / 2 + (by - ay) * 1e-9, (ay + by) / 2 - (bx - ax) * 1e-9
+    x0, y0 = outer[:-1].T
+    x1, y1 = outer[1:].T
+    cross = (y0 > y) != (y1 > y)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        left = x < (x1 - x0) * (y - y0) / (y1 - y0) + x0
+    return bool((cross & left).sum() % 2)
+
+
 def box(x0: float, y0: float, x1: float, y1: float) -> bytes:
     return wkb([np.array([(x0, y0), (x1, y0), (x1, y1), (x0, y1), (x0, y0)], float)])
 

@@ -15,6 +15,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 
+from ..shared import settle
 from .kernels import Constraint, Graph, is_contiguous, max_deviation, rng_of
 
 Proposal = Callable[[Graph, np.ndarray, np.random.Generator], np.ndarray]
@@ -116,61 +117,23 @@ def run_chains(spark: SparkSession, g: Graph, initial: DataFrame, chains: Sequen
     return ids.repartitionById(max(1, len(own)), "at").select("chain_id").mapInPandas(run, "chain_id bigint, step bigint, node bigint, district string")
 
 
-def repaired(plans: DataFrame, g: Graph, k: int | None = None) -> DataFrame:
-    """(plan_id, node, district): every plan with its districts made contiguous."""
-    from .kernels import repair
-
-    sent = plans.sparkSession.sparkContext.broadcast(g)
-    kind = plans.schema["plan_id"].dataType.simpleString()
-
-    def run(df: pd.DataFrame) -> pd.DataFrame:
-        g = sent.value
-        label, names = codes(df.set_index("node")["district"].reindex(g.ids))
-        new = repair(g, label, k or len(names))
-        return pd.DataFrame({"plan_id": df["plan_id"].iloc[0], "node": g.ids, "district": np.array([*names, None], object)[new]})
-
-    return plans.groupBy("plan_id").applyInPandas(run, f"plan_id {kind}, node bigint, district string")
-
-
 def partition(units: DataFrame, plan: DataFrame, repair: bool = True, edges: DataFrame | None = None) -> DataFrame:
     """(plan_id, node, district) of plans given as polygons: units go to the district that covers most of them, torn districts are mended if asked, and what stays torn is warned of.
 
-    Without `edges`, units that share a segment are neighbours."""
-    from .kernels import graph_of
+    Without `edges`, units that share a boundary are neighbours."""
+    from .regions import repaired, torn
     from .spatial import adjacency, assign
 
-    g = graph_of(units, adjacency(units) if edges is None else edges)
-    own = assign(units, plan).select("plan_id", "node", "district").cache()
-    torn = lambda df: pieces(df, g).where("n_components > 1").select("plan_id").distinct().count()
-    if not repair or not torn(own):
+    edges = settle(adjacency(units) if edges is None else edges.select("u", "v"), "edges")
+    own = settle(assign(units, plan).select("plan_id", "node", "district"), "assigned")
+    if not repair or (own.where("district IS NULL").isEmpty() and torn(own, edges).isEmpty()):
         return own
-    mended = repaired(own, g).cache()
-    own.unpersist()
-    if n := torn(mended):
+    mended = repaired(own, edges)
+    if n := torn(mended, edges).count():
         warnings.warn(f"{n} plans have torn districts after repair: see the plan and the units for gaps", stacklevel=2)
     return mended
 
 
-def pieces(plans: DataFrame, g: Graph, locality: str | None = None) -> DataFrame:
-    """(plan_id, district, locality, n_components): connected pieces of each district, or of each locality's part in it."""
-    from .kernels import components
-
-    sent = plans.sparkSession.sparkContext.broadcast(g)
-    kind = plans.schema["plan_id"].dataType.simpleString()
-
-    def run(df: pd.DataFrame) -> pd.DataFrame:
-        g = sent.value
-        label, names = codes(df.set_index("node")["district"].reindex(g.ids))
-        region = g.regions[locality] if locality else np.zeros(len(g.ids), np.int64)
-        both = (label + 1) * (int(region.max(initial=0)) + 2) + region + 1
-        root = components(g, both)
-        rows = pd.DataFrame({"district": np.array([*names, None], object)[label], "locality": region, "root": root}).drop_duplicates()
-        out = rows.groupby(["district", "locality"]).size().reset_index(name="n_components")
-        return out.assign(plan_id=df["plan_id"].iloc[0])[["plan_id", "district", "locality", "n_components"]]
-
-    return plans.groupBy("plan_id").applyInPandas(run, f"plan_id {kind}, district string, locality bigint, n_components bigint")
-
-
 # Optimisers
 
 @dataclass

@@ -81,47 +81,6 @@ def contiguous(g: Graph, label: np.ndarray) -> bool:
     return len(np.unique(components(g, label))) == len(np.unique(label))
 
 
-def modal(values: np.ndarray) -> int:
-    """The most frequent value, the smallest on a tie."""
-    kinds, n = np.unique(values, return_counts=True)
-    return int(kinds[n.argmax()])
-
-
-def repair(g: Graph, label: np.ndarray, districts: int) -> np.ndarray:
-    """Unassigned nodes (-1) join their neighbours' commonest district, and all but a district's largest component the commonest around it.
-
-    At most 2k passes; without assigned neighbours the smallest other district."""
-    label = label.copy()
-    for _ in range(2 * districts):
-        known = np.unique(label[label >= 0])
-        if not len(known) or ((label >= 0).all() and contiguous(g, label)):
-            break
-        for i in np.flatnonzero(label < 0):
-            near = label[g.neighbours(i)]
-            near = near[near >= 0]
-            label[i] = modal(near) if len(near) else known[0]
-        changed = False
-        for d in known:
-            own = np.flatnonzero(label == d)
-            if not len(own):
-                continue
-            comp = components(g, label)[own]
-            kinds, first, n = np.unique(comp, return_index=True, return_counts=True)
-            if len(kinds) < 2:
-                continue
-            changed = True
-            keep = kinds[np.lexsort((first, -n))[0]]
-            for c in kinds[kinds != keep]:
-                part = own[comp == c]
-                near = np.concatenate([label[g.neighbours(i)] for i in part]) if len(part) else np.empty(0, int)
-                near = near[(near >= 0) & (near != d)]
-                others = known[known != d]
-                label[part] = modal(near) if len(near) else (others[0] if len(others) else d)
-        if not changed:
-            break
-    return label
-
-
 def spanning_tree(g: Graph, edges: np.ndarray, rng: np.random.Generator, surcharges: dict[str, float]) -> list[tuple[int, int]]:
     """Kruskal over uniform weights plus surcharges for crossed regions plus edge penalties."""
     w = rng.random(len(edges)) + g.penalty[edges]

@@ -116,24 +116,11 @@ def dissolve(assignment: DataFrame, units: DataFrame, sums: list[str] | None = N
 
 def multi(rings: list) -> bytes:
     """A MultiPolygon: rings inside another are its holes."""
-    import struct
-
-    def inside(p, r) -> bool:
-        x, y = p
-        hit = False
-        for (x0, y0), (x1, y1) in zip(r[:-1], r[1:], strict=True):
-            if (y0 > y) != (y1 > y) and x < (x1 - x0) * (y - y0) / (y1 - y0) + x0:
-                hit = not hit
-        return hit
-
     outer: list[list] = []
     for r in rings:  # largest first
-        middle = (r[0] + r[1]) / 2 + (r[1] - r[0])[::-1] * (1e-9, -1e-9)
-        home = next((o for o in outer if inside(middle, o[0])), None)
+        home = next((o for o in outer if g.ring_inside(r, o[0])), None)
         if home is None:
             outer.append([r])
         else:
             home.append(r)
-    if len(outer) == 1:
-        return g.wkb(outer[0])
-    return struct.pack("<BII", 1, 6, len(outer)) + b"".join(g.wkb(o) for o in outer)
+    return g.wkb(outer[0]) if len(outer) == 1 else g.multipolygon(outer)

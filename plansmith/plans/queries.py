@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 
 from ..functions import columns as fc
 from ..operators import ensemble as e
+from ..operators import regions as rg
 from ..operators import results as r
+from ..shared import place
 from ..streaming import steps as st
 from . import projection as p
 
@@ -382,46 +384,64 @@ def event_windows(s, d):
     return rounded(st.windowed(p.read(s, d, "events"), "1 hour", by=("event_type",)).drop("end"), "total", to=4)
 
 
-# Kernels: no SQL twin; tests hold them against invariants
+# Connected pieces and their repair
 
-@query("SELECT 0::BIGINT AS plan_id, CAST(x // 10 AS VARCHAR) AS district, 0::BIGINT AS locality, 1::BIGINT AS n_components FROM units GROUP BY ALL")
-def contiguity(s, d):
-    from ..operators.chains import pieces
-    from ..operators.kernels import graph_of
+def torn_stripes(s, d):
+    """The plan of stripes with every 97th unit in another stripe and every 113th row of units cut off."""
+    return p.stripes(s, d).withColumn("district", F.expr(TORN))
 
-    return pieces(p.stripes(s, d), graph_of(p.units(s, d), p.edges(s, d)))
 
+TORN = f"cast(case when node % 97 = 5 then (node % {W} div {W // p.DISTRICTS} + 2) % {p.DISTRICTS} when node % {W} % 10 < 4 and node div {W} % 11 = 3 then {p.DISTRICTS - 1} - node % {W} div {W // p.DISTRICTS} else node % {W} div {W // p.DISTRICTS} end as string)"
+TORN_SQL = "torn AS (SELECT 0::BIGINT AS plan_id, node, " + TORN.replace(" div ", " // ").replace(" as string", " as varchar") + " AS district FROM units)"
 
-PIECES = """RECURSIVE {tables},
-inner_ AS (SELECT a.plan_id, e.u, e.v FROM edges e JOIN assignment a ON a.node = e.u JOIN assignment b ON b.node = e.v AND b.plan_id = a.plan_id AND b.district = a.district{region}),
+PIECES = """RECURSIVE {tables}, start AS ({start}),
+inner_ AS (SELECT a.plan_id, e.u, e.v FROM edges e JOIN start a ON a.node = e.u JOIN start b ON b.node = e.v AND b.plan_id = a.plan_id AND b.district = a.district{region}),
 links AS (SELECT * FROM inner_ UNION ALL SELECT plan_id, v, u FROM inner_),
-reach AS (SELECT plan_id, node, node AS other FROM assignment UNION SELECT r.plan_id, r.node, l.v FROM reach r JOIN links l ON l.plan_id = r.plan_id AND l.u = r.other),
+reach AS (SELECT plan_id, node, node AS other FROM start UNION SELECT r.plan_id, r.node, l.v FROM reach r JOIN links l ON l.plan_id = r.plan_id AND l.u = r.other),
 low AS (SELECT plan_id, node, min(other) AS low FROM reach GROUP BY ALL)"""
+PIECES_SQL = "SELECT a.plan_id, a.district, count(*)::BIGINT AS n_components FROM low JOIN start a USING (plan_id, node) WHERE low = node GROUP BY ALL"
 
 
-@query("SELECT plan_id, count(*)::BIGINT AS num_pieces FROM low WHERE low = node GROUP BY plan_id", PIECES.format(tables=p.SQL, region=" JOIN units x ON x.node = e.u JOIN units y ON y.node = e.v AND y.county = x.county"))
-def locality_pieces(s, d):
-    from ..operators.chains import pieces
-    from ..operators.kernels import graph_of
+@query(PIECES_SQL, PIECES.format(tables=p.SQL + ", " + TORN_SQL, start="SELECT * FROM torn", region=""))
+def contiguity(s, d):
+    return rg.pieces(torn_stripes(s, d), p.edges(s, d))
+
 
-    x = pieces(p.assignment(s, d), graph_of(p.units(s, d), p.edges(s, d), ("county",)), "county")
+@query("SELECT plan_id, count(*)::BIGINT AS num_pieces FROM low WHERE low = node GROUP BY plan_id", PIECES.format(tables=p.SQL, start="SELECT * FROM assignment", region=" JOIN units x ON x.node = e.u JOIN units y ON y.node = e.v AND y.county = x.county"))
+def locality_pieces(s, d):
+    x = rg.pieces(p.assignment(s, d), p.edges(s, d), p.units(s, d), "county")
     return x.groupBy("plan_id").agg(F.sum("n_components").alias("num_pieces"))
 
 
-@query("SELECT a.plan_id, a.district, count(*)::BIGINT AS n_components FROM low JOIN assignment a USING (plan_id, node) WHERE low = node GROUP BY ALL", PIECES.format(tables=p.SQL, region=""))
+@query(PIECES_SQL, PIECES.format(tables=p.SQL, start="SELECT * FROM assignment UNION ALL SELECT 99, node, district FROM torn", region="").replace(", start AS", ", " + TORN_SQL + ", start AS", 1))
 def torn_districts(s, d):
-    from ..operators.chains import pieces
-    from ..operators.kernels import graph_of
+    every = p.assignment(s, d).union(torn_stripes(s, d).withColumn("plan_id", F.lit(99).cast("bigint")))
+    return rg.pieces(every, p.edges(s, d), chunk=512)  # so that pieces cross chunks at any scale
 
-    return pieces(p.assignment(s, d), graph_of(p.units(s, d), p.edges(s, d))).select("plan_id", "district", "n_components")
 
+def repair_sql(start: str, steps: int) -> str:
+    """The repair in SQL, step by step: as many steps as the worst plan has repairs at sf0.01."""
+    out = f"RECURSIVE {p.SQL}, {TORN_SQL}, own0 AS ({start}), ways AS (SELECT u, v FROM edges UNION ALL SELECT v, u FROM edges), names AS (SELECT *, row_number() OVER (PARTITION BY plan_id ORDER BY district) - 1 AS rank, count(*) OVER (PARTITION BY plan_id) AS k FROM (SELECT DISTINCT plan_id, district FROM own0)), at0 AS (SELECT DISTINCT plan_id, -1 AS place FROM names)"
+    for i in range(steps):
+        out += f""",
+links{i} AS MATERIALIZED (SELECT a.plan_id, w.u, w.v FROM ways w JOIN own{i} a ON a.node = w.u JOIN own{i} b ON b.plan_id = a.plan_id AND b.node = w.v AND b.district = a.district),
+reach{i} AS (SELECT plan_id, node, node AS other FROM own{i} UNION SELECT r.plan_id, r.node, l.v FROM reach{i} r JOIN links{i} l ON l.plan_id = r.plan_id AND l.u = r.other),
+comp{i} AS MATERIALIZED (SELECT plan_id, node, district, min(other) AS root FROM reach{i} JOIN own{i} USING (plan_id, node) GROUP BY ALL),
+kept{i} AS (SELECT plan_id, district, arg_max(root, n * 1000000 - root) AS keep FROM (SELECT plan_id, district, root, count(*) AS n FROM comp{i} GROUP BY ALL) GROUP BY ALL HAVING count(*) > 1),
+due{i} AS MATERIALIZED (SELECT plan_id, min(place + 1 + ((rank - place - 1) % k + k) % k) AS place, arg_min(district, place + 1 + ((rank - place - 1) % k + k) % k) AS district, arg_min(keep, place + 1 + ((rank - place - 1) % k + k) % k) AS keep FROM kept{i} JOIN names USING (plan_id, district) JOIN at{i} USING (plan_id) WHERE place + 1 + ((rank - place - 1) % k + k) % k < 2 * k * k GROUP BY plan_id),
+moving{i} AS (SELECT c.* FROM comp{i} c JOIN due{i} USING (plan_id, district) WHERE root <> keep),
+to{i} AS MATERIALIZED (SELECT plan_id, root, first(other ORDER BY n DESC, other) AS other FROM (SELECT m.plan_id, m.root, o.district AS other, count(*) AS n FROM moving{i} m JOIN ways w ON w.u = m.node JOIN own{i} o ON o.plan_id = m.plan_id AND o.node = w.v WHERE o.district <> m.district GROUP BY ALL) GROUP BY ALL),
+own{i + 1} AS MATERIALIZED (SELECT o.plan_id, o.node, coalesce(t.other, CASE WHEN m.node IS NOT NULL THEN (SELECT min(n.district) FROM names n WHERE n.plan_id = o.plan_id AND n.district <> o.district) END, o.district) AS district FROM own{i} o LEFT JOIN moving{i} m USING (plan_id, node) LEFT JOIN to{i} t ON t.plan_id = m.plan_id AND t.root = m.root),
+at{i + 1} AS (SELECT plan_id, coalesce(d.place, a.place) AS place FROM at{i} a LEFT JOIN due{i} d USING (plan_id))"""
+    return out
 
-@query()
-def contiguity_repair(s, d):
-    from ..operators.chains import repaired
-    from ..operators.kernels import graph_of
 
-    return repaired(p.assignment(s, d), graph_of(p.units(s, d), p.edges(s, d)))
+STEPS_OF_REPAIR = 12
+
+
+@query(f"SELECT plan_id, node, district FROM own{STEPS_OF_REPAIR}", repair_sql("SELECT plan_id, node, district FROM assignment", STEPS_OF_REPAIR))
+def contiguity_repair(s, d):
+    return rg.repaired(p.assignment(s, d), p.edges(s, d))
 
 
 def start(s, d, *regions):
@@ -442,16 +462,13 @@ def recombination_chain(s, d):
 
 def states(chain, s, d, slack: float):
     """Of every state of a chain: its districts, people, pieces, and districts further from the ideal than the chain may go."""
-    from ..operators.chains import pieces
-    from ..operators.kernels import graph_of
-
     units = p.units(s, d)
     plans = chain.select((F.col("chain_id") * 1000 + F.col("step")).alias("plan_id"), "node", "district")
     people = e.tally(plans, units, "totpop")
     ideal = units.agg((F.sum("totpop") / p.DISTRICTS).alias("ideal"))
     off = F.sum((F.abs(F.col("totpop") - F.col("ideal")) > slack * F.col("ideal")).cast("bigint"))
     own = people.join(F.broadcast(ideal)).groupBy("plan_id").agg(F.count("*").alias("n_districts"), F.sum("totpop").alias("people"), off.alias("n_off"))
-    torn = pieces(plans, graph_of(units, p.edges(s, d))).groupBy("plan_id").agg(F.sum("n_components").alias("n_pieces"))
+    torn = rg.pieces(plans, p.edges(s, d)).groupBy("plan_id").agg(F.sum("n_components").alias("n_pieces"))
     return own.join(torn, "plan_id")
 
 
@@ -471,19 +488,6 @@ def coupon_states(s, d):
 
 # Sources: what is written is read back
 
-def place(s, what: str) -> str:
-    """A new path in the shared folder; one of this machine only without a cluster."""
-    import tempfile
-    import uuid
-
-    base = s.conf.get("spark.checkpoint.dir", None) or s.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not base:
-        if not s.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir has to name a shared folder")
-        base = "file://" + tempfile.mkdtemp(prefix="plansmith-")
-    return f"{base.rstrip('/')}/plansmith/{what}-{uuid.uuid4().hex}"
-
-
 @query("SELECT step, metric || '_' || key AS key, round(value, 8) AS value FROM steps WHERE value IS NOT NULL", STEPS)
 def step_log(s, d):
     from ..sources import io
@@ -544,6 +548,23 @@ def plan_file(s, d):
     return io.load_boundaries(s, path).select("plan_id", "district", F.round("area", 6).alias("area"), F.col("totpop").cast("bigint").alias("totpop"))
 
 
+KINDS = ("geojson", "shp", "zip")
+
+
+@query(f"SELECT kind, plan_id, district, count(*)::DOUBLE AS area, sum(totpop)::BIGINT AS totpop, (SELECT count(*) FROM (SELECT DISTINCT plan_id, district FROM assignment))::BIGINT AS n_features FROM assignment JOIN units USING (node), (SELECT unnest({list(KINDS)}) AS kind) GROUP BY ALL")
+def geo_files(s, d):
+    """Every plan's districts written in each format, read back and counted."""
+    from ..sources import io
+
+    out = None
+    for kind in KINDS:
+        path = place(s, "plan") + "." + kind
+        io.write_plan(p.assignment(s, d), p.geometry(s, d), path, ["totpop"])
+        own = io.load_units(s, path).select(F.lit(kind).alias("kind"), F.col("plan_id").cast("bigint").alias("plan_id"), "district", F.round("area", 6).alias("area"), F.col("totpop").cast("bigint").alias("totpop"), F.lit(io.district_count(s, path)).cast("bigint").alias("n_features"))
+        out = own if out is None else out.union(own)
+    return out
+
+
 @query("SELECT county AS locality, count(*)::DOUBLE AS area FROM units GROUP BY county")
 def locality_boundaries(s, d):
     from ..operators.spatial import with_area
@@ -637,20 +658,21 @@ def running_best_latest(s, d):
 
 @query("SELECT CAST(x // 10 AS VARCHAR) AS district, count(*)::DOUBLE AS area, (SELECT count(DISTINCT x // 10) FROM units)::BIGINT AS n_districts FROM units GROUP BY 1")
 def plan_districts(s, d):
-    from ..operators.spatial import dissolve, with_area
+    from ..operators.spatial import with_area
     from ..sources import io
 
-    path = place(s, "plan") + ".parquet"
-    dissolve(p.stripes(s, d), p.geometry(s, d)).drop("plan_id").write.parquet(path)
+    path = place(s, "plan") + ".geojson"
+    io.write_plan(p.stripes(s, d), p.geometry(s, d), path)
     return with_area(io.load_plan(s, path)).select("district", F.round("area", 6).alias("area"), F.lit(io.district_count(s, path)).cast("bigint").alias("n_districts"))
 
 
-@query("SELECT 0::BIGINT AS plan_id, node, CAST(x // 10 AS VARCHAR) AS district FROM units")
+@query(f"SELECT plan_id, node, district FROM own{STEPS_OF_REPAIR}", repair_sql("SELECT plan_id, node, district FROM torn", STEPS_OF_REPAIR))
 def partition_of_plan(s, d):
+    """A torn plan as polygons, its units' districts by overlap, mended."""
     from ..operators.chains import partition
     from ..operators.spatial import dissolve
 
-    return partition(p.geometry(s, d), dissolve(p.stripes(s, d), p.geometry(s, d))).select("plan_id", "node", "district")
+    return partition(p.geometry(s, d), dissolve(torn_stripes(s, d), p.geometry(s, d))).select("plan_id", "node", "district")
 
 
 @query("SELECT plan_id, metric, key, round(value, 8) AS value FROM (SELECT 'map ' || plan_id AS plan_id, 'split_county' AS metric, CAST(NULL AS VARCHAR) AS key, n::DOUBLE AS value FROM (" + SPLIT.format("county") + ") UNION ALL SELECT 'map ' || plan_id, 'population', district, sum(totpop)::DOUBLE FROM assignment JOIN units USING (node) GROUP BY ALL) WHERE metric = 'split_county' OR metric = 'population'")

@@ -9,12 +9,12 @@ from collections.abc import Mapping, Sequence
 from datetime import date
 from pathlib import Path
 
-import pandas as pd
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators.spatial import dissolve, with_area
+from . import geofiles
 
 CRS = "EPSG:26912"
 
@@ -26,34 +26,10 @@ def exists(spark: SparkSession, path: str) -> bool:
 
 
 def load_units(spark: SparkSession, path: str, crs: str | None = None, target: str = CRS) -> DataFrame:
-    """Units from Parquet with WKB or from GeoJSON; `area` is added where it is missing.  Data of another CRS is refused: nothing here reprojects."""
+    """Units from Parquet with WKB, GeoJSON, a shapefile or a zip archive of these; `area` is added where it is missing.  Data of another CRS is refused: nothing here reprojects."""
     if crs is not None and crs != target:
         raise ValueError(f"{path} is in {crs}; reproject it to {target} first")
-    return with_area(geojson(spark, path) if path.endswith((".json", ".geojson")) else spark.read.parquet(path))
-
-
-def geojson(spark: SparkSession, path: str) -> DataFrame:
-    """A row a feature: its properties as columns, its polygons as WKB in `geom`."""
-    import struct
-
-    import numpy as np
-
-    from ..functions.geometry import wkb
-
-    @F.pandas_udf("binary")
-    def geom(kind: pd.Series, text: pd.Series) -> pd.Series:
-        def one(k: str, t: str) -> bytes:
-            c = json.loads(t)
-            if k == "Polygon":
-                return wkb([np.array(r, float)[:, :2] for r in c])
-            return struct.pack("<BII", 1, 6, len(c)) + b"".join(wkb([np.array(r, float)[:, :2] for r in p]) for p in c)
-
-        return pd.Series([one(k, t) for k, t in zip(kind, text, strict=True)])
-
-    schema = "features array<struct<properties:map<string,string>,geometry:struct<type:string,coordinates:string>>>"
-    rows = spark.read.schema(schema).option("multiLine", True).json(path).select(F.explode("features").alias("f"))
-    keys = sorted(r[0] for r in rows.select(F.explode(F.map_keys("f.properties"))).distinct().collect())  # property names
-    return rows.select(*(F.col("f.properties")[k].alias(k) for k in keys), geom("f.geometry.type", "f.geometry.coordinates").alias("geom"))
+    return with_area(geofiles.columns(geofiles.read(spark, path)) if path.endswith(geofiles.ENDINGS) else spark.read.parquet(path))
 
 
 class Datasets:
@@ -126,28 +102,17 @@ def boundaries_by_dissolve(units: DataFrame, locality: str, name: str) -> DataFr
 
 
 def write_plan(assignment: DataFrame, units: DataFrame, path: str, sums: Sequence[str] = ()) -> DataFrame:
-    """District polygons as Parquet (.parquet) or as a GeoJSON text feature a row (.geojson); unassigned units are left out."""
+    """District polygons as .parquet, .geojson, .shp or .zip, which load_plan reads back; unassigned units are left out."""
+    if not path.endswith((".parquet", ".geojson", ".shp", ".zip")):
+        raise ValueError(f"{path}: the ending has to be .parquet, .geojson, .shp or .zip")
     out = dissolve(assignment, units, list(sums) or None)
     if path.endswith(".parquet"):
         out.write.mode("overwrite").parquet(path)
-    elif path.endswith(".geojson"):
-        features(out).write.mode("overwrite").text(path)
     else:
-        raise ValueError(f"{path}: the ending has to be .parquet or .geojson")
+        geofiles.write(out, path)
     return out
 
 
-def features(plans: DataFrame) -> DataFrame:
-    from ..functions.geometry import polygons
-
-    @F.pandas_udf("string")
-    def text(geom: pd.Series) -> pd.Series:
-        return geom.map(lambda b: json.dumps({"type": "MultiPolygon", "coordinates": [[r.tolist() for r in p] for p in polygons(bytes(b))]}))
-
-    own = [c for c in plans.columns if c != "geom"]
-    return plans.select(F.concat(F.lit('{"type":"Feature","properties":'), F.to_json(F.struct(*own)), F.lit(',"geometry":'), text("geom"), F.lit("}")).alias("value"))
-
-
 def write_steps(metrics: DataFrame, path: str, step: str = "step") -> None:
     """(step, metric, key, value) as JSON lines {step, metric: value or map}: keys are text, in order; a null key is a scalar."""
     by = metrics.groupBy(step, "metric").agg(F.max(F.when(F.col("key").isNull(), F.col("value"))).alias("one"), F.map_from_entries(F.array_sort(F.collect_list(F.when(F.col("key").isNotNull(), F.struct(F.col("key").cast("string").alias("key"), "value"))))).alias("many"))
@@ -196,21 +161,25 @@ def chamber(name: str, maps: str | None = None) -> dict:
     """Population tolerance and districts of a chamber, and the comparison maps of the folder `maps` by name; ValueError for an unknown one."""
     if name not in CHAMBERS:
         raise ValueError(f"unknown chamber {name!r}; there are {sorted(CHAMBERS)}")
-    own = sorted(p for p in Path(maps).iterdir() if p.suffix in (".parquet", ".geojson")) if maps else []
+    own = sorted(p for p in Path(maps).iterdir() if p.suffix in (".parquet", *geofiles.ENDINGS)) if maps else []
     return CHAMBERS[name] | {"comparison_maps": {p.stem: str(p) for p in own}}
 
 
 def load_plan(spark: SparkSession, path: str, plan: object = 0, column: str = "district") -> DataFrame:
     """(plan_id, district, geom) of a plan's file; without the column the districts are numbered from 1, row by row, as only the rows tell them apart."""
-    units = load_units(spark, path)
+    if path.endswith(geofiles.ENDINGS):
+        rows = geofiles.read(spark, path)
+        units, order = geofiles.columns(rows, "file", "position"), ("file", "position")
+    else:
+        units, order = spark.read.parquet(path), (F.monotonically_increasing_id(),)
     if column not in units.columns:  # a plan has few rows
-        units = units.withColumn(column, F.row_number().over(Window.orderBy(F.monotonically_increasing_id())))
+        units = units.withColumn(column, F.row_number().over(Window.orderBy(*order)))
     return units.select(F.lit(plan).alias("plan_id"), F.col(column).cast("string").alias("district"), "geom")
 
 
 def district_count(spark: SparkSession, path: str) -> int:
-    """How many rows a plan's file has."""
-    return (spark.read.text(path).where("value LIKE '%\"Feature\"%'") if path.endswith(".geojson") else spark.read.parquet(path)).count()
+    """How many features, or rows, a plan's file has."""
+    return (geofiles.read(spark, path) if path.endswith(geofiles.ENDINGS) else spark.read.parquet(path)).count()
 
 
 def step_images(spark: SparkSession, folder: str) -> DataFrame:

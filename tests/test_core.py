@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from plansmith.functions import columns as fc
 from plansmith.functions import geometry as g
-from plansmith.operators import chains, ensemble, kernels, results, spatial
+from plansmith.operators import chains, ensemble, kernels, regions, results, spatial
 from plansmith.operators.config import Config, Context
 from plansmith.sources import io
 from plansmith.streaming import steps as st
@@ -136,10 +136,6 @@ def test_kernels_keep_their_invariants():
         seen.append(s)
     again = list(chains.walk(graph, label, kernels.Recom(16, 0.1), [kernels.is_contiguous, kernels.not_equal], chains.Scheme(), 15, kernels.rng_of(1, 2)))
     assert all((a == b).all() for a, b in zip(seen, again, strict=True))
-    torn = np.random.default_rng(0).integers(-1, 4, 64)
-    fixed = kernels.repair(graph, torn, 4)
-    assert kernels.contiguous(graph, fixed) and (fixed >= 0).all()
-    assert kernels.repair(graph, label, 4).tolist() == label.tolist()
     assert kernels.same_plan(np.array([0, 0, 1]), np.array([5, 5, 2])) and not kernels.same_plan(np.array([0, 0, 1]), np.array([0, 1, 1]))
     assert kernels.split_counts(graph, label, "c") == (4, 16 - 4 - 4)
 
@@ -157,9 +153,9 @@ def test_coupon_chain_states():
 def test_optimisers():
     graph, rng = grid(), kernels.rng_of(3, 0)
     label = (np.arange(64) % 8) // 2
-    label[:5] = 3
-    best, value = chains.anneal(graph, kernels.repair(graph, label, 4), kernels.BoundaryFlip(), [kernels.is_contiguous], lambda g_, s: kernels.log_sse(g_, s, 16), 250, rng)
-    assert kernels.contiguous(graph, best) and value <= kernels.log_sse(graph, kernels.repair(graph, label, 4), 16)
+    label[2] = 0
+    best, value = chains.anneal(graph, label.copy(), kernels.BoundaryFlip(), [kernels.is_contiguous], lambda g_, s: kernels.log_sse(g_, s, 16), 250, rng)
+    assert kernels.contiguous(graph, best) and value <= kernels.log_sse(graph, label, 16)
     m = [chains.Goal(lambda g_, s: float((s[g_.u] != s[g_.v]).sum())), chains.Goal(lambda g_, s: float(kernels.split_counts(g_, s, "c")[0]))]
     start = (np.arange(64) % 8) // 2
     _, score = chains.lexicographic(graph, start, m, [kernels.Recom(16, 0.1)] * 2, [{"steps": 15}] * 2, [kernels.is_contiguous], rng)
@@ -314,7 +310,7 @@ def test_sources_and_sinks(spark, tmp_path):
     assert io.cached(spark, str(tmp_path / "cache"), make).count() == io.cached(spark, str(tmp_path / "cache"), make).count() == 4 and len(calls) == 1
     units = u.select(F.col("id").cast("bigint").alias("node"), "geom")
     io.write_plan(spark.createDataFrame([(0, 1, "x"), (0, 2, None)], "plan_id bigint, node bigint, district string"), units, str(tmp_path / "plan.geojson"))
-    assert "MultiPolygon" in spark.read.text(str(tmp_path / "plan.geojson")).first().value
+    assert [r.district for r in io.load_plan(spark, str(tmp_path / "plan.geojson")).collect()] == ["x"]
     with pytest.raises(ValueError):
         io.write_plan(spark.createDataFrame([(0, 1, "x")], "plan_id bigint, node bigint, district string"), units, str(tmp_path / "plan.xyz"))
     io.write_summary(spark.createDataFrame([(1, 2)], "b int, a int"), str(tmp_path / "s"), ["b", "missing"])
@@ -388,8 +384,9 @@ def test_partition_of_a_torn_plan(spark):
     as_given = {r.node: r.district for r in chains.partition(units, plan, repair=False).collect()}
     assert as_given == dict(enumerate(names))
     own = chains.partition(units, plan)
-    graph = kernels.graph_of(units, spatial.adjacency(units))
-    assert own.count() == 6 and chains.pieces(own, graph).agg(F.max("n_components")).first()[0] == 1
+    assert own.count() == 6 and regions.pieces(own, spatial.adjacency(units)).agg(F.max("n_components")).first()[0] == 1
+    with pytest.warns(UserWarning, match="torn districts after repair"):  # a gap between units cannot be mended
+        chains.partition(units, plan, edges=spark.createDataFrame([(0, 1), (3, 4), (4, 5)], "u bigint, v bigint"))
 
 
 def test_long_form_of_metrics(spark):
@@ -413,3 +410,167 @@ def test_averages_and_auto_bins(spark):
         got = {r.bin: r.n for r in results.histogram(spark.createDataFrame([("g", float(v)) for v in x], "k string, value double"), ["k"], "auto").collect()}
         want, _ = np.histogram(x, "auto")
         assert got == {i: n for i, n in enumerate(want.tolist()) if n}
+
+
+def plain_components(nodes, edges, label):
+    root = {n: n for n in nodes}
+    changed = True
+    while changed:
+        changed = False
+        for u, v in edges:
+            if label[u] == label[v] and root[u] != root[v]:
+                root[u] = root[v] = min(root[u], root[v])
+                changed = True
+    return root
+
+
+def plain_repair(nodes, edges, label, k):
+    near = {n: [v for u, v in edges if u == n] + [u for u, v in edges if v == n] for n in nodes}
+    label = dict(label)
+    modal = lambda x: min(set(x), key=lambda d: (-x.count(d), d))
+    while any(d is None for d in label.values()):
+        new = {n: modal(x) for n, d in label.items() if d is None and (x := [label[v] for v in near[n] if label[v] is not None])}
+        label |= new or {n: min(d for d in label.values() if d) for n, d in label.items() if d is None}
+    names = sorted(set(label.values()))
+    for _ in range(2 * k):
+        before = dict(label)
+        for d in names:
+            root = plain_components(nodes, edges, label)
+            own = [root[n] for n in nodes if label[n] == d]
+            keep = min(set(own), key=lambda r: (-own.count(r), r))
+            for r in set(own) - {keep}:
+                part = [n for n in nodes if root[n] == r]
+                around = [label[v] for n in part for v in near[n] if label[v] != d]
+                to = modal(around) if around else min(x for x in names if x != d)
+                before[part[0]] = None
+                for n in part:
+                    label[n] = to
+        if before == label:
+            break
+    return label
+
+
+@pytest.mark.parametrize("chunk", [7, 1 << 16])
+def test_pieces_and_repair_against_plain_python(spark, chunk):
+    rng = np.random.default_rng(5)
+    nodes = list(range(40))
+    edges = [(k, k + 1) for k in nodes if k % 8 < 7] + [(k, k + 8) for k in nodes if k < 32]
+    e = spark.createDataFrame(edges, "u bigint, v bigint")
+    plans = {q: {n: (None if q < 2 and rng.random() < 0.15 else "abcd"[min(n % 8 // 2, 3)] if rng.random() < 0.8 else "abcd"[rng.integers(4)]) for n in nodes} for q in range(3)}
+    plans[3] = {n: None if n == 0 else "ab"[n // 20] for n in nodes}
+    a = spark.createDataFrame([(q, n, d) for q, x in plans.items() for n, d in x.items()], "plan_id bigint, node bigint, district string")
+    got = {(r.plan_id, r.district): r.n_components for r in regions.pieces(a, e, chunk=chunk).collect()}
+    want = {}
+    for q, x in plans.items():
+        root = plain_components(nodes, [(u, v) for u, v in edges if x[u] and x[v]], x)
+        for n in nodes:
+            if x[n] and root[n] == n:
+                want[q, x[n]] = want.get((q, x[n]), 0) + 1
+    assert got == want
+    got = {(r.plan_id, r.node): r.district for r in regions.repaired(a, e, chunk=chunk).collect()}
+    assert got == {(q, n): d for q, x in plans.items() for n, d in plain_repair(nodes, edges, x, len({d for d in x.values() if d})).items()}
+
+
+def test_pieces_of_localities_and_stars(spark):
+    line = spark.createDataFrame([(k, k + 1) for k in range(300)], "u bigint, v bigint")
+    a = spark.createDataFrame([(0, k, "x") for k in range(301)], "plan_id bigint, node bigint, district string")
+    root = regions.components(a.withColumn("part", F.lit("x")), line, chunk=1)
+    assert {r.root for r in root.collect()} == {0}
+    u = spark.createDataFrame([(k, None if k < 3 else "" if k < 5 else "b") for k in range(301)], "node bigint, county string")
+    got = {r.locality: r.n_components for r in regions.pieces(a, line, u, "county").collect()}
+    assert got == {None: 1, "": 1, "b": 1}
+    assert regions.pieces(a.limit(0), line).count() == 0 and regions.repaired(a.limit(0), line).count() == 0
+    islands = regions.repaired(a.withColumn("district", F.when(F.col("node") == 7, "y").when(F.col("node") < 9, "x")), line.limit(0), passes=1)
+    assert islands.where("district IS NULL").count() == 0
+
+
+def polygon(*ring, holes=()):
+    return {"type": "Polygon", "coordinates": [[list(map(float, p)) for p in (*r, r[0])] for r in (ring, *holes)]}
+
+
+def test_geojson_ranges_lose_and_double_nothing(spark, tmp_path):
+    from plansmith.sources import geofiles
+
+    box = polygon((0, 0), (1, 0), (1, 1), (0, 1))
+    odd = {"quote": 'a " {"type": "Feature"} \\', "brace": "}{", "ö": "ü\n", "n": 5, "f": 1.5, "deep": {"a": ["{", 1]}, "none": None}
+    own = [{"type": "Feature", "id": k, "properties": odd | {"k": str(k)}, "geometry": box} if k % 3 else {"properties": odd | {"k": str(k)}, "geometry": {"type": "MultiPolygon", "coordinates": [box["coordinates"]] * 2}, "type": "Feature"} for k in range(41)]
+    own += [{"type": "Feature", "properties": None, "geometry": None}]
+    whole = {"type": "FeatureCollection", "name": "x { \" y", "features": own}
+    texts = {"line": json.dumps(whole, ensure_ascii=False), "tight": json.dumps(whole, separators=(",", ":")), "spread": json.dumps(whole, indent=3, ensure_ascii=False), "rows": "\n".join(map(json.dumps, own))}
+    for name, text in texts.items():
+        file = tmp_path / f"{name}.geojson"
+        file.write_text(text)
+        assert io.district_count(spark, str(file)) == 42, name
+        data = geofiles.pa.BufferReader(text.encode())
+        want = None
+        for size in (7, 100, 333, 10**6):
+            got = [x for low in range(0, data.size(), size) for x in geofiles.features(data, data.size(), low, min(low + size, data.size()), step=50)]
+            assert [p.get("k") for _, p, _ in got] == [*map(str, range(41)), None], (name, size)
+            want = want or got
+            assert got == want
+        assert got[1][1] == {k: v if isinstance(v, str) or v is None else json.dumps(v, separators=(",", ":")) for k, v in odd.items()} | {"k": "1"}
+        assert g.area(got[0][2]) == 2 and got[-1][2] is None
+        assert geofiles.read(spark, str(file), range_bytes=500).select("position").distinct().count() == 42
+    for text, n in (("", 0), ('{"type":"FeatureCollection","features":[]}', 0), ('{"type":"Feature","properties":{},"geometry":null}', 1)):
+        (tmp_path / "small.geojson").write_text(text)
+        assert io.district_count(spark, str(tmp_path / "small.geojson")) == n
+    (tmp_path / "small.geojson").write_text(json.dumps({"type": "Feature", "properties": {}, "geometry": {"type": "Point", "coordinates": [0, 0]}}))
+    with pytest.raises(Exception, match="neither a polygon"):
+        io.district_count(spark, str(tmp_path / "small.geojson"))
+    with pytest.raises(Exception, match="FileNotFound|is not there|no.geojson"):
+        io.district_count(spark, str(tmp_path / "no.geojson"))
+
+
+@pytest.mark.parametrize("ending", ["geojson", "shp", "zip"])
+def test_geo_files_come_back(spark, tmp_path, ending):
+    from plansmith.sources import geofiles
+
+    ring = g.wkb([np.array([(0, 0), (4, 0), (4, 4), (0, 4), (0, 0)], float), np.array([(1, 1), (1, 3), (3, 3), (3, 1), (1, 1)], float)])
+    many = g.multipolygon([g.polygons(ring)[0], g.polygons(g.box(9, 9, 11, 11))[0], g.polygons(g.box(1.5, 1.5, 2, 2))[0]])
+    rows = [(1, "ä b", 2.5, True, ring, "x"), (2, None, None, False, many, "y"), (-3, "", 1e-300, None, None, "z")]
+    df = spark.createDataFrame(rows, "node bigint, name string, share double, flag boolean, geom binary, a_column_of_many_letters string").repartition(2)
+    path = str(tmp_path / f"units.{ending}")
+    for _ in range(2):  # the second replaces the first
+        geofiles.write(df, path)
+    assert not [x for x in (tmp_path / f"units.{ending}").iterdir() if x.name.startswith("_temp")]
+    got = {int(r.properties["node"]): r for r in geofiles.read(spark, path, range_bytes=60).collect()}
+    assert sorted(got) == [-3, 1, 2] and got[-3].geom is None
+    assert g.area(bytes(got[1].geom)) == 12 and g.area(bytes(got[2].geom)) == 16.25
+    long = "a_column_of_many_letters" if ending == "geojson" else "a_column_o"
+    assert [got[k].properties[long] for k in (1, 2, -3)] == ["x", "y", "z"] and got[1].properties["name"] == "ä b" and float(got[-3].properties["share"]) == 1e-300
+    assert io.load_units(spark, path).where("area = 12").count() == 1
+    with pytest.raises(Exception, match="column geom"):
+        geofiles.write(df.drop("geom"), path)
+    if ending != "geojson":
+        with pytest.raises(Exception, match="do not fit"):
+            geofiles.write(df.withColumn("name", F.lit("y" * 255)), path)
+    assert geofiles.read(spark, path).count() == 3  # what failed left the files alone
+    geofiles.write(df.limit(0), path)
+    assert geofiles.read(spark, path).count() == 0
+
+
+def test_shapefiles_of_others(spark, tmp_path):
+    """Kinds with heights, records that were deleted, another encoding, and an archive of several files."""
+    import struct
+    import zipfile
+
+    from plansmith.sources import geofiles
+
+    parts = geofiles.Parts(".shp", spark.createDataFrame([], "name string, geom binary").schema)
+    files = dict(parts.shapefile([{"name": n, "geom": g.box(k, 0, k + 1, 1)} for k, n in enumerate(["a", "b", "c"])]))
+    flat = files[".shp"]
+    heights = bytearray(flat)
+    for k in range(3):
+        struct.pack_into("<i", heights, 100 + k * (len(flat) - 100) // 3 + 8, 25)
+    table = bytearray(files[".dbf"].replace(b"b" + b" " * 253, b"\xe9" + b" " * 253))
+    table[struct.unpack_from("<H", table, 8)[0]] = ord("*")
+    for name, data in ((".shp", bytes(heights)), (".shx", files[".shx"]), (".dbf", bytes(table)), (".cpg", b"ISO-8859-1")):
+        (tmp_path / f"u{name}").write_bytes(data)
+    got = geofiles.read(spark, str(tmp_path / "u.shp"), range_bytes=1)
+    assert got.rdd.getNumPartitions() == 3 and sorted((r.position, r.properties["name"], g.area(bytes(r.geom))) for r in got.collect()) == [(1, "é", 1.0), (2, "c", 1.0)]
+    with zipfile.ZipFile(tmp_path / "both.zip", "w") as z:
+        for name in (".shp", ".shx", ".dbf"):
+            z.writestr(f"in/u{name}", files[name])
+        z.writestr("v.geojson", json.dumps({"type": "Feature", "properties": {"name": "d"}, "geometry": None}))
+    assert sorted(r.properties["name"] for r in geofiles.read(spark, str(tmp_path / "both.zip")).collect()) == ["a", "b", "c", "d"]
+    assert [tuple(r) for r in io.load_plan(spark, str(tmp_path / "both.zip"), "p").select("plan_id", "district").orderBy("district").collect()] == [("p", str(k)) for k in range(1, 5)]
