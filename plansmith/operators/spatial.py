@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -116,11 +117,13 @@ def dissolve(assignment: DataFrame, units: DataFrame, sums: list[str] | None = N
 
 def multi(rings: list) -> bytes:
     """A MultiPolygon: rings inside another are its holes."""
-    outer: list[list] = []
-    for r in rings:  # largest first
-        home = next((o for o in outer if g.ring_inside(r, o[0])), None)
-        if home is None:
-            outer.append([r])
-        else:
-            home.append(r)
+    low, high = (np.array([f(r, axis=0) for r in rings]).reshape(-1, 2) for f in (np.min, np.max))
+    home = np.full(len(rings), -1)  # of a hole, the ring around it
+    for k, r in enumerate(rings):  # largest first
+        around = np.flatnonzero((home[:k] < 0) & (low[:k] <= low[k]).all(axis=1) & (high[:k] >= high[k]).all(axis=1))
+        home[k] = next((j for j in around.tolist() if g.ring_inside(r, rings[j])), -1)
+    holes: dict[int, list] = {}
+    for k in np.flatnonzero(home >= 0).tolist():
+        holes.setdefault(int(home[k]), []).append(rings[k])
+    outer = [[rings[k], *holes.get(k, [])] for k in np.flatnonzero(home < 0).tolist()]
     return g.wkb(outer[0]) if len(outer) == 1 else g.multipolygon(outer)
