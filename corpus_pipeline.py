@@ -1,6 +1,10 @@
 """A training-data pipeline: each stage reads what the one before wrote, and its decisions take effect.
 
 All but the last stage return the columns of documents.
+
+Cases, for every stage: a null text counts as empty and stays null; texts of any length are read whole; repeated rows are
+rows of their own (near-duplicates keep one of them); an empty table gives no rows; columns of the caller keep
+their values, whatever their names; the last stage returns lang and source where they are there.
 """
 
 from __future__ import annotations
@@ -43,8 +47,22 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     return back(named.join(stay, ["id_", "h_"], "left_semi").dropDuplicates(["id_", "h_"]))
 
 
+def letters(text: bytes, start: int, end: int) -> tuple[int, int]:
+    """A span widened to the letters that it touches."""
+    while start > 0 and text[start] & 0xC0 == 0x80:
+        start -= 1
+    while end < len(text) and text[end] & 0xC0 == 0x80:
+        end += 1
+    return start, end
+
+
+def shortened(text: bytes, starts: list[int], ends: list[int]) -> str:
+    spans = [letters(text, a, b) for a, b in zip(starts or [], ends or [], strict=True)]
+    return suffix_dedup.kept(text, [a for a, _ in spans], [b for _, b in spans])[0].decode()
+
+
 def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Bytes that earlier documents hold go from each text; a letter that loses some of its bytes goes whole."""
+    """Bytes that earlier documents hold go from each text; a letter that loses some of its bytes goes whole.  A null text stays null, and one that loses everything becomes empty."""
     columns = docs.columns
     found, starts, ends = suffix_dedup.with_spans(docs)
     names = found.columns
@@ -53,7 +71,7 @@ def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
         for batch in batches:
             for b in slices(batch, "text", suffix_dedup.STEP):
                 at = {c: b.column(k) for k, c in enumerate(names)}
-                text = [None if t is None else suffix_dedup.kept(t, s, e)[0].decode("utf-8", "ignore") for t, s, e in zip(at["text"].cast(pa.binary()).to_pylist(), at[starts].to_pylist(), at[ends].to_pylist(), strict=True)]
+                text = [None if t is None else shortened(t, s, e) for t, s, e in zip(at["text"].cast(pa.binary()).to_pylist(), at[starts].to_pylist(), at[ends].to_pylist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array(text, pa.string()) if c == "text" else at[c] for c in columns], columns)
 
     out = found.mapInArrow(tidied(run), docs.schema)
@@ -68,8 +86,9 @@ def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of what is left, with what decoding gives."""
-    got = bpe.encode_decode(docs, vocabulary("word_bpe_49k.json"), keep=["lang", "source"])
-    return got.select("doc_id", "lang", "source", "n_tokens", "ids", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+    keep = [c for c in ("lang", "source") if c in docs.columns]
+    got = bpe.encode_decode(docs, vocabulary("word_bpe_49k.json"), keep=keep)
+    return got.select("doc_id", *keep, "n_tokens", "ids", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 STAGES: list[tuple[str, Stage]] = [
