@@ -7,7 +7,7 @@ from __future__ import annotations
 
 import math
 import struct
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 
@@ -73,13 +73,18 @@ def area(g: bytes) -> float:
     return sum(abs(ring_area(p[0])) - sum(abs(ring_area(h)) for h in p[1:]) for p in polygons(g) if p)
 
 
-def segments(g: bytes) -> Iterator[tuple[float, float, float, float]]:
-    """The boundary's segments, each from its smaller end."""
-    for p in polygons(g):
-        for r in p:
-            for a, b in zip(map(tuple, r[:-1].tolist()), map(tuple, r[1:].tolist()), strict=True):
-                if a != b:
-                    yield (*min(a, b), *max(a, b))
+def segments(geoms: Iterable[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
+    """Boundary segments of many polygons: the place of each one's polygon, and (x0, y0, x1, y1) with the inside on the left."""
+    at, out = [], []
+    for k, geom in enumerate(geoms):
+        for p in polygons(bytes(geom)) if geom is not None else ():
+            for hole, r in enumerate(p):
+                r = r if (ring_area(r) > 0) != bool(hole) else r[::-1]
+                own = np.hstack([r[:-1], r[1:]])
+                own = own[(own[:, :2] != own[:, 2:]).any(axis=1)]
+                at.append(np.full(len(own), k))
+                out.append(own)
+    return (np.concatenate(at), np.concatenate(out)) if out else (np.empty(0, int), np.empty((0, 4)))
 
 
 def clip(subject: np.ndarray, convex: np.ndarray) -> np.ndarray:
@@ -132,23 +137,76 @@ def overlap(unit: bytes, plan: bytes) -> float:
     return total
 
 
-def outline(pieces: list[tuple[float, float, float, float]]) -> list[np.ndarray]:
-    """Closed rings from boundary segments: segments that two units share have gone beforehand."""
-    ends: dict[tuple[float, float], list[tuple[float, float]]] = {}
-    for x0, y0, x1, y1 in pieces:
-        ends.setdefault((x0, y0), []).append((x1, y1))
-        ends.setdefault((x1, y1), []).append((x0, y0))
-    rings = []
-    for start in sorted(ends):
-        while ends[start]:
-            ring, at = [start], start
-            while True:
-                to = min(ends[at])
-                ends[at].remove(to)
-                ends[to].remove(at)
-                ring.append(to)
-                at = to
-                if at == start:
-                    break
-            rings.append(np.array(ring))
-    return sorted(rings, key=lambda r: -abs(ring_area(r)))
+def half(ring: np.ndarray, axis: int, at: float, above: bool) -> np.ndarray:
+    """A closed ring cut by a line across an axis: the side from `at` on, or up to it."""
+    side = ring[:, axis] - at if above else at - ring[:, axis]
+    if (side >= 0).all():
+        return ring
+    if (side <= 0).all():
+        return ring[:0]
+    a, b = ring[:-1], ring[1:]
+    here, there = side[:-1], side[1:]
+    crossing = (here < 0) != (there < 0)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        cut = a + (here / (here - there))[:, None] * (b - a)
+    cut[:, axis] = at
+    both = np.empty((2 * len(a), 2))
+    both[::2], both[1::2] = a, cut
+    keep = np.empty(2 * len(a), bool)
+    keep[::2], keep[1::2] = here >= 0, crossing
+    out = both[keep]
+    return np.vstack([out, out[:1]]) if len(out) else out
+
+
+def tiles(rings: Rings, size: float, x: tuple[int, int] | None = None, y: tuple[int, int] | None = None) -> Iterator[tuple[int, int, Rings]]:
+    """A polygon cut to the cells of a grid: (column, row, rings).  The range of columns and rows is halved until one cell is left, so a long outline is not gone through for each cell."""
+    if x is None:
+        low, high = rings[0].min(axis=0), rings[0].max(axis=0)
+        (x0, y0), (x1, y1) = np.floor(low / size).astype(int).tolist(), np.floor(high / size).astype(int).tolist()
+        x, y = (x0, x1), (y0, y1)
+    if x[0] == x[1] and y[0] == y[1]:
+        yield x[0], y[0], rings
+        return
+    axis = 0 if x[1] - x[0] >= y[1] - y[0] else 1
+    low, high = (x, y)[axis]
+    middle = (low + high + 1) // 2
+    for above, own in ((False, (low, middle - 1)), (True, (middle, high))):
+        part = [r for r in (half(r, axis, middle * size, above) for r in rings) if len(r) > 3 and ring_area(r) != 0]
+        if part:
+            yield from tiles(part, size, own if axis == 0 else x, own if axis else y)
+
+
+def simple(ring: np.ndarray) -> Iterator[np.ndarray]:
+    """A closed ring cut where it touches itself."""
+    if len(np.unique(ring[:-1], axis=0)) == len(ring) - 1:
+        yield ring
+        return
+    path: list[tuple] = []
+    at: dict[tuple, int] = {}
+    for p in map(tuple, ring.tolist()):
+        if p in at:
+            k = at[p]
+            yield np.array([*path[k:], p])
+            for q in path[k + 1 :]:
+                del at[q]
+            del path[k + 1 :]
+        else:
+            at[p] = len(path)
+            path.append(p)
+
+
+def assembled(rings: list[np.ndarray]) -> bytes:
+    """One geometry of closed rings with the inside on the left: a hole goes to the smallest ring around it."""
+    rings = [part for r in rings for part in simple(r)]
+    size = np.array([ring_area(r) for r in rings])
+    low, high = (np.array([f(r, axis=0) for r in rings]).reshape(-1, 2) for f in (np.min, np.max))
+    outer = np.flatnonzero(size > 0)
+    outer = outer[np.argsort(size[outer], kind="stable")]
+    own = {k: [rings[k]] for k in outer[::-1].tolist()}
+    for k in np.flatnonzero(size < 0).tolist():
+        around = outer[(size[outer] > -size[k]) & (low[outer] <= low[k]).all(axis=1) & (high[outer] >= high[k]).all(axis=1)]
+        home = next((j for j in around.tolist() if ring_inside(rings[k], rings[j])), None)
+        if home is not None:
+            own[home].append(rings[k])
+    parts = list(own.values())
+    return wkb(parts[0]) if len(parts) == 1 else multipolygon(parts)

@@ -1,4 +1,4 @@
-"""Spatial joins without theta joins: segments and grid cells make them equi-joins."""
+"""Spatial joins without theta joins: segments, vertices and cells make them equi-joins, and no row carries more than a piece."""
 
 from __future__ import annotations
 
@@ -6,10 +6,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geometry as g
+from ..shared import drop, settle
+
+SEGMENT = ["x0", "y0", "x1", "y1"]
+#: How far a vertex may lie off a segment that it splits.
+TOLERANCE = 1e-6
+#: Unit pieces of a cell that is not cut further, and outline segments of a cell whose chains one task joins, on average.
+DENSE, CHAINED = 64, 20_000
 
 
 def with_area(units: DataFrame) -> DataFrame:
@@ -25,33 +33,114 @@ def with_area(units: DataFrame) -> DataFrame:
 
 
 def boundary_segments(units: DataFrame, key: str = "node") -> DataFrame:
-    """(key, x0, y0, x1, y1) of every boundary segment, in Arrow batches."""
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for df in batches:
-            rows = [(k, *s) for k, geom in zip(df[key], df["geom"], strict=True) if geom is not None for s in g.segments(bytes(geom))]
-            yield pd.DataFrame(rows, columns=[key, "x0", "y0", "x1", "y1"])
+    """(key, x0, y0, x1, y1, forward) of every boundary segment, from its smaller end; forward: the inside is on its left."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            at, xy = g.segments(b.column(1).to_pylist())
+            back = (xy[:, 0] > xy[:, 2]) | ((xy[:, 0] == xy[:, 2]) & (xy[:, 1] > xy[:, 3]))
+            xy[back] = xy[back][:, [2, 3, 0, 1]]
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at)), *(pa.array(np.ascontiguousarray(c)) for c in xy.T), pa.array(~back)], [key, *SEGMENT, "forward"])
 
-    return units.select(key, "geom").mapInPandas(run, f"{key} {units.schema[key].dataType.simpleString()}, x0 double, y0 double, x1 double, y1 double")
+    return units.select(key, "geom").mapInArrow(run, f"{key} {units.schema[key].dataType.simpleString()}, x0 double, y0 double, x1 double, y1 double, forward boolean")
 
 
-SEGMENT = ["x0", "y0", "x1", "y1"]
+def length() -> Column:
+    return F.sqrt(F.pow(F.col("x1") - F.col("x0"), 2) + F.pow(F.col("y1") - F.col("y0"), 2))
 
 
-def length():
-    return F.sqrt(F.pow(F.col("x1") - F.col("x0"), 2) + F.pow(F.col("y1") - F.col("y0"), 2))
+def matched(units: DataFrame) -> DataFrame:
+    """(x0, y0, x1, y1, who): the segments with the units (node, forward) that have them."""
+    return boundary_segments(units).groupBy(*SEGMENT).agg(F.collect_list(F.struct("node", "forward")).alias("who"))  # two units in a coverage
+
+
+def ends_of(segments: DataFrame) -> DataFrame:
+    return segments.select(F.explode(F.array(F.struct(F.col("x0").alias("px"), F.col("y0").alias("py")), F.struct(F.col("x1").alias("px"), F.col("y1").alias("py")))).alias("p")).select("p.*").distinct()
+
+
+def strays(open_: DataFrame, tolerance: float = TOLERANCE) -> DataFrame:
+    """(px, py, to): ends of segments that lie within the tolerance of a smaller end, as two sources may round one corner in two ways."""
+    ends = ends_of(open_)
+    cell = lambda c: F.floor(F.col(c) / (4 * tolerance))
+    around = lambda c: F.explode(F.array(*(cell(c) + k for k in (-1, 0, 1))))
+    here = ends.withColumn("cx", around("px")).withColumn("cy", around("py"))
+    there = ends.select(cell("px").alias("cx"), cell("py").alias("cy"), F.col("px").alias("qx"), F.col("py").alias("qy"))
+    close = (F.abs(F.col("px") - F.col("qx")) <= tolerance) & (F.abs(F.col("py") - F.col("qy")) <= tolerance)
+    return here.join(there, ["cx", "cy"]).where(close).groupBy("px", "py").agg(F.min(F.struct("qx", "qy")).alias("to")).where("to.qx <> px OR to.qy <> py")
+
+
+def gathered(segments: DataFrame, strays: DataFrame) -> DataFrame:
+    """The segments with their stray ends moved; those that shrink to a point go."""
+    columns = segments.columns
+    for k in "01":
+        segments = segments.join(strays.withColumnsRenamed({"px": f"x{k}", "py": f"y{k}"}), [f"x{k}", f"y{k}"], "left")
+        segments = segments.withColumns({f"x{k}": F.coalesce("to.qx", f"x{k}"), f"y{k}": F.coalesce("to.qy", f"y{k}")}).drop("to")
+    back = F.expr("x0 > x1 OR x0 = x1 AND y0 > y1")
+    turned = {a: F.when(back, F.col(b)).otherwise(F.col(a)) for a, b in zip(SEGMENT, ["x1", "y1", "x0", "y0"], strict=True)}
+    return segments.where("x0 <> x1 OR y0 <> y1").withColumns(turned | {"forward": F.col("forward") != back}).select(*columns)
+
+
+def split(open_: DataFrame, tolerance: float = TOLERANCE) -> DataFrame:
+    """Segments (x0, y0, x1, y1, node, forward) cut at the ends of others that lie on them, so that parts of a boundary match.
 
+    Segments and ends meet in cells of about two segments' length; a long segment is in the cells along its way.  The parts of
+    a segment come from a window over the places on it."""
+    extent = F.greatest(F.abs(F.col("x1") - F.col("x0")), F.abs(F.col("y1") - F.col("y0")))
+    cell = F.broadcast(open_.agg((2 * F.avg(extent)).alias("cell")))  # one row
+    dx, dy = F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")
+    lines = open_.crossJoin(cell).withColumn("n", F.greatest(F.ceil(extent / F.col("cell")), F.lit(1)))
+    lines = lines.withColumn("k", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("n") - 1)))
 
-def adjacency(units: DataFrame) -> DataFrame:
-    """(u, v, shared_perim) of units that share a segment: one aggregation by segment, no self-join.
+    def along(axis: str, d: Column) -> Column:
+        a, b = (F.col(axis + "0") + d * (F.col("k") + j) / F.col("n") for j in (0, 1))
+        at = lambda x: F.floor(x / F.col("cell"))
+        return F.explode(F.sequence(at(F.least(a, b) - tolerance), at(F.greatest(a, b) + tolerance)))
 
-    Segments have to match, as in a clean coverage."""
-    by = boundary_segments(units).groupBy(*SEGMENT).agg(F.min("node").alias("u"), F.max("node").alias("v"), F.count("*").alias("n"))
-    return by.where("n = 2 AND u <> v").groupBy("u", "v").agg(F.sum(length()).alias("shared_perim"))
+    lines = lines.withColumn("cx", along("x", dx)).withColumn("cy", along("y", dy)).select(*open_.columns, "cx", "cy").distinct()
+    ends = ends_of(open_).crossJoin(cell).select("px", "py", F.floor(F.col("px") / F.col("cell")).alias("cx"), F.floor(F.col("py") / F.col("cell")).alias("cy"))
+    along_ = ((F.col("px") - F.col("x0")) * dx + (F.col("py") - F.col("y0")) * dy) / length()
+    off = F.abs((F.col("px") - F.col("x0")) * dy - (F.col("py") - F.col("y0")) * dx) / length()
+    cuts = lines.join(ends, ["cx", "cy"]).withColumn("t", along_).where((off <= tolerance) & (F.col("t") > tolerance) & (F.col("t") < length() - tolerance))
+    cuts = cuts.select(*open_.columns, "px", "py", "t")
+    first = open_.select("*", F.col("x0").alias("px"), F.col("y0").alias("py"), F.lit(0.0).alias("t"))
+    last = open_.select("*", F.col("x1").alias("px"), F.col("y1").alias("py"), length().alias("t"))
+    by = Window.partitionBy(*open_.columns).orderBy("t", "px", "py")
+    to = F.lead(F.struct("px", "py")).over(by)
+    parts = cuts.unionByName(first).unionByName(last).withColumn("to", to).where("to IS NOT NULL")
+    x0, y0, x1, y1 = F.col("px"), F.col("py"), F.col("to.px"), F.col("to.py")
+    back = (x0 > x1) | ((x0 == x1) & (y0 > y1))
+    ends_ = [F.when(back, b).otherwise(a) for a, b in ((x0, x1), (y0, y1), (x1, x0), (y1, y0))]
+    return parts.select("node", (F.col("forward") != back).alias("forward"), *(c.alias(n) for c, n in zip(ends_, SEGMENT, strict=True)))
 
 
-def boundary_perimeter(units: DataFrame) -> DataFrame:
-    """(node, boundary_perim): the length of segments that no other unit has; 0 for inner units."""
-    by = boundary_segments(units).groupBy(*SEGMENT).agg(F.min("node").alias("node"), F.count("*").alias("n")).where("n = 1")
+def alone(by: DataFrame) -> DataFrame:
+    return by.where(F.size("who") == 1).select(*SEGMENT, F.col("who")[0]["node"].alias("node"), F.col("who")[0]["forward"].alias("forward"))
+
+
+def tidy(open_: DataFrame, tolerance: float) -> DataFrame:
+    return gathered(open_, strays(open_, tolerance))
+
+
+def coverage(units: DataFrame, tolerance: float = TOLERANCE) -> DataFrame:
+    """(node, forward, x0, y0, x1, y1): boundary segments, cut so that what two units share are equal segments.  Only segments that match none are cut, and only corners of these are looked at for stray ones."""
+    by = matched(units)
+    open_ = alone(by)
+    moved = strays(open_, tolerance)
+    whole = by.where(F.size("who") > 1).select(F.explode("who").alias("w"), *SEGMENT).select("w.*", *SEGMENT)
+    return gathered(whole, moved).unionByName(split(gathered(open_, moved), tolerance))
+
+
+def adjacency(units: DataFrame, tolerance: float = TOLERANCE) -> DataFrame:
+    """(u, v, shared_perim) of units that share a part of their boundaries, whether their segments match or not: aggregations by segment, no self-join."""
+    by = matched(units)
+    node = F.transform("who", lambda w: w["node"])
+    whole = by.where(F.size("who") == 2).select(F.array_min(node).alias("u"), F.array_max(node).alias("v"), *SEGMENT)
+    cut = split(tidy(alone(by), tolerance), tolerance).groupBy(*SEGMENT).agg(F.min("node").alias("u"), F.max("node").alias("v"), F.count("*").alias("n")).where("n = 2").drop("n")
+    return whole.unionByName(cut).where("u <> v").groupBy("u", "v").agg(F.sum(length()).alias("shared_perim"))
+
+
+def boundary_perimeter(units: DataFrame, tolerance: float = TOLERANCE) -> DataFrame:
+    """(node, boundary_perim): the length of boundary that no other unit has; 0 for inner units."""
+    by = split(tidy(alone(matched(units)), tolerance), tolerance).groupBy(*SEGMENT).agg(F.min("node").alias("node"), F.count("*").alias("n")).where("n = 1")
     outer = by.groupBy("node").agg(F.sum(length()).alias("boundary_perim"))
     return units.select("node").join(outer, "node", "left").select("node", F.coalesce("boundary_perim", F.lit(0.0)).alias("boundary_perim"))
 
@@ -61,69 +150,152 @@ def vertices(units: DataFrame) -> DataFrame:
     return boundary_segments(units).select("node", F.explode(F.array(F.struct(F.col("x0").alias("x"), F.col("y0").alias("y")), F.struct(F.col("x1").alias("x"), F.col("y1").alias("y")))).alias("p")).select("node", "p.x", "p.y").distinct()
 
 
-def boxes(df: DataFrame, key: str) -> DataFrame:
-    seg = boundary_segments(df, key)
-    return seg.groupBy(key).agg(F.min(F.least("x0", "x1")).alias("minx"), F.min(F.least("y0", "y1")).alias("miny"), F.max(F.greatest("x0", "x1")).alias("maxx"), F.max(F.greatest("y0", "y1")).alias("maxy"))
+# Overlay
+
+def tiled(df: DataFrame, keys: list[str], size: float | Column, geom: str = "geom") -> DataFrame:
+    """(keys, cx, cy, piece): polygons cut to the cells of a grid of a size of their own each."""
+    kinds = ", ".join(f"{k} {df.schema[k].dataType.simpleString()}" for k in keys)
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for k, (geom_, size_) in enumerate(zip(b.column(len(keys)).to_pylist(), b.column(len(keys) + 1).to_pylist(), strict=True)):
+                rows = [(x, y, g.wkb(rings)) for p in (g.polygons(geom_) if geom_ is not None else ()) for x, y, rings in g.tiles(p, size_)]
+                if rows:
+                    own = b.slice(k, 1).to_pydict()
+                    x, y, piece = zip(*rows, strict=True)
+                    yield pa.RecordBatch.from_arrays([*(pa.array([own[c][0]] * len(rows), b.schema.field(c).type) for c in keys), pa.array(x, pa.int64()), pa.array(y, pa.int64()), pa.array(piece, pa.binary())], [*keys, "cx", "cy", "piece"])
 
-def cells(df: DataFrame, cell: float) -> DataFrame:
-    """A row for each grid cell that a box touches."""
-    at = lambda c: F.floor(F.col(c) / cell)
-    return df.withColumn("cx", F.explode(F.sequence(at("minx"), at("maxx")))).withColumn("cy", F.explode(F.sequence(at("miny"), at("maxy"))))
+    size = F.lit(float(size)) if isinstance(size, (int, float)) else size
+    return df.select(*keys, geom, size.alias("size")).mapInArrow(run, f"{kinds}, cx bigint, cy bigint, piece binary")
 
 
-def assign(units: DataFrame, plans: DataFrame, cell: float | None = None) -> DataFrame:
+def assign(units: DataFrame, plans: DataFrame, cell: float | None = None, dense: int = DENSE) -> DataFrame:
     """(plan_id, node, district): the plan polygon that shares most area with each unit, the smallest district on a tie; null where none does.
 
-    plans: (plan_id, district, geom).  Boxes meet in grid cells of about a unit's size; the pair counts in the cell of its
-    lower left corner alone; then the exact overlap decides."""
-    unit_box, plan_keyed = boxes(units, "node"), plans.withColumn("pk", F.concat_ws("|", "plan_id", "district"))
-    plan_box = boxes(plan_keyed, "pk")
+    plans: (plan_id, district, geom).  Both sides are cut to cells of about four units' size; a cell with over `dense` unit
+    pieces is cut on, into as many as bring them to about that.  Pieces meet by cell, so no row carries a whole district, and the areas
+    that pieces share are added up."""
     if cell is None:
-        size = unit_box.agg(F.avg(F.greatest(F.col("maxx") - F.col("minx"), F.col("maxy") - F.col("miny")))).first()[0]
+        seg = boundary_segments(units)
+        extent = seg.groupBy("node").agg((F.max(F.greatest("x0", "x1")) - F.min("x0")).alias("w"), (F.max(F.greatest("y0", "y1")) - F.min(F.least("y0", "y1"))).alias("h"))
+        size = extent.agg(F.avg(F.greatest("w", "h"))).first()[0]
         cell = float(size or 1.0) * 4
-    a = cells(unit_box, cell)
-    b = cells(plan_box, cell).select("pk", "cx", "cy", *(F.col(c).alias(c + "_p") for c in ("minx", "miny", "maxx", "maxy")))
-    pair = a.join(b, ["cx", "cy"]).where("minx < maxx_p AND maxx > minx_p AND miny < maxy_p AND maxy > miny_p")
-    first = (F.col("cx") == F.floor(F.greatest("minx", "minx_p") / cell)) & (F.col("cy") == F.floor(F.greatest("miny", "miny_p") / cell))
-    pair = pair.where(first).select("node", "pk").join(units.select("node", F.col("geom").alias("gu")), "node").join(plan_keyed.select("pk", "plan_id", "district", F.col("geom").alias("gp")), "pk")
+    own = settle(tiled(units, ["node"], cell), "pieces")
+    level = F.ceil(F.log2(F.col("n") / dense) / 2).cast("int")
+    fine = settle(own.groupBy("cx", "cy").agg(F.count("*").alias("n")).select("cx", "cy", F.greatest(level, F.lit(0)).alias("level")), "cells")
+    if fine.where("level > 0").isEmpty():
+        a, b = own, tiled(plans, ["plan_id", "district"], cell).join(fine.select("cx", "cy"), ["cx", "cy"], "left_semi")
+        on = ["cx", "cy"]
+    else:
+        on = ["level", "cx", "cy"]
+        cut = lambda df, keys: tiled(df.join(fine, ["cx", "cy"]).withColumnsRenamed({"piece": "geom"}).drop("cx", "cy"), [*keys, "level"], F.lit(cell) / F.pow(F.lit(2.0), F.col("level")))
+        a, b = cut(own, ["node"]), cut(tiled(plans, ["plan_id", "district"], cell), ["plan_id", "district"])
+    pair = a.withColumnRenamed("piece", "pu").join(b.withColumnRenamed("piece", "pp"), on)
 
     @F.pandas_udf("double")
     def shared(x: pd.Series, y: pd.Series) -> pd.Series:
         return pd.Series([g.overlap(bytes(p), bytes(q)) for p, q in zip(x, y, strict=True)], dtype="float64")
 
-    best = pair.withColumn("shared", shared("gu", "gp")).where("shared > 0").groupBy("plan_id", "node").agg(F.min_by("district", F.struct(-F.col("shared"), F.col("district"))).alias("district"))
-    every = units.select("node", F.explode(F.array(*[F.lit(r[0]) for r in plans.select("plan_id").distinct().collect()])).alias("plan_id"))
+    area = pair.withColumn("shared", shared("pu", "pp")).groupBy("plan_id", "node", "district").agg(F.round(F.sum("shared"), 9).alias("shared")).where("shared > 0")
+    best = area.groupBy("plan_id", "node").agg(F.min_by("district", F.struct(-F.col("shared"), F.col("district"))).alias("district"))
+    every = units.select("node").join(F.broadcast(plans.select("plan_id").distinct()))  # a number a plan
     return every.join(best, ["plan_id", "node"], "left").select("plan_id", "node", "district")
 
 
-def dissolve(assignment: DataFrame, units: DataFrame, sums: list[str] | None = None) -> DataFrame:
-    """(plan_id, district, geom, sums): the union of each district's units, by dropping the segments that two of them share."""
-    own = assignment.where("district IS NOT NULL")
-    seg = own.join(boundary_segments(units), "node").groupBy("plan_id", "district", *SEGMENT).agg(F.count("*").alias("n")).where("n = 1")
-
-    def run(df: pd.DataFrame) -> pd.DataFrame:
-        rings = g.outline(list(df[SEGMENT].itertuples(index=False, name=None)))
-        whole = g.wkb(rings) if len(rings) == 1 else multi(rings)
-        return pd.DataFrame({"plan_id": [df["plan_id"].iloc[0]], "district": [df["district"].iloc[0]], "geom": [whole]})
-
+# Dissolve
+
+def outlines(assignment: DataFrame, units: DataFrame) -> DataFrame:
+    """(plan_id, district, x0, y0, x1, y1): the directed segments around each district, the inside on the left: what its units share has gone."""
+    inside = F.sum(F.when(F.col("forward"), 1).otherwise(-1))
+    seg = assignment.where("district IS NOT NULL").select("plan_id", "node", "district").join(coverage(units), "node").groupBy("plan_id", "district", *SEGMENT).agg(inside.alias("side")).where("side <> 0")
+    turned = [F.when(F.col("side") > 0, F.col(a)).otherwise(F.col(b)).alias(a) for a, b in zip(SEGMENT, ["x1", "y1", "x0", "y0"], strict=True)]
+    return seg.select("plan_id", "district", *turned)
+
+
+def followed(seg: DataFrame) -> DataFrame:
+    """seg (id, plan_id, district, ...) with the segment that follows each; where several go on from a vertex, the leftmost, so that rings touch and do not cross."""
+    to = seg.select("plan_id", "district", F.col("x0").alias("x1"), F.col("y0").alias("y1"), F.col("x1").alias("x2"), F.col("y1").alias("y2"), F.col("id").alias("next"))
+    ax, ay, bx, by = F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0"), F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")
+    turn = F.atan2(ax * by - ay * bx, ax * bx + ay * by)
+    both = seg.join(to, ["plan_id", "district", "x1", "y1"])
+    return both.groupBy("id", "plan_id", "district", "x0", "y0").agg(F.max_by("next", turn).alias("next"))
+
+
+def chained(t: pa.Table) -> pa.Table:
+    """The segments of a cell joined to paths: a path's id is its first segment's, its next the segment after its last one; a ring has itself as next."""
+    t = t.combine_chunks()
+    ids, after = t["id"].to_numpy(), t["next"].to_numpy()
+    xy = np.stack([t["x0"].to_numpy(), t["y0"].to_numpy()], axis=1)
+    at = {int(i): k for k, i in enumerate(ids)}
+    follows = np.array([at.get(int(i), -1) for i in after])
+    first = np.ones(len(ids), bool)
+    first[follows[follows >= 0]] = False
+    seen = np.zeros(len(ids), bool)
+    heads, nexts, points = [], [], []
+    for start in [*np.flatnonzero(first).tolist(), *np.argsort(ids).tolist()]:
+        if seen[start]:
+            continue
+        path, k = [], start
+        while k >= 0 and not seen[k]:
+            seen[k] = True
+            path.append(k)
+            k = follows[k]
+        heads.append(int(ids[start]))
+        nexts.append(int(after[path[-1]]))
+        points.append(np.ascontiguousarray(xy[path]).tobytes())
+    plan = t["plan_id"].chunk(0).take(pa.array([0] * len(heads)))
+    return pa.table({"plan_id": plan, "district": pa.array([t["district"][0].as_py()] * len(heads), pa.string()), "id": pa.array(heads, pa.int64()), "next": pa.array(nexts, pa.int64()), "points": pa.array(points, pa.binary())})
+
+
+def ringed(paths: DataFrame, most: int = 64) -> DataFrame:
+    """paths (id, next, ...) with ring (the smallest id of its ring) and steps (to that one), by pointer jumping: each round doubles how far a path sees."""
+    state = settle(paths.where("id <> next").select("id", F.col("next").alias("ahead"), F.col("id").alias("ring"), F.lit(0).cast("bigint").alias("steps")), "pointers")
+    for k in range(most):
+        there = state.select(F.col("id").alias("ahead"), F.col("ahead").alias("ahead_"), F.col("ring").alias("ring_"), F.col("steps").alias("steps_"))
+        nearer = F.col("ring_") < F.col("ring")
+        new = state.join(there, "ahead").select("id", F.col("ahead_").alias("ahead"), F.least("ring", "ring_").alias("ring"), F.when(nearer, F.col("steps_") + (1 << k)).otherwise(F.col("steps")).alias("steps"), nearer.alias("moved"))
+        new = settle(new, "pointers")
+        drop(state)
+        state = new.drop("moved")
+        if new.where("moved").isEmpty():
+            break
+    else:
+        raise RuntimeError("the outlines do not close")
+    return paths.join(state.select("id", "ring", "steps"), "id", "left").withColumns({"ring": F.coalesce("ring", "id"), "steps": F.coalesce("steps", F.lit(0))})
+
+
+def dissolve(assignment: DataFrame, units: DataFrame, sums: list[str] | None = None, per_cell: int = CHAINED) -> DataFrame:
+    """(plan_id, district, geom, sums): the union of each district's units.
+
+    Segments that two units share cancel; those that are left are joined to paths cell by cell, and paths to rings by pointer
+    jumping.  So no task holds more of a district than a cell's part of its outline, until the outline becomes the
+    one value that it is."""
     kind = assignment.schema["plan_id"].dataType.simpleString()
-    out = seg.groupBy("plan_id", "district").applyInPandas(run, f"plan_id {kind}, district string, geom binary")
+    seg = settle(outlines(assignment, units), "outlines")
+    seg = settle(seg.withColumn("id", F.monotonically_increasing_id()), "outlines")
+    box = seg.agg(F.min("x0"), F.min("y0"), F.max("x0"), F.max("y0"), F.count("*")).first()
+    cells = max(1, round((box[4] / per_cell) ** 0.5))
+    wide = max(box[2] - box[0], box[3] - box[1]) / cells if box[4] else 1.0
+    at = lambda c, low: F.floor((F.col(c) - F.lit(low)) / wide) if cells > 1 else F.lit(0)
+    cell = [at("x0", box[0]).alias("cx"), at("y0", box[1]).alias("cy")]
+    paths = followed(seg).groupBy("plan_id", "district", *cell).applyInArrow(chained, f"plan_id {kind}, district string, id bigint, next bigint, points binary")
+    if cells > 1:
+        paths = ringed(settle(paths, "paths"))
+    else:
+        paths = paths.withColumns({"ring": F.col("id"), "steps": F.lit(0).cast("bigint")})
+
+    def run(t: pa.Table) -> pa.Table:
+        rows: dict[int, list] = {}
+        for ring, steps, points in zip(t["ring"].to_pylist(), t["steps"].to_pylist(), t["points"].to_pylist(), strict=True):
+            rows.setdefault(ring, []).append((steps > 0, -steps, points))  # the smallest id first, then from far to near
+        rings = []
+        for k in sorted(rows):
+            xy = np.frombuffer(b"".join(x[2] for x in sorted(rows[k])), float).reshape(-1, 2)
+            rings.append(np.vstack([xy, xy[:1]]))
+        return pa.table({"plan_id": t["plan_id"].combine_chunks().slice(0, 1), "district": t["district"].combine_chunks().slice(0, 1), "geom": pa.array([g.assembled(rings)], pa.binary())})
+
+    out = paths.groupBy("plan_id", "district").applyInArrow(run, f"plan_id {kind}, district string, geom binary")
     if sums:
-        total = own.join(units.select("node", *sums), "node").groupBy("plan_id", "district").agg(*(F.sum(c).alias(c) for c in sums))
+        total = assignment.where("district IS NOT NULL").join(units.select("node", *sums), "node").groupBy("plan_id", "district").agg(*(F.sum(c).alias(c) for c in sums))
         out = out.join(total, ["plan_id", "district"])
     return out
-
-
-def multi(rings: list) -> bytes:
-    """A MultiPolygon: rings inside another are its holes."""
-    low, high = (np.array([f(r, axis=0) for r in rings]).reshape(-1, 2) for f in (np.min, np.max))
-    home = np.full(len(rings), -1)  # of a hole, the ring around it
-    for k, r in enumerate(rings):  # largest first
-        around = np.flatnonzero((home[:k] < 0) & (low[:k] <= low[k]).all(axis=1) & (high[:k] >= high[k]).all(axis=1))
-        home[k] = next((j for j in around.tolist() if g.ring_inside(r, rings[j])), -1)
-    holes: dict[int, list] = {}
-    for k in np.flatnonzero(home >= 0).tolist():
-        holes.setdefault(int(home[k]), []).append(rings[k])
-    outer = [[rings[k], *holes.get(k, [])] for k in np.flatnonzero(home < 0).tolist()]
-    return g.wkb(outer[0]) if len(outer) == 1 else g.multipolygon(outer)

@@ -53,6 +53,33 @@ def geometry(spark: SparkSession, sf_dir: str) -> DataFrame:
     return units(spark, sf_dir).withColumn("geom", square("x", "y"))
 
 
+def bricks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Units as bricks: rows are shifted, so the corners of a row lie on the sides of the next."""
+    from ..functions.geometry import box
+
+    @F.pandas_udf("binary")
+    def brick(x: pd.Series, y: pd.Series) -> pd.Series:
+        return pd.Series([box(a, b, a + 1, b + 1) for a, b in zip(x, y, strict=True)])
+
+    return units(spark, sf_dir).withColumn("geom", brick(F.col("x") + F.col("y") * 37 % 100 / 100, "y"))
+
+
+def ells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two units a box of 2 x 2.5: an L along its lower and right side, and what that leaves."""
+    import numpy as np
+
+    from ..functions.geometry import wkb
+
+    ell = np.array([(0, 0), (2, 0), (2, 2.5), (1.5, 2.5), (1.5, 0.5), (0, 0.5), (0, 0)], float)
+    rest = np.array([(0, 0.5), (1.5, 0.5), (1.5, 2.5), (0, 2.5), (0, 0.5)], float)
+
+    @F.pandas_udf("binary")
+    def shape(node: pd.Series) -> pd.Series:
+        return pd.Series([wkb([(ell if n % 2 else rest) + (2.0 * (n // 2 % WIDTH), 2.5 * (n // 2 // WIDTH))]) for n in node])
+
+    return units(spark, sf_dir).withColumn("geom", shape("node"))
+
+
 def votes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """node, election, party, votes."""
     party = F.when(F.col("o_orderstatus") == "F", "D").when(F.col("o_orderstatus") == "O", "R").otherwise("-")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -717,22 +718,55 @@ def annealed_states(s, d):
     return out.withColumn("candidate_id", F.row_number().over(Window.orderBy("candidate_id")).cast("bigint") - 1)
 
 
-# Units that are not convex: an L and what it leaves of its box, held against two strips
+# Units that are not convex: Ls and what they leave of their boxes, held against strips that cut them
 
-@query("SELECT n::BIGINT AS node, CASE WHEN n % 2 = 0 THEN 'left' ELSE 'right' END AS district, 0::BIGINT AS plan_id FROM (SELECT unnest(range(80)) AS n)", "")
+STRIP = 7.3
+LEFT = "CASE WHEN node % 2 = 1 THEN 0.5 * least(greatest({c} - x, 0), 2) + 2 * least(greatest({c} - x - 1.5, 0), 0.5) ELSE 2 * least(greatest({c} - x, 0), 1.5) END"  # area up to c
+
+
+@query(f"SELECT 0::BIGINT AS plan_id, node, arg_min(district, (-round(share, 9), district)) AS district FROM (SELECT node, CAST(k AS VARCHAR) AS district, {LEFT.format(c=f'({STRIP} * (k + 1))')} - ({LEFT.format(c=f'({STRIP} * k)')}) AS share FROM (SELECT node, 2.0 * (node // 2 % {W}) AS x, k FROM units, (SELECT unnest(range(11)) AS k))) WHERE share > 1e-9 GROUP BY node")
 def assign_odd_shapes(s, d):
+    from ..functions.geometry import box
+    from ..operators import spatial
+
+    units = p.ells(s, d)
+    top = 2.5 * (units.agg(F.max("node")).first()[0] // 2 // W + 1)
+    strips = s.createDataFrame([(0, str(k), bytearray(box(STRIP * k, 0, STRIP * (k + 1), top))) for k in range(11)], "plan_id bigint, district string, geom binary")
+    return spatial.assign(units, strips, dense=8).select("plan_id", "node", "district")
+
+
+@query("SELECT u, v, round(w, 8) AS shared_perim FROM (SELECT least(a.node, b.node) AS u, greatest(a.node, b.node) AS v, least(a.l, b.l) + 1 - greatest(a.l, b.l) AS w FROM placed a JOIN placed b ON b.y = a.y + 1 AND abs(a.l - b.l) < 1 UNION ALL SELECT a.node, b.node, 1 FROM placed a JOIN placed b ON b.y = a.y AND b.x = a.x + 1) WHERE w > 1e-6", p.SQL + ", placed AS (SELECT node, x, y, x + y * 37 % 100 / 100.0::DOUBLE AS l FROM units)")
+def uneven_adjacency(s, d):
+    from ..operators.spatial import adjacency as adj
+
+    return rounded(adj(p.bricks(s, d)), "shared_perim")
+
+
+@query("SELECT node, round(4 - coalesce(sum(w), 0), 6) + 0 AS boundary_perim FROM placed LEFT JOIN (SELECT unnest([a.node, b.node]) AS node, least(a.l, b.l) + 1 - greatest(a.l, b.l) AS w FROM placed a JOIN placed b ON b.y = a.y + 1 AND abs(a.l - b.l) < 1 UNION ALL SELECT unnest([a.node, b.node]), 1 FROM placed a JOIN placed b ON b.y = a.y AND b.x = a.x + 1) USING (node) GROUP BY node", p.SQL + ", placed AS (SELECT node, x, y, x + y * 37 % 100 / 100.0::DOUBLE AS l FROM units)")
+def uneven_boundary(s, d):
+    from ..operators.spatial import boundary_perimeter as f
+
+    return rounded(f(p.bricks(s, d)), "boundary_perim", to=6)
+
+
+@query("SELECT plan_id, district, area, round(perimeter, 6) AS perimeter, n_components AS n_parts FROM per JOIN (" + PIECES_SQL + ") USING (plan_id, district) JOIN (SELECT plan_id, district, count(*)::DOUBLE AS area FROM start GROUP BY ALL) USING (plan_id, district)", PIECES.format(tables=p.SQL + PER, start="SELECT * FROM assignment", region=""))
+def dissolved_outlines(s, d):
+    """Area, outline and parts of every plan's districts, from the dissolved polygons alone."""
     import numpy as np
 
-    from ..functions.geometry import box, wkb
-    from ..operators import spatial
+    from ..functions import geometry as g
+    from ..operators.spatial import dissolve, with_area
+
+    @F.pandas_udf("double")
+    def around(geom: pd.Series) -> pd.Series:
+        return geom.map(lambda b: float(sum(np.hypot(*np.diff(r, axis=0).T).sum() for q in g.polygons(bytes(b)) for r in q)))
 
-    def shape(n: int) -> bytes:
-        ring = [(0, 0), (2, 0), (2, 2.5), (1.5, 2.5), (1.5, 0.5), (0, 0.5), (0, 0)] if n % 2 else [(0, 0.5), (1.5, 0.5), (1.5, 2.5), (0, 2.5), (0, 0.5)]
-        return wkb([np.array(ring, float) + (0, 3.0 * (n // 2))])
+    @F.pandas_udf("bigint")
+    def parts(geom: pd.Series) -> pd.Series:
+        return geom.map(lambda b: len(g.polygons(bytes(b))))
 
-    units = s.createDataFrame([(n, shape(n)) for n in range(80)], "node bigint, geom binary")
-    strips = s.createDataFrame([(0, "left", box(0, 0, 1.5, 120)), (0, "right", box(1.5, 0, 2, 120))], "plan_id bigint, district string, geom binary")
-    return spatial.assign(units, strips).select("plan_id", "node", "district")
+    out = dissolve(p.assignment(s, d), p.geometry(s, d), per_cell=500)  # so that outlines cross cells at any scale
+    return with_area(out).select("plan_id", "district", F.round("area", 6).alias("area"), F.round(around("geom"), 6).alias("perimeter"), parts("geom").alias("n_parts"))
 
 
 @query()

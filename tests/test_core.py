@@ -574,3 +574,80 @@ def test_shapefiles_of_others(spark, tmp_path):
         z.writestr("v.geojson", json.dumps({"type": "Feature", "properties": {"name": "d"}, "geometry": None}))
     assert sorted(r.properties["name"] for r in geofiles.read(spark, str(tmp_path / "both.zip")).collect()) == ["a", "b", "c", "d"]
     assert [tuple(r) for r in io.load_plan(spark, str(tmp_path / "both.zip"), "p").select("plan_id", "district").orderBy("district").collect()] == [("p", str(k)) for k in range(1, 5)]
+
+
+def test_segments_that_do_not_match(spark):
+    """Sides of several neighbours, of a slanted line, at a corner only, and a hole that another unit fills."""
+    ring = lambda *xy: g.wkb([np.array([*xy, xy[0]], float)])
+    shapes = {
+        0: ring((0, 0), (6, 3), (0, 3)),
+        1: ring((0, 0), (2, 1), (2, -3), (0, -3)),
+        2: ring((2, 1), (6, 3), (6, -3), (2, -3)),
+        3: ring((6, 3), (8, 3), (8, 5), (6, 5)),
+        4: g.wkb([np.array([(-9, 0), (-3, 0), (-3, 6), (-9, 6), (-9, 0)], float), np.array([(-8, 1), (-8, 5), (-4, 5), (-4, 1), (-8, 1)], float)]),
+        5: ring((-8, 1), (-6, 1), (-6, 5), (-8, 5)),
+        6: ring((-6, 1), (-4, 1), (-4, 5), (-6, 5)),
+        7: ring((-3, 2), (0, 2), (0, 2.5), (-3, 2.5)),
+    }
+    units = spark.createDataFrame([*((k, bytearray(b)) for k, b in shapes.items()), (8, None)], "node bigint, geom binary")
+    got = {(r.u, r.v): round(r.shared_perim, 9) for r in spatial.adjacency(units).collect()}
+    root5 = round(5**0.5, 9)
+    assert got == {(0, 1): root5, (0, 2): round(2 * 5**0.5, 9), (1, 2): 4, (4, 5): 8, (4, 6): 8, (5, 6): 4, (4, 7): 0.5, (0, 7): 0.5}
+    outer = {r.node: round(r.boundary_perim, 6) for r in spatial.boundary_perimeter(units).collect()}
+    assert outer[5] == 0 and outer[3] == 8 and outer[7] == 6 and outer[4] == 23.5 and outer[8] == 0
+    assert outer[0] == 6 + 2.5
+    nothing = units.limit(0)
+    assert spatial.adjacency(nothing).count() == 0 and spatial.boundary_perimeter(nothing).count() == 0
+
+
+@pytest.mark.parametrize("per_cell", [3, 10**6])
+def test_outlines_with_holes_islands_and_corners(spark, per_cell):
+    rows = ["aaaaaa", "abbbba", "abaaba", "abaaba", "abbbba", "aaaaab"]
+    cells = [(y * 6 + x, bytearray(g.box(x, y, x + 1, y + 1)), c) for y, row in enumerate(rows) for x, c in enumerate(row)]
+    units = spark.createDataFrame([(n, geom, 1) for n, geom, _ in cells], "node bigint, geom binary, people int")
+    a = spark.createDataFrame([(0, n, c) for n, _, c in cells] + [(1, n, "x" if n % 2 else None) for n, _, _ in cells], "plan_id bigint, node bigint, district string")
+    got = {(r.plan_id, r.district): r for r in spatial.dissolve(a, units, ["people"], per_cell=per_cell).collect()}
+    area = {k: g.area(bytes(r.geom)) for k, r in got.items()}
+    assert area == {(0, "a"): 23.0, (0, "b"): 13.0, (1, "x"): 18.0} and {k: r.people for k, r in got.items()} == area
+    form = lambda k: sorted((len(q), g.ring_area(q[0])) for q in g.polygons(bytes(got[k].geom)))
+    assert form((0, "a")) == [(1, 4.0), (2, 35.0)] and form((0, "b")) == [(1, 1.0), (2, 16.0)]  # an island in a hole is a part
+    assert form((1, "x")) == [(1, 6.0)] * 3
+    assert spatial.dissolve(a.limit(0), units).count() == 0
+
+
+def test_outlines_of_units_that_do_not_match(spark):
+    units = spark.createDataFrame([(0, bytearray(g.box(0, 0, 4, 1))), (1, bytearray(g.box(0, 1, 1.5, 2))), (2, bytearray(g.box(1.5, 1, 4, 2)))], "node bigint, geom binary")
+    a = spark.createDataFrame([(0, 0, "x"), (0, 1, "x"), (0, 2, "x"), (1, 0, "x"), (1, 2, "x"), (1, 1, "y")], "plan_id bigint, node bigint, district string")
+    got = {(r.plan_id, r.district): (g.area(bytes(r.geom)), len(g.polygons(bytes(r.geom)))) for r in spatial.dissolve(a, units).collect()}
+    assert got == {(0, "x"): (8.0, 1), (1, "x"): (6.5, 1), (1, "y"): (1.5, 1)}
+
+
+def test_tiles_keep_every_area():
+    rng = np.random.default_rng(0)
+    angle = np.sort(rng.random(400)) * 2 * np.pi
+    star = np.stack([np.cos(angle), np.sin(angle)], axis=1) * (3 + 4 * rng.random(400))[:, None]
+    star = np.vstack([star, star[:1]])
+    hole = np.vstack([(x := star[:-1] * 0.3), x[:1]])[::-1]
+    for size in (0.7, 2.0, 50.0):
+        cells = [(x, y, g.area(g.wkb(r))) for x, y, r in g.tiles([star, hole], size)]
+        assert len({c[:2] for c in cells}) == len(cells)
+        assert sum(c[2] for c in cells) == pytest.approx(g.area(g.wkb([star, hole])))
+        for x, y, a in cells[::7]:
+            assert a == pytest.approx(g.overlap(g.box(x * size, y * size, (x + 1) * size, (y + 1) * size), g.wkb([star, hole])))
+
+
+@pytest.mark.parametrize("dense", [2, 64])
+def test_overlay_cuts_dense_cells_further(spark, dense):
+    rng = np.random.default_rng(1)
+    xy = np.concatenate([rng.random((40, 2)) * 40, rng.random((60, 2))])
+    units = spark.createDataFrame([(k, bytearray(g.box(x, y, x + s, y + s))) for k, ((x, y), s) in enumerate(zip(xy.tolist(), [2.0] * 40 + [0.1] * 60, strict=True))] + [(200, None), (201, bytearray(g.box(900, 900, 901, 901)))], "node bigint, geom binary")
+    slant = {"a": [(0, 0), (25, 0), (5, 42), (0, 42)], "b": [(25, 0), (42, 0), (42, 42), (5, 42)]}
+    plans = spark.createDataFrame([(q, d, bytearray(g.wkb([np.array([*r, r[0]], float)]))) for q in (0, 1) for d, r in slant.items() if (q, d) != (1, "b")], "plan_id bigint, district string, geom binary")
+    got = {(r.plan_id, r.node): r.district for r in spatial.assign(units, plans, dense=dense).collect()}
+    shapes = {r.node: r.geom for r in units.collect()}
+    want = {}
+    for n, geom in shapes.items():
+        for q in (0, 1):
+            share = {d: round(g.overlap(bytes(geom), g.wkb([np.array([*r, r[0]], float)])), 9) if geom else 0 for d, r in slant.items() if (q, d) != (1, "b")}
+            want[q, n] = min((d for d in share if share[d] > 0), key=lambda d: (-share[d], d), default=None)
+    assert got == want
