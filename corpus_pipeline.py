@@ -9,6 +9,7 @@ their values, whatever their names; the last stage returns lang and source where
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -21,6 +22,19 @@ from plansmith.llm.queries import vocabulary
 from plansmith.llm.text import slices
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+#: Rows of a batch between Spark and a Python worker: both sides hold one or two, and texts are long.
+ROWS = 1000
+
+
+def by_few_rows(stage: Stage) -> Stage:
+    """A stage whose session sends its workers ROWS rows at a time, from now on, as the result is computed later."""
+
+    @functools.wraps(stage)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ROWS))
+        return stage(spark, docs, sf_dir)
+
+    return run
 
 
 def apart(docs: DataFrame, *taken: str) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
@@ -92,11 +106,11 @@ def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 STAGES: list[tuple[str, Stage]] = [
-    ("toxicity", clean_of_toxicity),
-    ("near_dedup", one_of_each_group),
-    ("suffix_dedup", without_repeats),
-    ("decontaminate", without_benchmark),
-    ("bpe", encoded),
+    ("toxicity", by_few_rows(clean_of_toxicity)),
+    ("near_dedup", by_few_rows(one_of_each_group)),
+    ("suffix_dedup", by_few_rows(without_repeats)),
+    ("decontaminate", by_few_rows(without_benchmark)),
+    ("bpe", by_few_rows(encoded)),
 ]
 
 #: SQL cannot express the classifier, the signatures or the tokenizer; tests hold the stages against brute force.
