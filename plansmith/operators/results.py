@@ -5,13 +5,14 @@ The long form is (step, metric, key, value); wide frames come last, with their c
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from itertools import count
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import ratio
+from . import quantiles as q
 
 LEAF = "struct<k:string,v:string>"
 
@@ -74,16 +75,6 @@ def widen(ranked: DataFrame, metrics: Sequence[str], ranks: int, step: str = "st
     return ranked.groupBy(step).pivot("name", names).agg(F.max("value")) if "name" in ranked.columns else ranked.withColumn("name", F.concat_ws("_", "metric", "rank")).groupBy(step).pivot("name", names).agg(F.max("value"))
 
 
-#: Rows that a side may have to be sent to all workers.
-SMALL = 1 << 16
-
-
-def sent(df: DataFrame) -> DataFrame:
-    """df, evaluated once and marked for broadcast if it has at most SMALL rows; a larger one stays as it is and is joined by shuffle."""
-    rows = df.limit(SMALL + 1).collect()
-    return F.broadcast(df.sparkSession.createDataFrame(rows, df.schema)) if len(rows) <= SMALL else df
-
-
 def ranked_means(ranked: DataFrame) -> DataFrame:
     return ranked.groupBy("metric", "rank").agg(F.avg("value").alias("mean"))
 
@@ -92,22 +83,19 @@ def ranked_deviation(ranked: DataFrame, metric: str, step: str = "step") -> Data
     """Of each step, the root of the mean squared distance from the ranks' means."""
     own = ranked.where(F.col("metric") == metric)
     mean = ranked_means(own).select("rank", "mean")
-    return own.join(sent(mean), "rank").groupBy(step).agg(F.sqrt(F.avg(F.pow(F.col("value") - F.col("mean"), 2))).alias("rmd"))
+    return own.join(mean, "rank").groupBy(step).agg(F.sqrt(F.avg(F.pow(F.col("value") - F.col("mean"), 2))).alias("rmd"))
 
 
 def intervals(long: DataFrame, by: Sequence[str], quantiles: Sequence[float] = (0.025, 0.975), value: str = "value") -> DataFrame:
     """Median and exact quantiles, interpolated between neighbours."""
-    qs = [0.5, *quantiles]
-    names = ["median", *(f"q{i}" for i in range(len(quantiles)))]
-    return long.groupBy(*by).agg(*(F.percentile(value, F.lit(float(q))).alias(n) for q, n in zip(qs, names, strict=True)))
+    return q.quantiles(long, by, [0.5, *quantiles], ["median", *(f"q{i}" for i in range(len(quantiles)))], value)
 
 
 def from_median(long: DataFrame, by: Sequence[str], value: str = "value") -> DataFrame:
-    """value less the median of its group; the medians are few and go to the rows, so no group is gathered with all its columns."""
+    """value less the median of its group; missing where all of the group's values are."""
     names = [f"by{i}_" for i in range(len(by))]
-    medians = sent(long.groupBy(*(F.col(c).alias(n) for c, n in zip(by, names, strict=True))).agg(F.median(value).alias("median_")))
-    same = [F.col(c).eqNullSafe(F.col(n)) for c, n in zip(by, names, strict=True)]
-    return long.join(medians, same, "left").withColumn("from_median", F.col(value) - F.col("median_")).drop(*names, "median_")
+    medians = q.quantiles(long, by, [0.5], ["median_"], value).withColumnsRenamed(dict(zip(by, names, strict=True)))
+    return long.join(medians, q.matches(by, names), "left").withColumn("from_median", F.col(value) - F.col("median_")).drop(*names, "median_")
 
 
 def auto_bins(n: Column, lo: Column, hi: Column, q1: Column, q3: Column) -> Column:
@@ -119,8 +107,9 @@ def auto_bins(n: Column, lo: Column, hi: Column, q1: Column, q3: Column) -> Colu
 
 def histogram(long: DataFrame, by: Sequence[str], bins: int | str = 30, value: str = "value") -> DataFrame:
     """Equal bins from the smallest to the largest value, the last one closed: bin, lo, hi, n and density.  With "auto", each group has the number that suits it."""
-    quartiles = [F.percentile(value, F.lit(q)).alias(c) for q, c in ((0.25, "q1_"), (0.75, "q3_"))] if bins == "auto" else []
-    span = long.groupBy(*by).agg(F.min(value).alias("lo_"), F.max(value).alias("hi_"), F.count(value).alias("n_"), *quartiles)
+    span = long.groupBy(*by).agg(F.min(value).alias("lo_"), F.max(value).alias("hi_"), F.count(value).alias("n_"))
+    if bins == "auto":
+        span = span.join(q.quantiles(long, by, [0.25, 0.75], ["q1_", "q3_"], value), list(by))
     k = auto_bins(*map(F.col, ("n_", "lo_", "hi_", "q1_", "q3_"))) if bins == "auto" else F.lit(bins)
     span = span.withColumn("k_", k).withColumn("width_", (F.col("hi_") - F.col("lo_")) / F.col("k_")).drop("hi_", "q1_", "q3_")
     width = F.col("width_")
@@ -130,6 +119,67 @@ def histogram(long: DataFrame, by: Sequence[str], bins: int | str = 30, value: s
     return out.select(*by, "bin", (F.col("lo_") + F.col("bin") * width).alias("lo"), (F.col("lo_") + (F.col("bin") + 1) * width).alias("hi"), "n", F.try_divide(F.col("n").cast("double"), F.col("n_") * width).alias("density"))
 
 
+#: Points of a density curve, bandwidths that it goes on beyond the values, and bins from one point to the next.
+POINTS, BEYOND, FINE = 200, 3, 8
+
+
+def density(long: DataFrame, by: Sequence[str], points: int = POINTS, beyond: float = BEYOND, fine: int = FINE, value: str = "value") -> DataFrame:
+    """(by, point, x, density): a Gaussian kernel's density curve with Scott's bandwidth, for groups of several different values.
+
+    Values are counted on a fine grid, each shared between its two neighbours, and the counts, no longer the values, are
+    joined with the points whose bins are near enough to matter.  ValueError for fewer than two points."""
+    if points < 2:
+        raise ValueError("a curve has two points at least")
+    rows = long.where(F.col(value).isNotNull() & ~F.isnan(value))
+    names = [f"by{i}_" for i in range(len(by))]
+    span = rows.groupBy(*(F.col(c).alias(n) for c, n in zip(by, names, strict=True))).agg(F.min(value).alias("lo"), F.max(value).alias("hi"), F.count("*").cast("double").alias("m"), F.stddev_samp(value).alias("sd")).where("sd > 0")
+    span = span.withColumn("h", F.col("sd") * F.pow(F.col("m"), F.lit(-0.2)))
+    span = span.withColumn("from", F.col("lo") - beyond * F.col("h")).withColumn("step", (F.col("hi") + beyond * F.col("h") - F.col("from")) / (fine * (points - 1)))
+    at = (F.col(value) - F.col("from")) / F.col("step")
+    both = F.array(F.struct(F.floor(at).alias("bin"), (1 - (at - F.floor(at))).alias("w")), F.struct((F.floor(at) + 1).alias("bin"), (at - F.floor(at)).alias("w")))
+    grid = ["from", "step", "h", "m"]
+    bins = rows.join(span, q.matches(by, names)).select(*by, *grid, F.explode(both).alias("x")).groupBy(*by, *grid, "x.bin").agg(F.sum("x.w").alias("w"))
+    reach = F.ceil(9 * F.col("h") / F.col("step"))  # what lies further adds nothing that a double shows
+    first, last = F.ceil((F.col("bin") - reach) / fine), F.floor((F.col("bin") + reach) / fine)
+    near = bins.withColumn("point", F.explode(F.sequence(F.greatest(first, F.lit(0)).cast("bigint"), F.least(last, F.lit(points - 1)).cast("bigint"))))
+    away = (F.col("point") * fine - F.col("bin")) * F.col("step") / F.col("h")
+    total = F.sum(F.col("w") * F.exp(-away * away / 2)) / (F.col("m") * F.col("h") * F.sqrt(2 * F.pi()))
+    curve = near.groupBy(*by, *grid, "point").agg(total.alias("density"))
+    every = span.withColumn("at_", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(points - 1).cast("bigint")))).select(*names, F.col("at_"), (F.col("from") + F.col("at_") * fine * F.col("step")).alias("x"))
+    same = q.matches(by, names) & (F.col("point") == F.col("at_"))
+    return every.join(curve, same, "left").select(*(F.col(n).alias(c) for n, c in zip(names, by, strict=True)), F.col("at_").alias("point"), "x", F.coalesce("density", F.lit(0.0)).alias("density"))
+
+
+def named_references(references: object) -> dict[str, float]:
+    """Reference values by name: those of a list are Reference 1, 2, ...; text that is a number counts, anything else is left out."""
+    if references is None:
+        return {}
+    pairs = references.items() if isinstance(references, Mapping) else ((f"Reference {k}", v) for k, v in enumerate(references, 1))
+    out = {}
+    for name, v in pairs:
+        try:
+            out[str(name)] = float(v)
+        except (TypeError, ValueError):
+            continue
+    return out
+
+
+def distribution(long: DataFrame, by: Sequence[str], references: object = None, curve: bool = False, relative: bool = False, quantiles: Sequence[float] = (0.025, 0.975), bins: int | str = 30, value: str = "value") -> dict[str, DataFrame]:
+    """What a distribution plot shows: `histogram` or (curve) `density`, `interval`, and `references` (name, value) where there are any; relative: all about the groups' medians.  ValueError without data."""
+    if long.where(F.col(value).isNotNull()).isEmpty():
+        raise ValueError("there is no data to plot")
+    named = named_references(references)
+    points = long.sparkSession.createDataFrame(list(named.items()), "name string, value double") if named else None
+    if relative:
+        if points is not None:
+            names = [f"by{i}_" for i in range(len(by))]
+            medians = q.quantiles(long, by, [0.5], ["median_"], value).withColumnsRenamed(dict(zip(by, names, strict=True)))
+            points = medians.join(points).select(*(F.col(n).alias(c) for n, c in zip(names, by, strict=True)), "name", (F.col("value") - F.col("median_")).alias("value"))
+        long = from_median(long, by, value).withColumn(value, F.col("from_median")).drop("from_median")
+    out = {"density": density(long, by, value=value)} if curve else {"histogram": histogram(long, by, bins, value)}
+    return out | {"interval": intervals(long, by, quantiles, value)} | ({"references": points} if points is not None else {})
+
+
 def averages(summary: DataFrame, columns: Sequence[str]) -> DataFrame:
     """(metric, mean) of those of the columns that are there, from one pass; missing values do not count."""
     there = [c for c in columns if c in summary.columns]
@@ -155,11 +205,9 @@ def reference_points(reference: DataFrame) -> DataFrame:
 
 
 def outlier_position(ranked: DataFrame, points: DataFrame, metric: str) -> DataFrame:
-    """The share of the ensemble at or under each reference point of the same rank.
-
-    The reference points are sent to the ensemble while they are few; each side of the count is summed before the shuffle."""
+    """The share of the ensemble at or under each reference point of the same rank; counts are summed before the shuffle."""
     own = ranked.where(F.col("metric") == metric).select("rank", F.col("value").alias("x"))
-    return own.join(sent(points), "rank").groupBy("map_name", "rank", F.col("value")).agg(ratio(F.count_if(F.col("x") <= F.col("value")), F.count("*")).alias("position"))
+    return own.join(points, "rank").groupBy("map_name", "rank", F.col("value")).agg(ratio(F.count_if(F.col("x") <= F.col("value")), F.count("*")).alias("position"))
 
 
 def running_best(scores: DataFrame, chain: str = "chain_id", step: str = "step", score: str = "score", latest: bool = False) -> DataFrame:

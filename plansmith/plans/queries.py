@@ -308,6 +308,39 @@ def histogram(s, d):
     return rounded(x.select("seg", "bin", "n", "density"), "density")
 
 
+@query("""SELECT seg, point, round(lo + 8 * point * step, 6) AS x, round(sum(w * exp(-pow((8 * point - bin) * step / h, 2) / 2)) / (any_value(m) * any_value(h) * sqrt(2 * pi())), 9) AS density
+FROM (SELECT seg, bin, sum(w) AS w, any_value(lo) AS lo, any_value(step) AS step, any_value(h) AS h, any_value(m) AS m FROM (SELECT *, floor(pos) + side AS bin, CASE side WHEN 0 THEN 1 - (pos - floor(pos)) ELSE pos - floor(pos) END AS w FROM (SELECT *, (value - lo) / step AS pos FROM (SELECT *, (hi - lo + 3 * h) / (8 * 199) AS step FROM (SELECT segment AS seg, acctbal AS value, b.h, b.m, b.low - 3 * b.h AS lo, b.high AS hi FROM units JOIN (SELECT segment, stddev_samp(acctbal) * pow(count(*), -0.2) AS h, count(*) AS m, min(acctbal) AS low, max(acctbal) AS high FROM units GROUP BY segment) b USING (segment)))), (SELECT unnest([0, 1]) AS side)) GROUP BY seg, bin), (SELECT unnest(range(200)) AS point)
+GROUP BY seg, point, lo, step""")
+def density_curve(s, d):
+    x = r.density(p.units(s, d).select(F.col("segment").alias("seg"), F.col("acctbal").alias("value")), ["seg"])
+    return rounded(rounded(x, "density", to=9), "x", to=6)
+
+
+CHAIN_STEPS = 1000
+FLIPS = f"SELECT chain_id, step, node, arg_max(new, event_id) AS new FROM (SELECT event_id, event_id % 3 AS chain_id, 1 + event_id // 3 * 7 % {CHAIN_STEPS} AS step, event_id * 37 % (SELECT count(*) FROM customer) AS node, CAST((event_id * 11 + user_id) % {p.DISTRICTS} AS VARCHAR) AS new FROM events) WHERE node IN (SELECT c_custkey FROM customer) GROUP BY ALL"
+
+
+@query(f"""SELECT t.chain_id, t.step, t.most::BIGINT AS most, t.least::BIGINT AS least, num_parts::BIGINT AS num_parts, split::BIGINT AS split, cut::BIGINT AS cut FROM
+(SELECT chain_id, step, max(n) AS most, min(n) AS least FROM (SELECT chain_id, step, district, sum(totpop) AS n FROM whole JOIN units USING (node) GROUP BY ALL) GROUP BY ALL) t
+JOIN (SELECT chain_id, step, sum(n) AS num_parts, count(*) FILTER (n > 1) AS split FROM (SELECT chain_id, step, county, count(DISTINCT district) AS n FROM whole JOIN units USING (node) GROUP BY ALL) GROUP BY ALL) USING (chain_id, step)
+JOIN (SELECT a.chain_id, a.step, count(*) FILTER (a.district <> b.district) AS cut FROM edges e JOIN whole a ON a.node = e.u JOIN whole b ON b.node = e.v AND b.chain_id = a.chain_id AND b.step = a.step GROUP BY ALL) USING (chain_id, step)""",
+    p.SQL + f", flips AS ({FLIPS}), whole AS MATERIALIZED (SELECT g.chain_id, g.step, g.node, coalesce(f.new, CAST(g.node % {W} // {W // p.DISTRICTS} AS VARCHAR)) AS district FROM (SELECT c.chain_id, s.step, c_custkey AS node FROM customer, (SELECT unnest(range(3)) AS chain_id) c, (SELECT unnest(range({CHAIN_STEPS + 1})) AS step) s WHERE s.step % 50 = 0 OR s.step > {CHAIN_STEPS - 20}) g ASOF LEFT JOIN flips f ON f.chain_id = g.chain_id AND f.node = g.node AND f.step <= g.step)")
+def chain_changes(s, d):
+    """Chains of 1,000 steps kept as changes: populations, splits and cut edges by running sums; every 50th and the last 20 steps are returned, to hold them against whole plans."""
+    from ..operators import changes as ch
+
+    units = p.units(s, d)
+    n = units.count()
+    node = F.col("event_id") * 37 % n
+    flips = p.read(s, d, "events").select("event_id", (F.col("event_id") % 3).alias("chain_id"), (1 + F.expr("event_id div 3") * 7 % CHAIN_STEPS).alias("step"), node.alias("node"), ((F.col("event_id") * 11 + F.col("user_id")) % p.DISTRICTS).cast("string").alias("new"))
+    flips = flips.join(units.select("node"), "node", "left_semi").groupBy("chain_id", "step", "node").agg(F.max_by("new", "event_id").alias("new"))
+    base = p.stripes(s, d).select(F.explode(F.array(*(F.lit(k).cast("bigint") for k in range(3)))).alias("chain_id"), "node", "district")
+    log = ch.followed(base, flips)
+    people = ch.tallies(base, log, units, "totpop", CHAIN_STEPS).groupBy("chain_id", "step").agg(F.max("totpop").alias("most"), F.min("totpop").alias("least"))
+    out = people.join(ch.splits(base, log, units, "county", CHAIN_STEPS), ["chain_id", "step"]).join(ch.cut_edges(base, log, p.edges(s, d), CHAIN_STEPS), ["chain_id", "step"])
+    return out.where(f"step % 50 = 0 OR step > {CHAIN_STEPS - 20}")
+
+
 @query("SELECT segment, totpop AS bin, count(*) AS n FROM units GROUP BY ALL")
 def integer_histogram(s, d):
     return r.integer_histogram(p.units(s, d).select("segment", F.col("totpop").alias("value")), ["segment"])
@@ -356,6 +389,18 @@ def coupon_spacing(s, d):
     return r.every(chain_steps(s, d), fc.coupon_spacing(4), last=True)
 
 
+@query("SELECT chain_id, step, score, min(score) OVER w AS best, arg_min(step, score) OVER w AS best_step, coalesce(plan <> lag(plan) OVER (PARTITION BY chain_id ORDER BY step), true) AS differs FROM ev WINDOW w AS (PARTITION BY chain_id ORDER BY step ROWS UNBOUNDED PRECEDING)", "ev AS (SELECT user_id AS chain_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS step, value AS score, event_type AS plan FROM events)")
+def streamed_steps(s, d):
+    """Chains followed as a stream that is stopped half-way and goes on from its checkpoint."""
+    by = Window.partitionBy("user_id")
+    ev = p.read(s, d, "events").select(F.col("user_id").alias("chain_id"), (F.row_number().over(by.orderBy("ts", "event_id")) - 1).cast("bigint").alias("step"), F.col("value").alias("score"), F.col("event_type").alias("plan"), F.count("*").over(by).alias("n"))
+    folder, out, checkpoint = place(s, "stream"), place(s, "followed"), place(s, "checkpoint")
+    for part in ("step * 2 < n", "step * 2 >= n"):
+        ev.where(part).drop("n").write.mode("append").parquet(folder)
+        st.run_once(st.followed(st.steps(s, folder, "chain_id bigint, step bigint, score double, plan string")), out, checkpoint)
+    return s.read.parquet(out)
+
+
 @query("SELECT event_id, key, json_extract_string(props, '$.' || key) AS value FROM (SELECT event_id, props, unnest(json_keys(props)) AS key FROM events)", "")
 def flatten_json(s, d):
     ev = p.read(s, d, "events").select("event_id", F.explode(F.from_json("props", "map<string,string>")).alias("k", "j"))

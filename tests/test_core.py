@@ -217,15 +217,6 @@ def test_chains_tell_of_dead_ends_and_replace_failed_runs(spark):
     assert len(run(1)) < 2 and [r.success for r in run(60)] == [True, True]
 
 
-def test_few_rows_are_sent_and_many_are_joined(spark, monkeypatch):
-    long = spark.createDataFrame([("a", 1, 1.0), ("a", 2, 5.0), (None, 1, 2.0), (None, 2, 6.0), ("b", 1, None)], "metric string, step int, value double")
-    want = {("a", 1): -2.0, ("a", 2): 2.0, (None, 1): -2.0, (None, 2): 2.0, ("b", 1): None}
-    for most in (1 << 16, 1):
-        monkeypatch.setattr(results, "SMALL", most)
-        out = results.from_median(long, ["metric"])
-        assert out.columns == [*long.columns, "from_median"] and {(r.metric, r.step): r.from_median for r in out.collect()} == want
-
-
 def test_proposal_holds_scaled_weights(spark):
     near = [(i, j) for i in range(16) for j in (i + 1, i + 4) if j < 16 and (j == i + 4 or j % 4)]
     grid = kernels.Graph(np.arange(16), np.full(16, 1.0), *(np.array(x) for x in zip(*near)))
@@ -324,19 +315,52 @@ def test_sources_and_sinks(spark, tmp_path):
 
 def test_streams(spark, tmp_path):
     schema = "chain_id bigint, step bigint, score double"
-    spark.createDataFrame([(1, k, float(s)) for k, s in enumerate([5, 3, 4, 3, 1, 9])], schema).coalesce(1).write.parquet(str(tmp_path / "in"))
+    rows = spark.createDataFrame([(1, k, float(s)) for k, s in enumerate([5, 3, 4, 3, 1, 9])], schema).coalesce(1)
+    rows.write.parquet(str(tmp_path / "in"))
     seen = []
-    st.periodic(st.steps(spark, str(tmp_path / "in"), schema), lambda df, n: seen.extend(r.step for r in df.collect()), str(tmp_path / "c1"), 5).awaitTermination()
-    assert seen == [0, 1, 2, 3, 4, 5]  # the batch that reaches step 5, whole
-    q = st.best_so_far(st.steps(spark, str(tmp_path / "in"), schema)).writeStream.format("memory").queryName("best").outputMode("append").option("checkpointLocation", str(tmp_path / "c2")).trigger(availableNow=True).start()
-    q.awaitTermination()
-    assert [(r.step, r.best, r.best_step) for r in spark.table("best").orderBy("step").collect()] == [(0, 5, 0), (1, 3, 1), (2, 3, 1), (3, 3, 1), (4, 1, 4), (5, 1, 4)]
+    draw = lambda df, n: seen.append(sorted(r.step for r in df.collect()))
+    stream, whole = st.steps(spark, str(tmp_path / "in"), schema), spark.read.schema(schema).parquet(str(tmp_path / "in"))
+    st.periodic(stream, draw, str(tmp_path / "c1"), 2).awaitTermination()
+    st.periodic(stream, draw, str(tmp_path / "c2"), 5, so_far=whole).awaitTermination()
+    assert seen == [[2, 4], [0, 1, 2, 3, 4, 5]]  # the due steps, or all up to the last of them
+    spark.createDataFrame([(1, 7, 1.0), (1, 8, 2.0)], schema).write.mode("append").parquet(str(tmp_path / "in"))
+    st.periodic(stream, draw, str(tmp_path / "c2"), 5, so_far=whole).awaitTermination()
+    assert len(seen) == 2  # nothing is due
     with pytest.raises(ValueError):
         st.periodic(None, None, "", 0)
     ev = spark.sql("SELECT * FROM VALUES (timestamp'2024-01-01 00:01:00', 1, 2.0), (timestamp'2024-01-01 00:20:00', 1, 3.0), (timestamp'2024-01-01 00:02:00', 1, 1.0) t(ts, user_id, value)")
     assert sorted((r.n, r.total) for r in st.sessions(ev, "5 minutes", "user_id").collect()) == [(1, 3.0), (2, 3.0)]
 
 
+def test_chains_are_followed_over_restarts(spark, tmp_path):
+    from datetime import datetime, timedelta
+
+    schema = "chain_id bigint, step bigint, score double, plan string"
+    batches = [
+        [(1, 1, 5.0, "a"), (1, 0, 7.0, "a"), (2, 0, None, None), (1, 2, 5.0, None)],
+        [(1, 3, 4.0, None), (2, 1, 3.0, "x"), (3, 0, 1.0, "q")],
+        [(1, 4, 4.0, "b"), (2, 2, 3.0, "x"), (1, 5, 9.0, "b")],
+    ]
+    folder, out, at = (str(tmp_path / n) for n in ("in", "out", "checkpoint"))
+    for rows in batches:  # each run begins where the last one stopped
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(folder)
+        st.run_once(st.followed(st.steps(spark, folder, schema)), out, at)
+    got = {(r.chain_id, r.step): (r.best, r.best_step, r.differs) for r in spark.read.parquet(out).collect()}
+    assert got == {
+        (1, 0): (7, 0, True), (1, 1): (5, 1, False), (1, 2): (5, 1, True), (1, 3): (4, 3, False), (1, 4): (4, 3, True), (1, 5): (4, 3, False),
+        (2, 0): (None, 0, True), (2, 1): (3, 1, True), (2, 2): (3, 1, False), (3, 0): (1, 0, True),
+    }
+    st.run_once(st.followed(st.steps(spark, folder, schema)), out, at)
+    assert spark.read.parquet(out).count() == 10
+    folder, out, at = (str(tmp_path / n) for n in ("in2", "out2", "checkpoint2"))
+    timed = schema + ", ts timestamp"
+    for rows in ([(1, 0, 1.0, "a", 0), (4, 0, 1.0, "a", 50)], [(2, 0, 5.0, "b", 70)], [(1, 1, 8.0, "a", 80), (4, 1, 8.0, "a", 80)]):
+        spark.createDataFrame([(*r[:4], datetime(2024, 1, 1, 0, 0, r[4] % 60) + timedelta(minutes=r[4] // 60)) for r in rows], timed).coalesce(1).write.mode("append").parquet(folder)
+        st.run_once(st.followed(st.steps(spark, folder, timed), idle=30_000), out, at)
+    last = {r.chain_id: (r.best, r.differs) for r in spark.read.parquet(out).where("step = 1").collect()}
+    assert last == {1: (8, True), 4: (1, False)}  # the first was quiet for too long, and its state had gone
+
+
 def test_every_query_has_its_columns_twice():
     import __spark_entry__ as e
 
@@ -651,3 +675,89 @@ def test_overlay_cuts_dense_cells_further(spark, dense):
             share = {d: round(g.overlap(bytes(geom), g.wkb([np.array([*r, r[0]], float)])), 9) if geom else 0 for d, r in slant.items() if (q, d) != (1, "b")}
             want[q, n] = min((d for d in share if share[d] > 0), key=lambda d: (-share[d], d), default=None)
     assert got == want
+
+
+def test_quantiles_of_any_group(spark):
+    from plansmith.operators import quantiles
+
+    rng = np.random.default_rng(6)
+    groups = {"a": rng.normal(size=301), "b": rng.integers(0, 4, 400).astype(float), "c": np.array([5.0]), "d": np.array([2.0, 9.0]), None: rng.exponential(size=77)}
+    rows = [(k, float(x)) for k, v in groups.items() for x in v] + [("a", None), ("e", None)]
+    df = spark.createDataFrame(rows, "k string, value double").repartition(5)
+    qs = [0.5, 0.025, 0.975, 0.0, 1.0, 1 / 3]
+    got = {r.k: list(r)[1:] for r in quantiles.quantiles(df, ["k"], qs, [f"q{i}" for i in range(len(qs))]).collect()}
+    assert set(got) == set(groups)
+    for k, v in groups.items():
+        assert got[k] == pytest.approx(np.quantile(v, qs).tolist())
+    rows = quantiles.ordered(df, ["k"]).where("k = 'b'").orderBy("value").collect()
+    assert [(r.value, r.n, r.ahead, r.total) for r in rows] == [(float(x), int((groups["b"] == x).sum()), int((groups["b"] < x).sum()), 400) for x in range(4)]
+    apart = {(r.k, r.value): r.from_median for r in results.from_median(df, ["k"]).collect()}
+    assert apart[None, float(groups[None][0])] == pytest.approx(groups[None][0] - np.median(groups[None])) and apart["e", None] is None
+    assert quantiles.quantiles(df.limit(0), ["k"], [0.5], ["m"]).count() == 0
+    whole = quantiles.quantiles(df, [], [0.5], ["m"]).first().m
+    assert whole == pytest.approx(np.median(np.concatenate(list(groups.values()))))
+    with pytest.raises(ValueError):
+        quantiles.quantiles(df, ["k"], [1.5], ["m"])
+
+
+def test_density_is_near_the_direct_sum(spark):
+    rng = np.random.default_rng(7)
+    groups = {"a": rng.normal(size=200), "b": np.concatenate([rng.normal(size=60), rng.normal(8, 0.2, 90)]), None: np.array([0.0, 1.0])}
+    df = spark.createDataFrame([(k, float(x)) for k, v in groups.items() for x in v] + [("one", 3.0), ("flat", 2.0), ("flat", 2.0), ("a", None), ("a", float("nan"))], "k string, value double")
+    got = {}
+    for r in results.density(df, ["k"]).orderBy("point").collect():
+        got.setdefault(r.k, []).append((r.x, r.density))
+    assert set(got) == set(groups)
+    for k, v in groups.items():
+        x, d = map(np.array, zip(*got[k], strict=True))
+        h = v.std(ddof=1) * len(v) ** -0.2
+        want = np.exp(-(((x[:, None] - v[None]) / h) ** 2) / 2).sum(axis=1) / (len(v) * h * np.sqrt(2 * np.pi))
+        assert len(x) == 200 and x[0] == pytest.approx(v.min() - 3 * h) and x[-1] == pytest.approx(v.max() + 3 * h)
+        assert np.abs(d - want).max() < 2e-4 * want.max() + 1e-4 and (d >= 0).all()
+        assert ((d[1:] + d[:-1]) / 2 * np.diff(x)).sum() == pytest.approx(1, abs=0.01)
+    with pytest.raises(ValueError):
+        results.density(df, ["k"], points=1)
+
+
+def test_what_a_distribution_shows(spark):
+    assert results.named_references([0.5, "0.25", "x", None]) == {"Reference 1": 0.5, "Reference 2": 0.25}
+    assert results.named_references({"now": "1", "bad": [2]}) == {"now": 1.0} and results.named_references(None) == {}
+    df = spark.createDataFrame([("a", float(k)) for k in range(9)] + [("b", 10.0 * k) for k in range(9)], "k string, value double")
+    shown = results.distribution(df, ["k"], [4], relative=True)
+    assert sorted(shown) == ["histogram", "interval", "references"]
+    assert {(r.k, r.name, r.value) for r in shown["references"].collect()} == {("a", "Reference 1", 0.0), ("b", "Reference 1", -36.0)}
+    assert {(r.k, r.median) for r in shown["interval"].collect()} == {("a", 0.0), ("b", 0.0)}
+    assert "density" in results.distribution(df, ["k"], curve=True)
+    with pytest.raises(ValueError, match="no data"):
+        results.distribution(df.withColumn("value", F.lit(None).cast("double")), ["k"])
+
+
+def test_changes_of_a_chain(spark):
+    from plansmith.operators import changes
+
+    rng = np.random.default_rng(8)
+    nodes, edges = list(range(12)), [(k, k + 1) for k in range(11)] + [(0, 6), (3, 9)]
+    people, county = rng.integers(1, 9, 12).tolist(), ["x", "x", None, "y", "y", "y", "z", "z", "z", "z", "", "x"]
+    units = spark.createDataFrame([(n, int(people[n]), county[n]) for n in nodes], "node bigint, totpop bigint, county string")
+    e = spark.createDataFrame(edges, "u bigint, v bigint")
+    plans = {}
+    for c in range(2):
+        plan = [("abc"[n % 3] if n else None) for n in nodes]
+        for t in range(31):
+            if t:
+                for n in rng.choice(12, rng.integers(0, 3), replace=False):
+                    plan[n] = [None, "a", "b", "c", "d"][rng.integers(5)]
+            plans[c, t] = list(plan)
+    df = spark.createDataFrame([(c, t, n, p[n]) for (c, t), p in plans.items() for n in nodes], "chain_id bigint, step bigint, node bigint, district string").repartition(3)
+    base, log = changes.changes(df)
+    assert log.count() == sum(a != b for c in range(2) for t in range(1, 31) for a, b in zip(plans[c, t], plans[c, t - 1], strict=True))
+    assert sorted(map(tuple, changes.followed(base, df.where("step > 0").withColumnRenamed("district", "new")).collect()), key=str) == sorted(map(tuple, log.collect()), key=str)
+    for t in (0, 7, 30):
+        assert {(r.chain_id, r.node): r.district for r in changes.plan_at(base, log, t).collect()} == {(c, n): plans[c, t][n] for c in range(2) for n in nodes}
+    got = {(r.chain_id, r.step, r.district): r.totpop for r in changes.tallies(base, log, units, "totpop", 30).collect()}
+    assert all(got.get((c, t, d), 0) == sum(people[n] for n in nodes if p[n] == d) for (c, t), p in plans.items() for d in "abcd")
+    got = {(r.chain_id, r.step): (r.num_parts, r.split) for r in changes.splits(base, log, units, "county", 30).collect()}
+    kinds = lambda p: {(county[n], p[n]) for n in nodes if p[n]}
+    assert got == {k: (len(kinds(p)), sum(sum(x == y for x, _ in kinds(p)) > 1 for y in set(county))) for k, p in plans.items()}
+    got = {(r.chain_id, r.step): r.cut for r in changes.cut_edges(base, log, e, 30).collect()}
+    assert got == {k: sum(bool(p[u] and p[v] and p[u] != p[v]) for u, v in edges) for k, p in plans.items()}
