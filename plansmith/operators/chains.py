@@ -6,6 +6,7 @@ here: the assignments that come out are evaluated set-at-a-time by `ensemble`.
 
 from __future__ import annotations
 
+import functools
 import math
 import warnings
 from collections.abc import Callable, Iterator, Sequence
@@ -136,60 +137,44 @@ def partition(units: DataFrame, plan: DataFrame, repair: bool = True, edges: Dat
 
 # Optimisers
 
-@dataclass
 class Goal:
-    """What a phase of an optimisation works towards.
-
-    up: more is better; slack: differences that do not count; floor: the least that will do; enough: where a phase may end;
-    closed: whether a bound is met by what only differs from it by slack."""
-
-    score: Score
-    up: bool = False
-    slack: float = 0.0
-    floor: float | None = None
-    enough: float | None = None
-    closed: bool = False
-
-    def gain(self, new: float, old: float) -> float:
-        """How much better the new score is; negative if it is worse."""
-        return new - old if self.up else old - new
+    """A score that a phase of an optimisation makes small, or with `up` large; it is turned round once, here, and only losses are compared.
 
-    def meets(self, score: float, bound: float | None) -> bool:
-        """Whether a score is on the good side of a bound; without one it never is."""
-        return bound is not None and self.gain(score, bound) > (0.0 if not self.closed else -self.slack - 1e-12)
+    Losses up to `slack` apart count as equal.  `enough` ends a phase when the score is beyond it, `closed` also when it is within slack of it."""
 
-    def will_do(self, score: float) -> bool:
-        return self.floor is None or self.meets(score, self.floor)
+    def __init__(self, score: Score, up: bool = False, slack: float = 0.0, enough: float | None = None, closed: bool = False):
+        sign = -1.0 if up else 1.0
+        self.loss = lambda g, s: sign * score(g, s)
+        self.slack = slack
+        margin = slack + 1e-12 if closed else 0.0
+        self.reached = (lambda loss: False) if enough is None else (lambda loss: loss - sign * enough < margin)
 
 
-def verdict(goals: Sequence[Goal], new: Sequence[float], old: Sequence[float]) -> int:
-    """1, 0 or -1: whether the new scores are better, as good, or worse; the first goal that tells them apart decides."""
-    for goal, x, y in zip(goals, new, old, strict=False):
-        if abs(gain := goal.gain(x, y)) > goal.slack:
-            return 1 if gain > 0 else -1
-    return 0
+def order(goals: Sequence[Goal], new: Sequence[float], old: Sequence[float]) -> int:
+    """1, 0 or -1: whether losses are better, as good, or worse; the first goal that tells them apart decides."""
+    apart = (old_ - new_ for goal, new_, old_ in zip(goals, new, old, strict=False) if abs(old_ - new_) > goal.slack)
+    return int(np.sign(next(apart, 0.0)))
 
 
 def lexicographic(g, state, goals: Sequence[Goal], proposals: Sequence[Callable], configs: Sequence[dict], constraints: Sequence[Constraint], rng):
-    """A phase for each goal, in order; a phase may not lose what the goals before it have reached.  Of equally good states the latest is kept."""
-    if not len(goals) == len(configs) == len(proposals):
+    """The state and its losses after a phase for each goal, in order; a phase may not lose what the goals before it have reached.  Of equally good states the latest is kept."""
+    if len({len(goals), len(proposals), len(configs)}) > 1:
         raise ValueError("each goal needs a proposal and a configuration")
-
-    def scored(s) -> tuple:
-        return s, [goal.score(g, s) for goal in goals]
-
-    held = scored(state)
-    for done, goal in enumerate(goals):
-        options = {"method": "short_bursts", "burst": 10, "steps": 50} | dict(configs[done])
-        won = goals[:done]  # with what they have reached when the phase begins
-        guard = lambda g_, new, before, won=won, at=held[1]: not won or verdict(won, scored(new)[1], at) >= 0
-        scheme = Scheme(options["method"], goal.score, goal.up, burst=options["burst"])
-        for found in map(scored, walk(g, held[0], proposals[done], [*constraints, guard], scheme, options["steps"], rng)):
-            if verdict(goals[: done + 1], found[1], held[1]) >= 0:
-                held = found
-                if goal.meets(found[1][done], goal.enough):
+    losses = lambda s: [goal.loss(g, s) for goal in goals]
+
+    def phase(start: tuple, k: int) -> tuple:
+        best, at = start
+        config = {"method": "short_bursts", "burst": 10, "steps": 50, **configs[k]}
+        keeps = lambda g_, new, before: order(goals[:k], losses(new), start[1]) >= 0
+        run = walk(g, best, proposals[k], [*constraints, keeps][: len(constraints) + bool(k)], Scheme(config["method"], goals[k].loss, burst=config["burst"]), config["steps"], rng)
+        for s in run:
+            if order(goals[: k + 1], own := losses(s), at) >= 0:
+                best, at = s, own
+                if goals[k].reached(own[k]):
                     break
-    return held
+        return best, at
+
+    return functools.reduce(phase, range(len(goals)), (state, losses(state)))
 
 
 def anneal(g, state, propose: Callable, constraints: Sequence[Constraint], score: Score, steps: int, rng, hot: int = 0, beta: float = 1.0, scale: float = 100.0, done: Callable[[object], bool] | None = None):
@@ -244,10 +229,11 @@ class Escalation:
         return state
 
 
-def equal_population(spark: SparkSession, g: Graph, seeds: DataFrame, wanted: int, propose: Proposal, score: Score, ideal: float, steps: int, seed: int = 0, within: float = 1.0, runs: int = 5, **options) -> DataFrame:
-    """(candidate_id, score, success, node, district): every candidate plan annealed, in parallel; the first `wanted` of those whose districts are all less than `within` people off the ideal.
+def equal_population(spark: SparkSession, g: Graph, seeds: DataFrame, wanted: int, propose: Proposal, score: Score, ideal: float, steps: int, seed: int = 0, within: float = 1.0, runs: int = 5, at_once: int | None = None, **options) -> DataFrame:
+    """(candidate_id, score, success, node, district): candidate plans annealed, in parallel; the first `wanted` of those whose districts are all less than `within` people off the ideal.
 
-    seeds: (candidate_id, node, district).  A run that fails is replaced by another with random numbers of its own, up to `runs`."""
+    seeds: (candidate_id, node, district).  Candidates go in waves, in order, of `at_once` (as many as are wanted); no wave starts once
+    enough have come through.  A run that fails is replaced by another with random numbers of its own, up to `runs`."""
     from pyspark.sql import functions as F
 
     sent = spark.sparkContext.broadcast(g)
@@ -263,6 +249,14 @@ def equal_population(spark: SparkSession, g: Graph, seeds: DataFrame, wanted: in
                 break
         return pd.DataFrame({"candidate_id": c, "score": value, "success": max_deviation(g, best, ideal) < within, "node": g.ids, "district": np.array(names, object)[best]})
 
-    out = seeds.groupBy("candidate_id").applyInPandas(run, "candidate_id bigint, score double, success boolean, node bigint, district string")
-    first = out.where("success").select("candidate_id").distinct().orderBy("candidate_id").limit(wanted)
-    return out.join(F.broadcast(first), "candidate_id", "left_semi")
+    schema = "candidate_id bigint, score double, success boolean, node bigint, district string"
+    every = [r[0] for r in seeds.select("candidate_id").distinct().orderBy("candidate_id").collect()]  # a number a candidate
+    size = at_once or max(1, wanted)
+    out, chosen = spark.createDataFrame([], schema), []
+    for k in range(0, len(every), size):
+        if len(chosen) >= wanted:
+            break
+        wave = settle(seeds.where(F.col("candidate_id").isin(every[k : k + size])).groupBy("candidate_id").applyInPandas(run, schema), "wave")
+        chosen += sorted(r[0] for r in wave.where("success").select("candidate_id").distinct().collect())
+        out = out.union(wave)
+    return out.where(F.col("candidate_id").isin(chosen[:wanted]))

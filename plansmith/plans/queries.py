@@ -86,10 +86,10 @@ def muni_splits(s, d):
     return e.splits(*plans(s, d), "muni")
 
 
-@query("SELECT plan_id, array_to_string(list_sort(list(nm)), ',') AS names FROM (SELECT plan_id, muni, min_by(name, node) OVER () AS x, muni AS nm FROM (SELECT plan_id, muni, count(DISTINCT district) AS n, min(node) AS node, '' AS name FROM assignment JOIN units USING (node) GROUP BY ALL) WHERE n > 1) GROUP BY plan_id")
+@query("SELECT plan_id, array_to_string(list_sort(list(name)), ',') AS names FROM (SELECT plan_id, muni FROM assignment JOIN units USING (node) GROUP BY ALL HAVING count(DISTINCT district) > 1) JOIN (SELECT muni, min_by(name, node) AS name FROM units GROUP BY muni) USING (muni) GROUP BY plan_id")
 def split_names(s, d):
     a, u = plans(s, d)
-    return e.split_names(a, u, "muni", "muni").select("plan_id", F.array_join("names", ",").alias("names"))
+    return e.split_names(a, u, "muni", "name").select("plan_id", F.array_join("names", ",").alias("names"))
 
 
 @query("SELECT muni AS locality, min_by(name, node) AS name FROM units GROUP BY ALL")
@@ -507,29 +507,36 @@ def recombination_chain(s, d):
 
 
 def states(chain, s, d, slack: float):
-    """Of every state of a chain: its districts, people, pieces, and districts further from the ideal than the chain may go."""
+    """Of every state of a chain: its districts, people, pieces, districts further from the ideal than the chain may go, whether it differs from the state before, how many districts that change touches, and whether its score is worse."""
     units = p.units(s, d)
+    chain = chain.select("chain_id", "step", "node", "district")
     plans = chain.select((F.col("chain_id") * 1000 + F.col("step")).alias("plan_id"), "node", "district")
     people = e.tally(plans, units, "totpop")
     ideal = units.agg((F.sum("totpop") / p.DISTRICTS).alias("ideal"))
     off = F.sum((F.abs(F.col("totpop") - F.col("ideal")) > slack * F.col("ideal")).cast("bigint"))
-    own = people.join(F.broadcast(ideal)).groupBy("plan_id").agg(F.count("*").alias("n_districts"), F.sum("totpop").alias("people"), off.alias("n_off"))
+    loss = F.sum(F.pow(F.col("totpop") - F.col("ideal"), 2))
+    own = people.join(F.broadcast(ideal)).groupBy("plan_id").agg(F.count("*").alias("n_districts"), F.sum("totpop").alias("people"), off.alias("n_off"), loss.alias("loss"))
     torn = rg.pieces(plans, p.edges(s, d)).groupBy("plan_id").agg(F.sum("n_components").alias("n_pieces"))
-    return own.join(torn, "plan_id")
+    before = F.lag("district").over(Window.partitionBy("chain_id", "node").orderBy("step"))
+    moves = chain.withColumn("old", before).where("old <> district").select((F.col("chain_id") * 1000 + F.col("step")).alias("plan_id"), F.explode(F.array("old", "district")).alias("x")).groupBy("plan_id").agg(F.count_distinct("x").alias("touched"))
+    run = Window.partitionBy(F.expr("plan_id div 1000")).orderBy("plan_id")
+    out = own.join(torn, "plan_id").join(moves, "plan_id", "left").withColumn("touched", F.coalesce("touched", F.lit(0)))
+    return out.withColumn("worse", F.coalesce(F.col("loss") > F.lag("loss").over(run) + 1e-6, F.lit(False))).drop("loss")
 
 
-def valid(chains: int, steps: int) -> str:
-    return f"SELECT (c * 1000 + k)::BIGINT AS plan_id, {p.DISTRICTS}::BIGINT AS n_districts, (SELECT sum(totpop)::BIGINT FROM units) AS people, 0::BIGINT AS n_off, {p.DISTRICTS}::BIGINT AS n_pieces FROM (SELECT unnest(range({chains})) AS c), (SELECT unnest(range({steps})) AS k)"
+def valid(chains: int, steps: int, more: str) -> str:
+    """What a run has to give whatever its random numbers, and `more` that depends on its kind; c and k are chain and step."""
+    return f"SELECT (c * 1000 + k)::BIGINT AS plan_id, {p.DISTRICTS}::BIGINT AS n_districts, (SELECT sum(totpop)::BIGINT FROM units) AS people, 0::BIGINT AS n_off, {p.DISTRICTS}::BIGINT AS n_pieces, {more} FROM (SELECT unnest(range({chains})) AS c), (SELECT unnest(range({steps})) AS k)"
 
 
-@query(valid(4, 5))
+@query(valid(4, 5, "CASE WHEN k = 0 THEN 0 ELSE 2 END::BIGINT AS touched"))
 def recombination_states(s, d):
-    return states(recombination_chain(s, d), s, d, 0.1)
+    return states(recombination_chain(s, d), s, d, 0.1).drop("worse")  # each step makes two districts anew
 
 
-@query(valid(2, 3))
+@query(valid(2, 3, "k > 0 AS moved"))
 def coupon_states(s, d):
-    return states(coupon_chain(s, d), s, d, 0.1)
+    return states(coupon_chain(s, d), s, d, 0.1).withColumn("moved", F.col("touched") > 1).drop("touched", "worse")
 
 
 # Sources: what is written is read back
@@ -733,23 +740,23 @@ def reference_maps(s, d):
     return rounded(got.where("metric IN ('split_county', 'population')"), "value")
 
 
-def chain_of(kind, s, d):
+def chain_of(kind, s, d, p_worse=0.2):
     from ..operators.chains import Scheme, run_chains
     from ..operators.kernels import Recom, log_sse
 
     g, first, ideal = start(s, d)
-    scheme = Scheme(kind, score=lambda g_, x: log_sse(g_, x, ideal), p=0.2, burst=2)
-    return states(run_chains(s, g, first, range(2), Recom(ideal, 0.1), scheme=scheme, steps=4, seed=5), s, d, 0.1)
+    scheme = Scheme(kind, score=lambda g_, x: log_sse(g_, x, ideal), p=p_worse, burst=2)
+    return states(run_chains(s, g, first, range(2), Recom(ideal, 0.1), scheme=scheme, steps=8, seed=5), s, d, 0.1)
 
 
-@query(valid(2, 4))
+@query(valid(2, 8, "false AS worse"))
 def tilted_states(s, d):
-    return chain_of("tilted", s, d)
+    return chain_of("tilted", s, d, 0.0).drop("touched")  # a run that accepts nothing worse
 
 
-@query(valid(2, 4))
+@query(valid(2, 8, "k > 0 AS moved"))
 def burst_states(s, d):
-    return chain_of("short_bursts", s, d)
+    return chain_of("short_bursts", s, d).withColumn("moved", F.col("touched") > 1).drop("touched", "worse")
 
 
 @query(f"SELECT c::BIGINT AS candidate_id, true AS success, {p.DISTRICTS}::BIGINT AS n_districts, (SELECT sum(totpop)::BIGINT FROM units) AS people, 0::BIGINT AS n_off FROM (SELECT unnest(range(2)) AS c)")
@@ -759,8 +766,7 @@ def annealed_states(s, d):
     ideal = units.agg((F.sum("totpop") / p.DISTRICTS).alias("ideal"))
     people = own.join(units.select("node", "totpop"), "node").groupBy("candidate_id", "success", "district").agg(F.sum("totpop").alias("n"))
     off = F.sum((F.abs(F.col("n") - F.col("ideal")) >= 0.05 * F.col("ideal")).cast("bigint"))
-    out = people.join(F.broadcast(ideal)).groupBy("success", "candidate_id").agg(F.count("*").alias("n_districts"), F.sum("n").alias("people"), off.alias("n_off"))
-    return out.withColumn("candidate_id", F.row_number().over(Window.orderBy("candidate_id")).cast("bigint") - 1)
+    return people.join(F.broadcast(ideal)).groupBy("success", "candidate_id").agg(F.count("*").alias("n_districts"), F.sum("n").alias("people"), off.alias("n_off"))
 
 
 # Units that are not convex: Ls and what they leave of their boxes, held against strips that cut them

@@ -159,12 +159,12 @@ def test_optimisers():
     m = [chains.Goal(lambda g_, s: float((s[g_.u] != s[g_.v]).sum())), chains.Goal(lambda g_, s: float(kernels.split_counts(g_, s, "c")[0]))]
     start = (np.arange(64) % 8) // 2
     _, score = chains.lexicographic(graph, start, m, [kernels.Recom(16, 0.1)] * 2, [{"steps": 15}] * 2, [kernels.is_contiguous], rng)
-    assert score[0] <= m[0].score(graph, start)
+    assert score[0] <= m[0].loss(graph, start)
     with pytest.raises(ValueError):
         chains.lexicographic(graph, start, m, [], [{}], [], rng)
-    t = chains.Goal(None, up=True, enough=5, floor=3, closed=True, slack=0.5)
-    assert chains.verdict([t], (1,), (1.5,)) == 0 and t.gain(2, 1) > 0 and t.will_do(2.5) and not t.will_do(2.4) and t.meets(4.5, t.enough) and not chains.Goal(None).meets(0, None)
-    assert chains.verdict([t, t], (1, 2), (1.4, 1)) >= 0 and not chains.verdict([t, t], (1, 2), (3, 1)) >= 0
+    t = chains.Goal(lambda g_, s: s, up=True, enough=5, closed=True, slack=0.5)
+    assert chains.order([t], (-1,), (-1.5,)) == 0 and chains.order([t, t], (1, 3), (1.5, 2)) == -1 and chains.order([t], (1,), (3,)) == 1
+    assert t.loss(None, 2) == -2 and t.reached(-4.5) and not t.reached(-4.4) and not chains.Goal(t.loss, enough=5).reached(5) and not chains.Goal(t.loss).reached(0)
     split, multi = kernels.split_counts(graph, start, "c")
     strict = kernels.PreconditionObjective(16, 0.01, {"c": split}, {"c": multi - 2}, start)
     assert strict(graph, start) == 4 + 1 and kernels.PreconditionObjective(16, 0.01, apart_from=start[::-1].copy())(graph, start) in (0, 1)
@@ -195,7 +195,7 @@ def test_chains_polish_what_they_return(spark):
     assert len(fine) == 3
     for k, (s, t) in enumerate(zip(plain, fine)):
         want, _ = chains.lexicographic(graph, s, [cut], [kernels.Recom(16, 0.1)], [{"steps": 10}], [kernels.is_contiguous], np.random.default_rng([5, 0, k]))
-        assert (t == want).all() and cut.score(graph, t) <= cut.score(graph, s)
+        assert (t == want).all() and cut.loss(graph, t) <= cut.loss(graph, s)
 
 
 def test_chains_tell_of_dead_ends_and_replace_failed_runs(spark):
@@ -761,3 +761,57 @@ def test_changes_of_a_chain(spark):
     assert got == {k: (len(kinds(p)), sum(sum(x == y for x, _ in kinds(p)) > 1 for y in set(county))) for k, p in plans.items()}
     got = {(r.chain_id, r.step): r.cut for r in changes.cut_edges(base, log, e, 30).collect()}
     assert got == {k: sum(bool(p[u] and p[v] and p[u] != p[v]) for u, v in edges) for k, p in plans.items()}
+
+
+def test_candidates_go_in_waves(spark, tmp_path):
+    graph, label = grid(), (np.arange(64) % 8) // 2
+    tried = tmp_path / "tried"
+    tried.mkdir()
+
+    def propose(g_, s, rng):
+        (tried / str(rng.integers(2**60))).touch()
+        return s
+
+    seeds = spark.createDataFrame([(c, int(n), str(d)) for c in range(6) for n, d in enumerate(label if c % 3 else label[::-1] * 0 + (np.arange(64) >= 8))], "candidate_id bigint, node bigint, district string")
+    score = lambda g_, s: kernels.log_sse(g_, s, 16)
+    run = lambda wanted, **how: chains.equal_population(spark, graph, seeds, wanted, propose, score, 16, 1, seed=4, runs=1, **how)
+    assert {r.candidate_id for r in run(2, at_once=2).select("candidate_id").distinct().collect()} == {1, 2}
+    assert 1 <= len(list(tried.iterdir())) <= 4  # the first two waves
+    assert {r.candidate_id for r in run(9).select("candidate_id").distinct().collect()} == {1, 2, 4, 5}
+    assert run(0).count() == 0
+
+
+def test_runs_are_recorded_and_found_again(spark, tmp_path):
+    from plansmith.operators.runs import Run
+
+    units = spark.createDataFrame([(k, 10 + k, "x" if k < 4 else "y", bytearray(g.box(k, 0, k + 1, 1))) for k in range(8)], "node bigint, totpop bigint, county string, geom binary")
+    units.write.parquet(str(tmp_path / "units.parquet"))
+    config = Config().set_pop_column("totpop").add_locality_splits(name="county", column_id="county")
+    run = Run(config, {"base": {"data": str(tmp_path / "units.parquet")}})
+    seen = []
+    run.add_callback("plan", lambda plan, step, folder: seen.append((step, plan.where("district = 'a'").count(), folder)), 2).add_callback("each", lambda *a: seen.append(a[1]))
+    for action, every in ((None, 1), (print, 0), (print, -2)):
+        with pytest.raises(ValueError):
+            run.add_callback("bad", action, every)
+    plans = spark.createDataFrame([(0, t, n, "a" if n <= t else "b") for t in range(4) for n in range(8)], "chain_id bigint, step bigint, node bigint, district string")
+    folder = str(tmp_path / "run")
+    own = run.units(spark)
+    got = {(r.step, r.metric, r.key): r.value for r in run.record(plans, lambda a: Context(a, own), folder, steps=4).collect()}
+    assert got[1, "population", "a"] == 10 and got[4, "population", "a"] == 46 and got[2, "split_county", None] == 1 and got[4, "split_county", None] == 0
+    assert seen == [1, (2, 2, folder), 2, 3, (4, 4, folder), 4]
+    lines = sorted((json.loads(r.value) for r in spark.read.text(f"{folder}/output").collect()), key=lambda x: x["step"])
+    assert [x["step"] for x in lines] == [1, 2, 3, 4] and lines[3]["population"] == {"a": 46.0, "b": 62.0}
+    again = Run.from_directory(folder)
+    assert again.config.history == config.history and again.datasets == run.datasets and again.default == "base" and again.units(spark).count() == 8
+    assert Run.steps(spark, folder).count() == 32 and io.next_step(spark, f"{folder}/assignments") == 5
+    about = io.run_directory(folder)
+    assert about["population"] == {"column": "totpop", "total": 108, "districts": 2, "ideal": 54.0} and about["callbacks"] == {"plan": 2, "each": 1} and about["run"] == {"steps": 4}
+    io.write_metadata(str(tmp_path / "other"), population={})
+    with pytest.raises(ValueError, match="geography"):
+        Run.from_directory(str(tmp_path / "other"))
+    with pytest.raises(FileNotFoundError):
+        Run.from_directory(str(tmp_path / "nowhere"))
+    with pytest.raises(ValueError):
+        Run(config, {})
+    with pytest.raises(KeyError):
+        Run(config, {"a": {}}, "b")
