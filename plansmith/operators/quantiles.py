@@ -11,6 +11,9 @@ from pyspark.sql import functions as F
 
 from ..shared import settle
 
+#: Distinct values of all groups together that any task may hold; more are dealt by range.
+FEW = 1 << 16
+
 
 def matches(a: Sequence[str], b: Sequence[str]) -> Column:
     """Null-safe equality of columns pair by pair."""
@@ -22,7 +25,10 @@ def matches(a: Sequence[str], b: Sequence[str]) -> Column:
 
 def ordered(long: DataFrame, by: Sequence[str], value: str = "value") -> DataFrame:
     """(by, value, n, ahead, total): each distinct value, its rows, those of its group with smaller values, and all of the group's."""
-    own = long.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("n"))
+    own = settle(long.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("n")), "values")
+    if own.count() <= FEW:
+        part = Window.partitionBy(*by)
+        return own.withColumns({"ahead": F.sum("n").over(part.orderBy(value)) - F.col("n"), "total": F.sum("n").over(part)})
     dealt = settle(own.repartitionByRange(*by, value).withColumn("part_", F.spark_partition_id()), "ranges")
     names = [f"{c}_by" for c in by]
     ranges = dealt.groupBy(*(F.col(c).alias(x) for c, x in zip(by, names, strict=True)), F.col("part_").alias("part_by")).agg(F.sum("n").alias("m_"))

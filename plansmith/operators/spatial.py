@@ -80,10 +80,27 @@ def gathered(segments: DataFrame, strays: DataFrame) -> DataFrame:
 
 
 def split(open_: DataFrame, tolerance: float = TOLERANCE) -> DataFrame:
-    """Segments (x0, y0, x1, y1, node, forward) cut at the ends of others that lie on them, so that parts of a boundary match.
+    """Segments (x0, y0, x1, y1, node, forward) cut at the ends of others that lie on them, so that parts of a boundary match; the parts of a segment come from a window over the places on it."""
+    cuts = meetings(open_, tolerance).where((F.col("t") > tolerance) & (F.col("t") < length() - tolerance)).distinct()
+    first = open_.select("*", F.col("x0").alias("px"), F.col("y0").alias("py"), F.lit(0.0).alias("t"))
+    last = open_.select("*", F.col("x1").alias("px"), F.col("y1").alias("py"), length().alias("t"))
+    by = Window.partitionBy(*open_.columns).orderBy("t", "px", "py")
+    to = F.lead(F.struct("px", "py")).over(by)
+    parts = cuts.unionByName(first).unionByName(last).withColumn("to", to).where("to IS NOT NULL")
+    x0, y0, x1, y1 = F.col("px"), F.col("py"), F.col("to.px"), F.col("to.py")
+    back = (x0 > x1) | ((x0 == x1) & (y0 > y1))
+    ends = [F.when(back, b).otherwise(a) for a, b in ((x0, x1), (y0, y1), (x1, x0), (y1, y0))]
+    return parts.select("node", (F.col("forward") != back).alias("forward"), *(c.alias(n) for c, n in zip(ends, SEGMENT, strict=True)))
 
-    Segments and ends meet in cells of about two segments' length; a long segment is in the cells along its way.  The parts of
-    a segment come from a window over the places on it."""
+
+def alone(by: DataFrame) -> DataFrame:
+    return by.where(F.size("who") == 1).select(*SEGMENT, F.col("who")[0]["node"].alias("node"), F.col("who")[0]["forward"].alias("forward"))
+
+
+def meetings(open_: DataFrame, tolerance: float) -> DataFrame:
+    """(x0, y0, x1, y1, node, forward, px, py, t): ends within the tolerance of a segment other than its own, and how far along they are.
+
+    Segments and ends meet in cells of about two segments' length; a long segment is in the cells along its way."""
     extent = F.greatest(F.abs(F.col("x1") - F.col("x0")), F.abs(F.col("y1") - F.col("y0")))
     cell = F.broadcast(open_.agg((2 * F.avg(extent)).alias("cell")))  # one row
     dx, dy = F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")
@@ -95,52 +112,48 @@ def split(open_: DataFrame, tolerance: float = TOLERANCE) -> DataFrame:
         at = lambda x: F.floor(x / F.col("cell"))
         return F.explode(F.sequence(at(F.least(a, b) - tolerance), at(F.greatest(a, b) + tolerance)))
 
-    lines = lines.withColumn("cx", along("x", dx)).withColumn("cy", along("y", dy)).select(*open_.columns, "cx", "cy").distinct()
+    lines = lines.withColumn("cx", along("x", dx)).withColumn("cy", along("y", dy)).select(*open_.columns, "cx", "cy")
     ends = ends_of(open_).crossJoin(cell).select("px", "py", F.floor(F.col("px") / F.col("cell")).alias("cx"), F.floor(F.col("py") / F.col("cell")).alias("cy"))
-    along_ = ((F.col("px") - F.col("x0")) * dx + (F.col("py") - F.col("y0")) * dy) / length()
+    t = ((F.col("px") - F.col("x0")) * dx + (F.col("py") - F.col("y0")) * dy) / length()
     off = F.abs((F.col("px") - F.col("x0")) * dy - (F.col("py") - F.col("y0")) * dx) / length()
-    cuts = lines.join(ends, ["cx", "cy"]).withColumn("t", along_).where((off <= tolerance) & (F.col("t") > tolerance) & (F.col("t") < length() - tolerance))
-    cuts = cuts.select(*open_.columns, "px", "py", "t")
-    first = open_.select("*", F.col("x0").alias("px"), F.col("y0").alias("py"), F.lit(0.0).alias("t"))
-    last = open_.select("*", F.col("x1").alias("px"), F.col("y1").alias("py"), length().alias("t"))
-    by = Window.partitionBy(*open_.columns).orderBy("t", "px", "py")
-    to = F.lead(F.struct("px", "py")).over(by)
-    parts = cuts.unionByName(first).unionByName(last).withColumn("to", to).where("to IS NOT NULL")
-    x0, y0, x1, y1 = F.col("px"), F.col("py"), F.col("to.px"), F.col("to.py")
-    back = (x0 > x1) | ((x0 == x1) & (y0 > y1))
-    ends_ = [F.when(back, b).otherwise(a) for a, b in ((x0, x1), (y0, y1), (x1, x0), (y1, y0))]
-    return parts.select("node", (F.col("forward") != back).alias("forward"), *(c.alias(n) for c, n in zip(ends_, SEGMENT, strict=True)))
-
+    own = F.expr("px = x0 AND py = y0 OR px = x1 AND py = y1")
+    near = lines.join(ends, ["cx", "cy"]).where(~own).withColumn("t", t)
+    return near.where((off <= tolerance) & (F.col("t") >= -tolerance) & (F.col("t") <= length() + tolerance)).select(*open_.columns, "px", "py", "t")
 
-def alone(by: DataFrame) -> DataFrame:
-    return by.where(F.size("who") == 1).select(*SEGMENT, F.col("who")[0]["node"].alias("node"), F.col("who")[0]["forward"].alias("forward"))
 
-
-def tidy(open_: DataFrame, tolerance: float) -> DataFrame:
-    return gathered(open_, strays(open_, tolerance))
+def tidied(by: DataFrame, tolerance: float) -> tuple[DataFrame, DataFrame | None]:
+    """The segments of `by` that match none, cut where ends of others lie on them, and stray ends; in a clean coverage, where a join has shown that nothing meets them, they stay as they are."""
+    open_ = alone(by)
+    if meetings(open_, tolerance).isEmpty():
+        return open_, None
+    moved = strays(open_, tolerance)
+    return split(gathered(open_, moved), tolerance), moved
 
 
 def coverage(units: DataFrame, tolerance: float = TOLERANCE) -> DataFrame:
     """(node, forward, x0, y0, x1, y1): boundary segments, cut so that what two units share are equal segments.  Only segments that match none are cut, and only corners of these are looked at for stray ones."""
-    by = matched(units)
-    open_ = alone(by)
-    moved = strays(open_, tolerance)
+    by = settle(matched(units), "segments")
+    parts, moved = tidied(by, tolerance)
     whole = by.where(F.size("who") > 1).select(F.explode("who").alias("w"), *SEGMENT).select("w.*", *SEGMENT)
-    return gathered(whole, moved).unionByName(split(gathered(open_, moved), tolerance))
+    return (whole if moved is None else gathered(whole, moved)).unionByName(parts.select(*whole.columns))
 
 
 def adjacency(units: DataFrame, tolerance: float = TOLERANCE) -> DataFrame:
     """(u, v, shared_perim) of units that share a part of their boundaries, whether their segments match or not: aggregations by segment, no self-join."""
-    by = matched(units)
+    by = settle(matched(units), "segments")
     node = F.transform("who", lambda w: w["node"])
-    whole = by.where(F.size("who") == 2).select(F.array_min(node).alias("u"), F.array_max(node).alias("v"), *SEGMENT)
-    cut = split(tidy(alone(by), tolerance), tolerance).groupBy(*SEGMENT).agg(F.min("node").alias("u"), F.max("node").alias("v"), F.count("*").alias("n")).where("n = 2").drop("n")
-    return whole.unionByName(cut).where("u <> v").groupBy("u", "v").agg(F.sum(length()).alias("shared_perim"))
+    pairs = by.where(F.size("who") == 2).select(F.array_min(node).alias("u"), F.array_max(node).alias("v"), *SEGMENT)
+    parts, moved = tidied(by, tolerance)
+    if moved is not None:
+        cut = parts.groupBy(*SEGMENT).agg(F.min("node").alias("u"), F.max("node").alias("v"), F.count("*").alias("n")).where("n = 2").drop("n")
+        pairs = pairs.unionByName(cut)
+    return pairs.where("u <> v").groupBy("u", "v").agg(F.sum(length()).alias("shared_perim"))
 
 
 def boundary_perimeter(units: DataFrame, tolerance: float = TOLERANCE) -> DataFrame:
     """(node, boundary_perim): the length of boundary that no other unit has; 0 for inner units."""
-    by = split(tidy(alone(matched(units)), tolerance), tolerance).groupBy(*SEGMENT).agg(F.min("node").alias("node"), F.count("*").alias("n")).where("n = 1")
+    parts, _ = tidied(settle(matched(units), "segments"), tolerance)
+    by = parts.groupBy(*SEGMENT).agg(F.min("node").alias("node"), F.count("*").alias("n")).where("n = 1")
     outer = by.groupBy("node").agg(F.sum(length()).alias("boundary_perim"))
     return units.select("node").join(outer, "node", "left").select("node", F.coalesce("boundary_perim", F.lit(0.0)).alias("boundary_perim"))
 

@@ -677,9 +677,11 @@ def test_overlay_cuts_dense_cells_further(spark, dense):
     assert got == want
 
 
-def test_quantiles_of_any_group(spark):
+@pytest.mark.parametrize("few", [0, 1 << 16])
+def test_quantiles_of_any_group(spark, monkeypatch, few):
     from plansmith.operators import quantiles
 
+    monkeypatch.setattr(quantiles, "FEW", few)
     rng = np.random.default_rng(6)
     groups = {"a": rng.normal(size=301), "b": rng.integers(0, 4, 400).astype(float), "c": np.array([5.0]), "d": np.array([2.0, 9.0]), None: rng.exponential(size=77)}
     rows = [(k, float(x)) for k, v in groups.items() for x in v] + [("a", None), ("e", None)]
