@@ -48,21 +48,40 @@ OPERATORS = {"or": 1, "and": 2, "with": 3}
 #: What may stand around an expression or end it.
 AROUND = " \t\r*/#-<>!\"';,."
 LEAD = re.compile(f"[{re.escape(AROUND)}]*")
-#: SPDX expressions stand on one line.
-#: What an identifier is made of.
-NAME = re.compile(r"[0-9a-z][0-9a-z.+:-]*")
+#: First parts of the other licence identifiers in public use.
+OTHERS = frozenset("""
+0bsd aal afl apsl artistic beerware blueoak boost bsl bzip2 caldera cc cddl cdla cecill cern copyleft cpal cpl curl ecl efl entessa
+epl eupl fair fdl frameworx fsfap ftl gfdl giftware hpnd ijg imagemagick intel ipl json latex lppl libpng libtiff lpl mirros
+motosoto ms mulanpsl multics mysql nasa naist naumen ncsa netcdf ngpl nokia nosl npl ntp oclc odbl odc ofl ogl oldap openssl
+osl pddl php postgresql psf python qpl rpl rpsl ruby saxpath sgi simpl sissl sleepycat sspl sun tcl torque ucl unicode upl vim vsl
+w3c watcom wtfpl x11 xnet xpp zend zimbra zlib zpl
+""".split())
+#: An identifier of a document's own, or of another document.
+OWN = re.compile(r"(?:documentref-[0-9a-z.-]+:)?licenseref-[0-9a-z.-]+")
+#: What an identifier is made of; a colon stands only in the form above.
+NAME = re.compile(rf"{OWN.pattern}|[0-9a-z][0-9a-z.+-]*")
 TOKEN = re.compile(r"[^\S\n]*([()]|[^\s()]+)")
 
 
 def family(identifier: str) -> str:
-    """The label of an identifier: GPL-3.0-only and gpl-2.0+ are gpl."""
+    """The label of an identifier: GPL-3.0-only, gpl-2.0+ and gplv2 are gpl."""
     name = identifier.rstrip("+")
-    for label in sorted(FREE, key=len, reverse=True):
-        if name == label or name.startswith(label + "-"):
-            return label
+    for one in (name, re.sub(r"-?v?[0-9][0-9.]*$", "", name)):
+        for label in sorted(FREE, key=len, reverse=True):
+            if one == label or one.startswith(label + "-"):
+                return label
     return name
 
 
+def known(name: str) -> bool:
+    """Whether a name is a licence: of a family in FREE or in OTHERS, or of the form LicenseRef-..."""
+    return family(name) in FREE or re.split(r"[-+]", name)[0] in OTHERS or OWN.fullmatch(name) is not None
+
+
+def exception(name: str) -> bool:
+    return "exception" in name or name.startswith("additionref-") or name == "linux-syscall-note"
+
+
 def postfix(expression: str) -> tuple[list[str], bool]:
     """Shunting-yard: operands and operators in postfix order, and whether the expression is well formed."""
     out, stack, good, operand = [], [], True, False
@@ -117,7 +136,7 @@ def evaluate(expression: str) -> tuple[set[str], float]:
 
 
 def expression(text: str, at: int) -> str:
-    """The tokens from `at` on for as long as they form an expression on one line, however long that is."""
+    """The tokens from `at` on for as long as they form an expression of licences on one line, however long that is; a word that is no licence ends it."""
     at = LEAD.match(text, at).end()
     out, depth, operand = [], 0, False
     while m := TOKEN.match(text, at):
@@ -134,8 +153,9 @@ def expression(text: str, at: int) -> str:
             break
         else:
             bare = own[0].rstrip(AROUND) if (own := NAME.match(t)) else ""
-            if bare:
-                out.append(bare)
+            if t not in OPERATORS and not (exception(bare) if out and out[-1] == "with" else known(bare)):
+                break
+            out.append(bare)
             if bare != t:
                 break
             operand = not operand
