@@ -25,6 +25,8 @@ from itertools import chain
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from tokenizers import Tokenizer
+from tokenizers.normalizers import NFC
 
 from .text import slices
 
@@ -41,11 +43,30 @@ def byte_letters() -> list[str]:
     return [chr(b) if b in shown else chr(next(other)) for b in range(256)]
 
 
-def category(kind: str) -> str:
+class Newer:
+    """What the library knows of letters that Python's Unicode does not have yet: their kind and their lower case.
+
+    All planes that have letters are asked at once, each letter between two others and behind a sign."""
+
+    def __init__(self, path: str):
+        library = Tokenizer.from_file(path)
+        new = [chr(c) for c in [*range(0x40000), *range(0xE0000, 0xE1000)] if unicodedata.category(chr(c)) == "Cn"]
+        low = library.normalizer.normalize_str(" ".join(new)).split(" ")
+        self.lower = {ord(a): b for a, b in zip(new, low, strict=True) if a != b} if len(low) == len(new) else {}
+        self.kind: dict[int, str] = {}
+        for form, kind in (("a{}b", "L"), ("!{}!", "N")):
+            spans = {at for _, at in library.pre_tokenizer.pre_tokenize_str(" ".join(form.format(c) for c in new))}
+            for k, c in enumerate(new):
+                # A letter keeps its neighbours in one word; a number stands alone even among signs.
+                if ((4 * k, 4 * k + 3) if kind == "L" else (4 * k + 1, 4 * k + 2)) in spans:
+                    self.kind.setdefault(ord(c), kind)
+
+
+def category(kind: str, newer: dict[int, str]) -> str:
     """The ranges of a Unicode category, for a character class."""
     out, since = [], None
     for c in range(sys.maxunicode + 2):
-        own = c <= sys.maxunicode and unicodedata.category(chr(c))[0] == kind
+        own = c <= sys.maxunicode and newer.get(c, unicodedata.category(chr(c))[0]) == kind
         if own and since is None:
             since = c
         elif not own and since is not None:
@@ -54,11 +75,14 @@ def category(kind: str) -> str:
     return "".join(out)
 
 
-def plain(text: str) -> str:
-    """NFC, then lower case letter by letter: a capital sigma never becomes a final one."""
+COMPOSED = NFC().normalize_str
+
+
+def plain(text: str, newer: dict[int, str]) -> str:
+    """NFC (the library's own, as its Unicode is another than Python's), then lower case letter by letter: a capital sigma never becomes a final one."""
     if text.isascii():
         return text.lower()
-    return unicodedata.normalize("NFC", text).replace("\u03a3", "\u03c3").lower()
+    return COMPOSED(text).replace("\u03a3", "\u03c3").lower().translate(newer)
 
 
 class WordBpe:
@@ -77,7 +101,12 @@ class WordBpe:
         self.token = {i: t for t, i in vocab.items()} | {x["id"]: x["content"] for x in spec["added_tokens"]}
         self.special = {x["content"]: x["id"] for x in spec["added_tokens"]}
         self.cut = re.compile("|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) or r"(?!)")
-        rule = pre[0]["pattern"]["Regex"].replace(r"[^\s", f"[^{BLANK}").replace(r"\p{L}", category("L")).replace(r"\p{N}", category("N"))
+        replace = spec["normalizer"]["normalizers"][1]
+        if (replace["pattern"], replace["content"]) != ({"Regex": r"\s+"}, " "):
+            raise ValueError(f"{path}: white space is replaced in another way")
+        newer = Newer(path)
+        self.lower = newer.lower
+        rule = pre[0]["pattern"]["Regex"].replace(r"[^\s", f"[^{BLANK}").replace(r"\p{L}", category("L", newer.kind)).replace(r"\p{N}", category("N", newer.kind))
         self.words, self.lines = re.compile(rule), re.compile(rule + "|\n")
         letters = byte_letters()
         self.inner = np.array([vocab[x] for x in letters], np.int32)
@@ -161,7 +190,7 @@ class WordBpe:
         text, out, at = chunk.decode("utf-8", "replace"), [], 0
         for m in [*self.cut.finditer(text), None]:
             part = text[at : m.start() if m else len(text)]
-            out += [w.encode() for w in self.words.findall(plain(part))]
+            out += [w.encode() for w in self.words.findall(plain(part, self.lower))]
             if m:
                 out.append(self.special[m[0]])
                 at = m.end()
@@ -173,7 +202,7 @@ class WordBpe:
         own = [c for c in chunks if b"<|" not in c]
         cut: list[list[bytes | int]] = [[]]
         # One pass over all chunks: a line feed, which no chunk holds, parts them.
-        for w in self.lines.findall(plain(b"\n".join(own).decode("utf-8", "replace"))):
+        for w in self.lines.findall(plain(b"\n".join(own).decode("utf-8", "replace"), self.lower)):
             if w == "\n":
                 cut.append([])
             else:

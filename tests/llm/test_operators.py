@@ -647,6 +647,18 @@ def test_licence_identifiers_keep_to_their_letters():
     assert labels("License-Expression: mitten or apachean") == "" and labels("license-expression: mit-0 or BSD-3-Clause") == "bsd,mit"
 
 
+def test_bpe_knows_every_letter_of_the_library():
+    from tokenizers import Tokenizer
+
+    path = vocabulary("word_bpe_49k.json")
+    own, library = bpe.WordBpe(path), Tokenizer.from_file(path)
+    letters = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    for k in range(0, len(letters), 100_000):
+        texts = [f"a{c}b" for c in letters[k : k + 100_000]]
+        want = library.encode_batch(texts, add_special_tokens=False)
+        assert all(np.frombuffer(ids, "<u4").tolist() == w.ids for w, (_, ids) in zip(want, own.encode([t.encode() for t in texts]), strict=True))
+
+
 def test_toxicity_lexicon_takes_words_of_any_length_and_ids_once(spark):
     long = "z" * 90
     own = [(k, f"{'plain ' * 9}{long if k % 4 == 0 else 'other'} {k}") for k in range(160)]
