@@ -105,15 +105,20 @@ def auto_bins(n: Column, lo: Column, hi: Column, q1: Column, q3: Column) -> Colu
     return F.when(hi > lo, F.ceil((hi - lo) / F.least(sturges, F.greatest(spread, (hi - lo) / F.sqrt(n) / 2)))).otherwise(1)
 
 
+def with_groups(df: DataFrame, groups: DataFrame, by: Sequence[str]) -> DataFrame:
+    """df with its groups' columns; without grouping columns, groups is one row."""
+    return df.join(groups, list(by)) if by else df.join(F.broadcast(groups))
+
+
 def histogram(long: DataFrame, by: Sequence[str], bins: int | str = 30, value: str = "value") -> DataFrame:
     """Equal bins from the smallest to the largest value, the last one closed: bin, lo, hi, n and density.  With "auto", each group has the number that suits it."""
     span = long.groupBy(*by).agg(F.min(value).alias("lo_"), F.max(value).alias("hi_"), F.count(value).alias("n_"))
     if bins == "auto":
-        span = span.join(q.quantiles(long, by, [0.25, 0.75], ["q1_", "q3_"], value), list(by))
+        span = with_groups(span, q.quantiles(long, by, [0.25, 0.75], ["q1_", "q3_"], value), by)
     k = auto_bins(*map(F.col, ("n_", "lo_", "hi_", "q1_", "q3_"))) if bins == "auto" else F.lit(bins)
     span = span.withColumn("k_", k).withColumn("width_", (F.col("hi_") - F.col("lo_")) / F.col("k_")).drop("hi_", "q1_", "q3_")
     width = F.col("width_")
-    rows = long.where(F.col(value).isNotNull()).join(span, list(by))
+    rows = with_groups(long.where(F.col(value).isNotNull()), span, by)
     at = F.when(width == 0, F.lit(0)).otherwise(F.least(F.floor(F.try_divide(F.col(value) - F.col("lo_"), width)), F.col("k_") - 1)).cast("int")
     out = rows.groupBy(*by, at.alias("bin"), "lo_", "width_", "n_").agg(F.count("*").alias("n"))
     return out.select(*by, "bin", (F.col("lo_") + F.col("bin") * width).alias("lo"), (F.col("lo_") + (F.col("bin") + 1) * width).alias("hi"), "n", F.try_divide(F.col("n").cast("double"), F.col("n_") * width).alias("density"))

@@ -419,6 +419,42 @@ def values_by_unit(s, d):
     return rounded(r.values_by_unit(a, v).select("plan_id", "node", "value"), "value")
 
 
+@query("SELECT 'index' AS kind, plan_id, node, round(index_d, 8) AS value, round(greatest(0, least(1, (index_d - 0.45) / 0.1)), 6) AS shade FROM assignment LEFT JOIN agg USING (plan_id, district) UNION ALL SELECT 'order', plan_id, node, NULL, round(r / 3.0, 6) FROM assignment JOIN (SELECT plan_id, district, row_number() OVER (PARTITION BY plan_id ORDER BY district) - 1 AS r, count(*) OVER (PARTITION BY plan_id) AS k FROM (SELECT DISTINCT plan_id, district FROM assignment)) USING (plan_id, district) WHERE k = 4", ALL)
+def value_map(s, d):
+    from ..operators import reports
+
+    a = p.assignment(s, d)
+    v = e.partisan(a, p.votes(s, d))
+    own = reports.shaded(a, v, "index_d", (0.45, 0.55)).select(F.lit("index").alias("kind"), "plan_id", "node", "value", "shade")
+    four = a.join(a.groupBy("plan_id").agg(F.count_distinct("district").alias("k")).where("k = 4"), "plan_id", "left_semi")
+    return rounded(rounded(own.union(reports.shaded(four, v).select(F.lit("order"), "plan_id", "node", "value", "shade")), "value"), "shade", to=6)
+
+
+SHARES = "shares AS (SELECT step, key AS district, value AS share FROM steps WHERE metric = 'share' AND value IS NOT NULL), seats AS (SELECT step, count(*) FILTER (share > 0.5) AS seats FROM shares GROUP BY step)"
+
+
+@query("SELECT 'share' AS panel, district AS key, count(*)::BIGINT AS n, round(min(share), 8) AS low, round(median(share), 8) AS middle, round(max(share), 8) AS high, round(avg(share), 8) AS mean FROM shares GROUP BY district UNION ALL SELECT 'seats', CAST(k AS VARCHAR), (SELECT count(*) FROM won WHERE seats = k), (SELECT min(seats) FROM won)::DOUBLE, (SELECT median(seats) FROM won), (SELECT max(seats) FROM won)::DOUBLE, round((SELECT avg(seats) FROM won), 8) FROM (SELECT unnest(range((SELECT count(DISTINCT district) FROM shares) + 1)) AS k)", STEPS + ", " + SHARES.replace("seats AS (SELECT", "won AS (SELECT"))
+def shares_and_seats(s, d):
+    from ..operators import reports
+
+    shares = p.long_steps(s, d).where("metric = 'share'").select("step", F.col("key").alias("district"), F.col("value").alias("share"))
+    return rounded(reports.shares_and_seats(shares), "low", "middle", "high", "mean")
+
+
+@query("SELECT step, sum(value) AS total, count(*)::BIGINT AS n_keys FROM steps WHERE metric = 'population' GROUP BY step", STEPS)
+def results_files(s, d):
+    from ..sources import io
+
+    folder = place(s, "results")
+    long = p.long_steps(s, d).where("metric = 'population'")
+    io.write_results(long, long.groupBy("step").agg(F.sum("value").alias("total")), folder, ["step"])
+    lines = r.read_jsonl(s, f"{folder}/ensemble_results.json", ["step", "population"])
+    step = lines.where("metric = 'step'").select("line", F.col("json").cast("bigint").alias("step"))
+    keys = r.flatten(lines.where("metric <> 'step'"), "metric", "json").join(step, "line").groupBy("step").agg(F.count("*").alias("n_keys"))
+    total = s.read.option("header", True).csv(f"{folder}/ensemble_summary.csv").select(F.col("step").cast("bigint").alias("step"), F.col("total").cast("double").alias("total"))
+    return total.join(keys, "step")
+
+
 @query(f"SELECT round(min(x) - 0.05 * (max(x) + 1 - min(x)), 8) AS minx, round(min(y) - 0.05 * (max(y) + 1 - min(y)), 8) AS miny, round(max(x) + 1 + 0.05 * (max(x) + 1 - min(x)), 8) AS maxx, round(max(y) + 1 + 0.05 * (max(y) + 1 - min(y)), 8) AS maxy FROM units WHERE segment IN ('BUILDING', 'MACHINERY', 'FURNITURE', 'AUTOMOBILE')")
 def bounding_box(s, d):
     u = p.units(s, d).select(F.col("segment").alias("name"), F.col("x").alias("minx"), F.col("y").alias("miny"), (F.col("x") + 1).alias("maxx"), (F.col("y") + 1).alias("maxy"))

@@ -154,6 +154,12 @@ def write_summary(summary: DataFrame, path: str, first: Sequence[str]) -> None:
     summary.select(*(F.col(c) if c in summary.columns else F.lit(0).alias(c) for c in summary_columns(summary.columns, first))).write.mode("overwrite").option("header", True).csv(path)
 
 
+def write_results(metrics: DataFrame, summary: DataFrame, folder: str, first: Sequence[str]) -> None:
+    """What a run leaves: `ensemble_results.json`, a JSON line a step of (step, metric, key, value), and beside it `ensemble_summary.csv`."""
+    write_steps(metrics, f"{folder}/ensemble_results.json")
+    write_summary(summary, f"{folder}/ensemble_summary.csv", first)
+
+
 CHAMBERS = {"us_house": {"tolerance": 0.001, "districts": 4}, "state_senate": {"tolerance": 0.01, "districts": 29}, "state_house": {"tolerance": 0.01, "districts": 75}}
 
 

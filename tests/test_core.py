@@ -250,7 +250,7 @@ def test_config(spark, tmp_path, h1):
     with pytest.warns(UserWarning):
         assert "polsby_popper" not in d.collect_metrics(context)
     context.close()
-    with pytest.raises(ValueError):
+    with pytest.warns(UserWarning), pytest.raises(ValueError):
         Config().add_election_metrics("agg", ["x"])
     with pytest.raises(ValueError):
         Config().add_shape_metrics(["x"])
@@ -817,3 +817,27 @@ def test_runs_are_recorded_and_found_again(spark, tmp_path):
         Run(config, {})
     with pytest.raises(KeyError):
         Run(config, {"a": {}}, "b")
+
+
+def test_reports(spark):
+    from plansmith.operators import reports
+
+    a = spark.createDataFrame([(0, n, d) for n, d in enumerate(["10", "9", "9", None])] + [(1, 0, "x")], "plan_id bigint, node bigint, district string")
+    v = spark.createDataFrame([(0, "9", 0.2), (0, "10", 0.9), (1, "x", None)], "plan_id bigint, district string, share double")
+    rows = lambda df: {(r.plan_id, r.node): (r.value, r.shade) for r in df.collect()}
+    assert rows(reports.shaded(a, v, "share", (0.4, 0.8))) == {(0, 0): (0.9, 1.0), (0, 1): (0.2, 0.0), (0, 2): (0.2, 0.0), (0, 3): (None, None), (1, 0): (None, None)}
+    assert rows(reports.shaded(a, v, "share"))[0, 0] == (0.9, 0.9)
+    with pytest.warns(UserWarning, match="no value 'other'"):
+        assert rows(reports.shaded(a, v, "other")) == {(0, 0): (None, 1.0), (0, 1): (None, 0.0), (0, 2): (None, 0.0), (0, 3): (None, None), (1, 0): (None, 0.0)}
+    with pytest.raises(ValueError):
+        reports.shaded(a, v, "share", (1, 1))
+    shares = spark.createDataFrame([(t, d, x) for t, own in enumerate([(0.6, 0.4, 0.7), (0.5, 0.3, 0.8), (0.6, None, 0.9)]) for d, x in zip("abc", own)], "step bigint, district string, share double")
+    got = {(r.panel, r.key): (r.n, r.low, r.middle, r.high, round(r["mean"], 6)) for r in reports.shares_and_seats(shares).collect()}
+    assert got["share", "b"] == (2, 0.3, 0.35, 0.4, 0.35) and got["share", "c"] == (3, 0.7, 0.8, 0.9, 0.8)
+    assert {k: got["seats", k][0] for k in "0123"} == {"0": 0, "1": 1, "2": 2, "3": 0} and got["seats", "0"][1:] == (1.0, 2.0, 2.0, 1.666667)
+    assert reports.shares_and_seats(shares.limit(0)).count() == 0
+    summary = spark.createDataFrame([(0, 0.1, 3, 0.0), (1, 0.2, 4, 0.25)], "step bigint, efficiency_gap double, split_county int, partisan_bias double")
+    panels = reports.summary_panels(summary, shares, 4)
+    assert sorted(panels) == ["averages", "efficiency_gap", "partisan_bias", "shares_and_seats", "split_county"]
+    assert {(r.bin, r.n) for r in panels["split_county"].collect()} == {(3, 1), (4, 1)} and panels["efficiency_gap"].count() == 2 and panels["partisan_bias"].count() == 2
+    assert [tuple(r) for r in panels["averages"].collect()] == [("split_county", 3.5)]
