@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import is_empty, ratio
+from ..functions.columns import is_empty, ratio, region_mismatch
 
 def by_plan():
     return Window.partitionBy("plan_id")
@@ -258,7 +258,7 @@ def edge_penalties(edges: DataFrame, units: DataFrame, weights: DataFrame | None
         if own:
             out = out.join(units.select(F.col("node").alias(side), *(F.col(c).alias(f"{c}_{side}") for c in own)), side)
     for c, s in own.items():
-        penalty = penalty + F.when(F.coalesce(F.col(f"{c}_u") != F.col(f"{c}_v"), F.lit(True)), s).otherwise(0.0)
+        penalty = penalty + F.when(region_mismatch(f"{c}_u", f"{c}_v"), s).otherwise(0.0)
     return out.select("u", "v", penalty.alias("penalty"))
 
 

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import json
 import re
 import warnings
 from collections.abc import Mapping, Sequence

@@ -247,6 +247,8 @@ def test_config(spark, tmp_path, h1):
     assert got["efficiency_gap"].first().efficiency_gap == pytest.approx(-0.025) and got["majority_seats"].first().majority_seats == 3 and got["split_muni"].first().split == 1
     with pytest.raises(KeyError):
         d.evaluate(context, ["nothing"])
+    odd = Config().add_election("20'20 OR 1=1", ignore_output=False)
+    assert odd.evaluate(context, [n for n in odd.updaters_to_save if "20" in n])["20'20 OR 1=1"].count() == 0
     with pytest.warns(UserWarning):
         assert "polsby_popper" not in d.collect_metrics(context)
     context.close()
