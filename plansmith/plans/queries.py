@@ -12,7 +12,7 @@ from ..functions import columns as fc
 from ..operators import ensemble as e
 from ..operators import regions as rg
 from ..operators import results as r
-from ..shared import place
+from ..shared import place, settle
 from ..streaming import steps as st
 from . import projection as p
 
@@ -527,10 +527,11 @@ def contiguity_repair(s, d):
 
 
 def start(s, d, *regions):
-    from ..operators.kernels import graph_of
+    from ..operators.kernels import stored_graph
 
-    g = graph_of(p.units(s, d), p.edges(s, d), regions, p.weights(s, d).withColumnRenamed("w", "penalty"))
-    return g, p.stripes(s, d), float(g.pop.sum()) / p.DISTRICTS
+    units = p.units(s, d)
+    g = stored_graph(units, p.edges(s, d), regions, p.weights(s, d).withColumnRenamed("w", "penalty"))
+    return g, p.stripes(s, d), float(units.agg(F.sum("totpop")).first()[0] or 0) / p.DISTRICTS
 
 
 @query()
@@ -545,7 +546,7 @@ def recombination_chain(s, d):
 def states(chain, s, d, slack: float):
     """Of every state of a chain: its districts, people, pieces, districts further from the ideal than the chain may go, whether it differs from the state before, how many districts that change touches, and whether its score is worse."""
     units = p.units(s, d)
-    chain = chain.select("chain_id", "step", "node", "district")
+    chain = settle(chain.select("chain_id", "step", "node", "district"), "chain")  # walked once, and its size is known to what joins it
     plans = chain.select((F.col("chain_id") * 1000 + F.col("step")).alias("plan_id"), "node", "district")
     people = e.tally(plans, units, "totpop")
     ideal = units.agg((F.sum("totpop") / p.DISTRICTS).alias("ideal"))

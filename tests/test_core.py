@@ -6,12 +6,15 @@ import json
 
 import numpy as np
 import pytest
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plansmith.functions import columns as fc
 from plansmith.functions import geometry as g
 from plansmith.operators import chains, ensemble, kernels, regions, results, spatial
 from plansmith.operators.config import Config, Context
+from plansmith.plans import queries
+from plansmith.shared import place
 from plansmith.sources import io
 from plansmith.streaming import steps as st
 
@@ -843,3 +846,61 @@ def test_reports(spark):
     assert sorted(panels) == ["averages", "efficiency_gap", "partisan_bias", "shares_and_seats", "split_county"]
     assert {(r.bin, r.n) for r in panels["split_county"].collect()} == {(3, 1), (4, 1)} and panels["efficiency_gap"].count() == 2 and panels["partisan_bias"].count() == 2
     assert [tuple(r) for r in panels["averages"].collect()] == [("split_county", 3.5)]
+
+
+def plain_tree(n, u, v, w):
+    """Kruskal, edge by edge."""
+    root, tree = list(range(n)), set()
+    for k in np.argsort(w, kind="stable").tolist():
+        a, b = root[u[k]], root[v[k]]
+        if a != b:
+            root, tree = [a if x == b else x for x in root], tree | {(u[k], v[k])}
+    return tree
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_trees_and_cuts_on_arrays(seed):
+    rng = np.random.default_rng(seed)
+    n = 40
+    every = [(i, j) for i in range(n) for j in range(i + 1, n)]
+    u, v = np.array([every[k] for k in np.sort(rng.choice(len(every), 90, replace=False))]).T
+    g = kernels.Graph(np.arange(n) * 3, rng.integers(1, 9, n).astype(float), u, v, {"c": rng.integers(-1, 3, n)}, rng.random(90))
+    nodes = np.flatnonzero(rng.random(n) < 0.8)
+    edges = np.flatnonzero(np.isin(u, nodes) & np.isin(v, nodes))
+    a, b = kernels.spanning_tree(g, nodes, edges, np.random.default_rng(seed), {"c": 0.5})
+    c, d = g.regions["c"][u[edges]], g.regions["c"][v[edges]]
+    w = np.random.default_rng(seed).random(len(edges)) + g.penalty[edges] + 0.5 * ((c != d) | (c < 0) | (d < 0))
+    assert set(zip(nodes[a].tolist(), nodes[b].tolist())) == plain_tree(n, u[edges].tolist(), v[edges].tolist(), w)
+    label = rng.integers(0, 2, n)
+    assert kernels.components(g, label).tolist() == list(plain_components(range(n), list(zip(u.tolist(), v.tolist())), label).values())
+    if len(a) == len(nodes) - 1:
+        target, tree, sides = g.pop[nodes].sum() / 2, list(zip(a.tolist(), b.tolist())), set()
+        for k in range(len(tree)):  # both sides of every edge
+            own = plain_components(range(len(nodes)), tree[:k] + tree[k + 1 :], [0] * len(nodes))
+            side = frozenset(x for x in range(len(nodes)) if own[x] == own[tree[k][0]])
+            if abs(g.pop[nodes][list(side)].sum() - target) <= 0.3 * target:
+                sides |= {side, frozenset(range(len(nodes))) - side}
+        got = [kernels.balanced_cut(g, nodes, (a, b), target, 0.3, np.random.default_rng(k)) for k in range(20)]
+        if not sides:
+            assert all(x is None for x in got)
+        else:
+            assert all(frozenset(np.searchsorted(nodes, x).tolist()) in sides for x in got)
+
+
+def test_chains_walk_without_a_graph_on_the_driver(spark, monkeypatch):
+    def refuse(self, *_):
+        raise AssertionError("a table comes to the driver")
+
+    for c in (type(spark.range(1)), DataFrame):
+        monkeypatch.setattr(c, "toPandas", refuse)
+    got = queries.QUERIES["recombination_states"](spark, "/root/testdata/sf0.01").drop("people").orderBy("plan_id").collect()
+    assert [tuple(r) for r in got] == [(1000 * c + k, 4, 0, 4, 2 * (k > 0)) for c in range(4) for k in range(5)]
+    e = spark.createDataFrame([(0, 2), (1, 2), (5, 9)], "u bigint, v bigint").repartition(2)
+    units = spark.createDataFrame([(9, 4, "b"), (0, 1, " "), (1, 2, None), (2, 3, "a"), (5, 7, "b")], "node bigint, totpop bigint, c string").repartition(3)
+    g = kernels.stored_graph(units, e, ("c",), spark.createDataFrame([(1, 2, 0.5)], "u bigint, v bigint, penalty double")).load()
+    assert g.ids.tolist() == [0, 1, 2, 5, 9] and g.pop.tolist() == [1, 2, 3, 7, 4] and g.regions["c"].tolist() == [-1, -1, 0, 1, 1]
+    assert list(zip(g.u.tolist(), g.v.tolist(), g.penalty.tolist())) == [(0, 2, 0.0), (1, 2, 0.5), (3, 4, 0.0)]
+    start = place(spark, "start")
+    spark.createDataFrame([(9, "10"), (0, "2"), (2, None), (7, "3"), (5, "2")], "node bigint, district string").repartition(3).write.parquet(start)
+    label, names = kernels.stored_plan(start, g.ids)
+    assert names == ["10", "2", "3"] and label.tolist() == [1, -1, -1, 1, 0]
