@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -260,6 +261,12 @@ def chained(t: pa.Table) -> pa.Table:
     return pa.table({"plan_id": plan, "district": pa.array([t["district"][0].as_py()] * len(heads), pa.string()), "id": pa.array(heads, pa.int64()), "next": pa.array(nexts, pa.int64()), "points": pa.array(points, pa.binary())})
 
 
+def flat_points(x: pa.BinaryArray) -> np.ndarray:
+    """The points of all paths of an array, without a copy."""
+    offsets = np.frombuffer(x.buffers()[1], np.int32)[x.offset : x.offset + len(x) + 1]
+    return np.frombuffer(x.buffers()[2], float, (offsets[-1] - offsets[0]) // 8, offsets[0]).reshape(-1, 2) if len(x) else np.empty((0, 2))
+
+
 def ringed(paths: DataFrame, most: int = 64) -> DataFrame:
     """paths (id, next, ...) with ring (the smallest id of its ring) and steps (to that one), by pointer jumping: each round doubles how far a path sees."""
     state = settle(paths.where("id <> next").select("id", F.col("next").alias("ahead"), F.col("id").alias("ring"), F.lit(0).cast("bigint").alias("steps")), "pointers")
@@ -298,15 +305,26 @@ def dissolve(assignment: DataFrame, units: DataFrame, sums: list[str] | None = N
         paths = paths.withColumns({"ring": F.col("id"), "steps": F.lit(0).cast("bigint")})
 
     def run(t: pa.Table) -> pa.Table:
-        rows: dict[int, list] = {}
-        for ring, steps, points in zip(t["ring"].to_pylist(), t["steps"].to_pylist(), t["points"].to_pylist(), strict=True):
-            rows.setdefault(ring, []).append((steps > 0, -steps, points))  # the smallest id first, then from far to near
-        rings = []
-        for k in sorted(rows):
-            xy = np.frombuffer(b"".join(x[2] for x in sorted(rows[k])), float).reshape(-1, 2)
-            rings.append(np.vstack([xy, xy[:1]]))
-        return pa.table({"plan_id": t["plan_id"].combine_chunks().slice(0, 1), "district": t["district"].combine_chunks().slice(0, 1), "geom": pa.array([g.assembled(rings)], pa.binary())})
-
+        keys = {c: t[c].combine_chunks().slice(0, 1) for c in ("plan_id", "district")}
+        ring, steps = t["ring"].to_numpy(), t["steps"].to_numpy()
+        sizes, points = pc.binary_length(t["points"]).to_numpy() // 16, [flat_points(x) for x in t["points"].chunks]
+        del t
+        xy = np.concatenate(points)
+        del points
+        order = np.lexsort((-steps, steps > 0, ring))  # the smallest id first, then from far to near
+        begins = (np.cumsum(sizes) - sizes)[order]
+        ring, sizes = ring[order], sizes[order].astype(np.int64)
+        new = np.flatnonzero(np.diff(ring, prepend=ring[0] - 1))  # the first path of each ring
+        length = np.add.reduceat(sizes, new)
+        first = np.concatenate([[0], np.cumsum(length + 1)])  # a ring's first point comes again
+        to = np.arange(len(xy)) + np.repeat(np.cumsum(np.isin(np.arange(len(ring)), new)) - 1, sizes)
+        closed = np.empty((first[-1], 2))
+        closed[to] = xy[np.repeat(begins - (np.cumsum(sizes) - sizes), sizes) + np.arange(len(xy))]
+        del xy, to
+        closed[first[1:] - 1] = closed[first[:-1]]
+        return pa.table({**keys, "geom": pa.array([g.assembled(closed, first)], pa.binary())})
+
+    paths = paths.select("plan_id", "district", "ring", "steps", "points")
     out = paths.groupBy("plan_id", "district").applyInArrow(run, f"plan_id {kind}, district string, geom binary")
     if sums:
         total = assignment.where("district IS NOT NULL").join(units.select("node", *sums), "node").groupBy("plan_id", "district").agg(*(F.sum(c).alias(c) for c in sums))

@@ -644,12 +644,12 @@ KINDS = ("geojson", "shp", "zip")
 @query(f"SELECT kind, plan_id, district, count(*)::DOUBLE AS area, sum(totpop)::BIGINT AS totpop, (SELECT count(*) FROM (SELECT DISTINCT plan_id, district FROM assignment))::BIGINT AS n_features FROM assignment JOIN units USING (node), (SELECT unnest({list(KINDS)}) AS kind) GROUP BY ALL")
 def geo_files(s, d):
     """Every plan's districts written in each format, read back and counted."""
+    from ..operators.spatial import dissolve
     from ..sources import io
 
-    out = None
-    for kind in KINDS:
-        path = place(s, "plan") + "." + kind
-        io.write_plan(p.assignment(s, d), p.geometry(s, d), path, ["totpop"])
+    paths, out = {kind: place(s, "plan") + "." + kind for kind in KINDS}, None
+    io.write_districts(lambda: dissolve(p.assignment(s, d), p.geometry(s, d), ["totpop"]), *paths.values())
+    for kind, path in paths.items():
         own = io.load_units(s, path).select(F.lit(kind).alias("kind"), F.col("plan_id").cast("bigint").alias("plan_id"), "district", F.round("area", 6).alias("area"), F.col("totpop").cast("bigint").alias("totpop"), F.lit(io.district_count(s, path)).cast("bigint").alias("n_features"))
         out = own if out is None else out.union(own)
     return out

@@ -32,13 +32,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 from pyspark.sql.types import StructType
 
-from ..functions.geometry import multipolygon, polygons, ring_area, ring_inside, wkb
+from ..functions.geometry import areas, each_polygon, flat, homes, multipolygon, packed, wkb
 
 NAME = "geofiles"
 ENDINGS = (".geojson", ".json", ".shp", ".zip")
 SCHEMA = "file string, position bigint, properties map<string,string>, geom binary"
 #: Bytes of a range, of one read, and of a written part; features of a batch.
-RANGE, STEP, PART, BATCH = 64 << 20, 1 << 20, 64 << 20, 1000
+RANGE, STEP, PART, BATCH = 64 << 20, 1 << 20, 64 << 20, 1000  # a batch has STEP bytes of shapes and one more at most
 
 MARK = re.compile(rb'"type"\s*:\s*"Feature"')
 FORWARD = re.compile(rb'"(?:[^"\\]|\\.)*"|[{}"]', re.S)
@@ -140,8 +140,9 @@ def text_of(value: object) -> str | None:
     return value if value is None or isinstance(value, str) else json.dumps(value, ensure_ascii=False, separators=(",", ":"))
 
 
-def geometry(shape: dict | None) -> bytes | None:
-    if shape is None:
+def geometry(shape: dict | None, made: bool = True) -> bytes | None:
+    """WKB of a feature's geometry; where it is not to be made, only its kind is looked at."""
+    if shape is None or not made and shape.get("type") in ("Polygon", "MultiPolygon"):
         return None
     rings = lambda p: [np.array(r, float)[:, :2] for r in p]
     if shape.get("type") == "Polygon":
@@ -151,11 +152,11 @@ def geometry(shape: dict | None) -> bytes | None:
     raise ValueError(f"{shape.get('type')} is neither a polygon nor several")
 
 
-def features(file, size: int, low: int, high: int, step: int = STEP) -> Iterator[tuple[int, dict, bytes | None]]:
+def features(file, size: int, low: int, high: int, step: int = STEP, shapes: bool = True) -> Iterator[tuple[int, dict, bytes | None]]:
     for at, data in objects(Window(file, size, low, step), low, high):
         one = json.loads(data)
         if one.get("type") == "Feature":
-            yield at, {k: text_of(v) for k, v in (one.get("properties") or {}).items()}, geometry(one.get("geometry"))
+            yield at, {k: text_of(v) for k, v in (one.get("properties") or {}).items()}, geometry(one.get("geometry"), shapes)
 
 
 # Shapefiles
@@ -192,50 +193,57 @@ class Table:
         return out
 
 
+def polygonal(kind: int) -> None:
+    if kind not in (0, 5, 15, 25):
+        raise ValueError(f"shape kind {kind} is no polygon")
+
+
 def shape(data: bytes) -> bytes | None:
     """WKB of a shapefile's record: outer rings go clockwise, holes the other way."""
     kind, = struct.unpack_from("<i", data)
     if kind == 0:
         return None
-    if kind not in (5, 15, 25):
-        raise ValueError(f"shape kind {kind} is no polygon")
+    polygonal(kind)
     n, points = struct.unpack_from("<ii", data, 36)
     ends = [*struct.unpack_from(f"<{n}i", data, 44), points]
     xy = np.frombuffer(data, "<f8", 2 * points, 44 + 4 * n).reshape(-1, 2)
-    rings = [xy[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)]
-    outer = [r for r in rings if ring_area(r) <= 0] or rings[:1]
-    out = [[r] for r in outer]
-    for hole in rings:
-        if not any(hole is r for r in outer):
-            next((p for p in out if ring_inside(hole, p[0])), out[0]).append(hole)
-    return wkb(out[0]) if len(out) == 1 else multipolygon(out)
+    first = np.array([*ends])
+    size = areas(xy, first)
+    is_outer = size <= 0
+    if not is_outer.any():
+        is_outer[:1] = True
+    outer, holes = np.flatnonzero(is_outer), np.flatnonzero(~is_outer)
+    return packed(xy, first, outer, holes, np.maximum(homes(xy, first, size, holes, outer), 0))
 
 
 def shaped(g: bytes | None) -> bytes:
     """The content of a shapefile's record."""
     if g is None:
         return struct.pack("<i", 0)
-    rings = [r if (ring_area(r) > 0) == bool(k) else r[::-1] for p in polygons(bytes(g)) for k, r in enumerate(p)]
-    xy = np.concatenate(rings) if rings else np.zeros((0, 2))
+    xy, first, outer = flat(bytes(g))
+    n = np.diff(first)
+    turned = np.repeat((areas(xy, first) > 0) == outer, n)
+    at = np.arange(len(xy))
+    xy = xy[np.where(turned, np.repeat(first[:-1] + first[1:] - 1, n) - at, at)]
     box = (*xy.min(axis=0), *xy.max(axis=0)) if len(xy) else (0.0,) * 4
-    first = np.cumsum([0, *(len(r) for r in rings)])[:-1]
-    return struct.pack(f"<i4dii{len(rings)}i", 5, *box, len(rings), len(xy), *first.tolist()) + np.ascontiguousarray(xy, "<f8").tobytes()
+    return struct.pack("<i4dii", 5, *box, len(n), len(xy)) + first[:-1].astype("<i4").tobytes() + np.ascontiguousarray(xy, "<f8").tobytes()
 
 
-def records(shp, shx, dbf, size: int, low: int, high: int, encoding: str) -> Iterator[tuple[int, dict, bytes | None]]:
+def records(shp, shx, dbf, size: int, low: int, high: int, encoding: str, shapes: bool = True) -> Iterator[tuple[int, dict, bytes | None]]:
     """The records from number low to high; the three files are read at the places that matter."""
     where = np.frombuffer(shx.read_at(8 * (high - low), 100 + 8 * low), ">i4").reshape(-1, 2).astype(np.int64) * 2
+    polygonal(*struct.unpack("<i", shp.read_at(4, 32)))
     head = dbf.read_at(32, 0)
     table = Table.of(dbf.read_at(struct.unpack_from("<H", head, 8)[0], 0), encoding)
     for k in range(0, len(where), BATCH):
         part = where[k : k + BATCH]
         rows = dbf.read_at(table.width * len(part), table.start + table.width * (low + k))
         begin = int(part[:, 0].min())
-        data = shp.read_at(int((part[:, 0] + part[:, 1]).max()) + 8 - begin, begin)
+        data = shp.read_at(int((part[:, 0] + part[:, 1]).max()) + 8 - begin, begin) if shapes else b""
         for i, (at, n) in enumerate(part.tolist()):
             row = rows[i * table.width : (i + 1) * table.width]
             if row[:1] != b"*":  # deleted
-                yield low + k + i, table.row(row), shape(data[at - begin + 8 : at - begin + 8 + n])
+                yield low + k + i, table.row(row), shape(data[at - begin + 8 : at - begin + 8 + n]) if shapes else None
 
 
 class Parts:
@@ -254,24 +262,33 @@ class Parts:
             of = f.dataType.typeName()
             self.layout.append(("N", 20) if of in ("byte", "short", "integer", "long") else ("F", 24) if of in ("float", "double") else ("L", 1) if of == "boolean" else ("C", 254))
 
-    def put(self, rows: list[dict]) -> Iterable[tuple[str, bytes]]:
-        """The files (ending, content) of some rows."""
+    def put(self, rows: list[dict]) -> Iterable[tuple[str, Iterable[bytes]]]:
+        """The files (ending, content in pieces) of some rows."""
         if self.kind == ".geojson":
-            text = []
-            for r in rows:
-                own = json.dumps({f.name: r[f.name] for f in self.columns}, ensure_ascii=False, default=str)
-                g = r["geom"]
-                form = "null" if g is None else json.dumps({"type": "MultiPolygon", "coordinates": [[x.tolist() for x in p] for p in polygons(bytes(g))]})
-                text.append(f'{{"type":"Feature","properties":{own},"geometry":{form}}}')
-            return [(".geojson", ('{"type":"FeatureCollection","features":[\n' + ",\n".join(text) + "\n]}\n").encode())]
+            return [(".geojson", self.geojson(rows))]
         files = [*self.shapefile(rows), (".cpg", b"UTF-8")]
         if self.kind == ".shp":
-            return files
+            return [(ending, [data]) for ending, data in files]
         out = io.BytesIO()
         with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
             for ending, data in files:
                 z.writestr("plan" + ending, data)
-        return [(".zip", out.getvalue())]
+        return [(".zip", [out.getvalue()])]
+
+    def geojson(self, rows: list[dict]) -> Iterator[bytes]:
+        """A collection, polygon by polygon, so that no feature's text is held as a whole."""
+        yield b'{"type":"FeatureCollection","features":['
+        for k, r in enumerate(rows):
+            own = json.dumps({f.name: r[f.name] for f in self.columns}, ensure_ascii=False, default=str)
+            yield f'{"," * bool(k)}\n{{"type":"Feature","properties":{own},"geometry":'.encode()
+            if r["geom"] is None:
+                yield b"null}"
+                continue
+            yield b'{"type": "MultiPolygon", "coordinates": ['
+            for j, p in enumerate(each_polygon(bytes(r["geom"]))):
+                yield (", " * bool(j) + json.dumps([x.tolist() for x in p])).encode()
+            yield b"]}}"
+        yield b"\n]}\n"
 
     def shapefile(self, rows: list[dict]) -> list[tuple[str, bytes]]:
         own = [shaped(r["geom"]) for r in rows]
@@ -330,6 +347,7 @@ def found(path: str) -> list[fs.FileInfo]:
 class Reader(DataSourceReader):
     def __init__(self, options: dict[str, str]):
         self.path, self.range = options["path"], int(options.get("rangebytes", RANGE))
+        self.shapes = options.get("shapes", "true") == "true"
 
     def partitions(self) -> list[Range]:
         system, out = store(self.path)[0], []
@@ -349,11 +367,13 @@ class Reader(DataSourceReader):
             return
         system = store(self.path)[0]
         rows: list[tuple] = []
+        size = 0
         for row in self.rows(system, part):
             rows.append((part.path, *row))
-            if len(rows) == BATCH:
+            size += len(row[2] or b"")
+            if len(rows) == BATCH or size >= STEP:
                 yield batch(rows)
-                rows = []
+                rows, size = [], 0
         if rows:
             yield batch(rows)
 
@@ -365,18 +385,18 @@ class Reader(DataSourceReader):
                     if name.lower().endswith(".shp"):
                         shp, shx, dbf = (pa.BufferReader(z.read(name[:-4] + e)) for e in (".shp", ".shx", ".dbf"))
                         coding = z.read(name[:-4] + ".cpg").decode().strip() if name[:-4] + ".cpg" in z.namelist() else "utf-8"
-                        yield from records(shp, shx, dbf, shp.size(), 0, (shx.size() - 100) // 8, coding)
+                        yield from records(shp, shx, dbf, shp.size(), 0, (shx.size() - 100) // 8, coding, self.shapes)
                     else:
                         data = pa.BufferReader(z.read(name))
-                        yield from features(data, data.size(), 0, data.size())
+                        yield from features(data, data.size(), 0, data.size(), shapes=self.shapes)
         elif part.path.endswith(".shp"):
             cpg = system.get_file_info(base + ".cpg")
             coding = system.open_input_file(cpg.path).read().decode().strip() if cpg.type == fs.FileType.File else "utf-8"
             with system.open_input_file(part.path) as shp, system.open_input_file(base + ".shx") as shx, system.open_input_file(base + ".dbf") as dbf:
-                yield from records(shp, shx, dbf, 0, part.low, part.high, coding)
+                yield from records(shp, shx, dbf, 0, part.low, part.high, coding, self.shapes)
         else:
             with system.open_input_file(part.path) as f:
-                yield from features(f, f.size(), part.low, part.high)
+                yield from features(f, f.size(), part.low, part.high, shapes=self.shapes)
 
 
 def batch(rows: list[tuple]) -> pa.RecordBatch:
@@ -401,8 +421,9 @@ class Writer(DataSourceArrowWriter):
             name = uuid.uuid4().hex
             system.create_dir(f"{root}/_temporary-{self.job}", recursive=True)
             for ending, data in own.put(rows):
-                with system.open_output_stream(f"{root}/_temporary-{self.job}/{name}{ending}") as out:
-                    out.write(data)
+                with system.open_output_stream(f"{root}/_temporary-{self.job}/{name}{ending}", buffer_size=STEP) as out:
+                    for piece in data:
+                        out.write(piece)
                 files.append(name + ending)
 
         for b in batches:
@@ -452,16 +473,16 @@ class GeoFiles(DataSource):
         return Writer(self.options, schema, overwrite)
 
 
-def read(spark: SparkSession, path: str, range_bytes: int = RANGE) -> DataFrame:
-    """(file, position, properties, geom) of every feature."""
+def read(spark: SparkSession, path: str, range_bytes: int = RANGE, shapes: bool = True) -> DataFrame:
+    """(file, position, properties, geom) of every feature; without shapes geom is null and not made."""
     spark.dataSource.register(GeoFiles)
-    return spark.read.format(NAME).option("rangeBytes", range_bytes).load(path)
+    return spark.read.format(NAME).option("rangeBytes", range_bytes).option("shapes", str(shapes).lower()).load(path)
 
 
-def columns(features: DataFrame, *first: str) -> DataFrame:
-    """Properties as text columns, and geom; their names are gathered."""
-    keys = sorted(r[0] for r in features.select(F.explode(F.map_keys("properties"))).distinct().collect())
-    return features.select(*first, *(F.col("properties")[k].alias(k) for k in keys), "geom")
+def columns(spark: SparkSession, path: str, *first: str) -> DataFrame:
+    """Features of a path with their properties as text columns, and geom; the names are gathered."""
+    keys = sorted(r[0] for r in read(spark, path, shapes=False).select(F.explode(F.map_keys("properties"))).distinct().collect())
+    return read(spark, path).select(*first, *(F.col("properties")[k].alias(k) for k in keys), "geom")
 
 
 def write(df: DataFrame, path: str) -> None:

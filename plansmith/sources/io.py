@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 import warnings
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from datetime import date
 from pathlib import Path
 
@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators.spatial import dissolve, with_area
+from ..shared import settle
 from . import geofiles
 
 CRS = "EPSG:26912"
@@ -28,7 +29,7 @@ def load_units(spark: SparkSession, path: str, crs: str | None = None, target: s
     """Units from Parquet with WKB, GeoJSON, a shapefile or a zip archive of these; `area` is added where it is missing.  Data of another CRS is refused: nothing here reprojects."""
     if crs is not None and crs != target:
         raise ValueError(f"{path} is in {crs}; reproject it to {target} first")
-    return with_area(geofiles.columns(geofiles.read(spark, path)) if path.endswith(geofiles.ENDINGS) else spark.read.parquet(path))
+    return with_area(geofiles.columns(spark, path) if path.endswith(geofiles.ENDINGS) else spark.read.parquet(path))
 
 
 class Datasets:
@@ -102,13 +103,22 @@ def boundaries_by_dissolve(units: DataFrame, locality: str, name: str) -> DataFr
 
 def write_plan(assignment: DataFrame, units: DataFrame, path: str, sums: Sequence[str] = ()) -> DataFrame:
     """District polygons as .parquet, .geojson, .shp or .zip, which load_plan reads back; unassigned units are left out."""
-    if not path.endswith((".parquet", ".geojson", ".shp", ".zip")):
-        raise ValueError(f"{path}: the ending has to be .parquet, .geojson, .shp or .zip")
-    out = dissolve(assignment, units, list(sums) or None)
-    if path.endswith(".parquet"):
-        out.write.mode("overwrite").parquet(path)
-    else:
-        geofiles.write(out, path)
+    return write_districts(lambda: dissolve(assignment, units, list(sums) or None), path)
+
+
+def write_districts(districts: DataFrame | Callable[[], DataFrame], *paths: str) -> DataFrame:
+    """District polygons that are there or still to be made, in each of several formats."""
+    for path in paths:
+        if not path.endswith((".parquet", ".geojson", ".shp", ".zip")):
+            raise ValueError(f"{path}: the ending has to be .parquet, .geojson, .shp or .zip")
+    out = districts if isinstance(districts, DataFrame) else districts()
+    if len(paths) > 1:
+        out = settle(out, "districts")  # dissolved once
+    for path in paths:
+        if path.endswith(".parquet"):
+            out.write.mode("overwrite").parquet(path)
+        else:
+            geofiles.write(out, path)
     return out
 
 
@@ -173,8 +183,7 @@ def chamber(name: str, maps: str | None = None) -> dict:
 def load_plan(spark: SparkSession, path: str, plan: object = 0, column: str = "district") -> DataFrame:
     """(plan_id, district, geom) of a plan's file; without the column the districts are numbered from 1, row by row, as only the rows tell them apart."""
     if path.endswith(geofiles.ENDINGS):
-        rows = geofiles.read(spark, path)
-        units, order = geofiles.columns(rows, "file", "position"), ("file", "position")
+        units, order = geofiles.columns(spark, path, "file", "position"), ("file", "position")
     else:
         units, order = spark.read.parquet(path), (F.monotonically_increasing_id(),)
     if column not in units.columns:  # a plan has few rows
@@ -184,7 +193,7 @@ def load_plan(spark: SparkSession, path: str, plan: object = 0, column: str = "d
 
 def district_count(spark: SparkSession, path: str) -> int:
     """How many features, or rows, a plan's file has."""
-    return (geofiles.read(spark, path) if path.endswith(geofiles.ENDINGS) else spark.read.parquet(path)).count()
+    return (geofiles.read(spark, path, shapes=False) if path.endswith(geofiles.ENDINGS) else spark.read.parquet(path)).count()
 
 
 def step_images(spark: SparkSession, folder: str) -> DataFrame:

@@ -904,3 +904,22 @@ def test_chains_walk_without_a_graph_on_the_driver(spark, monkeypatch):
     spark.createDataFrame([(9, "10"), (0, "2"), (2, None), (7, "3"), (5, "2")], "node bigint, district string").repartition(3).write.parquet(start)
     label, names = kernels.stored_plan(start, g.ids)
     assert names == ["10", "2", "3"] and label.tolist() == [1, -1, -1, 1, 0]
+
+
+def test_many_rings_find_their_homes_and_are_read_back():
+    """As many holes as rings: what goes through all rings for each hole does not end."""
+    import time
+
+    from plansmith.sources import geofiles
+
+    square = lambda x, y, s: np.array([(x, y), (x + s, y), (x + s, y + s), (x, y + s), (x, y)], float)
+    nest = [square(0, 0, 100), square(10, 10, 50)[::-1], square(20, 20, 30), square(25, 25, 10)[::-1], square(70, 70, 5)[::-1], square(200, 0, 3)]
+    order = np.random.default_rng(0).permutation(len(nest))
+    many = [r for k in range(30_000) for r in (square(k % 40 * 4, k // 40 * 4, 3), square(k % 40 * 4 + 1, k // 40 * 4 + 1, 1)[::-1])]
+    for rings, want in (([nest[k] for k in order], {(3, 10000.0), (2, 900.0), (1, 9.0)}), (many, {(2, 9.0)})):
+        began = time.perf_counter()
+        got = g.assembled(np.concatenate(rings), np.cumsum([0, *map(len, rings)]), some=1000)
+        back = geofiles.shape(geofiles.shaped(got))
+        assert time.perf_counter() - began < 30
+        for x in (got, back):
+            assert {(len(p), abs(g.ring_area(p[0]))) for p in g.polygons(x)} == want and g.area(x) == sum(g.ring_area(r) for r in rings)
