@@ -14,7 +14,9 @@ length are encoded whole; an empty table gives no rows; only doc_id and text are
 
 from __future__ import annotations
 
+import gc
 import io
+import json
 import os
 import re
 import uuid
@@ -151,8 +153,10 @@ def read_segments(f) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.nd
         yield doc_ids, null, size, unpack(words, offsets, escapes, n)
 
 
-#: A chunk of one word of plain letters, and perhaps a second of marks: the vocabulary always breaks between them.
-PLAIN_WORD = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+([.,;:!?]+)?")
+#: A chunk of one word of plain letters, and perhaps a run of marks: the vocabulary always breaks between them, and sees letters in lower case.
+PLAIN_WORD = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-/:-@\[-`{-~]+)?")
+#: The steps before the model under which that holds: composed, lower-cased, and cut into letters, digits and other runs.
+STEPS = ["NFC", "Replace", "Lowercase"], ["Split", "ByteLevel"], "[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
 
 
 class Library:
@@ -160,38 +164,74 @@ class Library:
 
     def __init__(self, path: str, memo: int = 900_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer, self.most = Tokenizer.from_file(path), memo
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.memo: dict[bytes, bytes] = {}
         size = self.tokenizer.get_vocab_size()
-        ends = np.array([(self.tokenizer.id_to_token(i) or "").endswith("</w>") for i in range(size)])
         #: Which tokens end a word, where the vocabulary marks that.
-        self.ends = ends if ends.any() else None
-
-    def learn(self, chunks: set[bytes]) -> None:
-        """Chunks whose words are known beforehand go to the library many to a text, and their words' last tokens part them again."""
-        text = [c.decode("utf-8", "replace") for c in chunks]
-        whole = [(c, t, 1 + (m[1] is not None)) for c, t in zip(chunks, text, strict=True) if self.ends is not None and (m := PLAIN_WORD.fullmatch(t))]
-        for k in range(0, len(whole), 1 << 14):
-            rows = [whole[i : i + 64] for i in range(k, min(k + (1 << 14), len(whole)), 64)]
-            got = self.tokenizer.encode_batch_fast([" ".join([t for _, t, _ in r]) for r in rows], add_special_tokens=False)
-            for r, e in zip(rows, got, strict=True):
+        self.ends = np.array([(self.tokenizer.id_to_token(i) or "").endswith("</w>") for i in range(size)])
+        #: The library's model behind steps that lower-case words of plain letters, parted by spaces, do without.
+        self.plain = None
+        own = json.loads(self.tokenizer.to_str())
+        before, cut = ((own[k] or {}).get(x) or [] for k, x in (("normalizer", "normalizers"), ("pre_tokenizer", "pretokenizers")))
+        if ([x["type"] for x in before], [x["type"] for x in cut]) == STEPS[:2] and cut[0]["pattern"].get("Regex", "").endswith(STEPS[2]) and self.ends.any():
+            self.plain = Tokenizer.from_file(path)
+            self.plain.no_truncation()
+            self.plain.no_padding()
+            self.plain.normalizer = None
+            self.plain.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+
+    def words(self, stems: list[str]) -> None:
+        """Lower-case words go to the library many to a text, and their last tokens part them again."""
+        for k in range(0, len(stems), 1 << 14):
+            rows = [stems[i : i + 64] for i in range(k, min(k + (1 << 14), len(stems)), 64)]
+            for r, e in zip(rows, self.plain.encode_batch_fast([" ".join(r) for r in rows], add_special_tokens=False), strict=True):
                 ids = np.array(e.ids, "<u4")
-                stop = (np.flatnonzero(self.ends[ids]) + 1)[np.cumsum([n for _, _, n in r]) - 1] * 4
                 flat, at = ids.tobytes(), 0
-                for (c, _, _), b in zip(r, stop.tolist(), strict=True):
-                    self.memo[c] = flat[at:b]
+                for t, b in zip(r, ((np.flatnonzero(self.ends[ids]) + 1) * 4).tolist(), strict=True):
+                    self.memo[t.encode()] = flat[at:b]
                     at = b
-        own = [(c, t) for c, t in zip(chunks, text, strict=True) if c not in self.memo]
-        for k in range(0, len(own), 4096):
-            some = own[k : k + 4096]
-            got = self.tokenizer.encode_batch_fast([t for _, t in some], add_special_tokens=False)
-            self.memo.update((c, array("I", e.ids).tobytes()) for (c, _), e in zip(some, got, strict=True))
+
+    def whole(self, chunks: list[bytes]) -> None:
+        for k in range(0, len(chunks), 4096):
+            some = chunks[k : k + 4096]
+            got = self.tokenizer.encode_batch_fast([c.decode("utf-8", "replace") for c in some], add_special_tokens=False)
+            self.memo.update((c, array("I", e.ids).tobytes()) for c, e in zip(some, got, strict=True))
+
+    def learn(self, chunks: set[bytes]) -> None:
+        """A word and the marks behind it are chunks of their own, which others share; what is no plain word goes to the library as it is."""
+        memo, own, put = self.memo, [], []
+        stems, marks = set(), set()
+        for c in chunks:
+            m = self.plain and PLAIN_WORD.fullmatch(c.decode("utf-8", "replace"))
+            if m:
+                stem, mark = m.groups()
+                stem = stem.lower()
+                put.append((c, stem, mark))
+                stems.add(stem)
+                if mark:
+                    marks.add(mark.encode())
+            else:
+                own.append(c)
+        self.words([t for t in stems if t.encode() not in memo])
+        self.whole([*own, *(x for x in marks.difference(own) if x not in memo)])
+        for c, stem, mark in put:
+            memo[c] = memo[stem.encode()] + memo[mark.encode()] if mark else memo[stem.encode()]
 
     def __call__(self, texts: list[bytes]) -> list[np.ndarray]:
+        """The ids of each text.  Nothing here refers to itself, so the collector, which would go through all chunks again and again, waits."""
+        on = gc.isenabled()
+        gc.disable()
+        try:
+            return self.encoded(texts)
+        finally:
+            if on:
+                gc.enable()
+
+    def encoded(self, texts: list[bytes]) -> list[np.ndarray]:
         split = [t.split() for t in texts]
         own = set(chain.from_iterable(split))
         if len(self.memo) > self.most:  # keep what is in use

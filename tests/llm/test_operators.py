@@ -192,6 +192,29 @@ def test_library_memo_may_be_small(tokenizer):
         assert lib([t.encode()])[0].tolist() == tokenizer.encode(t, add_special_tokens=False).ids
 
 
+def test_words_and_marks_are_learnt_once(tokenizer):
+    """Chunks that differ in letter case or in the marks behind a word share what the library has said of both."""
+    lib, said = simple8b.Library(vocabulary("word_bpe_49k.json")), []
+    for name in ("plain", "tokenizer"):
+        library = getattr(lib, name)
+
+        class Counted:
+            def encode_batch_fast(self, texts, library=library, **more):
+                said.extend(w for t in texts for w in t.split())
+                return library.encode_batch_fast(texts, **more)
+
+        setattr(lib, name, Counted())
+    rng = random.Random(3)
+    letters, marks = "abzéÉßÿÀØSTd", ["", ".", "'", "'s", "&&&", "$$$", "_", ".,***", "<|", "-", "^`~", "³", "ª", "×", "1", "İ"]
+    for k in range(40):
+        t = " ".join("".join(rng.choice(letters) for _ in range(rng.randrange(1, 6))) + rng.choice(marks) for _ in range(300))
+        assert lib([t.encode()])[0].tolist() == tokenizer.encode(t, add_special_tokens=False).ids
+    assert len(said) == len(set(said))
+    said.clear()
+    assert lib(["Zaßéz,*** ZAßÉZ$$$ zaßéz".encode()])[0].tolist() == tokenizer.encode("Zaßéz,*** ZAßÉZ$$$ zaßéz", add_special_tokens=False).ids
+    assert len(said) <= 3 and sum("z" in w for w in said) <= 1
+
+
 def test_simple8b_on_nothing(empty):
     assert simple8b.digests(empty, vocabulary("word_bpe_49k.json")).count() == 0
 
