@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..shared import large
+
 WIDTH = 40
 PLANS = 6
 DISTRICTS = 4
@@ -22,7 +24,7 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def units(spark: SparkSession, sf_dir: str) -> DataFrame:
     """node, totpop, county, muni, region id, name, area, x, y; a customer without orders is a unit of one."""
     n = read(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.count("*").alias("n"))
-    c = read(spark, sf_dir, "customer").join(n, "c_custkey", "left")
+    c = read(spark, sf_dir, "customer").join(large(n), "c_custkey", "left")
     county = F.col("c_nationkey").cast("string")
     return c.select(F.col("c_custkey").alias("node"), (1 + F.coalesce("n", F.lit(0))).alias("totpop"), county.alias("county"), F.concat_ws("-", county, "c_mktsegment").alias("muni"), F.col("c_mktsegment").alias("segment"), F.col("c_name").alias("name"), F.col("c_acctbal").alias("acctbal"), F.lit(1.0).alias("area"), (F.col("c_custkey") % WIDTH).alias("x"), F.expr(f"c_custkey div {WIDTH}").alias("y"))
 
@@ -32,14 +34,14 @@ def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     u = read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("u"))
     to = F.explode(F.array(F.when(F.col("u") % WIDTH < WIDTH - 1, F.col("u") + 1), F.col("u") + WIDTH))
     there = u.select(F.col("u").alias("v"))
-    return u.select("u", to.alias("v")).where("v IS NOT NULL").join(there, "v", "left_semi").select("u", "v", F.lit(1.0).alias("shared_perim"))
+    return u.select("u", to.alias("v")).where("v IS NOT NULL").join(large(there), "v", "left_semi").select("u", "v", F.lit(1.0).alias("shared_perim"))
 
 
 def with_boundary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Units with boundary_perim: the sides that no neighbour shares."""
     e = edges(spark, sf_dir)
     sides = e.select("u").union(e.select("v")).groupBy(F.col("u").alias("node")).agg(F.count("*").alias("s"))
-    return units(spark, sf_dir).join(sides, "node", "left").withColumn("boundary_perim", F.lit(4.0) - F.coalesce("s", F.lit(0))).drop("s")
+    return units(spark, sf_dir).join(large(sides), "node", "left").withColumn("boundary_perim", F.lit(4.0) - F.coalesce("s", F.lit(0))).drop("s")
 
 
 def geometry(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -99,7 +101,7 @@ def stripes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Half a point on every edge between nations."""
-    u = units(spark, sf_dir).select("node", "county")
+    u = large(units(spark, sf_dir).select("node", "county"))
     e = edges(spark, sf_dir).join(u.select(F.col("node").alias("u"), F.col("county").alias("a")), "u").join(u.select(F.col("node").alias("v"), F.col("county").alias("b")), "v")
     return e.where("a <> b").select("u", "v", F.lit(0.5).alias("w"))
 

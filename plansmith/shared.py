@@ -26,6 +26,11 @@ def settle(df: DataFrame, what: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def large(df: DataFrame) -> DataFrame:
+    """A table with a row a unit or more, for joins: they sort both sides, as an estimate may be far too low and a broadcast gathers the table on the driver."""
+    return df.hint("merge")
+
+
 def drop(*frames: DataFrame) -> None:
     """Delete settled tables."""
     for df in frames:

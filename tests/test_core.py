@@ -923,3 +923,23 @@ def test_many_rings_find_their_homes_and_are_read_back():
         assert time.perf_counter() - began < 30
         for x in (got, back):
             assert {(len(p), abs(g.ring_area(p[0]))) for p in g.polygons(x)} == want and g.area(x) == sum(g.ring_area(r) for r in rings)
+
+
+def test_tables_of_units_are_not_broadcast(spark):
+    """However small they are taken for: the driver would gather them."""
+    from plansmith.plans import projection
+
+    d = "/root/testdata/sf0.01"
+    for df in (projection.units(spark, d), projection.edges(spark, d), projection.weights(spark, d), projection.with_boundary(spark, d)):
+        assert df.count() > 0
+        df.write.format("noop").mode("overwrite").save()
+        assert "Broadcast" not in df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_a_stored_graph_is_mapped_from_files(spark):
+    e, u = spark.createDataFrame([(0, 1)], "u bigint, v bigint"), spark.createDataFrame([(0, 4), (1, 5)], "node bigint, totpop bigint")
+    for units, edges in ((u, e), (u.limit(0), e.limit(0))):
+        g = kernels.stored_graph(units, edges, (), edges.selectExpr("u", "v", "2D AS penalty")).load()
+        n, m = units.count(), edges.count()
+        assert g.ids.tolist() == [0, 1][:n] and g.pop.tolist() == [4, 5][:n] and g.u.tolist() == [0][:m] and g.v.tolist() == [1][:m] and g.penalty.tolist() == [2.0][:m]
+        assert all(isinstance(x.base, np.memmap) or not len(x) for x in (g.ids, g.pop, g.u, g.v, g.penalty))
