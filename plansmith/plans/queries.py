@@ -12,7 +12,7 @@ from ..functions import columns as fc
 from ..operators import ensemble as e
 from ..operators import regions as rg
 from ..operators import results as r
-from ..shared import place, settle
+from ..shared import large, place, settle
 from ..streaming import steps as st
 from . import projection as p
 
@@ -547,7 +547,7 @@ def states(chain, s, d, slack: float):
     """Of every state of a chain: its districts, people, pieces, districts further from the ideal than the chain may go, whether it differs from the state before, how many districts that change touches, and whether its score is worse."""
     units = p.units(s, d)
     chain = settle(chain.select("chain_id", "step", "node", "district"), "chain")  # walked once, and its size is known to what joins it
-    plans = chain.select((F.col("chain_id") * 1000 + F.col("step")).alias("plan_id"), "node", "district")
+    plans = large(chain.select((F.col("chain_id") * 1000 + F.col("step")).alias("plan_id"), "node", "district"))
     people = e.tally(plans, units, "totpop")
     ideal = units.agg((F.sum("totpop") / p.DISTRICTS).alias("ideal"))
     off = F.sum((F.abs(F.col("totpop") - F.col("ideal")) > slack * F.col("ideal")).cast("bigint"))

@@ -943,3 +943,15 @@ def test_a_stored_graph_is_mapped_from_files(spark):
         n, m = units.count(), edges.count()
         assert g.ids.tolist() == [0, 1][:n] and g.pop.tolist() == [4, 5][:n] and g.u.tolist() == [0][:m] and g.v.tolist() == [1][:m] and g.penalty.tolist() == [2.0][:m]
         assert all(isinstance(x.base, np.memmap) or not len(x) for x in (g.ids, g.pop, g.u, g.v, g.penalty))
+
+
+def test_states_are_joined_by_sorting(spark, monkeypatch):
+    from plansmith.plans import projection
+
+    seen = []
+    for module, name in ((queries.e, "tally"), (queries.rg, "inner_edges")):
+        monkeypatch.setattr(module, name, lambda *a, f=getattr(module, name): seen.append(f(*a)) or seen[-1])
+    d = "/root/testdata/sf0.001"
+    got = queries.states(projection.stripes(spark, d).selectExpr("0L AS chain_id", "0L AS step", "node", "district"), spark, d, 0.5).collect()
+    assert len(got) == 1 and got[0].n_districts == 4 and len(seen) == 2
+    assert not any("Broadcast" in df._jdf.queryExecution().executedPlan().toString() for df in seen)
