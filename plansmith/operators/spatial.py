@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geometry as g
-from ..shared import drop, settle
+from ..shared import drop, large, settle
 
 SEGMENT = ["x0", "y0", "x1", "y1"]
 #: How far a vertex may lie off a segment that it splits.
@@ -221,7 +221,7 @@ def assign(units: DataFrame, plans: DataFrame, cell: float | None = None, dense:
 def outlines(assignment: DataFrame, units: DataFrame) -> DataFrame:
     """(plan_id, district, x0, y0, x1, y1): the directed segments around each district, the inside on the left: what its units share has gone."""
     inside = F.sum(F.when(F.col("forward"), 1).otherwise(-1))
-    seg = assignment.where("district IS NOT NULL").select("plan_id", "node", "district").join(coverage(units), "node").groupBy("plan_id", "district", *SEGMENT).agg(inside.alias("side")).where("side <> 0")
+    seg = large(assignment.where("district IS NOT NULL").select("plan_id", "node", "district")).join(coverage(units), "node").groupBy("plan_id", "district", *SEGMENT).agg(inside.alias("side")).where("side <> 0")
     turned = [F.when(F.col("side") > 0, F.col(a)).otherwise(F.col(b)).alias(a) for a, b in zip(SEGMENT, ["x1", "y1", "x0", "y0"], strict=True)]
     return seg.select("plan_id", "district", *turned)
 
@@ -231,7 +231,7 @@ def followed(seg: DataFrame) -> DataFrame:
     to = seg.select("plan_id", "district", F.col("x0").alias("x1"), F.col("y0").alias("y1"), F.col("x1").alias("x2"), F.col("y1").alias("y2"), F.col("id").alias("next"))
     ax, ay, bx, by = F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0"), F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")
     turn = F.atan2(ax * by - ay * bx, ax * bx + ay * by)
-    both = seg.join(to, ["plan_id", "district", "x1", "y1"])
+    both = seg.join(large(to), ["plan_id", "district", "x1", "y1"])
     return both.groupBy("id", "plan_id", "district", "x0", "y0").agg(F.max_by("next", turn).alias("next"))
 
 
@@ -273,7 +273,7 @@ def ringed(paths: DataFrame, most: int = 64) -> DataFrame:
     for k in range(most):
         there = state.select(F.col("id").alias("ahead"), F.col("ahead").alias("ahead_"), F.col("ring").alias("ring_"), F.col("steps").alias("steps_"))
         nearer = F.col("ring_") < F.col("ring")
-        new = state.join(there, "ahead").select("id", F.col("ahead_").alias("ahead"), F.least("ring", "ring_").alias("ring"), F.when(nearer, F.col("steps_") + (1 << k)).otherwise(F.col("steps")).alias("steps"), nearer.alias("moved"))
+        new = state.join(large(there), "ahead").select("id", F.col("ahead_").alias("ahead"), F.least("ring", "ring_").alias("ring"), F.when(nearer, F.col("steps_") + (1 << k)).otherwise(F.col("steps")).alias("steps"), nearer.alias("moved"))
         new = settle(new, "pointers")
         drop(state)
         state = new.drop("moved")
@@ -281,7 +281,7 @@ def ringed(paths: DataFrame, most: int = 64) -> DataFrame:
             break
     else:
         raise RuntimeError("the outlines do not close")
-    return paths.join(state.select("id", "ring", "steps"), "id", "left").withColumns({"ring": F.coalesce("ring", "id"), "steps": F.coalesce("steps", F.lit(0))})
+    return paths.join(large(state.select("id", "ring", "steps")), "id", "left").withColumns({"ring": F.coalesce("ring", "id"), "steps": F.coalesce("steps", F.lit(0))})
 
 
 def dissolve(assignment: DataFrame, units: DataFrame, sums: list[str] | None = None, per_cell: int = CHAINED) -> DataFrame:
@@ -309,7 +309,7 @@ def dissolve(assignment: DataFrame, units: DataFrame, sums: list[str] | None = N
         ring, steps = t["ring"].to_numpy(), t["steps"].to_numpy()
         sizes, points = pc.binary_length(t["points"]).to_numpy() // 16, [flat_points(x) for x in t["points"].chunks]
         del t
-        xy = np.concatenate(points)
+        xy = np.concatenate(points) if len(points) > 1 else points[0]
         del points
         order = np.lexsort((-steps, steps > 0, ring))  # the smallest id first, then from far to near
         begins = (np.cumsum(sizes) - sizes)[order]
@@ -317,16 +317,25 @@ def dissolve(assignment: DataFrame, units: DataFrame, sums: list[str] | None = N
         new = np.flatnonzero(np.diff(ring, prepend=ring[0] - 1))  # the first path of each ring
         length = np.add.reduceat(sizes, new)
         first = np.concatenate([[0], np.cumsum(length + 1)])  # a ring's first point comes again
-        to = np.arange(len(xy)) + np.repeat(np.cumsum(np.isin(np.arange(len(ring)), new)) - 1, sizes)
+        whose = np.cumsum(np.isin(np.arange(len(ring)), new)) - 1
+        begin = np.cumsum(sizes) - sizes
         closed = np.empty((first[-1], 2))
-        closed[to] = xy[np.repeat(begins - (np.cumsum(sizes) - sizes), sizes) + np.arange(len(xy))]
-        del xy, to
+        low = 0
+        while low < len(ring):  # paths of about a million points at a time
+            high = min(len(ring), max(low + 1, int(np.searchsorted(begin, begin[low] + (1 << 20)))))
+            n, here = sizes[low:high], np.arange(begin[low], begin[high - 1] + sizes[high - 1])
+            closed[here + np.repeat(whose[low:high], n)] = xy[here + np.repeat(begins[low:high] - begin[low:high], n)]
+            low = high
+        del xy, whose, begin
         closed[first[1:] - 1] = closed[first[:-1]]
-        return pa.table({**keys, "geom": pa.array([g.assembled(closed, first)], pa.binary())})
+        own = [closed]
+        del closed, order, begins, ring, sizes, steps
+        geom = g.assembled(own.pop, first)  # which lets go of the points
+        return pa.table({**keys, "geom": pa.Array.from_buffers(pa.binary(), 1, [None, pa.array([0, len(geom)], pa.int32()).buffers()[1], pa.py_buffer(geom)])})
 
     paths = paths.select("plan_id", "district", "ring", "steps", "points")
     out = paths.groupBy("plan_id", "district").applyInArrow(run, f"plan_id {kind}, district string, geom binary")
     if sums:
-        total = assignment.where("district IS NOT NULL").join(units.select("node", *sums), "node").groupBy("plan_id", "district").agg(*(F.sum(c).alias(c) for c in sums))
+        total = assignment.where("district IS NOT NULL").join(large(units.select("node", *sums)), "node").groupBy("plan_id", "district").agg(*(F.sum(c).alias(c) for c in sums))
         out = out.join(total, ["plan_id", "district"])
     return out

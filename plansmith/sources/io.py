@@ -17,6 +17,8 @@ from ..shared import settle
 from . import geofiles
 
 CRS = "EPSG:26912"
+#: An outline may have a hundred MB: row groups end after 8 MB, looked at row by row, so that writers and readers hold few outlines at once.
+GROUPS = {"parquet.block.size": str(8 << 20), "parquet.block.size.row.check.min": "1", "parquet.page.size.row.check.min": "1"}
 
 
 def exists(spark: SparkSession, path: str) -> bool:
@@ -116,7 +118,7 @@ def write_districts(districts: DataFrame | Callable[[], DataFrame], *paths: str)
         out = settle(out, "districts")  # dissolved once
     for path in paths:
         if path.endswith(".parquet"):
-            out.write.mode("overwrite").parquet(path)
+            out.write.mode("overwrite").options(**GROUPS).parquet(path)
         else:
             geofiles.write(out, path)
     return out

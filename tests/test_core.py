@@ -955,3 +955,25 @@ def test_states_are_joined_by_sorting(spark, monkeypatch):
     got = queries.states(projection.stripes(spark, d).selectExpr("0L AS chain_id", "0L AS step", "node", "district"), spark, d, 0.5).collect()
     assert len(got) == 1 and got[0].n_districts == 4 and len(seen) == 2
     assert not any("Broadcast" in df._jdf.queryExecution().executedPlan().toString() for df in seen)
+
+
+def test_polygons_are_packed_once():
+    """Each byte of an outline is written in its place, and points that are handed over are held by nothing else."""
+    ring = np.array([(0, 0), (1, 0), (1, 1), (0, 1), (0, 0)], float)
+    xy = (ring + np.arange(50_000)[:, None, None] * (2, 0)).reshape(-1, 2)
+    first, every = np.arange(50_001) * 5, np.arange(50_000)
+    got = g.packed(xy, first, every, every[:0], every[:0])
+    assert g.area(got) == 50_000 and sum(1 for _ in g.each_polygon(got)) == 50_000
+    own = [xy]
+    assert g.assembled(own.pop, first) == g.assembled(xy, first) and not own
+    assert g.area(g.packed(xy, first, every[:0], every[:3], np.zeros(3, int))) == 0
+
+
+def test_long_outlines_are_in_row_groups_of_their_own(spark, tmp_path):
+    import pyarrow.parquet as pq
+
+    long = np.random.default_rng(0).bytes(9 << 20)
+    rows = spark.createDataFrame([(0, str(k), bytearray(long)) for k in range(3)], "plan_id bigint, district string, geom binary")
+    io.write_districts(rows.coalesce(1), str(tmp_path / "plan.parquet"))
+    own = [pq.ParquetFile(f).metadata.num_row_groups for f in (tmp_path / "plan.parquet").glob("*.parquet")]
+    assert sum(own) == 3 and spark.read.parquet(str(tmp_path / "plan.parquet")).where(f"length(geom) = {len(long)}").count() == 3
