@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import is_empty, ratio, region_mismatch
+from ..shared import large
 
 def by_plan():
     return Window.partitionBy("plan_id")
@@ -168,8 +169,8 @@ def election_results(long: DataFrame) -> DataFrame:
 # Edges and shapes
 
 def edge_districts(edges: DataFrame, assignment: DataFrame) -> DataFrame:
-    """Each edge with the districts of both ends in each plan: two equi-joins, never a theta join."""
-    u, v = assignment.alias("au"), assignment.alias("av")
+    """Each edge with the districts of both ends in each plan: two equi-joins by sorting, never a theta join or a broadcast of plans or edges."""
+    u, v = large(assignment.alias("au")), large(assignment.alias("av"))
     return edges.join(u, F.col("u") == F.col("au.node")).join(v, (F.col("v") == F.col("av.node")) & (F.col("au.plan_id") == F.col("av.plan_id"))).select(F.col("au.plan_id").alias("plan_id"), "u", "v", F.col("au.district").alias("district_u"), F.col("av.district").alias("district_v"), *(c for c in edges.columns if c not in ("u", "v")))
 
 
@@ -180,7 +181,7 @@ def cut_edges(edges: DataFrame, assignment: DataFrame) -> DataFrame:
 def perimeter(edges: DataFrame, assignment: DataFrame, units: DataFrame) -> DataFrame:
     """Shared length of cut edges on both sides, and the outer boundary of the units."""
     cut = cut_edges(edges, assignment).select("plan_id", F.explode(F.array("district_u", "district_v")).alias("district"), F.col("shared_perim").alias("length"))
-    outer = assignment.join(units.select("node", F.col("boundary_perim").alias("length")), "node").select("plan_id", "district", "length")
+    outer = assignment.join(large(units.select("node", F.col("boundary_perim").alias("length"))), "node").select("plan_id", "district", "length")
     return cut.unionByName(outer).groupBy("plan_id", "district").agg(F.sum("length").alias("perimeter"))
 
 

@@ -957,6 +957,17 @@ def test_states_are_joined_by_sorting(spark, monkeypatch):
     assert not any("Broadcast" in df._jdf.queryExecution().executedPlan().toString() for df in seen)
 
 
+def test_perimeters_are_joined_by_sorting(spark):
+    """Plans have a row a unit and plan: the driver would gather them several times over."""
+    from plansmith.plans import projection
+
+    d = "/root/testdata/sf0.001"
+    for df in (queries.perimeter(spark, d), ensemble.edge_districts(projection.edges(spark, d), projection.assignment(spark, d))):
+        assert df.count() > 0
+        df.write.format("noop").mode("overwrite").save()
+        assert "Broadcast" not in df._jdf.queryExecution().executedPlan().toString()
+
+
 def test_polygons_are_packed_once():
     """Each byte of an outline is written in its place, and points that are handed over are held by nothing else."""
     ring = np.array([(0, 0), (1, 0), (1, 1), (0, 1), (0, 0)], float)
